@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: What a word is in the word-based contracts: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,10 +55,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `limit` bytes of text each (at least a row)."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str | int = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about `limit` bytes of text each (at least a row). text: the column's name or place."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
+        column = batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text))
         sizes = pc.binary_length(column).fill_null(0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
@@ -77,7 +79,7 @@ def over_texts(df: DataFrame, id_col: str | Column, text_col: str | Column, sche
     src = df.select(F.col(id_col).alias("doc_id") if isinstance(id_col, str) else id_col.alias("doc_id"), F.coalesce(F.col(text_col) if isinstance(text_col, str) else text_col, F.lit("")).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     full = f"doc_id {kind}, {schema}"
-    target = _arrow_schema(df.sparkSession, full)
+    target = arrow_schema(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -87,11 +89,22 @@ def over_texts(df: DataFrame, id_col: str | Column, text_col: str | Column, sche
     return src.mapInArrow(run, full)
 
 
-def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def keep_rows(df: DataFrame, text_col: str, verdict: Callable[[list], list]) -> DataFrame:
+    """The rows of df whose text passes verdict(texts: list of str), a null one as an empty one; all columns stay."""
+    target = arrow_schema(df.schema)
+    at = df.columns.index(text_col)
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, at):
+            mask = pa.array(list(map(bool, verdict(part.column(at).fill_null("").to_pylist()))), pa.bool_())
+            kept = part.filter(mask)
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept.columns, target, strict=True)], schema=target)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def arrow_schema(schema: str | StructType) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def bounded_ids(labels: DataFrame, id_col: str, limit: int) -> DataFrame:

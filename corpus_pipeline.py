@@ -1,11 +1,52 @@
-"""A corpus pipeline of four stages; each reads what the one before it has kept."""
+"""A corpus pipeline of four stages; each reads what the one before it has kept.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and calls one operator of evograph.llm; all but the last return
+the columns of documents. Stages hand over Parquet tables in the folder that driver and executors share.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from evograph.llm import packing, quality_knn, simhash, toxicity
+from evograph.llm.common import load, shared_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest neighbours vote down go."""
+    return quality_knn.keep_good(docs, quality_knn.fit(docs, load(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id stays."""
+    return simhash.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left goes into bins of fixed capacity."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near_dedup", drop_near_copies), ("packing", pack)]
+
+#: Learned models, XXH64 and a greedy search decide: SQL can't say it; tests hold it against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again before the next."""
+    docs = load(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
     return docs

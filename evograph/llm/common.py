@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,6 +53,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers find this package where the driver has it, also if the driver's path was set by hand.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,6 +1,6 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are pairs of neighbouring character classes and a few counts of its words and lines. TF-IDF
+A text's terms are pairs of neighbouring character classes and the levels of a few shares of it. TF-IDF
 weights and a truncated singular value decomposition, fitted on a bounded sample of labelled rows, turn
 them into short vectors. The sample's vectors and labels are broadcast; every document is multiplied with
 all of them, block by block, and its score is the mean label of its nearest neighbours by cosine,
@@ -13,6 +13,7 @@ length are scored whole; equal rows give equal results, a row each; without labe
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,8 +58,20 @@ def _classes() -> bytes:
 _CLASS = _classes()
 N_CLASSES = 46
 N_PAIRS = N_CLASSES * N_CLASSES
-#: After the pairs: repeated neighbours, words, different words, lines, repeated lines, short and long words, a constant.
-N_TERMS = N_PAIRS + 8
+#: Upper bounds of the levels of a text's shares (the last level has none): each level is a term of its own.
+LEVELS = {
+    "equal neighbours of words": (0.02, 0.08, 0.2, 0.5),
+    "different words": (0.1, 0.25, 0.45, 0.7),
+    "repeated lines": (0.05, 0.2, 0.5, 0.8),
+    "marks": (0.002, 0.01, 0.04, 0.12),
+    "bars": (0.002, 0.01, 0.04, 0.12),
+    "capitals": (0.01, 0.04, 0.15, 0.5),
+    "digits": (0.01, 0.04, 0.15, 0.5),
+}
+N_LEVELS = len(LEVELS) * 5
+#: The pairs, the levels, and a constant.
+N_TERMS = N_PAIRS + N_LEVELS + 1
+_MARKS = [bytes([c]) for c in b"#*$%&<>!"]
 
 
 def terms(text: str) -> np.ndarray:
@@ -66,12 +79,20 @@ def terms(text: str) -> np.ndarray:
     raw = text.encode("utf-8")
     code = np.frombuffer(raw.translate(_CLASS), np.uint8).astype(np.int32)
     out = np.zeros(N_TERMS, np.float32)
+    out[-1] = 1
     if len(code) > 1:
         out[:N_PAIRS] = np.bincount(code[:-1] * N_CLASSES + code[1:], minlength=N_PAIRS)
     words = raw.split()
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    sizes = np.fromiter(map(len, words), np.int32, len(words))
-    out[N_PAIRS:] = (sum(map(bytes.__eq__, words, words[1:])), len(words), len(set(words)), len(lines), len(lines) - len(set(lines)), int((sizes < 3).sum()), int((sizes > 9).sum()), 1)
+    if words:
+        single = np.bincount(code, minlength=N_CLASSES)
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        n, size = len(words), len(code)
+        shares = (
+            sum(map(bytes.__eq__, words, words[1:])) / n, len(set(words)) / n, 1 - len(set(lines)) / len(lines),
+            sum(map(raw.count, _MARKS)) / size, raw.count(b"|") / size, single[26] / size, single[27] / size,
+        )
+        for i, (share, bounds) in enumerate(zip(shares, LEVELS.values(), strict=True)):
+            out[N_PAIRS + 5 * i + bisect.bisect(bounds, share)] = 1
     return out
 
 
@@ -104,7 +125,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return _unit(np.log1p(counts) * idf)
+    """TF-IDF weights; pairs and levels are brought to one length each, so that neither drowns the other."""
+    x = np.log1p(counts) * idf
+    return np.hstack([_unit(x[:, :N_PAIRS]), _unit(x[:, N_PAIRS:])])
 
 
 def build(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Space:

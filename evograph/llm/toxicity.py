@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another; each model is a logistic regression over the words of a text
-and over the probabilities of all earlier categories. In training, those come from out-of-fold
+and their beginnings, and over the probabilities of all earlier categories. In training, those come from out-of-fold
 predictions, so later models see earlier ones as wrong as they will be. The last link is the label itself.
 
 A category's training label is the table's label together with a seed word of the category in the text.
@@ -44,12 +44,21 @@ LAST = "toxic"
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+#: Lengths in bytes of the word beginnings that are features beside whole words.
+BEGINNINGS = range(4, 9)
+
+
 def words(text: str) -> set[bytes]:
     """The different words of a text: runs of letters, A-Z lower-cased."""
     return set(text.encode("utf-8").translate(_LETTERS).split())
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+def features(found: set[bytes]) -> set[bytes]:
+    """Words, and the beginnings of longer ones, marked by a hyphen."""
+    return found.union(*({w[:n] + b"-" for w in found if len(w) > n} for n in BEGINNINGS))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int = 25) -> np.ndarray:
     """Weights (the bias last) of a ridge logistic regression, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -69,18 +78,30 @@ def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chain:
-    """Words by position, categories in order, and each one's weights: words, earlier categories, bias."""
+    """Words by position, categories in order, each one's weights (words, earlier categories, bias), and from where on a text is toxic."""
 
     words: dict[bytes, int]
     categories: list[str]
     weights: list[np.ndarray]
+    threshold: float = 0.5
+    _by_length: dict[int, dict[bytes, int]] | None = None
 
     def present(self, texts: list[str]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.words)))
         for i, t in enumerate(texts):
-            x[i, [self.words[w] for w in words(t) & self.words.keys()]] = 1
+            found = words(t)
+            x[i, [self.words[w] for w in found & self.words.keys()]] = 1
+            for n, begin in self.beginnings().items():
+                x[i, [begin[w] for w in begin.keys() & {w[:n] for w in found if len(w) > n}]] = 1
         return x
 
+    def beginnings(self) -> dict[int, dict[bytes, int]]:
+        """The features that are beginnings, by length."""
+        if self._by_length is None:
+            self._by_length = {n: {w[:-1]: i for w, i in self.words.items() if w.endswith(b"-") and len(w) == n + 1} for n in BEGINNINGS}
+            self._by_length = {n: x for n, x in self._by_length.items() if x}
+        return self._by_length
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         """A column of probabilities for each category."""
         for w in self.weights:
@@ -99,7 +120,17 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, vocabulary: dict[b
             rest = ~out if (~out).any() else out
             held[out] = probability(seen[out], logistic(seen[rest], y[rest, k]))
         seen = np.hstack([seen, held[:, None]])
-    return Chain(vocabulary, categories, weights)
+    return Chain(vocabulary, categories, weights, best_threshold(seen[:, -1], y[:, -1] > 0))
+
+
+def best_threshold(p: np.ndarray, label: np.ndarray) -> float:
+    """Where out-of-fold predictions part the labels best (by F1), in the middle of the gap there."""
+    order = np.argsort(-p, kind="stable")
+    hits, ranked = np.cumsum(label[order]), p[order]
+    f1 = 2 * hits / (np.arange(1, len(p) + 1) + label.sum())
+    f1[np.append(ranked[1:] == ranked[:-1], False)] = 0
+    k = int(f1.argmax())
+    return float(np.clip((ranked[k] + (ranked[k + 1] if k + 1 < len(p) else 0)) / 2, 0.1, 0.9))
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_FIT_ROWS, seeds: dict[str, list[str]] | None = None) -> Chain:
@@ -113,6 +144,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
         for part in chunks(batches):
             found = [words(t) for t in part.column(2).to_pylist()]
             flags = [[int(any(s.encode() in w for s in group)) for group in seeds.values()] for w in found]
+            found = [features(w) for w in found]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1), pa.array(flags, pa.list_(pa.int32())), pa.array([sorted(w) for w in found], pa.list_(pa.binary()))], names=["doc_id", "label", "flags", "words"])
 
     # The sample has max_rows rows at most, so what follows doesn't grow with the corpus.
@@ -146,8 +178,9 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
     return fit_chain(x, y, fold, vocabulary, categories)
 
 
-def score(df: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, p_<category> for each category of the chain, and toxic (the last one's is at least the threshold)."""
+def score(df: DataFrame, chain: Chain, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, p_<category> for each category of the chain, and toxic (the last one's is at least the threshold, by default the chain's)."""
+    threshold = chain.threshold if threshold is None else threshold
     sent = df.sparkSession.sparkContext.broadcast(chain)
 
     def make(texts: list[str]) -> dict[str, np.ndarray]:
@@ -158,7 +191,8 @@ def score(df: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "do
     return over_texts(df, id_col, text_col, ", ".join(f"p_{c} double" for c in chain.categories) + ", toxic boolean", make)
 
 
-def keep_clean(df: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_clean(df: DataFrame, chain: Chain, threshold: float | None = None, text_col: str = "text") -> DataFrame:
     """The rows of df that the chain doesn't call toxic, with all their columns and without a shuffle."""
+    threshold = chain.threshold if threshold is None else threshold
     sent = df.sparkSession.sparkContext.broadcast(chain)
     return keep_rows(df, text_col, lambda texts: sent.value.predict(sent.value.present(texts))[:, -1] < threshold)

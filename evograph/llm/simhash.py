@@ -1,7 +1,7 @@
 """Near-duplicates by SimHash and BK-trees.
 
-Fingerprints within the radius r of each other agree on at least one of r + 1 blocks of their bits. So
-each block's value names a shard, and each shard holds a BK-tree of its distinct fingerprints: a node's
+Fingerprints within the radius r of each other agree on at least one of r + 1 blocks of their bits (for
+large radii: probably on one of many samples of bits). So each block's value names a shard, and each shard holds a BK-tree of its distinct fingerprints: a node's
 children are keyed by their integer Hamming distance to it, and a search at distance d from a node
 follows only the edges d - r to d + r. No link is lost, and no pair of documents is made.
 
@@ -36,43 +36,80 @@ FOREST = 100_000
 FRONTIER = 1 << 20
 
 
-def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
-    """SimHash of the text's word shingles, repeats included; 0 for a text without words."""
+def fingerprint(text: str, width: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
+    """SimHash of the text's word shingles, repeats included: 64 bits for each seed; 0 for a text without words."""
     words = text.encode("utf-8").lower().split()  # bytes: lower() changes A-Z alone, split() is at ASCII white space
     if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, seed) for s in shingles], "<u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 65_536):
-        ones += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+        return [0] * len(seeds)
+    shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))) if len(words) >= width else [b" ".join(words)]
+    digest, out = xxhash.xxh64_intdigest, []
+    for seed in seeds:
+        h = np.array([digest(s, seed) for s in shingles], "<u8")
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(h), 65_536):
+            ones += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]))
+    return out
 
 
-def fingerprints(df: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp: the 64 bits as a signed long. A null text counts as an empty one."""
-    return over_texts(df, id_col, text_col, "fp bigint", lambda texts: {"fp": np.array([fingerprint(t, width, seed) for t in texts], np.uint64).view(np.int64)})
+def fingerprints(df: DataFrame, width: int = 3, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp: a struct f0, f1, ... of 64 bits each, as signed longs. A null text counts as an empty one."""
+    names = [f"f{i}" for i in range(len(seeds))]
+
+    def make(texts: list[str]) -> dict[str, np.ndarray]:
+        return dict(zip(names, np.array([fingerprint(t, width, seeds) for t in texts], np.uint64).reshape(-1, len(seeds)).T.copy().view(np.int64), strict=True))
+
+    return over_texts(df, id_col, text_col, ", ".join(f"{n} bigint" for n in names), make).select("doc_id", F.struct(*names).alias("fp"))
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints; each is a row of words."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+class Groups:
+    """Union-find over numbers, many unions at a time; a group's name is its least number."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.of[a], self.of[b]
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.of, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up := self.of[self.of], self.of):
+                self.of = up
 
 
 class Forest:
-    """BK-trees of many shards in arrays. shard: dense numbers, ascending; fp: distinct within each shard."""
+    """BK-trees of many shards in arrays. shard: dense numbers, ascending; fp: rows of words, distinct within each shard.
+
+    What comes to a node within the radius while the trees are built is joined to it at once.
+    """
 
-    def __init__(self, shard: np.ndarray, fp: np.ndarray):
-        self.fp = fp
+    def __init__(self, shard: np.ndarray, fp: np.ndarray, radius: int):
+        self.fp, self.radius, self.base = fp, radius, 64 * fp.shape[1] + 1
+        self.groups = Groups(len(fp))
         first = np.append(True, shard[1:] != shard[:-1])
         self.root = np.flatnonzero(first)
-        codes, children = [], []
+        codes, children, self.levels = [], [], []
         left = np.flatnonzero(~first)
         at = self.root[shard[left]]
         while len(left):  # all that is not placed has come to the node `at`; a level of the trees a round
-            code = at * 65 + np.bitwise_count(fp[left] ^ fp[at])
+            d = distance(fp[left], fp[at])
+            self.groups.join(left[d <= radius], at[d <= radius])
+            code = at * self.base + d
             order = np.argsort(code, kind="stable")
             ranked = code[order]
             new = np.append(True, ranked[1:] != ranked[:-1])
             child = left[order[new]]
             codes.append(ranked[new])
             children.append(child)
+            self.levels.append((at[order[new]], child))
             group = np.cumsum(new) - 1
             stay = order[~new]
             at = child[group[~new]]
@@ -81,97 +118,132 @@ class Forest:
         order = np.argsort(code, kind="stable")
         self.code, self.child = code[order], (np.concatenate(children) if children else code)[order]
 
-    def near(self, probe: np.ndarray, shard: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of (probe number, node) within the radius; probe: fingerprints, shard: the number of each one's tree."""
+    def whole(self) -> np.ndarray:
+        """For each node the group that it and all below it are in, -1 if there is more than one."""
+        out = self.groups.of.copy()
+        for parent, child in reversed(self.levels):
+            mixed = out[child] != self.groups.of[parent]
+            out[parent[mixed]] = -1
+        return out
+
+    def near(self, probe: np.ndarray, shard: np.ndarray, known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of (probe number, node) within the radius; probe: fingerprints, shard: the number of each one's tree.
+
+        known: the groups that probes are in (changed as they are found in others); subtrees of that group alone
+        are not entered, as they add no union.
+        """
         todo = [(np.arange(i, min(i + FRONTIER, len(probe))), self.root[shard[i : i + FRONTIER]]) for i in range(0, len(probe), FRONTIER)]
+        whole = None if known is None else self.whole()
         while todo:
             who, node = todo.pop()
             if len(who) > FRONTIER:
                 half = len(who) // 2
                 todo += [(who[:half], node[:half]), (who[half:], node[half:])]
                 continue
-            d = np.bitwise_count(probe[who] ^ self.fp[node]).astype(np.int64)
-            hit = d <= radius
+            if known is not None:
+                go = whole[node] != known[who]
+                who, node = who[go], node[go]
+            d = distance(probe[who], self.fp[node])
+            hit = d <= self.radius
             if hit.any():
                 yield who[hit], node[hit]
-            lo = np.searchsorted(self.code, node * 65 + np.maximum(d - radius, 0), "left")
-            hi = np.searchsorted(self.code, node * 65 + np.minimum(d + radius, 64), "right")
+                if known is not None:
+                    known[who[hit]] = self.groups.of[node[hit]]
+            lo = np.searchsorted(self.code, node * self.base + np.maximum(d - self.radius, 0), "left")
+            hi = np.searchsorted(self.code, node * self.base + np.minimum(d + self.radius, self.base - 1), "right")
             n = hi - lo
             if total := int(n.sum()):
                 ends = np.cumsum(n)
                 todo.append((np.repeat(who, n), self.child[np.arange(total) + np.repeat(lo - (ends - n), n)]))
 
 
-class Groups:
-    """Union-find over numbers, many unions at a time; a group's name is its least number."""
-
-    def __init__(self, n: int):
-        self.of = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = self.of[a], self.of[b]
-            apart = x != y
-            if not apart.any():
-                return
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(self.of, np.maximum(x, y), np.minimum(x, y))
-            while (up := self.of[self.of]).tobytes() != self.of.tobytes():
-                self.of = up
-
-
 def _local_forest(shard: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints, the one that names their group), for those not alone. role: 0 tree and probe, 1 tree, 2 probe."""
+    """(rows, the row that names their group), for those not alone. role: 0 tree and probe, 1 tree, 2 probe."""
     dense = np.cumsum(np.append(False, shard[1:] != shard[:-1]))
     tree, probe = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
-    whole = np.isin(dense, dense[tree]) & np.isin(dense, dense[probe])  # a shard of probes or of trees alone has no links
-    tree, probe = tree[whole[tree]], probe[whole[probe]]
-    names, of_tree = np.unique(dense[tree], return_inverse=True)
+    usable = np.isin(dense, dense[tree]) & np.isin(dense, dense[probe])  # a shard of probes or of trees alone has no links
+    usable &= (np.bincount(dense) > 1)[dense]
+    tree, probe = tree[usable[tree]], probe[usable[probe]]
     groups = Groups(len(fp))
     if len(tree):
-        forest = Forest(of_tree, fp[tree])
-        for who, node in forest.near(fp[probe], np.searchsorted(names, dense[probe]), radius):
+        names, of_tree = np.unique(dense[tree], return_inverse=True)
+        forest = Forest(of_tree, fp[tree], radius)
+        groups.join(tree, tree[forest.groups.of])
+        place = np.full(len(fp), -1)
+        place[tree] = np.arange(len(tree))
+        known = np.where(place[probe] >= 0, forest.groups.of[place[probe]], -2)
+        for who, node in forest.near(fp[probe], np.searchsorted(names, dense[probe]), known):
             groups.join(probe[who], tree[node])
     other = np.flatnonzero(groups.of != np.arange(len(fp)))
-    return fp[other], fp[groups.of[other]]
+    return other, groups.of[other]
+
+
+def blocks(radius: int, words: int = 1) -> list[list[int]]:
+    """radius + 1 blocks of bits: fingerprints within the radius agree on one of them, so no link is lost."""
+    bits, n = 64 * words, radius + 1
+    return [list(range(bits * i // n, bits * (i + 1) // n)) for i in range(n)]
+
+
+def samples(n: int, size: int, words: int, seed: int = 5) -> list[list[int]]:
+    """n samples of `size` bits, for radii at which blocks would be too small: see recall()."""
+    rng = np.random.default_rng(seed)
+    return [sorted(rng.choice(64 * words, size, replace=False).tolist()) for _ in range(n)]
+
+
+def recall(similarity: float, n: int, size: int) -> float:
+    """Share of pairs of that Jaccard similarity that agree on one of n samples of bits."""
+    same = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return float(1 - (1 - same**size) ** n)
 
 
-def links(fps: DataFrame, radius: int = 3, slice_size: int = SLICE) -> DataFrame:
-    """a, b: a spanning forest of the links within each shard, over the distinct values of fps.fp."""
-    blocks = radius + 1
-    bits = [64 * i // blocks for i in range(blocks + 1)]
-    value = [F.shiftrightunsigned(F.shiftleft("fp", 64 - hi), 64 - hi + lo) for lo, hi in zip(bits, bits[1:], strict=False)]
-    banded = fps.select("fp", F.posexplode(F.array(*value)).alias("band", "value"))
+def links(fps: DataFrame, radius: int, cuts: list[list[int]], slice_size: int = SLICE) -> DataFrame:
+    """a, b: a spanning forest of the links within each shard, over the distinct values of fps.fp.
+
+    cuts: bits (up to 63) whose values name the shards, a table for each list.
+    """
+    words = [f.name for f in fps.schema["fp"].dataType.fields]
+    bit = lambda i, k: F.shiftleft(F.shiftrightunsigned(F.col(words[i // 64]), i % 64).bitwiseAND(F.lit(1).cast("long")), k)
+    value = []
+    for cut_bits in cuts:
+        v = F.lit(0).cast("long")
+        for k, i in enumerate(cut_bits):
+            v = v.bitwiseOR(bit(i, k))
+        value.append(v)
+    banded = fps.select("fp.*").select(*words, F.posexplode(F.array(*value)).alias("band", "value"))
     large = banded.groupBy("band", "value").count().where(F.col("count") > slice_size).select("band", "value", F.ceil(F.col("count") / slice_size).cast("int").alias("slices"))
     dealt = banded.join(cut(large), ["band", "value"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
+    own = F.pmod(F.xxhash64(*words), F.col("slices")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("slices") - 1),
         lambda k: F.struct(F.least(k, F.col("own")).alias("s"), F.greatest(k, F.col("own")).alias("p"), F.when(k == F.col("own"), 0).when(k > F.col("own"), 1).otherwise(2).alias("role")),
     )
-    sharded = dealt.withColumn("own", own).select("fp", "band", "value", F.explode(pairs).alias("x")).select("fp", "band", "value", "x.s", "x.p", "x.role")
+    sharded = dealt.withColumn("own", own).select(*words, "band", "value", F.explode(pairs).alias("x")).select(*words, "band", "value", "x.s", "x.p", "x.role")
     keys = ["band", "value", "s", "p"]
+    names = [f"{end}{i}" for end in "ab" for i in range(len(words))]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: dict[str, np.ndarray], end: int) -> pa.RecordBatch:
             shard = np.cumsum(np.any([np.append(False, rows[k][1:end] != rows[k][: end - 1]) for k in keys], axis=0))
-            a, b = _local_forest(shard, rows["fp"][:end].view(np.uint64), rows["role"][:end], radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            fp = np.column_stack([rows[w][:end] for w in words]).view(np.uint64)
+            a, b = _local_forest(shard, fp, rows["role"][:end], radius)
+            return pa.RecordBatch.from_arrays([pa.array(rows[w][:end][side]) for side in (a, b) for w in words], names=names)
 
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             new = {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema)}
             held = {k: np.append(held[k], v) for k, v in new.items()} if held else new
-            if len(held["fp"]) >= FOREST:
+            if len(held["role"]) >= FOREST:
                 last = np.flatnonzero(np.any([held[k] != held[k][-1] for k in keys], axis=0))
                 if len(last):  # all but the shard that may go on
                     end = int(last[-1]) + 1
                     yield done(held, end)
                     held = {k: v[end:].copy() for k, v in held.items()}
-        if held and len(held["fp"]):
-            yield done(held, len(held["fp"]))
+        if held and len(held["role"]):
+            yield done(held, len(held["role"]))
 
-    return sharded.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, "a bigint, b bigint")
+    rows = sharded.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, ", ".join(f"{n} bigint" for n in names))
+    side = lambda end: F.struct(*[F.col(f"{end}{i}").alias(w) for i, w in enumerate(words)]).alias(end)
+    return rows.select(side("a"), side("b"))
 
 
 def groups_of(edges: DataFrame) -> DataFrame:
@@ -196,6 +268,17 @@ def groups_of(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _named(df: DataFrame, radius: int, width: int, seeds: tuple[int, ...], cuts: list[list[int]], id_col: str, text_col: str) -> DataFrame:
+    """doc_id, fp, component_id for each row of df."""
+    fps = cut(fingerprints(df, width, seeds, id_col, text_col))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = groups_of(links(distinct.select("fp"), radius, cuts))
+    named = cut(distinct.join(labels, "fp", "left").select("fp", "least", F.coalesce("lab", "fp").alias("lab")))
+    least = cut(named.groupBy("lab").agg(F.min("least").alias("component_id")))
+    member = cut(named.select("fp", "lab").join(least, "lab").select("fp", "component_id"))
+    return fps.join(member, "fp").select("doc_id", "fp", "component_id")
+
+
 def components(df: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) for each row of df.
 
@@ -204,24 +287,33 @@ def components(df: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, i
     links on, and a component of null ids alone has a null component_id; an empty table gives an empty
     result; only id and text are read, so other columns don't matter.
     """
-    fps = cut(fingerprints(df, width, seed, id_col, text_col))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = groups_of(links(distinct.select("fp"), radius))
-    named = cut(distinct.join(labels, "fp", "left").select("fp", "least", F.coalesce("lab", "fp").alias("lab")))
-    least = cut(named.groupBy("lab").agg(F.min("least").alias("component_id")))
-    member = cut(named.select("fp", "lab").join(least, "lab").select("fp", "component_id"))
-    return fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _named(df, radius, width, (seed,), blocks(radius), id_col, text_col)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp.f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For whole near copies (five words, Jaccard 0.8 or more): fingerprints of 128 bits, linked at the expected
+#: distance of that similarity and a deviation more; shards by N_SAMPLES samples of SAMPLE bits.
+WIDE_SEEDS, N_SAMPLES, SAMPLE = (42, 43), 44, 16
+
+
+def radius_of(similarity: float, bits: int, deviations: float = 1.0) -> int:
+    """Differing bits of sets with that Jaccard similarity: their mean, and so many standard deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))
 
 
-def keep_one(df: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without near copies: of each component the one with the least id stays (null ids last).
 
+    At this radius blocks of bits would be too small to name shards, so samples of bits do: a pair of
+    similarity 0.8 agrees on one of them with probability recall() (0.95), nearer pairs more surely.
     Rows are told apart by id and text, so rows without an id take part, too; of rows that agree in
     both, one stays. Columns and their names stay as they are.
     """
     whole = lambda: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), whole().alias("h"))
-    found = components(df.select(key.alias("id"), F.col(text_col).alias("text")), radius, width, seed, "id")
+    words = len(WIDE_SEEDS)
+    found = _named(df.select(key.alias("id"), F.col(text_col).alias("text")), radius_of(similarity, 64 * words), width, WIDE_SEEDS, samples(N_SAMPLES, SAMPLE, words), "id", "text")
     stay = found.where("doc_id = component_id").groupBy("doc_id").count().select(F.col("doc_id.id").alias("_kept_id"), F.col("doc_id.h").alias("_kept_h"), F.col("count").alias("_kept_n"))
     stay = cut(stay)
     at = lambda x: df.join(x, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (whole() == F.col("_kept_h")), "left_semi")

@@ -81,7 +81,7 @@ def json_field_or_text(text: Column, name: str) -> Column:
 
 
 def strip_fences(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?m)^```[A-Za-z]*\s*$", ""))
+    return F.regexp_replace(F.regexp_replace(text, r"(?m)^```[A-Za-z]*[ \t]*$", ""), r"^\s+|\s+$", "")
 
 
 def json_block(text: Column) -> Column:

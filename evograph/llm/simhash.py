@@ -292,11 +292,11 @@ def components(df: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, i
 
 
 #: For whole near copies (five words, Jaccard 0.8 or more): fingerprints of 128 bits, linked at the expected
-#: distance of that similarity and a deviation more; shards by N_SAMPLES samples of SAMPLE bits.
+#: distance of that similarity and one and a half deviations more; shards by N_SAMPLES samples of SAMPLE bits.
 WIDE_SEEDS, N_SAMPLES, SAMPLE = (42, 43), 44, 16
 
 
-def radius_of(similarity: float, bits: int, deviations: float = 1.0) -> int:
+def radius_of(similarity: float, bits: int, deviations: float = 1.5) -> int:
     """Differing bits of sets with that Jaccard similarity: their mean, and so many standard deviations."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))

@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 
 from evograph.functions.vector import dot
 
-#: Query vectors that are sent to all tasks as a literal; above, the search goes block by block.
-QUERY_BLOCK = 256
+#: Queries of a block; and how many queries may be sent to all tasks (4096 of 64 doubles are 2 MB).
+QUERY_BLOCK, BROADCAST_QUERIES = 256, 4096
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, item: str, min_similarity: float | None = None, exclude_self: bool = False, where: Column | None = None) -> DataFrame:
     """qid, item, sim, rank: exact cosine top-k of each query (qid, qv, qnorm) over the corpus (item, v, norm).
 
-    Queries are a bounded set and go to the corpus in blocks of QUERY_BLOCK; each corpus partition keeps
-    its own top k of each query before anything is shuffled (the window's group limit). where: a condition
-    on qid and item that holds before ranking.
+    The corpus meets the queries in blocks of QUERY_BLOCK. Up to BROADCAST_QUERIES of them (their number is
+    checked) are sent to all tasks; beyond that blocks are joined by their number, so no task holds more than
+    one. Each partition keeps its own top k of each query before anything is shuffled (the window's group
+    limit). where: a condition on qid and item that holds before ranking.
     """
-    rows = F.broadcast(queries.select(F.collect_list(F.struct("qid", "qv", "qnorm")).alias("block")))
-    pairs = corpus.select(item, "v", "norm").join(rows).select(item, "v", "norm", F.explode("block").alias("q"))
-    sims = pairs.select(F.col("q.qid").alias("qid"), item, F.round(dot(F.col("v"), F.col("q.qv")) / (F.col("norm") * F.col("q.qnorm")), 6).alias("sim"))
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
+    rows = queries.groupBy(block.alias("block")).agg(F.collect_list(F.struct("qid", "qv", "qnorm")).alias("queries"))
+    rows = F.broadcast(rows) if n <= BROADCAST_QUERIES else rows
+    pairs = corpus.select(item, "v", "norm", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(rows, "block")
+    sim = lambda q: F.struct(q["qid"].alias("qid"), F.round(dot(F.col("v"), q["qv"]) / (F.col("norm") * q["qnorm"]), 6).alias("sim"))
+    sims = pairs.select(item, F.explode(F.transform("queries", sim)).alias("x")).select("x.qid", item, "x.sim")
     if exclude_self:
         sims = sims.where(F.col("qid") != F.col(item))
     if where is not None:

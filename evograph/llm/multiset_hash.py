@@ -17,6 +17,8 @@ text of any length is hashed whole; equal rows give equal results, a row each; o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,6 +82,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of)[0]
 
 
+def _range_of(value: Column, cuts: list[float]) -> Column:
+    """How many of the ascending cuts are below the value, found in two steps of about the square root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    below = lambda xs: F.size(F.filter(xs, lambda c: c < value))
+    ends = cuts[step - 1 :: step]
+    first = below(F.array(*map(F.lit, ends))) * step if ends else F.lit(0)
+    return first + below(F.slice(F.array(*map(F.lit, cuts)), first + 1, step))
+
+
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text, vec and next_text, next_vec of the next row in ascending order of id, after the last one the first.
 
@@ -90,9 +103,8 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = df.sparkSession
     src = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(src.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
-    bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(bucket)
+    cuts = sorted(set(src.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], max(0.1 / ranges, 1e-5)))) if ranges > 1 else []
+    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(_range_of(F.col("doc_id"), cuts))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     least = F.min(F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", F.xxhash64("text").alias("h")))
     firsts = sorted(src.groupBy(bucket.alias("bucket")).agg(least.alias("x")).collect(), key=lambda r: r.bucket)

@@ -196,20 +196,29 @@ def recall(similarity: float, n: int, size: int) -> float:
     return float(1 - (1 - same**size) ** n)
 
 
+def _banded(fps: DataFrame, words: list[str], cuts: list[list[int]]) -> DataFrame:
+    """The words of each fingerprint with band (the number of a list of bits) and value (those bits of it), a row per list."""
+    kinds = [(w, pa.int64()) for w in words] + [("band", pa.int32()), ("value", pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.column_stack([c.to_numpy() for c in batch.columns]).view(np.uint64)
+            for band, bits in enumerate(cuts):
+                value = np.zeros(len(fp), np.uint64)
+                for k, i in enumerate(bits):
+                    value |= (fp[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) << np.uint64(k)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(fp), band, np.int32)), pa.array(value.view(np.int64))], schema=pa.schema(kinds))
+
+    return fps.select("fp.*").mapInArrow(run, ", ".join(f"{w} bigint" for w in words) + ", band int, value bigint")
+
+
 def links(fps: DataFrame, radius: int, cuts: list[list[int]], slice_size: int = SLICE) -> DataFrame:
     """a, b: a spanning forest of the links within each shard, over the distinct values of fps.fp.
 
     cuts: bits (up to 63) whose values name the shards, a table for each list.
     """
     words = [f.name for f in fps.schema["fp"].dataType.fields]
-    bit = lambda i, k: F.shiftleft(F.shiftrightunsigned(F.col(words[i // 64]), i % 64).bitwiseAND(F.lit(1).cast("long")), k)
-    value = []
-    for cut_bits in cuts:
-        v = F.lit(0).cast("long")
-        for k, i in enumerate(cut_bits):
-            v = v.bitwiseOR(bit(i, k))
-        value.append(v)
-    banded = fps.select("fp.*").select(*words, F.posexplode(F.array(*value)).alias("band", "value"))
+    banded = _banded(fps, words, cuts)
     large = banded.groupBy("band", "value").count().where(F.col("count") > slice_size).select("band", "value", F.ceil(F.col("count") / slice_size).cast("int").alias("slices"))
     dealt = banded.join(cut(large), ["band", "value"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     own = F.pmod(F.xxhash64(*words), F.col("slices")).cast("int")

@@ -47,7 +47,8 @@ def build(events: DataFrame, verdicts: DataFrame, config: Config | None = None)
     edge_type, confidence, event_date (recorded or by rule). Gives events, edges, sessions, chain.
 
     Support candidates are capped before the topic gate; verdicts of the model come from the candidates'
-    pairs; temporal edges need no model. Only updates propagate.
+    pairs; temporal edges need no model. Only updates propagate. Write the tables (sources.sinks) before asking:
+    the path search reads them once a level.
     """
     config = config or Config()
     top = overlap.overlap_topk(events, config.support_jaccard, config.support_k, group="session_num", keep=("topic_num",))

@@ -174,7 +174,7 @@ def test_stream_is_the_batch(spark, arrivals, replayed, tmp_path):
 def test_build_and_ask(spark):
     ev = V.events_in_sessions(spark, SF)
     sup = V.supersessions(spark, SF)
-    built = pipeline.build(ev, sup)
+    built = {k: v.cache() for k, v in pipeline.build(ev.cache(), sup.cache()).items()}
     assert built["events"].count() == ev.count()  # nothing is ever removed
     gone = {r.dst for r in sup.where("edge_type = 'updates'").collect()}
     for r in built["events"].select("event_id", "valid_until", "update_val").collect():
@@ -184,9 +184,9 @@ def test_build_and_ask(spark):
     q = vec.where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.lit(0).cast("long").alias("conv"), F.col("v").alias("qv"), F.col("norm").alias("qnorm"))
     notes = vec.select(F.col("vec_id").alias("note_id"), "v", "norm", F.concat(F.lit("note "), "vec_id").alias("text"))
     links = ev.select((F.col("event_id") % 500).alias("note_id"), "event_id")
-    got = {r.qid: r for r in pipeline.ask(q, notes, links, built, pipeline.Config()).collect()}
+    got = {r.qid: r for r in pipeline.ask(q, notes, links, built, pipeline.Config(max_depth=2)).collect()}
     assert set(got) == {0, 1, 2} and all(r.context.startswith("note ") and "Evidence paths:" in r.context and r.n_paths for r in got.values())
-    flat = pipeline.ask(q, notes, links, built, pipeline.Config().without_hierarchy()).collect()
+    flat = pipeline.ask(q, notes, links, built, pipeline.Config(max_depth=1).without_hierarchy()).collect()
     assert all("session" not in r.context for r in flat)
     small = pipeline.Config(category_overrides={"2": {"notes_budget": 4}}).for_category("2")
     assert small.notes_budget == 4

@@ -36,12 +36,13 @@ FOREST = 100_000
 FRONTIER = 1 << 20
 
 
-def fingerprint(text: str, width: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
-    """SimHash of the text's word shingles, repeats included: 64 bits for each seed; 0 for a text without words."""
+def fingerprint(text: str, width: int = 3, seeds: tuple[int, ...] = (42,), repeats: bool = True) -> list[int]:
+    """SimHash of the text's word shingles (repeats: each time it occurs, else once): 64 bits for each seed; 0 for a text without words."""
     words = text.encode("utf-8").lower().split()  # bytes: lower() changes A-Z alone, split() is at ASCII white space
     if not words:
         return [0] * len(seeds)
     shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))) if len(words) >= width else [b" ".join(words)]
+    shingles = shingles if repeats else set(shingles)
     digest, out = xxhash.xxh64_intdigest, []
     for seed in seeds:
         h = np.array([digest(s, seed) for s in shingles], "<u8")
@@ -52,12 +53,12 @@ def fingerprint(text: str, width: int = 3, seeds: tuple[int, ...] = (42,)) -> li
     return out
 
 
-def fingerprints(df: DataFrame, width: int = 3, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, width: int = 3, seeds: tuple[int, ...] = (42,), repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp: a struct f0, f1, ... of 64 bits each, as signed longs. A null text counts as an empty one."""
     names = [f"f{i}" for i in range(len(seeds))]
 
     def make(texts: list[str]) -> dict[str, np.ndarray]:
-        return dict(zip(names, np.array([fingerprint(t, width, seeds) for t in texts], np.uint64).reshape(-1, len(seeds)).T.copy().view(np.int64), strict=True))
+        return dict(zip(names, np.array([fingerprint(t, width, seeds, repeats) for t in texts], np.uint64).reshape(-1, len(seeds)).T.copy().view(np.int64), strict=True))
 
     return over_texts(df, id_col, text_col, ", ".join(f"{n} bigint" for n in names), make).select("doc_id", F.struct(*names).alias("fp"))
 
@@ -277,9 +278,9 @@ def groups_of(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _named(df: DataFrame, radius: int, width: int, seeds: tuple[int, ...], cuts: list[list[int]], id_col: str, text_col: str) -> DataFrame:
+def _named(df: DataFrame, radius: int, width: int, seeds: tuple[int, ...], repeats: bool, cuts: list[list[int]], id_col: str, text_col: str) -> DataFrame:
     """doc_id, fp, component_id for each row of df."""
-    fps = cut(fingerprints(df, width, seeds, id_col, text_col))
+    fps = cut(fingerprints(df, width, seeds, repeats, id_col, text_col))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = groups_of(links(distinct.select("fp"), radius, cuts))
     named = cut(distinct.join(labels, "fp", "left").select("fp", "least", F.coalesce("lab", "fp").alias("lab")))
@@ -296,7 +297,7 @@ def components(df: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, i
     links on, and a component of null ids alone has a null component_id; an empty table gives an empty
     result; only id and text are read, so other columns don't matter.
     """
-    found = _named(df, radius, width, (seed,), blocks(radius), id_col, text_col)
+    found = _named(df, radius, width, (seed,), True, blocks(radius), id_col, text_col)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp.f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -314,7 +315,7 @@ def radius_of(similarity: float, bits: int, deviations: float = 1.5) -> int:
 def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without near copies: of each component the one with the least id stays (null ids last).
 
-    At this radius blocks of bits would be too small to name shards, so samples of bits do: a pair of
+    Shingles count once, as similarity is that of sets. At this radius blocks of bits would be too small to name shards, so samples of bits do: a pair of
     similarity 0.8 agrees on one of them with probability recall() (0.95), nearer pairs more surely.
     Rows are told apart by id and text, so rows without an id take part, too; of rows that agree in
     both, one stays. Columns and their names stay as they are.
@@ -322,7 +323,7 @@ def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str
     whole = lambda: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), whole().alias("h"))
     words = len(WIDE_SEEDS)
-    found = _named(df.select(key.alias("id"), F.col(text_col).alias("text")), radius_of(similarity, 64 * words), width, WIDE_SEEDS, samples(N_SAMPLES, SAMPLE, words), "id", "text")
+    found = _named(df.select(key.alias("id"), F.col(text_col).alias("text")), radius_of(similarity, 64 * words), width, WIDE_SEEDS, False, samples(N_SAMPLES, SAMPLE, words), "id", "text")
     stay = found.where("doc_id = component_id").groupBy("doc_id").count().select(F.col("doc_id.id").alias("_kept_id"), F.col("doc_id.h").alias("_kept_h"), F.col("count").alias("_kept_n"))
     stay = cut(stay)
     at = lambda x: df.join(x, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (whole() == F.col("_kept_h")), "left_semi")

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from evograph.llm import packing, quality_knn, simhash, toxicity
-from evograph.llm.common import load, shared_dir
+from evograph.llm.common import load, remove, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again before the next."""
-    docs = load(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again before the next; a table goes when the next one is whole."""
+    docs, last = load(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.schema(docs.schema).parquet(path)
+            if last is not None:
+                remove(spark, last)
+            last = path
     return docs

@@ -1,7 +1,6 @@
 """Near-duplicates by SimHash and BK-trees.
 
-Fingerprints within the radius r of each other agree on at least one of r + 1 blocks of their bits (for
-large radii: probably on one of many samples of bits). So each block's value names a shard, and each shard holds a BK-tree of its distinct fingerprints: a node's
+Fingerprints within the radius r of each other agree on at least one of r + 1 blocks of their bits. So each block's value names a shard, and each shard holds a BK-tree of its distinct fingerprints: a node's
 children are keyed by their integer Hamming distance to it, and a search at distance d from a node
 follows only the edges d - r to d + r. No link is lost, and no pair of documents is made.
 
@@ -14,16 +13,21 @@ time, level by level in arrays, and walks all probes side by side.
 A task emits no links but a spanning forest of them (each fingerprint with a least one linked to it),
 so a group of n near copies makes n rows, not n squared. Components then come from contraction rounds
 over that forest, in DataFrames; only a count per round reaches the driver.
+
+keep_one() is for whole near copies: its candidates come from bands of least hashes, and each link is
+checked on the shingle sets themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evograph.llm.common import cut, over_texts
@@ -36,12 +40,19 @@ FOREST = 100_000
 FRONTIER = 1 << 20
 
 
+def shingles_of(text: str, width: int) -> list[bytes]:
+    """Runs of `width` words (all words if there are fewer), each time they occur."""
+    words = text.encode("utf-8").lower().split()  # bytes: lower() changes A-Z alone, split() is at ASCII white space
+    if 0 < len(words) < width:
+        return [b" ".join(words)]
+    return list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
+
+
 def fingerprint(text: str, width: int = 3, seeds: tuple[int, ...] = (42,), repeats: bool = True) -> list[int]:
     """SimHash of the text's word shingles (repeats: each time it occurs, else once): 64 bits for each seed; 0 for a text without words."""
-    words = text.encode("utf-8").lower().split()  # bytes: lower() changes A-Z alone, split() is at ASCII white space
-    if not words:
+    shingles = shingles_of(text, width)
+    if not shingles:
         return [0] * len(seeds)
-    shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))) if len(words) >= width else [b" ".join(words)]
     shingles = shingles if repeats else set(shingles)
     digest, out = xxhash.xxh64_intdigest, []
     for seed in seeds:
@@ -185,18 +196,6 @@ def blocks(radius: int, words: int = 1) -> list[list[int]]:
     return [list(range(bits * i // n, bits * (i + 1) // n)) for i in range(n)]
 
 
-def samples(n: int, size: int, words: int, seed: int = 5) -> list[list[int]]:
-    """n samples of `size` bits, for radii at which blocks would be too small: see recall()."""
-    rng = np.random.default_rng(seed)
-    return [sorted(rng.choice(64 * words, size, replace=False).tolist()) for _ in range(n)]
-
-
-def recall(similarity: float, n: int, size: int) -> float:
-    """Share of pairs of that Jaccard similarity that agree on one of n samples of bits."""
-    same = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return float(1 - (1 - same**size) ** n)
-
-
 def _banded(fps: DataFrame, words: list[str], cuts: list[list[int]]) -> DataFrame:
     """The words of each fingerprint with band (the number of a list of bits) and value (those bits of it), a row per list."""
     kinds = [(w, pa.int64()) for w in words] + [("band", pa.int32()), ("value", pa.int64())]
@@ -301,29 +300,117 @@ def components(df: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, i
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp.f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For whole near copies (five words, Jaccard 0.8 or more): fingerprints of 128 bits, linked at the expected
-#: distance of that similarity and one and a half deviations more; shards by N_SAMPLES samples of SAMPLE bits.
-WIDE_SEEDS, N_SAMPLES, SAMPLE = (42, 43), 44, 16
+#: Whole near copies (five words, Jaccard 0.8 or more) are met in N_SAMPLES bands of SAMPLE least hashes each.
+N_SAMPLES, SAMPLE = 32, 5
+#: Links over which labels travel before what is left apart is compared pair by pair (more or fewer: the same result).
+STEPS = 3
+_TURNS = np.random.default_rng(5).integers(0, 1 << 63, (2, N_SAMPLES * SAMPLE), np.uint64)
+
+
+def recall(similarity: float, n: int, size: int) -> float:
+    """Share of pairs of that Jaccard similarity that agree on one of n bands of `size` least hashes."""
+    return float(1 - (1 - similarity**size) ** n)
 
 
-def radius_of(similarity: float, bits: int, deviations: float = 1.5) -> int:
-    """Differing bits of sets with that Jaccard similarity: their mean, and so many standard deviations."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The text's distinct shingles as ascending hashes of 64 bits."""
+    return np.array(sorted({xxhash.xxh64_intdigest(s, 42) for s in shingles_of(text, width)}), "<u8")
+
+
+def bands_of(hashes: np.ndarray) -> list[int]:
+    """A number for each band: equal if the least hashes in the band's SAMPLE orders are. None for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(N_SAMPLES * SAMPLE, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        h = hashes[i : i + 4096, None]
+        least = np.minimum(least, ((h ^ _TURNS[0]) * (_TURNS[1] | np.uint64(1))).min(axis=0))
+    rows = least.astype("<u8").reshape(N_SAMPLES, SAMPLE)
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]
+
+
+def _sketches(df: DataFrame, width: int) -> DataFrame:
+    """doc_id, fp: the name of the text's shingle set in 128 bits, n: its size, bands."""
+
+    def make(texts: list[str]) -> dict[str, list]:
+        sets = [shingle_set(t, width) for t in texts]
+        names = [[xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for x in sets] for k in (1, 2)]
+        return {"f0": names[0], "f1": names[1], "n": list(map(len, sets)), "bands": list(map(bands_of, sets))}
+
+    return over_texts(df, "id", "text", "f0 bigint, f1 bigint, n int, bands array<bigint>", make).select("doc_id", F.struct("f0", "f1").alias("fp"), "n", "bands")
+
+
+def _alike(similarity: float) -> Column:
+    """Have items_a and items_b, two shingle sets, at least that Jaccard similarity?"""
+    both = F.size(F.array_intersect("items_a", "items_b"))
+    return both / (F.size("items_a") + F.size("items_b") - both) >= F.lit(similarity)
+
+
+def _near(df: DataFrame, similarity: float, width: int) -> DataFrame:
+    """doc_id, component_id for each row of df (id, text): components of the links between shingle sets that are alike.
+
+    Sets that agree on a band are candidates. Those of a band's value are first compared with one of
+    them, the one that meets most others; what is linked with that gets its label, so in a group of n near
+    copies about n pairs are compared. Then, where a band's value still has several labels, each two sets
+    of different ones are. A pair is left out only if its ends are linked already, so no link is lost.
+    """
+    rows = cut(_sketches(df, width))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
+    at = ["band", "value"]
+    members = distinct.select("fp", "n", F.posexplode("bands").alias(*at))
+    met = members.groupBy(*at).agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    mates = cut(members.join(met, at))
+    weight = mates.groupBy("fp").agg(F.sum("met").alias("weight"))
+    pivot = mates.join(weight, "fp").groupBy(*at).agg(F.max(F.struct("weight", "fp", "n")).alias("pivot"))
+    sized = lambda x, y: (F.least(x, y) >= F.floor(F.greatest(x, y) * F.lit(similarity)))
+    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    stars = mates.join(pivot, at).where(F.col("fp") != F.col("pivot.fp")).where(sized(F.col("n"), F.col("pivot.n"))).select(*ends(F.col("fp"), F.col("pivot.fp")), F.col("pivot.weight").alias("weight"), F.col("pivot.fp").alias("to"))
+    stars = cut(stars.distinct())
+
+    def listed(texts: list[str]) -> dict[str, list]:
+        sets = [shingle_set(t, width) for t in texts]
+        return {"items": [x.view(np.int64) for x in sets]}
+
+    # Only sets that have a candidate are made again from their texts, each by the row of least id.
+    named = distinct.join(weight, "fp", "left_semi").select("fp", F.col("least").alias("id"))
+    texts = df.join(named, "id").dropDuplicates(["fp"])
+    sets = cut(over_texts(texts, "fp", "text", "items array<bigint>", listed).select(F.col("doc_id").alias("fp"), "items"))
+    side = lambda end: sets.select(F.col("fp").alias(end), F.col("items").alias(f"items_{end}"))
+    linked = cut(stars.join(side("a"), "a").join(side("b"), "b").where(_alike(similarity)).drop("items_a", "items_b"))
+    # A set's label is the greatest that comes to it over a few links: equal labels are one component.
+    both_ways = cut(linked.select(F.explode(F.array(F.struct(F.col("a").alias("fp"), F.col("b").alias("by")), F.struct(F.col("b").alias("fp"), F.col("a").alias("by")))).alias("x")).select("x.*"))
+    labels = linked.select(F.explode(F.array("a", "b")).alias("fp"), F.struct("weight", "to").alias("top")).groupBy("fp").agg(F.max("top").alias("top"))
+    for _ in range(STEPS):
+        come = both_ways.join(labels.select(F.col("fp").alias("by"), "top"), "by").select("fp", "top")
+        labels = cut(labels.unionByName(come).groupBy("fp").agg(F.max("top").alias("top")))
+    labels = labels.select("fp", F.col("top.to").alias("lab"))
+    mates = mates.join(labels, "fp", "left").withColumn("lab", F.coalesce("lab", "fp"))
+    parts = mates.groupBy(*at, "lab").agg(F.count(F.lit(1)).alias("k"))
+    several = parts.groupBy(*at).agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "lab"))["lab"].alias("main")).where("parts > 1").select(*at, "main")
+    apart = cut(mates.join(several, at).join(side("a").withColumnRenamed("a", "fp"), "fp").select(*at, F.col("fp").alias("a"), "n", "lab", "main", "items_a"))
+    # Of two sets of different labels one is outside the value's largest. The sets are compared as the join meets them, so it makes a row for each link alone.
+    few = apart.where("lab <> main").select(*at, F.col("a").alias("b"), F.col("n").alias("m"), F.col("lab").alias("other"), F.col("items_a").alias("items_b"))
+    test = [apart[k] == few[k] for k in at] + [apart["lab"] != few["other"], sized(apart["n"], few["m"]), _alike(similarity)]
+    rest = apart.join(few, reduce(and_, test)).select("a", "b")
+    labels = groups_of(linked.select("a", "b").unionByName(rest))
+    member = distinct.select("fp", "least").join(labels, "fp", "left").select("fp", "least", F.coalesce("lab", "fp").alias("lab"))
+    member = cut(member)
+    least = member.groupBy("lab").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "fp").join(member.join(least, "lab").select("fp", "component_id"), "fp").select("doc_id", "component_id")
 
 
 def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without near copies: of each component the one with the least id stays (null ids last).
 
-    Shingles count once, as similarity is that of sets. At this radius blocks of bits would be too small to name shards, so samples of bits do: a pair of
-    similarity 0.8 agrees on one of them with probability recall() (0.95), nearer pairs more surely.
+    Shingles count once, as similarity is that of sets. Every link is checked on the whole shingle sets, so
+    none is below the similarity. A pair of similarity 0.8 becomes a candidate with probability recall()
+    (0.999997), nearer pairs more surely; equal sets always are one.
     Rows are told apart by id and text, so rows without an id take part, too; of rows that agree in
     both, one stays. Columns and their names stay as they are.
     """
     whole = lambda: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), whole().alias("h"))
-    words = len(WIDE_SEEDS)
-    found = _named(df.select(key.alias("id"), F.col(text_col).alias("text")), radius_of(similarity, 64 * words), width, WIDE_SEEDS, False, samples(N_SAMPLES, SAMPLE, words), "id", "text")
+    found = _near(df.select(key.alias("id"), F.col(text_col).alias("text")), similarity, width)
     stay = found.where("doc_id = component_id").groupBy("doc_id").count().select(F.col("doc_id.id").alias("_kept_id"), F.col("doc_id.h").alias("_kept_h"), F.col("count").alias("_kept_n"))
     stay = cut(stay)
     at = lambda x: df.join(x, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (whole() == F.col("_kept_h")), "left_semi")

@@ -112,3 +112,49 @@ def test_keep_one(spark):
 
 def test_recall_of_samples():
     assert simhash.recall(0.8, simhash.N_SAMPLES, simhash.SAMPLE) > 0.95
+
+
+def jaccard_components(rows, similarity=0.8, width=5):
+    """The ids that stay, by exact Jaccard of five-word shingle sets over all pairs."""
+
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or {tuple(words)}
+
+    sets, groups = [shingles(t) for _, t in rows], simhash.Groups(len(rows))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= similarity * len(a | sets[j]):
+                groups.join(np.array([i]), np.array([j]))
+    return sorted(min(d for (d, _), g in zip(rows, groups.of, strict=True) if g == k) for k in set(groups.of.tolist()))
+
+
+def pairs_from_06_to_095():
+    """Texts and edited copies of them: 160 pairs with similarities from 0.6 to 0.95, and a family whose copies are near its base alone."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 7))
+    rows = []
+    for i in range(160):
+        text = [word() for _ in range(int(rng.integers(120, 400)))]
+        copy = list(text)
+        want = 0.6 + 0.35 * i / 160
+        drop = int(len(text) * (1 - want) / (1 + want) / 5 + 0.5)  # an edited word takes five shingles of each side
+        for k in range(drop):
+            copy[4 + k * (len(text) - 9) // max(1, drop)] = word()
+        rows += [(1000 + 2 * i, " ".join(copy)), (1001 + 2 * i, " ".join(text))]
+    base = [word() for _ in range(300)]
+    for k in range(12):
+        copy = list(base)
+        for j in range(6):
+            copy[10 + 24 * k + 3 * j] = word()
+        rows.append((k, " ".join(copy)))
+    return [*rows, (5000, " ".join(base))]
+
+
+def test_keep_one_is_brute_force(spark):
+    """Pairs near the bound: none of 0.8 or more is lost, none below is linked."""
+    rows = pairs_from_06_to_095()
+    want = jaccard_components(rows)
+    assert 200 < len(want) < len(rows) - 50
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == want

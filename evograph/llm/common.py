@@ -113,3 +113,10 @@ def arrow_schema(schema: str | StructType) -> pa.Schema:
 def bounded_ids(labels: DataFrame, id_col: str, limit: int) -> DataFrame:
     """At most `limit` rows of labels, those with the least hash of the id: a sample that is the same each time."""
     return labels.where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)).limit(limit)
+
+
+def text_each(df: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, _label, text: a row for each _id of known (a bounded sample) that df has; of an id's texts the one with the least hash."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("x")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("doc_id", "_label").agg(F.min("x").alias("x")).select("doc_id", "_label", "x.text")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evograph.llm.common import bounded_ids, chunks, keep_rows, over_texts
+from evograph.llm.common import bounded_ids, chunks, keep_rows, over_texts, text_each
 
 #: Labelled rows that the space and the voters are taken from, at most; dimensions; voters of a score.
 MAX_FIT_ROWS, DIMENSIONS, NEIGHBOURS = 4000, 48, 15
@@ -155,7 +155,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: st
     """The space of a table's labels, from at most max_rows labelled rows that aren't held out, chosen by a hash of the id."""
     usable = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     known = bounded_ids(usable.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label")), "_id", max_rows)
-    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "_label", F.coalesce("text", F.lit("")).alias("text"))
+    src = text_each(df, known, id_col, text_col)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):

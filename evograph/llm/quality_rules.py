@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evograph.llm.common import bounded_ids, over_texts
+from evograph.llm.common import bounded_ids, over_texts, text_each
 
 #: Labelled rows that the list is learned from, at most.
 MAX_FIT_ROWS = 10_000
@@ -160,9 +160,9 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray) -> list[R
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_FIT_ROWS) -> list[Rule]:
     """Learns from at most max_rows labelled documents (label 0: bad), chosen by a hash of the id."""
     known = bounded_ids(labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label")), "_id", max_rows)
-    rows = statistics(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known.select("_id")), F.col("doc_id") == F.col("_id"), "left_semi"))
+    rows = statistics(text_each(df, known, id_col, text_col).select("doc_id", "text"))
     rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("_fold"), *(F.expr(e).alias(n) for n, e in FEATURES.items()))
-    got = rows.limit(2 * max_rows).toPandas()
+    got = rows.toPandas()
     return learn({n: got[n].to_numpy(float) for n in FEATURES}, got["_label"].to_numpy() == 0, got["_fold"].to_numpy())
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evograph.llm.common import bounded_ids, chunks, cut, keep_rows, over_texts
+from evograph.llm.common import bounded_ids, chunks, cut, keep_rows, over_texts, text_each
 
 #: Labelled rows to fit on, at most; words that the models see; folds of the out-of-fold predictions.
 MAX_FIT_ROWS, FEATURES, FOLDS = 6000, 192, 5
@@ -138,7 +138,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
     seeds = SEEDS if seeds is None else seeds
     categories = [*seeds, LAST]
     known = bounded_ids(labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label")), "_id", max_rows)
-    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "_label", F.coalesce("text", F.lit("")).alias("text"))
+    src = text_each(df, known, id_col, text_col)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evograph.llm import quality_knn, queries, toxicity, warc
+from evograph.llm import quality_knn, quality_rules, queries, toxicity, warc
 from evograph.llm.common import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -135,3 +135,21 @@ def test_pipeline(spark):
     assert len(texts) == len(set(texts))
     ran = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in ran.collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_hot_labelled_id_is_one_row(spark, monkeypatch):
+    """Each labelled id is learned from once, however often it occurs: the sample is bounded in rows, too."""
+    texts = [f"some good words number{i} that are an idiot" if i % 3 else f"other plain words number{i}" for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, f"one of many copies {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), i % 2) for i in range(40)], LABELS)
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit_chain", lambda x, *rest: seen.update(toxicity=len(x)))
+    monkeypatch.setattr(quality_rules, "learn", lambda x, bad, fold: seen.update(rules=len(bad)) or [])
+    toxicity.fit(docs, labels)
+    quality_rules.fit(docs, labels)
+    usable = docs.where(~quality_knn.held_out(F.col("doc_id"))).select("doc_id").distinct().count()
+    assert seen == {"toxicity": 40, "rules": 40} and len(quality_knn.fit(docs, labels).voters) == usable
+    few = quality_knn.fit(docs.where("doc_id = 7"), labels)
+    again = quality_knn.fit(docs.where("doc_id = 7").repartition(3, "text"), labels)
+    assert np.array_equal(few.voters, again.voters)

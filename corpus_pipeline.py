@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near_dedup", drop_near_copies), ("packing", pack)]
 
-#: Learned models, XXH64 and a greedy search decide: SQL can't say it; tests hold it against brute force.
+#: Learned models, XXH64 and a greedy search decide: SQL can't say it; test_pipeline_is_brute_force holds the ids that stay against all pairs.
 ORACLE_SQL = None
 
 

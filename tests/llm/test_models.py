@@ -153,3 +153,36 @@ def test_hot_labelled_id_is_one_row(spark, monkeypatch):
     few = quality_knn.fit(docs.where("doc_id = 7"), labels)
     again = quality_knn.fit(docs.where("doc_id = 7").repartition(3, "text"), labels)
     assert np.array_equal(few.voters, again.voters)
+
+
+def test_pipeline_is_brute_force(spark, tmp_path):
+    """run() against exact Jaccard components over what the first two stages keep, with pairs from 0.6 to 0.95."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng, rows = np.random.default_rng(3), []
+    for i, r in enumerate(x for x in docs.orderBy("doc_id").collect() if len((x.text or "").split()) >= 100):
+        words = r.text.split(" ")
+        for k in rng.choice(len(words), int(len(words) * (0.01 + 0.04 * (i % 10) / 10)), replace=False):
+            words[k] = words[rng.integers(len(words))]
+        rows.append((*r[:1], " ".join(words), *r[2:]))
+    more = spark.createDataFrame(rows, docs.schema).withColumn("doc_id", F.col("doc_id") + 100_000)
+    docs.unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    left = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        left = stage(spark, left, str(tmp_path)).cache()
+    kept = left.select("doc_id", "text").collect()
+    sets = []
+    for r in kept:
+        w = (r.text or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    of = list(range(len(sets)))
+    near = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            share = len(a & sets[j]) / len(a | sets[j])
+            near += 0.6 <= share <= 0.95
+            if share >= 0.8:
+                of = [of[i] if g == of[j] else g for g in of]
+    want = {min(r.doc_id for r, g in zip(kept, of, strict=True) if g == name) for name in set(of)}
+    assert near >= 20 and len(want) < len(kept)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want

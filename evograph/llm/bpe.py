@@ -7,7 +7,7 @@ the vocabulary's bytes.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; a text of any length is encoded
 whole; equal rows give equal results, a row each; an empty table gives an empty result; only id and text
-are read, so other columns don't matter.
+are read, so other columns don't matter. A pattern other than pretoken.PATTERN is an error.
 """
 
 from __future__ import annotations
@@ -166,6 +166,8 @@ class Codec:
     """Encoder and decoder for one file of ranks; made once in each worker."""
 
     def __init__(self, rank_path: str, pattern: str):
+        if pattern != pretoken.PATTERN:
+            raise ValueError(f"the array scan splits by {pretoken.PATTERN!r} alone, not by {pattern!r}")
         self.ranks = read_ranks(rank_path)
         self.kinds = pretoken.Classifier(asks_tiktoken(pattern))
         size = max(self.ranks.values()) + 1

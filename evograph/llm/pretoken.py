@@ -17,6 +17,9 @@ from collections.abc import Callable
 
 import numpy as np
 
+#: Fixed value: the one pattern that the automaton stands for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 # Kinds of a code point, as a library's own regular expressions see it.
 LETTER, NUMBER, OTHER, SPACE, WHITE, END = range(6)
 
@@ -231,35 +234,77 @@ class HashTable:
 
 
 class Memo:
-    """Pre-tokens of a buffer -> numbers that `make` gives for new ones; remembers `limit` of them besides a chunk's own."""
+    """Pre-tokens of a buffer -> numbers that `make` gives for new ones; remembers `limit` of them besides a chunk's own.
+
+    A hash only says where to look: a pre-token is a remembered one if its bytes are. What has the hash of
+    another one, but not its bytes, is kept apart in a dictionary.
+    """
+
+    #: Bytes of pre-tokens after which, as after `limit` of them, a start is made anew.
+    HELD_BYTES = 64 << 20
 
     def __init__(self, limit: int, make: Callable[[list[bytes], bool], np.ndarray], first: list[bytes] = ()):
         """make(new pre-tokens, started anew): a distinct number for each at least while no start lies between."""
-        self.make, self.hash, self.table, self.first = make, Hashes(), HashTable(limit), list(first)
-        self.limit, self.numbers, self.fresh = limit, [], True
+        self.make, self.hash, self.table, self.first, self.limit = make, Hashes(), HashTable(limit), list(first), limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table.clear()
+        self.apart: dict[bytes, int] = {}
+        self.numbers, self.blob, self.begin = np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.fresh = True
 
     def __call__(self, raw: bytes, bounds: np.ndarray) -> np.ndarray:
-        if self.table.n > self.limit:
-            self.table.clear()
-            self.fresh = True
+        if len(self.numbers) > self.limit or len(self.blob) > self.HELD_BYTES:
+            self._clear()
         if self.fresh and self.first:
             cuts = np.append(0, np.cumsum(list(map(len, self.first))))
-            self._add(*self.hash(b"".join(self.first), cuts), self.first)
+            self._slots(*self.hash(b"".join(self.first), cuts), self.first)
         if len(bounds) < 2:
             return np.zeros(0, np.int64)
         key, check = self.hash(raw, bounds)
-        found = self.table.get(key, check)
-        new = np.flatnonzero(found < 0)
+        slot = self.table.get(key, check)
+        slot[~self._same(slot, raw, bounds)] = -1
+        new = np.flatnonzero(slot < 0)
         if len(new):
-            _, at = np.unique(key[new] ^ (check[new] * np.uint64(3)), return_index=True)
-            at = new[at]
-            self._add(key[at], check[at], [raw[a:b] for a, b in zip(bounds[at].tolist(), bounds[at + 1].tolist(), strict=True)])
-            found[new] = self.table.get(key[new], check[new])
-        return self.numbers[found]
-
-    def _add(self, key: np.ndarray, check: np.ndarray, pieces: list[bytes]) -> None:
-        made = self.make(pieces, self.fresh)
-        held = np.zeros(0, np.int64) if self.fresh else self.numbers
-        self.fresh = False
-        self.table.put(key, check, np.arange(len(held), len(held) + len(pieces), dtype=np.int32))
-        self.numbers = np.append(held, made)
+            slot[new] = self._slots(key[new], check[new], [raw[a:b] for a, b in zip(bounds[new].tolist(), bounds[new + 1].tolist(), strict=True)])
+        return self.numbers[slot]
+
+    def _same(self, slot: np.ndarray, raw: bytes, bounds: np.ndarray) -> np.ndarray:
+        """Is each slice the pre-token of its slot, byte by byte? (slot -1: no)"""
+        if not len(self.numbers):
+            return np.zeros(len(slot), bool)
+        width = np.diff(bounds)
+        same = (slot >= 0) & (self.begin[slot + 1] - self.begin[slot] == width)
+        at = np.flatnonzero(same)
+        n = width[at]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        wrong = self.blob[np.repeat(self.begin[slot[at]], n) + inner] != np.frombuffer(raw, np.uint8)[np.repeat(bounds[at], n) + inner]
+        if wrong.any():
+            same[np.repeat(at, n)[wrong]] = False
+        return same
+
+    def _slots(self, key: np.ndarray, check: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+        """Slots of pre-tokens that the table lacks: those kept apart, and a new one for each other."""
+        first: dict[bytes, int] = {}
+        for i, p in enumerate(pieces):
+            if p not in self.apart:
+                first.setdefault(p, i)
+        start = len(self.numbers)
+        if first:
+            at = np.fromiter(first.values(), np.int64, len(first))
+            made = self.make(list(first), self.fresh)
+            self.fresh = False
+            self.numbers = np.append(self.numbers, made)
+            self.blob = np.append(self.blob, np.frombuffer(b"".join(first), np.uint8))
+            self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(np.fromiter(map(len, first), np.int64, len(first))))
+            taken = self.table.get(key[at], check[at]) >= 0
+            _, alone = np.unique(np.rec.fromarrays([key[at], check[at]]), return_index=True)
+            once = np.zeros(len(at), bool)
+            once[alone] = True
+            put = np.flatnonzero(once & ~taken)
+            self.table.put(key[at[put]], check[at[put]], (start + put).astype(np.int32))
+            for i in np.flatnonzero(~once | taken).tolist():
+                self.apart[pieces[at[i]]] = start + i
+        slots = {p: start + i for i, p in enumerate(first)}
+        return np.fromiter((slots[p] if p in slots else self.apart[p] for p in pieces), np.int64, len(pieces))

@@ -9,12 +9,14 @@ never shuffled; the summaries have SUMMARY entries a task at most, the table TAB
 Defined cases: a null or empty text has 0 bytes and 0 tokens; texts of any length are counted whole;
 equal rows give equal results, a row each; an empty table gives an empty result; only id and text are
 read, so other columns don't matter. The special strings of the tokenizer count as one token each,
-as its library does it by default.
+as its library does it by default. A tokenizer with a normalizer, a prefix space or added tokens that strip
+their surroundings is an error.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 from collections import Counter
@@ -43,9 +45,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         pre = self.tokenizer.pre_tokenizer
-        if pre is None or "ByteLevel" not in repr(pre):
-            raise ValueError(f"not a byte-level tokenizer: {path}")
+        said = json.loads(self.tokenizer.to_str())
+        how = said["pre_tokenizer"] or {}
+        if (how.get("type"), how.get("add_prefix_space"), how.get("use_regex", True)) != ("ByteLevel", False, True):
+            raise ValueError(f"not a byte-level pre-tokenizer without a prefix space: {path}")
+        if said["normalizer"] is not None:
+            raise ValueError(f"a normalizer would change the texts before they are counted: {path}")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in said["added_tokens"]):
+            raise ValueError(f"an added token that takes more or less than its own string: {path}")
         self.kinds = pretoken.Classifier(lambda a, c: len(pre.pre_tokenize_str(a + c)) == 1)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None

@@ -106,6 +106,42 @@ def test_a_small_cache_changes_nothing():
         assert ids.ids[bpe.ragged(ids.start[slot], ids.size[slot])].tolist() == ref.encode_ordinary(t)
 
 
+def thue_morse(n):
+    """Two words of n letters whose running polynomial hashes modulo 2^64 agree from about 1,024 letters on."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_colliding_hashes_are_told_apart(spark, n):
+    a, b = thue_morse(n)
+    texts = [a, b, f"x {a} {b} {a}", f"{b} {b}", f" {a}", f" {b}"]
+    key, check = pretoken.Hashes()((a + b).encode(), np.array([0, n, 2 * n]))
+    assert n < 1024 or key[0] == key[1] and check[0] == check[1]  # else this tests nothing
+    ref, tok, codec = library(), Tokenizer.from_file(JSON), bpe.Codec(RANKS, P.PATTERN)
+    want = [ref.encode_ordinary(t) for t in texts]
+    for part in (texts, texts[:1], texts[1:2], texts[::-1], texts):  # one after another through one cache
+        ids, counts = codec.encode(part)
+        assert ids.tolist() == [i for t in part for i in want[texts.index(t)]]
+        assert codec.decode(ids)[0] == "".join(part).encode()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in bpe.round_trip_digests(df, RANKS, P.PATTERN).collect():
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want[r.doc_id]), sha(" ".join(map(str, want[r.doc_id]))), sha(texts[r.doc_id]))
+    for r in token_counts.count_tokens(df, JSON).collect():
+        assert r.n_tokens == len(tok.encode(texts[r.doc_id], add_special_tokens=False).ids)
+
+
+def test_only_what_the_scan_stands_for(tmp_path):
+    with pytest.raises(ValueError):
+        bpe.Codec(RANKS, r"\w+|\W+")
+    import json
+
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        (tmp_path / "t.json").write_text(json.dumps(json.load(open(JSON)) | change))
+        with pytest.raises(ValueError):
+            token_counts.Encoder(str(tmp_path / "t.json"))
+
+
 # Packing
 
 

@@ -6,7 +6,8 @@ sidecar index with the offset and length of each member, so that any record can
 
 Files live below the folder that driver and executors share. Each is written under a name of its own
 attempt and then renamed, and names come from partition numbers: an attempt that is run again makes the
-same file. The manifest (a row a file) is all that reaches the driver.
+same file. Manifests (path and number of records of each file) are tables in that folder; of them only
+counts reach the driver. Whoever reads a file compares its records with the manifest's number.
 
 Of payloads that occur more than once and have at least `min_revisit` bytes, the record with the largest
 id is the response and the others are revisits that refer to it.
@@ -14,7 +15,9 @@ id is the response and the others are revisits that refer to it.
 Defined cases: a null payload is an empty one; a null url is written as urn:page:<id>; a record with a
 null id is a response only if no record with an id has its payload, and with equal largest ids all of
 them are responses; payloads of any length are kept whole (one is held in memory at a time, files are
-streamed); an empty table makes no archives and an empty result; only id, url and payload are read.
+streamed); an empty table makes no archives and an empty result; only id, url and payload are read; an
+archive that ends anywhere but after a whole gzip member and a whole record, or that has more or fewer
+records than its manifest says, is an error.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ from pyspark.sql import functions as F
 
 from evograph.llm.common import arrow_schema, remove, shared_dir, table
 
-#: Payload bytes after which a new archive begins.
+#: Bytes of records after which a new archive begins.
 ARCHIVE_BYTES = 64 << 20
+#: Tasks of a step over archives, at most (more archives: several a task).
+MAX_TASKS = 20_000
 #: Payloads shorter than this are never revisits.
 MIN_REVISIT = 1000
 _DATE = "2024-01-01T00:00:00Z"
@@ -88,18 +93,19 @@ def records(stream: Iterator[bytes]) -> Iterator[Record]:
 
 
 def inflate(source: io.RawIOBase) -> Iterator[bytes]:
-    """A gzip file's bytes, member after member, in pieces of bounded size."""
-    z = zlib.decompressobj(31)
+    """A gzip file's bytes, member after member, in pieces of bounded size; an error if the last member isn't whole."""
+    z, begun = zlib.decompressobj(31), False
     while data := source.read(_READ):
         while data:
+            begun = True
             if out := z.decompress(data, _READ):
                 yield out
             data = z.unconsumed_tail
             if z.eof:
-                data, z = z.unused_data, zlib.decompressobj(31)
-    while out := z.decompress(z.unconsumed_tail, _READ):
+                data, z, begun = z.unused_data, zlib.decompressobj(31), False
+    while begun and not z.eof and (out := z.decompress(z.unconsumed_tail, _READ)):
         yield out
-    if not z.eof and z.unconsumed_tail:
+    if begun and not z.eof:
         raise ValueError("the gzip stream is cut short")
 
 
@@ -150,8 +156,11 @@ def record_of(page_id: int | None, url: str | None, payload: bytes, revisit: boo
     return Record(fields, _HTTP + (b"" if revisit else payload))
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT) -> list[str]:
-    """Writes monolithic archives below `folder` and gives their paths."""
+_MANIFEST = "path string, n bigint"
+
+
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """Writes monolithic archives below `folder` and gives their manifest: path and number of records (with warcinfo)."""
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     size, digest = F.octet_length("payload"), F.sha1("payload")
     # Only payloads that occur again: narrow, pre-aggregated, and of known size, so that it is broadcast if small.
@@ -162,7 +171,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, paths, out, z, held = TaskContext.get().partitionId(), [], None, None, 0
+        part, made, out, z, held = TaskContext.get().partitionId(), {}, None, None, 0
 
         def close() -> None:
             out.write(z.flush())
@@ -175,16 +184,18 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                     close()
                     out = None
                 if out is None:
-                    paths.append(f"{folder}/whole/part-{part:06d}-{len(paths):04d}.warc.gz")
-                    out, z, held = _Target(paths[-1]), zlib.compressobj(_LEVEL, wbits=31), 0
-                    out.write(z.compress(Record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:archive:{part}:{len(paths)}>", "WARC-Date": _DATE, "Content-Type": "application/warc-fields"}, b"software: evograph\r\n").dump()))
-                out.write(z.compress(record_of(page_id, url, payload, revisit, keep if revisit else None).dump()))
-                held += len(payload)
+                    path = f"{folder}/whole/part-{part:06d}-{len(made):04d}.warc.gz"
+                    out, z, held, made[path] = _Target(path), zlib.compressobj(_LEVEL, wbits=31), 0, 1
+                    out.write(z.compress(Record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:archive:{part}:{len(made)}>", "WARC-Date": _DATE, "Content-Type": "application/warc-fields"}, b"software: evograph\r\n").dump()))
+                data = record_of(page_id, url, payload, revisit, keep if revisit else None).dump()
+                out.write(z.compress(data))
+                held += len(data)
+                made[path] += 1
         if out is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array(list(made.values()), pa.int64())], names=["path", "n"])
 
-    return sorted(r.path for r in rows.mapInArrow(run, "path string").collect())
+    return table(rows.mapInArrow(run, _MANIFEST))
 
 
 def normalise_file(source: str, target: str) -> int:
@@ -203,21 +214,35 @@ def normalise_file(source: str, target: str) -> int:
     return n
 
 
-def _per_file(spark: SparkSession, paths: list[str], run, schema: str) -> DataFrame:
-    """A task for each file."""
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartitionByRange(max(1, len(paths)), "path").mapInArrow(run, schema)
+def _per_file(manifest: DataFrame, run, schema: str) -> DataFrame:
+    """A task for each file, or for several if there are very many."""
+    tasks = min(max(1, 4 * manifest.count()), MAX_TASKS)
+    return manifest.repartition(tasks, "path").mapInArrow(run, schema)
+
 
+def _whole(path: str, found: int, said: int) -> None:
+    if found != said:
+        raise ValueError(f"{path} has {found} records, its manifest says {said}")
 
-def normalise(spark: SparkSession, paths: list[str], folder: str) -> list[str]:
-    """Normalises monolithic archives into `folder`/records, one task a file, and gives the new paths."""
+
+def normalise(manifest: DataFrame, folder: str) -> DataFrame:
+    """Normalises monolithic archives into `folder`/records, file by file, and gives the manifest of the new ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 target = f"{folder}/records/{path.rpartition('/')[2]}"
-                yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([normalise_file(path, target)], pa.int64())], names=["path", "n"])
+                _whole(path, normalise_file(path, target), n)
+                yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([n], pa.int64())], names=["path", "n"])
+
+    return table(_per_file(manifest, run, _MANIFEST))
+
 
-    return sorted(r.path for r in _per_file(spark, paths, run, "path string, n bigint").collect()) if paths else []
+def _member(data: bytes) -> Record:
+    """The one record of a gzip member."""
+    found = list(records(inflate(io.BytesIO(data))))
+    _whole("a member", len(found), 1)
+    return found[0]
 
 
 def read_record(path: str, offset: int, length: int) -> Record:
@@ -225,13 +250,13 @@ def read_record(path: str, offset: int, length: int) -> Record:
     fs, name = _open(path)
     with fs.open_input_file(name) as f:
         f.seek(offset)
-        return next(records(iter([zlib.decompress(f.read(length), 31)])))
+        return _member(f.read(length))
 
 
 _ROW = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, archive string, offset bigint, length bigint"
 
 
-def read(spark: SparkSession, paths: list[str], payloads: bool = False) -> DataFrame:
+def read(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     """A row per record of normalised archives (warcinfo left out), read through their indexes and verified.
 
     With payloads, also `payload`: the bytes of a response, null for a revisit.
@@ -240,15 +265,16 @@ def read(spark: SparkSession, paths: list[str], payloads: bool = False) -> DataF
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+        for path, n in (x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
             fs, name = _open(path)
             with fs.open_input_stream(f"{name}.idx", compression=None) as f:
                 entries = [json.loads(x) for x in f.read().splitlines()]
+            _whole(path, len(entries), n)
             rows: list[dict] = []
             held = 0
             with fs.open_input_stream(name, compression=None) as f:
                 for e in entries:
-                    r = next(records(iter([zlib.decompress(f.read(e["length"]), 31)])))
+                    r = _member(f.read(e["length"]))
                     if e["type"] == "warcinfo":
                         continue
                     body = r.block.partition(b"\r\n\r\n")[2]
@@ -265,16 +291,14 @@ def read(spark: SparkSession, paths: list[str], payloads: bool = False) -> DataF
                         rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=target)
 
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return _per_file(spark, paths, run, schema)
+    return _per_file(manifest, run, schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes archives, normalises them, drops the monolithic ones, and reads the records back."""
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    whole = write(pages, folder, id_col, url_col, payload_col)
-    paths = normalise(spark, whole, folder)
-    remove(spark, f"{folder}/whole")
-    return read(spark, paths)
+    archives = normalise(write(pages, folder, id_col, url_col, payload_col), folder)
+    if archives.count():
+        remove(spark, f"{folder}/whole")
+    return read(archives)

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import zlib
 
 import numpy as np
 import oracle
@@ -54,12 +55,37 @@ def test_normaliser_and_random_access(spark, tmp_path):
 def test_payloads_survive(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     folder = f"{shared_dir(spark)}/t"
-    paths = warc.normalise(spark, warc.write(pages, folder), folder)
-    got = {r.page_id: hashlib.sha1(r.payload).hexdigest() for r in warc.read(spark, paths, payloads=True).collect() if r.payload is not None}
+    archives = warc.normalise(warc.write(pages, folder), folder)
+    got = {r.page_id: hashlib.sha1(r.payload).hexdigest() for r in warc.read(archives, payloads=True).collect() if r.payload is not None}
     want = {r.page_id: hashlib.sha1((r.html or "").encode()).hexdigest() for r in pages.collect()}
     assert all(want[k] == v for k, v in got.items()) and got
 
 
+def test_every_cut_is_an_error(spark, tmp_path):
+    """A stream cut at each flush point, before its trailer, or between members and records: no record is lost in silence."""
+    whole = [warc.record_of(i, f"http://x/{i}", b"p%d" % i * (i + 1), False, None) for i in range(40)]
+    z, data, ends = zlib.compressobj(6, wbits=31), b"", []
+    for r in whole:
+        data += z.compress(r.dump()) + z.flush(zlib.Z_FULL_FLUSH)
+        ends.append(len(data))
+    data += z.flush()
+    assert len(list(warc.records(warc.inflate(io.BytesIO(data))))) == 40
+    for end in [*ends, 1, 5, len(data) - 1, len(data) - 4, len(data) - 8]:
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.records(warc.inflate(io.BytesIO(data[:end]))))
+    # Cut between members every part is whole by itself: there the manifest's number tells.
+    (tmp_path / "whole").mkdir()
+    members = [gzip.compress(r.dump()) for r in whole]
+    (tmp_path / "whole" / "a.warc.gz").write_bytes(b"".join(members[:20]))
+    for said, good in ((40, False), (20, True), (19, False)):
+        manifest = spark.createDataFrame([(f"file://{tmp_path}/whole/a.warc.gz", said)], warc._MANIFEST)
+        if good:
+            assert warc.read(warc.normalise(manifest, f"file://{tmp_path}")).count() == 20
+        else:
+            with pytest.raises(Exception, match="its manifest says"):
+                warc.normalise(manifest, f"file://{tmp_path}")
+
+
 LABELS = "doc_id long, toxic int, quality int"
 
 

@@ -300,6 +300,41 @@ def test_fingerprint_algebra(spark):
     assert 0 < r[0].part < 1 and r[1].part == 0
 
 
+def dice(a, b):
+    a, b = Counter(a), Counter(b)
+    return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
+
+
+def test_likeness_is_the_share_of_lines_at_any_size(spark):
+    rng, rows = np.random.default_rng(4), []
+    for n in (100, 400, 2000, 8000):
+        for share in (0.0, 0.25, 0.5, 0.75, 0.95):
+            own = [f"line {x} of {y}" for x, y in rng.integers(0, 1 << 40, (n, 2))]
+            other = [x if i < share * n else f"changed {x}" for i, x in enumerate(own)]
+            rows.append((dice(own, other), "\n".join(own), "\n".join(rng.permutation(other))))
+    often = ["one line that comes again", "and another one"]
+    unlike = [f"word{i} alone here" for i in range(9)]
+    rows += [(0.0, "\n".join(often * 60), "\n".join(unlike)), (dice(often * 60, often * 45), "\n".join(often * 60), "\n".join(often * 45)), (0.0, "\n".join(often * 40), "\n".join(["a third", "a fourth"] * 40))]
+    df = spark.createDataFrame(rows, "want double, x string, y string").repartition(4)
+    for r in df.select("want", multiset_hash.likeness(multiset_hash.vector(F.col("x")), multiset_hash.vector(F.col("y"))).alias("got")).collect():
+        assert abs(r.got - r.want) < 0.1, r
+
+
+def test_likeness_of_one_long_paragraph(spark):
+    words = [f"w{i * 7919 % 1009}" for i in range(600)]
+    rows = [(" ".join(words), " ".join(words[:-1] + ["changed"])), (" ".join(words), " ".join(words[:450] + [f"z{i}" for i in range(150)])), (" ".join(words), " ".join(f"z{i}" for i in range(600))), ("a" * 200_000, "b" * 200_000)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x string, y string").select(multiset_hash.likeness(multiset_hash.vector(F.col("x")), multiset_hash.vector(F.col("y")))).collect()]
+    assert got[0] > 0.95 and 0.65 < got[1] < 0.85 and got[2] < 0.05 and got[3] == 0
+
+
+def test_fingerprints_of_text_ids_and_a_hot_id(spark):
+    rows = [(f"id{i:03d}", f"text {i}") for i in range(60)] + [("id007", f"again {i}") for i in range(60)] + [(None, "first")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    got = {r.text: r.next_text for r in multiset_hash.with_next(df, "doc_id", "text").collect()}
+    plain = [r.text for r in df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()]
+    assert got == dict(zip(plain, plain[1:] + plain[:1]))
+
+
 def test_fingerprints_odd_rows(spark, odd):
     rows = multiset_hash.fingerprint_pairs(odd).collect()
     assert len(rows) == len(ODD) + 2 and all(0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 for r in rows)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Formats in the order in which they are tried.
 FORMATS = ["yyyy-M-d", "yyyyMMdd", "yyyy/M/d", "MMMM d, yyyy", "MMM d, yyyy", "yyyy-M-d'T'HH:mm", "yyyyMMddHHmm"]
-SESSION_FORMATS = ["yyyy/M/d HH:mm", "yyyy-M-d HH:mm", "yyyy/M/d", "yyyy-M-d"]
+SESSION_FORMATS = ["yyyy/M/d HH:mm", "yyyy/M/d", "yyyy-M-d HH:mm", "yyyy-M-d"]
 EARLIEST = "0001-01-01 00:00:00"
 
 

@@ -8,109 +8,195 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evograph.functions.text import json_block, list_items, section, strip_fences
+from evograph.functions.text import NEGATIONS, WHICH_FIRST, heuristic_context, heuristic_keywords, json_block, list_items, section, strip_fences
 from evograph.functions.vector import clamp
 
-#: The kinds of events and of inferred edges, the least confidence of an inferred edge, and the
-#: longest provenance that is kept.
+#: The kinds of events and of edges, the confidence of an edge that names none, the least confidence of an
+#: inferred edge, and the longest provenance that is kept.
 EVENT_TYPES = ["action", "state_change", "preference", "plan"]
-INFERRED_TYPES = ["causes", "enables", "prevents", "supports", "updates", "contradicts", "temporal_before", "temporal_after"]
-MIN_CONFIDENCE, PROVENANCE = 0.7, 200
-#: Verdicts on a pair of events.
-VERDICTS = ["updates", "contradicts", "independent"]
-#: Month names, for dates in text.
-MONTHS = "January February March April May June July August September October November December".split()
+EDGE_TYPES = ["causes", "enables", "prevents", "temporal_before", "updates", "contradicts", "belongs_to", "contains", "belongs_to_topic", "topic_contains"]
+CONFIDENCE, MIN_CONFIDENCE, PROVENANCE = 0.5, 0.7, 200
+#: What a note's evolution may be.
+DECISIONS = ["NO_EVOLUTION", "STRENGTHEN", "UPDATE_NEIGHBOR", "STRENGTHEN_AND_UPDATE"]
+#: Month names, and spellings of them in dates.
+MONTHS = "january february march april may june july august september october november december".split()
+SPELLINGS = {
+    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
+    "januarty": 1, "janury": 1, "febuary": 2, "feburary": 2, "septmber": 9, "ocotber": 10,
+}
+#: Fixed values, for questions of order: hedges, words that are no option, quotes, ordering words, how near to one (characters) an
+#: option stands, and an option's most words.
+HEDGES = r"\b(?:not enough|does not specify|cannot determine|no information|insufficient|not specified|do not (?:have|specify))\b"
+NO_OPTIONS = {"it", "this", "that", "these", "those", "they", "them"}
+QUOTES = "'\"\u2018\u2019\u201c\u201d"
+ORDERING = ["first", "earlier", "earliest", "most recently", "most recent", "recently", "latest"]
+NEAR, MOST_WORDS = 80, 6
 
 
 def _object(raw: Column, ddl: str) -> Column:
     return F.from_json(json_block(strip_fences(raw)), ddl)
 
 
-def extraction(raw: Column) -> Column:
-    """events of an extraction answer: kinds outside the list become action, missing lists are empty, provenance is cut."""
-    got = _object(raw, "events array<struct<event_type:string,participants:array<string>,time_anchor:string,state_change:string,provenance:string>>")["events"]
-    return F.transform(
-        F.coalesce(got, F.array().cast("array<struct<event_type:string,participants:array<string>,time_anchor:string,state_change:string,provenance:string>>")),
-        lambda e: F.struct(
-            F.when(F.lower(e["event_type"]).isin(EVENT_TYPES), F.lower(e["event_type"])).otherwise("action").alias("event_type"), F.array_sort(F.coalesce(e["participants"], F.array().cast("array<string>"))).alias("participants"),
-            F.coalesce(e["time_anchor"], F.lit("unknown")).alias("time_anchor"), F.coalesce(e["state_change"], F.lit("")).alias("state_change"), F.substring(F.coalesce(e["provenance"], F.lit("")), 1, PROVENANCE).alias("provenance"),
-        ),
-    )
+def _empty(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+_EVENT = "struct<event_type:string,participants:string,time_anchor:string,state_change:string>"
+_EDGE = "struct<source_event_idx:int,target_event_idx:int,edge_type:string,confidence:string,reason:string>"
+_CROSS = "struct<existing_event_idx:int,direction:string,edge_type:string,confidence:string,reason:string>"
+_confidence = lambda e: clamp(F.coalesce(e["confidence"].try_cast("double"), F.lit(CONFIDENCE)))
+
+
+def extraction(raw: Column, content: Column | None = None) -> Column:
+    """events of an extraction answer: kinds outside the list become action, a single participant is a list of one, provenance is the note's beginning."""
+    got = F.coalesce(_object(raw, f"events array<{_EVENT}>")["events"], _empty(_EVENT))
+    kind = lambda e: F.replace(F.lower(e["event_type"]), F.lit(" "), F.lit("_"))
+    people = lambda e: F.coalesce(F.from_json(e["participants"], "array<string>"), F.when(e["participants"].isNotNull(), F.array(e["participants"])), _empty("string"))
+    return F.transform(F.filter(got, lambda e: e.isNotNull()), lambda e: F.struct(
+        F.when(kind(e).isin(EVENT_TYPES), kind(e)).otherwise("action").alias("event_type"), F.filter(F.transform(people(e), lambda p: F.trim(p)), lambda p: p != "").alias("participants"),
+        F.coalesce(e["time_anchor"], F.lit("unknown")).alias("time_anchor"), F.coalesce(e["state_change"], F.lit("")).alias("state_change"),
+        F.substring(F.coalesce(F.lit("") if content is None else content, F.lit("")), 1, PROVENANCE).alias("provenance"),
+    ))
+
+
+def extraction_edges(raw: Column) -> Column:
+    """Edges between an extraction's events, by place: those of a known type between two different places in range."""
+    got = F.coalesce(_object(raw, f"edges array<{_EDGE}>")["edges"], _empty(_EDGE))
+    n = F.size(extraction(raw))
+    place = lambda x: (x >= 0) & (x < n)
+    ok = lambda e: place(e["source_event_idx"]) & place(e["target_event_idx"]) & (e["source_event_idx"] != e["target_event_idx"]) & e["edge_type"].isin(EDGE_TYPES)
+    return F.transform(F.filter(got, ok), lambda e: F.struct(e["source_event_idx"].alias("source"), e["target_event_idx"].alias("target"), e["edge_type"].alias("edge_type"), _confidence(e).alias("confidence"), F.coalesce(e["reason"], F.lit("")).alias("reason")))
 
 
 def inferred_edges(raw: Column, n: Column) -> Column:
-    """Edges of an answer by places 0 to n - 1: those with a known type, two different places in range and enough confidence."""
-    got = _object(raw, "edges array<struct<source:int,target:int,edge_type:string,confidence:double>>")["edges"]
-    ok = lambda e: (e["source"] >= 0) & (e["source"] < n) & (e["target"] >= 0) & (e["target"] < n) & (e["source"] != e["target"]) & e["edge_type"].isin(INFERRED_TYPES) & (e["confidence"] >= MIN_CONFIDENCE)
-    kept = F.filter(F.coalesce(got, F.array().cast("array<struct<source:int,target:int,edge_type:string,confidence:double>>")), ok)
-    return F.transform(kept, lambda e: F.struct(e["source"].alias("source"), e["target"].alias("target"), e["edge_type"].alias("edge_type"), clamp(e["confidence"]).alias("confidence")))
+    """Edges between a new event and its candidates 0 to n - 1: those of a known type with enough confidence. from_new: the new event is the source."""
+    got = F.coalesce(_object(raw, f"edges array<{_CROSS}>")["edges"], _empty(_CROSS))
+    ok = lambda e: (e["existing_event_idx"] >= 0) & (e["existing_event_idx"] < n) & e["edge_type"].isin(EDGE_TYPES) & (_confidence(e) >= MIN_CONFIDENCE)
+    return F.transform(F.filter(got, ok), lambda e: F.struct(e["existing_event_idx"].alias("candidate"), (F.coalesce(e["direction"], F.lit("")) == "new_to_existing").alias("from_new"), e["edge_type"].alias("edge_type"), _confidence(e).alias("confidence"), F.coalesce(e["reason"], F.lit("")).alias("reason")))
 
 
-def clusters(raw: Column) -> Column:
-    """label and session_ids of each group of a clustering answer; empty groups are dropped."""
-    got = _object(raw, "topics array<struct<label:string,session_ids:array<string>>>")["topics"]
-    return F.filter(F.coalesce(got, F.array().cast("array<struct<label:string,session_ids:array<string>>>")), lambda t: F.size(F.coalesce(t["session_ids"], F.array().cast("array<string>"))) > 0)
+_GROUP = "struct<label:string,session_ids:array<string>,description:string>"
+
+
+def clusters(raw: Column, session_ids: Column) -> Column:
+    """place, label, session_ids, description of each group of a clustering answer that has sessions; one group of all sessions if there is none."""
+    got = F.transform(F.coalesce(_object(raw, f"groups array<{_GROUP}>")["groups"], _empty(_GROUP)), lambda g, i: F.struct(
+        i.alias("place"), F.coalesce(g["label"], F.concat(F.lit("Topic "), i)).alias("label"), F.coalesce(g["session_ids"], _empty("string")).alias("session_ids"), F.coalesce(g["description"], F.lit("")).alias("description"),
+    ))
+    kept = F.filter(got, lambda g: F.size(g["session_ids"]) > 0)
+    general = F.array(F.struct(F.lit(0).alias("place"), F.lit("General").alias("label"), session_ids.alias("session_ids"), F.lit("All sessions (clustering fallback)").alias("description")))
+    return F.when(F.size(kept) > 0, kept).otherwise(general)
 
 
 def entities(raw: Column) -> Column:
-    """participants and concepts of a question; nothing readable gives empty lists."""
-    got = _object(raw, "participants array<string>, concepts array<string>")
-    empty = F.array().cast("array<string>")
-    return F.struct(F.coalesce(got["participants"], empty).alias("participants"), F.coalesce(got["concepts"], empty).alias("concepts"))
+    """Names and concepts of a question: a JSON array if there is one, else what commas or line ends part."""
+    given = F.from_json(F.nullif(F.regexp_extract(raw, r"(?s)\[.*?\]", 0), F.lit("")), "array<string>")
+    parted = F.transform(F.split(raw, r"[,\n]"), lambda x: F.regexp_replace(F.trim(x), "^[\"'\\- ]+|[\"'\\- ]+$", ""))
+    return F.coalesce(F.filter(F.transform(F.coalesce(given, parted), lambda x: F.trim(x)), lambda x: x != ""), _empty("string"))
 
 
 def verdict(raw: Column) -> Column:
-    """The class of an update answer: its own line first, else the first class that is named, else independent."""
-    line = F.lower(F.regexp_extract(raw, r"(?im)^\s*(?:class|classification|relation|label)\s*:\s*([a-z]+)", 1))
-    named = F.lower(F.regexp_extract(raw, r"(?i)\b(update|contradict|independent)", 1))
-    pick = lambda x: F.when(x.startswith("update"), "updates").when(x.startswith("contradict"), "contradicts").when(x.startswith("independent"), "independent")
-    return F.coalesce(pick(line), pick(named), F.lit("independent"))
+    """The relationship that an update answer states: its last RELATIONSHIP line with a known value, else by the words in it; null if it says nothing."""
+    lines = F.transform(F.regexp_extract_all(raw, F.lit(r"(?im)^[ \t]*relationship:[ \t]*(.+?)[ \t\r]*$"), 1), F.lower)
+    stated = F.try_element_at(F.filter(lines, lambda x: x.isin("update", "contradiction", "independent")), F.lit(-1))
+    low = F.lower(raw)
+    has = lambda w: F.contains(low, F.lit(w))
+    found = F.coalesce(stated, F.when(has("update") & ~has("independent"), "update").when(has("contradict"), "contradiction").when(has("independent"), "independent"))
+    return F.when(found == "update", "updates").when(found == "contradiction", "contradicts").when(found == "independent", "independent")
 
 
 def verdict_reason(raw: Column) -> Column:
     return F.trim(F.regexp_extract(raw, r"(?im)^\s*reason\s*:\s*(.+)$", 1))
 
 
-def note_analysis(raw: Column) -> Column:
-    """keywords, context, tags of an analysis: JSON if it is that, else labelled sections."""
+def note_analysis(raw: Column, content: Column | None = None) -> Column:
+    """keywords, context, tags of an analysis: JSON if it is that, else labelled sections; what is empty comes from the content, tags from the keywords."""
     got = _object(raw, "keywords array<string>, context string, tags array<string>")
-    return F.struct(F.coalesce(got["keywords"], list_items(section(raw, "keywords", "context"))).alias("keywords"), F.coalesce(got["context"], section(raw, "context", "tags")).alias("context"), F.coalesce(got["tags"], list_items(section(raw, "tags", "end"))).alias("tags"))
+    keywords = F.coalesce(got["keywords"], list_items(section(raw, "keywords", "context|tags")), _empty("string"))
+    about = F.coalesce(got["context"], section(raw, "context", "tags|keywords"), F.lit(""))
+    tags = F.coalesce(got["tags"], list_items(section(raw, "tags", "keywords|context")), _empty("string"))
+    if content is not None:
+        keywords = F.when(F.size(keywords) > 0, keywords).otherwise(F.coalesce(heuristic_keywords(content), _empty("string")))
+        about = F.when(about != "", about).otherwise(F.coalesce(heuristic_context(content), F.lit("")))
+    tags = F.when(F.size(tags) > 0, tags).otherwise(F.slice(keywords, 1, 3))
+    return F.struct(keywords.alias("keywords"), about.alias("context"), tags.alias("tags"))
 
 
 def evolution(raw: Column) -> Column:
-    """should_evolve, connections (places) and tags of an evolution decision."""
-    got = _object(raw, "should_evolve boolean, suggested_connections array<int>, tags_to_update array<string>")
-    yes = F.lower(F.regexp_extract(raw, r"(?i)decision\s*:\s*(\w+)", 1)).isin("yes", "true", "evolve")
-    return F.struct(F.coalesce(got["should_evolve"], yes).alias("should_evolve"), F.coalesce(got["suggested_connections"], F.array().cast("array<int>")).alias("connections"), F.coalesce(got["tags_to_update"], F.array().cast("array<string>")).alias("tags"))
+    """decision and reason: from JSON (should_evolve with its actions, or a decision), else from the DECISION section, else by the words in it."""
+    got = _object(raw, "should_evolve boolean, actions array<string>, decision string, reason string")
+    acts = F.coalesce(got["actions"], _empty("string"))
+    both = lambda a, b: F.when(a & b, "STRENGTHEN_AND_UPDATE").when(a, "STRENGTHEN").when(b, "UPDATE_NEIGHBOR").otherwise("NO_EVOLUTION")
+    by_actions = F.when(got["should_evolve"].isNotNull(), F.when(got["should_evolve"], both(F.array_contains(acts, "strengthen"), F.array_contains(acts, "update_neighbor"))).otherwise("NO_EVOLUTION"))
+    stated = F.replace(F.upper(section(raw, "decision", "reason")), F.lit(" "), F.lit("_"))
+    up = F.upper(raw)
+    by_words = both(F.contains(up, F.lit("STRENGTHEN")), F.contains(up, F.lit("UPDATE")))
+    decision = F.coalesce(by_actions, got["decision"], F.when(stated.isin(DECISIONS), stated), by_words, F.lit("NO_EVOLUTION"))
+    reason = F.when(by_actions.isNotNull(), F.lit("")).otherwise(F.coalesce(got["reason"], section(raw, "reason", "decision"), F.lit("")))
+    return F.struct(decision.alias("decision"), reason.alias("reason"))
+
+
+def strengthen_details(raw: Column) -> Column:
+    """connections (places of neighbours) and tags."""
+    got = _object(raw, "connections array<int>, suggested_connections array<int>, tags array<string>, tags_to_update array<string>")
+    listed = F.filter(F.transform(list_items(section(raw, "connections", "tags")), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull())
+    tags = F.coalesce(got["tags"], got["tags_to_update"], list_items(section(raw, "tags", "connections")), _empty("string"))
+    return F.struct(F.coalesce(got["connections"], got["suggested_connections"], listed, _empty("int")).alias("connections"), tags.alias("tags"))
+
+
+def update_neighbours(raw: Column, n: int) -> Column:
+    """context and tags for each of n neighbours (empty where the answer has none): JSON arrays, else blocks NEIGHBOR i."""
+    got = _object(raw, "new_context_neighborhood array<string>, new_tags_neighborhood array<array<string>>")
+    said = got["new_context_neighborhood"].isNotNull() | got["new_tags_neighborhood"].isNotNull()
+
+    def one(i: int) -> Column:
+        block = F.regexp_extract(raw, rf"(?is)neighbor\s+{i}\s*:(.*?)(?=neighbor\s+{i + 1}\s*:|$)", 1)
+        about = F.when(said, F.get(got["new_context_neighborhood"], F.lit(i))).otherwise(section(block, "context", "tags"))
+        tags = F.when(said, F.get(got["new_tags_neighborhood"], F.lit(i))).otherwise(list_items(section(block, "tags", "context")))
+        return F.struct(F.coalesce(about, F.lit("")).alias("context"), F.coalesce(tags, _empty("string")).alias("tags"))
+
+    return F.array(*(one(i) for i in range(n)))
 
 
 def judged(raw: Column) -> Column:
-    """judgment and score of a judge's answer; one that says neither is ERROR with score 0."""
-    label = F.upper(F.coalesce(F.get_json_object(json_block(strip_fences(raw)), "$.label"), F.regexp_extract(raw, r"(?i)\b(correct|wrong)\b", 1)))
-    known = F.when(label == "CORRECT", "CORRECT").when(label == "WRONG", "WRONG").otherwise("ERROR")
-    return F.struct(known.alias("judgment"), (known == "CORRECT").cast("double").alias("score"))
+    """judgment and score of a judge's answer: its label (WRONG if it has none), 1 for CORRECT; what isn't JSON is ERROR."""
+    got = F.from_json(json_block(strip_fences(raw)), "map<string,string>")
+    label = F.when(got.isNull(), "ERROR").otherwise(F.upper(F.trim(F.coalesce(F.try_element_at(got, F.lit("label")), F.lit("WRONG")))))
+    return F.struct(label.alias("judgment"), (label == "CORRECT").cast("double").alias("score"))
 
 
-def options(question: str) -> list[str]:
-    """The options of a question of order: those in quotes, else `A or B` at its end."""
-    quoted = re.findall(r"['\"“‘]([^'\"”’]+)['\"”’]", question)
-    if len(quoted) >= 2:
-        return quoted
-    tail = re.search(r"(?:,|:|first|earlier|before)\s+(?:the\s+|did\s+)?([^,?:]+?)\s+or\s+(?:the\s+)?([^,?]+)\?*$", question.strip(), re.IGNORECASE)
-    return [x.strip() for x in tail.groups()] if tail else []
+def _bare(option: str) -> str:
+    return option.strip(QUOTES + " ")
 
 
-def choose_first(question: str, answer: str, near: int = 80, most_words: int = 6) -> str:
-    """The option that a long answer names next to an ordering word; a hedged or a short answer stays as it is."""
-    found = options(question or "")
-    text = answer or ""
-    low = text.lower()
-    if len(found) < 2 or len(text.split()) <= most_words or re.search(r"\b(unclear|not sure|cannot|unknown|not mentioned)\b", low):
-        return text
-    order = [m.start() for m in re.finditer(r"\b(first|earlier|before)\b", low)]
-    places = [(low.find(o.lower()), o) for o in found if o.lower() in low]
-    close = [(p, o) for p, o in places if any(abs(p - w) <= near for w in order)]
-    return min(close)[1] if close else text
+def options(question: str) -> list[str]:
+    """The options of a question of order, as they stand there: up to four in quotes, else `, A or B` at its end; no pronouns, each once."""
+    quoted = re.findall(rf"([{QUOTES}])([^{QUOTES}]{{2,40}})\1", question or "")
+    if len(quoted) >= 2:
+        found = [mark + text + mark for mark, text in quoted[:4]]
+    else:
+        tail = re.search(r",\s*(.+?)\s+or\s+(.+?)[?,.]?\s*$", (question or "").strip())
+        found = [x.strip() for x in tail.groups()] if tail else []
+    once = {_bare(x).lower(): x for x in reversed(found) if len(_bare(x)) > 1 and _bare(x).lower() not in NO_OPTIONS}
+    return sorted(once.values(), key=found.index)
+
+
+def choose_first(question: str, answer: str, fallback: str | None = None) -> str:
+    """For a question of order the option that the answer names first, if that stands near an ordering word; else the fallback (the answer)."""
+    other = (answer or "") if fallback is None else fallback
+    q = question or ""
+    if re.search(NEGATIONS, q, re.IGNORECASE) or not re.search(WHICH_FIRST, q, re.IGNORECASE):
+        return other
+    tag = re.search(r"ANSWER:\s*(.+?)(?:\n\n|\Z)", answer or "", re.DOTALL | re.IGNORECASE)
+    said = (tag[1] if tag else answer or "").strip().lower()
+    found = options(q)
+    named = [(said.find(_bare(x).lower()), i, x) for i, x in enumerate(found) if _bare(x).lower() in said]
+    if len(found) < 2 or not named or re.search(HEDGES, said):
+        return other
+    place, _, option = min(named)
+    marks = [m.start() for w in ORDERING for m in re.finditer(rf"\b{w}\b", said)]
+    good = any(abs(m - place) <= NEAR for m in marks) and len(_bare(option).split()) <= MOST_WORDS
+    return option.strip() if good else other
 
 
 def first_of_options() -> object:
@@ -123,20 +209,33 @@ def first_of_options() -> object:
     return F.pandas_udf(run, "string")
 
 
-def canonical_dates(text: str) -> str:
-    """Dates in a text as `D Month YYYY`, from ISO, slashed, `Month D, YYYY` and `D Mon YYYY` forms; others stay."""
+def canonical_dates(text: str | None) -> str:
+    """Dates in a text as `D month YYYY` or `month YYYY`: `Month D, YYYY`, `D Month YYYY`, Y-M-D, `Month YYYY` and Y-M forms, in this order. Null: empty."""
+    month = {m: i + 1 for i, m in enumerate(MONTHS)} | SPELLINGS
+
+    def put(whole: str, y: str, m: int | None, d: str | None = None) -> str:
+        ok = m is not None and 1 <= m <= 12 and 1900 <= int(y) <= 2100 and (d is None or 1 <= int(d) <= 31)
+        return (f"{int(d)} " if d else "") + f"{MONTHS[m - 1]} {int(y)}" if ok else whole
 
-    def month(name: str) -> str | None:
-        hit = [m for m in MONTHS if m.lower().startswith(name.lower()[:3])]
-        return hit[0] if hit else None
+    name = lambda x: month.get(x.lower())
+    forms = [
+        (r"\b([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})\b", lambda m: put(m[0], m[3], name(m[1]), m[2])),
+        (r"\b(\d{1,2})\s+([A-Za-z]+),?\s+(\d{4})\b", lambda m: put(m[0], m[3], name(m[2]), m[1])),
+        (r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b", lambda m: put(m[0], m[1], int(m[2]), m[3])),
+        (r"\b([A-Za-z]+),?\s+(\d{4})\b", lambda m: put(m[0], m[2], name(m[1]))),
+        (r"\b(\d{4})[-/](\d{1,2})\b", lambda m: put(m[0], m[1], int(m[2]))),
+    ]
+    out = text or ""
+    for pattern, change in forms:
+        out = re.sub(pattern, change, out)
+    return out
 
-    def by_number(m: re.Match) -> str:
-        y, mo, d = (int(x) for x in m.groups())
-        return f"{d} {MONTHS[mo - 1]} {y}" if 1 <= mo <= 12 and 1 <= d <= 31 else m[0]
 
-    def by_name(d: str, name: str, y: str, whole: str) -> str:
-        return f"{int(d)} {month(name)} {y}" if month(name) and 1 <= int(d) <= 31 else whole
+def with_canonical_dates() -> object:
+    """canonical_dates as a column function."""
 
-    text = re.sub(r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b", by_number, text)
-    text = re.sub(r"\b([A-Z][a-z]{2,9})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})\b", lambda m: by_name(m[2], m[1], m[3], m[0]), text)
-    return re.sub(r"\b(\d{1,2})(?:st|nd|rd|th)? (?:of )?([A-Z][a-z]{2,9})\.?,? (\d{4})\b", lambda m: by_name(m[1], m[2], m[3], m[0]), text)
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(canonical_dates)
+
+    run.__annotations__ = {"text": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")

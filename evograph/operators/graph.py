@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: The types of events and edges.
 EVENT_TYPES = ["action", "state_change", "preference", "plan"]
-EDGE_TYPES = ["causes", "enables", "prevents", "updates", "contradicts", "temporal_before", "temporal_after", "supports", "belongs_to", "contains"]
+EDGE_TYPES = ["causes", "enables", "prevents", "temporal_before", "updates", "contradicts", "belongs_to", "contains", "belongs_to_topic", "topic_contains"]
 
 
 def upsert_edges(writes: DataFrame, scope: str = "conv", seq: str = "edge_seq") -> DataFrame:
@@ -62,5 +62,44 @@ def induced(events: DataFrame, edges: DataFrame, allowed: DataFrame, note: str =
     return kept, known_ends(edges, kept.select("conv", F.col("event_id").alias("node")))
 
 
+def _trimmed(rows: DataFrame, key: str, members: str, kept: DataFrame, scope: str = "conv") -> DataFrame:
+    """key and its list of members cut to those of `kept` (scope, member), in order; keys with none are left out."""
+    long = rows.select(scope, key, F.posexplode(members).alias("pos", "member")).join(kept, [scope, "member"], "left_semi")
+    lists = long.groupBy(scope, key).agg(F.array_sort(F.collect_list(F.struct("pos", "member"))).alias("x"))
+    return lists.select(scope, key, F.transform("x", lambda x: x["member"]).alias(members))
+
+
+def induced_hierarchy(sessions: DataFrame, topics: DataFrame, kept_events: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions with an allowed note and a kept event, and topics with such a session, their lists cut to what is kept.
+
+    sessions: conv, session_id, note_ids, event_ids, ...; topics: conv, topic_id, session_ids, ...; kept_events: of induced(); allowed: note_id.
+    """
+    named = sessions.select("conv", F.explode("note_ids").alias("member")).join(allowed.select(F.col("note_id").alias("member")), "member", "left_semi").distinct()
+    notes = _trimmed(sessions, "session_id", "note_ids", named)
+    events = _trimmed(sessions, "session_id", "event_ids", kept_events.select("conv", F.col("event_id").alias("member")))
+    new = sessions.drop("note_ids", "event_ids").join(notes, ["conv", "session_id"]).join(events, ["conv", "session_id"])
+    lists = _trimmed(topics, "topic_id", "session_ids", new.select("conv", F.col("session_id").alias("member")))
+    return new, topics.drop("session_ids").join(lists, ["conv", "topic_id"])
+
+
+def events_of_notes(events: DataFrame, note: str = "source_note_ids", scope: str = "conv") -> DataFrame:
+    """scope, note_id, event_id: each note's events (in the order of event_seq, where it matters to the reader)."""
+    return events.select(scope, F.explode(note).alias("note_id"), "event_id", "event_seq")
+
+
+def with_kind(events: DataFrame, sessions: DataFrame, topics: DataFrame, scope: str = "conv") -> DataFrame:
+    """scope, node, kind of all nodes."""
+    one = lambda df, c, kind: df.select(scope, F.col(c).cast("string").alias("node"), F.lit(kind).alias("kind"))
+    return one(events, "event_id", "event").unionByName(one(sessions, "session_id", "session")).unionByName(one(topics, "topic_id", "topic"))
+
+
+def summary(events: DataFrame, edges: DataFrame, scope: str = "conv") -> DataFrame:
+    """scope, n_events, n_edges, n_invalidated: a graph's size."""
+    n = events.groupBy(scope).agg(F.count(F.lit(1)).alias("n_events"))
+    m = edges.groupBy(scope).agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("t_invalid_at").isNotNull()).alias("n_invalidated"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return n.join(m, scope, "full").select(scope, zero("n_events"), zero("n_edges"), zero("n_invalidated"))
+
+
 def stats(edges: DataFrame, scope: str = "conv") -> DataFrame:
     return edges.groupBy(scope, F.coalesce("edge_type", F.lit("unknown")).alias("edge_type")).agg(F.count(F.lit(1)).alias("n"))

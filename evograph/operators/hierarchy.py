@@ -61,54 +61,129 @@ def kmeans_topics(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return KMeans(k=k, seed=seed, maxIter=10).fit(rows).transform(rows).select("vec_id", F.col("prediction").alias("topic"))
 
 
-def assign_topics(arrivals: DataFrame, drift_limit: int = 3, max_size: int = 10, floor: float = 0.2, scope: str = "conv") -> DataFrame:
-    """Online admission per conversation: the nearest centroid takes a session; below `floor` it counts as a drift;
-    after drift_limit drifts or above max_size members the conversation is clustered anew, under a new generation.
-
-    arrivals: scope, seq, v. Gives scope, seq, topic (text), generation, drifted. A conversation is a group of its own.
+#: Sessions a topic is meant to have, how many times that many make it too large, and drifts after which all is clustered anew.
+TARGET, OVERSIZE, DRIFTS = 5, 2, 3
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x)
+    return x / (n if n else 1.0)
+
+
+def seeded_kmeans(x: np.ndarray, k: int, starts: int = 10, rounds: int = 50) -> np.ndarray:
+    """Labels of k-means, the best of `starts` runs by inertia, from seeded far-apart centres (each next one with a probability by squared distance)."""
+    rng, best = np.random.default_rng(0), (np.inf, np.zeros(len(x), int))
+    for _ in range(starts):
+        centre = x[[rng.integers(len(x))]]
+        while len(centre) < k:
+            gap = ((x[:, None] - centre[None]) ** 2).sum(2).min(1)
+            pick = rng.choice(len(x), p=gap / gap.sum()) if gap.sum() > 0 else rng.integers(len(x))
+            centre = np.vstack([centre, x[pick]])
+        for _ in range(rounds):
+            at = ((x[:, None] - centre[None]) ** 2).sum(2).argmin(1)
+            new = np.array([x[at == j].mean(0) if (at == j).any() else centre[j] for j in range(k)])
+            if np.allclose(new, centre):
+                break
+            centre = new
+        inertia = float(((x - centre[at]) ** 2).sum())
+        if inertia < best[0] - 1e-12:
+            best = (inertia, at)
+    return best[1]
+
+
+class Topics:
+    """A conversation's topics as its sessions arrive: each goes to the topic of the nearest centroid, whatever the distance.
+
+    It has drifted if it fits that topic worse than every session that is in it (a topic of one session takes
+    anything). After DRIFTS drifts since the last time, or when a topic holds more than OVERSIZE * TARGET sessions, all sessions are
+    clustered anew, under a new generation of names. vectors: of all sessions so far; members: their places by topic.
     """
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(x)
-        return x / (n if n else 1.0)
-
-    def lloyd(x: np.ndarray, k: int) -> np.ndarray:
-        centre = x[np.linspace(0, len(x) - 1, k).astype(int)]
-        for _ in range(10):
-            at = np.argmax(x @ centre.T, axis=1)
-            centre = np.array([unit(x[at == j].mean(0)) if (at == j).any() else centre[j] for j in range(k)])
-        return np.argmax(x @ centre.T, axis=1)
+    def __init__(self, state: dict | None = None):
+        s = state or {"vectors": [], "members": {}, "drifts": 0, "generation": 0}
+        self.vectors, self.members, self.drifts, self.generation = [np.asarray(v, float) for v in s["vectors"]], s["members"], s["drifts"], s["generation"]
+
+    def state(self) -> dict:
+        return {"vectors": [v.tolist() for v in self.vectors], "members": self.members, "drifts": self.drifts, "generation": self.generation}
+
+    def centroid(self, topic: str) -> np.ndarray:
+        return _unit(np.mean([self.vectors[i] for i in self.members[topic]], axis=0))
+
+    def cohesion(self, topic: str) -> float:
+        own = self.members[topic]
+        return min(float(self.vectors[i] @ self.centroid(topic)) for i in own) if len(own) > 1 else -1.0
+
+    def assign(self, v: list[float]) -> dict:
+        """topic, generation, cosine (null for a first session), opened, drifted, reclustered."""
+        i, x = len(self.vectors), _unit(np.asarray(v, float))
+        self.vectors.append(x)
+        if not self.members:
+            topic = f"{self.generation}_0"
+            self.members[topic] = [i]
+            return {"topic": topic, "generation": self.generation, "cosine": None, "opened": True, "drifted": False, "reclustered": False}
+        near = {t: float(x @ self.centroid(t)) for t in self.members}
+        topic = max(near, key=near.get)
+        drifted = near[topic] < self.cohesion(topic)
+        self.members[topic].append(i)
+        self.drifts += drifted
+        again = len(self.members[topic]) > OVERSIZE * TARGET or self.drifts >= DRIFTS
+        if again:
+            k = max(1, min(i + 1, round((i + 1) / TARGET)))
+            labels = seeded_kmeans(np.array(self.vectors), k)
+            self.generation, self.drifts = self.generation + 1, 0
+            self.members = {f"{self.generation}_{j}": np.flatnonzero(labels == j).tolist() for j in sorted(set(labels.tolist()))}
+        named = next(t for t, own in self.members.items() if i in own)
+        return {"topic": named, "generation": self.generation, "cosine": near[topic], "opened": False, "drifted": drifted, "reclustered": again}
+
+
+ASSIGNED = "topic string, generation int, cosine double, opened boolean, drifted boolean, reclustered boolean"
+
+
+def assign_topics(arrivals: DataFrame, scope: str = "conv") -> DataFrame:
+    """scope, seq, previous (seq of the session before, for the chain) and ASSIGNED, for sessions (scope, seq, v) in the order of seq.
+
+    A conversation is a group of its own: its sessions, not its events, must fit one task.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        vs = np.array([unit(np.asarray(v, float)) for v in pdf["v"]])
-        members: dict[str, list[int]] = {}
-        generation = drifts = 0
-        out = []
-        for i in range(len(vs)):
-            names = list(members)
-            sims = [float(vs[i] @ unit(vs[members[t]].mean(0))) for t in names]
-            drifted = False
-            if not names:
-                topic = f"g{generation}_0"
-            else:
-                topic = names[int(np.argmax(sims))]
-                drifted = max(sims) < floor
-                drifts += drifted
-            members.setdefault(topic, []).append(i)
-            if drifts >= drift_limit or len(members[topic]) > max_size:
-                generation, drifts = generation + 1, 0
-                n = i + 1
-                at = lloyd(vs[:n], min(n, max(1, round(n / 5))))
-                members = {}
-                for j, t in enumerate(at.tolist()):
-                    members.setdefault(f"g{generation}_{t}", []).append(j)
-                topic = f"g{generation}_{at[i]}"
-            out.append((pdf[scope].iloc[i], pdf["seq"].iloc[i], topic, generation, drifted))
-        return pd.DataFrame(out, columns=[scope, "seq", "topic", "generation", "drifted"])
+        topics, names = Topics(), [c.split()[0] for c in ASSIGNED.split(", ")]
+        out = pd.DataFrame([topics.assign(v) for v in pdf["v"]], columns=names)
+        out.insert(0, "previous", pd.array([None, *pdf["seq"].tolist()[:-1]], dtype="Int64"))
+        out.insert(0, "seq", pdf["seq"].to_numpy())
+        out.insert(0, scope, pdf[scope].to_numpy())
+        return out
 
     kinds = {f.name: f.dataType.simpleString() for f in arrivals.schema}
-    return arrivals.groupBy(scope).applyInPandas(fold, f"{scope} {kinds[scope]}, seq {kinds['seq']}, topic string, generation int, drifted boolean")
+    return arrivals.groupBy(scope).applyInPandas(fold, f"{scope} {kinds[scope]}, seq {kinds['seq']}, previous {kinds['seq']}, {ASSIGNED}")
+
+
+def topic_table(sessions: DataFrame, scope: str = "conv") -> DataFrame:
+    """topics (scope, topic_id, session_ids, label): members in order, and the label of the session that is nearest to their centroid. sessions: scope, session_id, seq, topic, v, summary."""
+    rows = sessions.withColumn("topic_id", F.concat_ws("_", F.lit("topic"), scope, "topic"))
+    cents = centroids(rows, "topic_id")
+    near = rows.join(cents, "topic_id").withColumn("sim", F.round(cosine(F.col("v"), F.col("cv")), 9))
+    best = near.groupBy(scope, "topic_id").agg(F.min_by("summary", F.struct(-F.col("sim"), "seq")).alias("summary"), F.array_sort(F.collect_list(F.struct("seq", "session_id"))).alias("x"))
+    return best.select(scope, "topic_id", F.transform("x", lambda x: x["session_id"]).alias("session_ids"), label_of(F.col("summary")).alias("label"))
+
+
+def topic_of_session(topics: DataFrame, scope: str = "conv", order: str = "seq") -> DataFrame:
+    """scope, session_id, topic_id: of several topics that list a session the last one (by order). topics: scope, topic_id, session_ids, order."""
+    return topics.select(scope, "topic_id", order, F.explode("session_ids").alias("session_id")).groupBy(scope, "session_id").agg(F.max_by("topic_id", order).alias("topic_id"))
+
+
+def event_session(events: DataFrame, stars: DataFrame, scope: str = "conv") -> DataFrame:
+    """scope, node, session_id: the session that an event is linked to: of those that point to it the first, else of those that it points to (by adj_pos)."""
+    into = stars.where("edge_type = 'contains'").select(scope, F.col("dst").alias("node"), F.col("src").alias("session_id"), F.lit(0).alias("side"), "adj_pos")
+    out = stars.where("edge_type = 'belongs_to'").select(scope, F.col("src").alias("node"), F.col("dst").alias("session_id"), F.lit(1).alias("side"), "adj_pos")
+    return events.select(scope, "node").join(into.unionByName(out), [scope, "node"]).groupBy(scope, "node").agg(F.min_by("session_id", F.struct("side", "adj_pos")).alias("session_id"))
+
+
+def normalize_participants(events: DataFrame, names: DataFrame, scope: str = "conv") -> DataFrame:
+    """events with participants replaced by the name that their beginning stands for (names: scope, prefix, name; in lower case), sorted, each once."""
+    long = events.select(scope, "event_id", F.explode_outer("participants").alias("p")).withColumn("prefix", F.lower("p")).join(names, [scope, "prefix"], "left")
+    new = long.groupBy(scope, "event_id").agg(F.array_sort(F.collect_set(F.coalesce("name", "p"))).alias("participants"))
+    return events.drop("participants").join(new, [scope, "event_id"])
 
 
 def encode_texts(df: DataFrame, text: str, dims: int = 64) -> DataFrame:

@@ -3,7 +3,7 @@
 Events with equal participant sets are one class, and similarity is a matter of classes: candidates come
 from an equi-join of classes on a shared member. For a probe only the first k events of a class (per
 group, where a probe's own group is excluded) can be among its k best, so nothing grows with the square
-of a hot participant's events. Ties are broken by event_seq.
+of a hot participant's events (but with that of the different sets it is in). Ties are broken by event_seq.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evograph.shared import cut
+
 
 def similar_classes(events: DataFrame, scope: str, min_jaccard: float) -> DataFrame:
-    """scope, c, d, jaccard for ordered pairs of participant sets (with itself, too) of a scope, at the threshold or above."""
-    classes = events.select(scope, F.array_sort(F.array_distinct(F.transform("participants", F.lower))).alias("c")).where(F.size("c") > 0).distinct()
+    """events: scope, c (distinct participant sets, sorted). Gives scope, c, d, jaccard for ordered pairs of participant sets (with itself, too) of a scope, at the threshold or above."""
+    classes = events.select(scope, "c").where(F.size("c") > 0)
     by_member = classes.select(scope, "c", F.size("c").alias("n"), F.explode("c").alias("member"))
     other = by_member.select(F.col(scope), F.col("c").alias("d"), F.col("n").alias("m"), "member")
     shared = by_member.join(other, [scope, "member"]).groupBy(scope, "c", "d", "n", "m").agg(F.count(F.lit(1)).alias("both"))
@@ -23,28 +25,48 @@ def similar_classes(events: DataFrame, scope: str, min_jaccard: float) -> DataFr
 
 
 def overlap_topk(events: DataFrame, min_jaccard: float, k: int, scope: str = "conv", group: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """For each event its k most similar others: scope, event_id, cand_id, jaccard, rank, and cand_<name> for `keep`.
+    """For each event its k most similar others: scope, event_id, cand_id, jaccard, rank, and <name> and cand_<name> for `keep`.
 
     group: candidates of the probe's own group are left out (default: the event itself alone).
+
+    A class carries its first events as an array. Of the classes that are as similar to a probe's, only the k
+    whose first (admissible) event is earliest can have one of its k best, so classes are ranked before
+    their arrays are joined; the arrays are then merged, and the probe's own event or group is dropped in
+    the array. Events are read twice: for the classes, and for the rows of the result.
     """
+    names = tuple(x for x in keep if x != group)
     c = F.array_sort(F.array_distinct(F.transform("participants", F.lower))).alias("c")
-    rows = events.select(scope, "event_id", "event_seq", c, *([group] if group else []), *[x for x in keep if x != group])
+    rows = events.select(scope, "event_id", "event_seq", c, *([group] if group else []), *names)
     own = [group] if group else []
-    first = F.row_number().over(W.partitionBy(scope, "c", *own).orderBy("event_seq"))
-    limit = k if group else k + 1
-    cands = rows.withColumn("_n", first).where(F.col("_n") <= limit).select(scope, F.col("c").alias("d"), F.col("event_id").alias("cand_id"), F.col("event_seq").alias("cand_seq"), *[F.col(x).alias(f"cand_{x}") for x in {*own, *keep}])
-    near = similar_classes(events, scope, min_jaccard)
-    # Probes of one class (and group) share their candidates: rank once for all of them.
-    probes = rows.select(scope, "c", *own).distinct()
-    pairs = probes.join(near, [scope, "c"]).join(cands, [scope, "d"])
+    more = [*own, *names]
+    most = 2 * k if group else k + 1  # with k of a group at most, k of any other groups are among the first 2 k
+    place = lambda *by: F.row_number().over(W.partitionBy(scope, "c", *by).orderBy("event_seq"))
+    first = rows.withColumn("_n", place(*own)).where(F.col("_n") <= (k if group else most))
     if group:
-        pairs = pairs.where(~F.col(group).eqNullSafe(F.col(f"cand_{group}")))
-    order = [F.desc("jaccard"), F.col("cand_seq")]
-    top = pairs.withColumn("rank", F.row_number().over(W.partitionBy(scope, "c", *own).orderBy(*order))).where(F.col("rank") <= limit)
-    out = rows.select(scope, "event_id", "c", *own).join(top, [scope, "c", *own])
-    if not group:  # the event itself is among its class's first ones, or comes after all of them
-        out = out.where("event_id <> cand_id").withColumn("rank", F.row_number().over(W.partitionBy(scope, "event_id").orderBy(*order))).where(F.col("rank") <= k)
-    return out.select(scope, "event_id", "cand_id", "jaccard", F.col("rank").cast("long").alias("rank"), *[f"cand_{x}" for x in keep])
+        first = first.withColumn("_n", place()).where(F.col("_n") <= most)
+    head = first.groupBy(scope, "c").agg(F.array_sort(F.collect_list(F.struct(F.col("event_seq").alias("seq"), F.col("event_id").alias("id"), *more))).alias("head"))
+    classes = cut(head)
+    lead = F.get("head", F.lit(0))
+    other = F.get(F.filter("head", lambda x: ~x[group].eqNullSafe(lead[group])), F.lit(0))["seq"] if group else F.lit(None).cast("long")
+    starts = classes.select(scope, F.col("c").alias("d"), lead["seq"].alias("seq1"), *([lead[group].alias("group1")] if group else []), other.alias("seq2"))
+    near = similar_classes(classes, scope, min_jaccard)
+    # Probes of one class (and group) share their candidates: they are ranked once for all of them.
+    probes = rows.select(scope, "c", *own).distinct() if group else classes.select(scope, "c")
+    pairs = probes.join(near, [scope, "c"]).join(starts, [scope, "d"])
+    start = F.when(F.col(group).eqNullSafe(F.col("group1")), F.col("seq2")).otherwise(F.col("seq1")) if group else F.col("seq1")
+    by = W.partitionBy(scope, "c", *own).orderBy(F.desc("jaccard"), "_start")
+    pairs = pairs.withColumn("_start", start).where("_start IS NOT NULL").withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most)
+    met = pairs.select(scope, "c", "d", *own, "jaccard").join(classes.select(scope, F.col("c").alias("d"), "head"), [scope, "d"])
+    item = lambda x: F.struct((-F.col("jaccard")).alias("neg"), x["seq"].alias("seq"), x["id"].alias("id"), *(x[m].alias(m) for m in more))
+    heads = F.filter("head", lambda x: ~x[group].eqNullSafe(F.col(group))) if group else F.col("head")
+    merged = met.select(scope, "c", *own, F.transform(F.slice(heads, 1, k if group else most), item).alias("items")).groupBy(scope, "c", *own)
+    best = merged.agg(F.slice(F.array_sort(F.flatten(F.collect_list("items"))), 1, k if group else most).alias("best"))  # at most `most` arrays of `most`
+    same = [F.col(f"p.{x}").eqNullSafe(F.col(f"b.{x}")) for x in own]
+    out = rows.alias("p").join(best.alias("b"), [F.col(f"p.{scope}") == F.col(f"b.{scope}"), F.col("p.c") == F.col("b.c"), *same]).select("p.*", "b.best")
+    if not group:
+        out = out.withColumn("best", F.slice(F.filter("best", lambda x: x["id"] != F.col("event_id")), 1, k))
+    out = out.select(scope, "event_id", *keep, F.posexplode("best").alias("rank", "x"))
+    return out.select(scope, "event_id", F.col("x.id").alias("cand_id"), (-F.col("x.neg")).alias("jaccard"), (F.col("rank") + 1).cast("long").alias("rank"), *keep, *[F.col(f"x.{x}").alias(f"cand_{x}") for x in keep])
 
 
 def cap_then_filter(candidates: DataFrame, condition: Column) -> DataFrame:

@@ -38,19 +38,62 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, item: str, min_similarity
     return sims.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
+def knn_scoped(corpus: DataFrame, queries: DataFrame, k: int, item: str, scope: str = "conv", min_similarity: float | None = None) -> DataFrame:
+    """qid, item, sim, rank: exact cosine top-k of each query over the rows of its own scope (corpus: scope, item, v, norm; queries: qid, scope, qv, qnorm)."""
+    sims = corpus.join(queries, scope).select("qid", item, F.round(dot(F.col("v"), F.col("qv")) / (F.col("norm") * F.col("qnorm")), 6).alias("sim"))
+    if min_similarity is not None:
+        sims = sims.where(F.col("sim") >= min_similarity)
+    return sims.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), item)).cast("long")).where(F.col("rank") <= k)
+
+
+def update_versions(seeds: DataFrame, edges: DataFrame, scope: str = "conv") -> DataFrame:
+    """qid, scope, node, ord: for each seed (qid, scope, node, ord) the events that update it, then those that it updates or contradicts, in the seeds' order."""
+    newer = seeds.join(edges.where("edge_type = 'updates'").select(scope, F.col("dst").alias("node"), F.col("src").alias("to"), "adj_pos"), [scope, "node"]).withColumn("side", F.lit(0))
+    older = seeds.join(edges.where("edge_type IN ('updates', 'contradicts')").select(scope, F.col("src").alias("node"), F.col("dst").alias("to"), "adj_pos"), [scope, "node"]).withColumn("side", F.lit(1))
+    place = F.row_number().over(W.partitionBy("qid").orderBy("ord", "side", "adj_pos"))
+    return newer.unionByName(older).select("qid", scope, F.col("to").alias("node"), place.cast("long").alias("ord"))
+
+
+def entity_events(entities: DataFrame, participants: DataFrame, most: int = 8, scope: str = "conv") -> DataFrame:
+    """qid, scope, node, ord: for each entity of a question (qid, scope, entity, n) the events that it takes part in, in their order (seq);
+    of more than `most` those that are most similar to the question (sim), or of the latest anchors where sim is null.
+
+    participants: qid, scope, member (lower case), node, seq, sim, anchor.
+    """
+    met = entities.withColumn("member", F.lower("entity")).join(participants, ["qid", scope, "member"])
+    by = W.partitionBy("qid", "n")
+    many = F.count(F.lit(1)).over(by) > most
+    order = by.orderBy(F.desc_nulls_last(F.when(F.col("many"), F.col("sim"))), F.desc_nulls_last(F.when(F.col("many"), F.col("anchor"))), "seq")
+    kept = met.withColumn("many", many).withColumn("i", F.row_number().over(order)).where(F.col("i") <= most)
+    return kept.select("qid", scope, "node", F.row_number().over(W.partitionBy("qid").orderBy("n", "i")).cast("long").alias("ord"))
+
+
+def hierarchical_events(queries: DataFrame, topics: DataFrame, sessions: DataFrame, events: DataFrame, seen: DataFrame, n_topics: int = 2, n_sessions: int = 3, most: int = 20) -> DataFrame:
+    """qid, event_id, ord: events of the nearest sessions in the nearest topics, in the sessions' order; those of `seen` (qid, event_id) don't count.
+
+    topics: topic, v, norm; sessions: session, topic, v, norm; events: session, event_id, seq. knn() ranks topics, which need not be few.
+    """
+    top = knn(topics, queries, n_topics, "topic").select("qid", "topic")
+    inner = sessions.join(top.join(queries, "qid"), "topic").withColumn("sim", F.round(dot(F.col("v"), F.col("qv")) / (F.col("norm") * F.col("qnorm")), 6))
+    near = inner.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), "session"))).where(F.col("place") <= n_sessions).select("qid", "session", "place")
+    new = near.join(events, "session").join(seen.select("qid", "event_id"), ["qid", "event_id"], "left_anti")
+    order = F.row_number().over(W.partitionBy("qid").orderBy("place", "seq", "event_id"))
+    return new.select("qid", "event_id", order.cast("long").alias("ord")).where(F.col("ord") <= most)
+
+
 def first_seen(rows: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key in the given order: distinct, but in a defined order."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
 def union_ordered(channels: list[DataFrame], key: list[str], order: str = "ord") -> DataFrame:
-    """Channels one after another (each with qid, key and ord), duplicates at their first place; place is dense per question."""
+    """Channels one after another (each with qid, key and ord), duplicates at their first place; place is dense per question, ties are in the order of the key."""
     both = None
     for i, c in enumerate(channels):
         c = c.select("qid", *key, order).withColumn("channel", F.lit(i))
         both = c if both is None else both.unionByName(c)
     out = first_seen(both, ["qid", *key], ["channel", order])
-    return out.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("channel", order)).cast("long"))
+    return out.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("channel", order, *key)).cast("long"))
 
 
 def capped_expansion(neighbours: DataFrame, cap: int, scope: str = "qid", size: str = "n_notes", order: tuple[str, ...] = ("ord",)) -> DataFrame:
@@ -60,8 +103,18 @@ def capped_expansion(neighbours: DataFrame, cap: int, scope: str = "qid", size:
 
 
 def nearest(points: DataFrame, centroids: DataFrame, item: str) -> DataFrame:
-    """item, topic, sim: the centroid of the greatest cosine, the first one on a tie. Centroids: topic, cv, cnorm (few; sent to all tasks)."""
-    few = F.broadcast(centroids.select(F.collect_list(F.struct("topic", "cv", "cnorm")).alias("all")))
-    sims = points.join(few).select(item, F.transform("all", lambda c: F.struct(F.round(dot(F.col("v"), c["cv"]) / (F.col("norm") * c["cnorm"]), 6).alias("sim"), (-c["topic"]).alias("neg"))).alias("s"))
-    best = F.array_max("s")
-    return sims.select(item, (-best["neg"]).alias("topic"), best["sim"].alias("sim"))
+    """item, topic, sim: the centroid of the greatest cosine, the first one on a tie. Centroids: topic, cv, cnorm.
+
+    Points meet the centroids in blocks of QUERY_BLOCK; up to BROADCAST_QUERIES of them (checked) are sent to all
+    tasks, beyond that a block goes to the points' tasks by its number. The best of a block is found in its row.
+    """
+    n = centroids.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("topic"), F.lit(blocks)).cast("int")
+    rows = centroids.groupBy(block.alias("block")).agg(F.collect_list(F.struct("topic", "cv", "cnorm")).alias("all"))
+    rows = F.broadcast(rows) if n <= BROADCAST_QUERIES else rows
+    pairs = points.select(item, "v", "norm", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(rows, "block")
+    best = F.array_max(F.transform("all", lambda c: F.struct(F.round(dot(F.col("v"), c["cv"]) / (F.col("norm") * c["cnorm"]), 6).alias("sim"), (-c["topic"]).alias("neg"))))
+    found = pairs.select(item, best.alias("best"))
+    found = found if blocks == 1 else found.groupBy(item).agg(F.max("best").alias("best"))
+    return found.select(item, (-F.col("best.neg")).alias("topic"), F.col("best.sim").alias("sim"))

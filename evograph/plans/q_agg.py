@@ -105,12 +105,12 @@ def topic_centroid_dim(spark, sf):
 
 @query("cohesion", with_views("vec", "SELECT label, round(CASE WHEN count(*) < 2 THEN -1 ELSE min(list_cosine_similarity(v, cv)) END, 6) AS cohesion, count(*) AS members FROM vec JOIN cent USING (label) GROUP BY 1", _CENT))
 def cohesion(spark, sf):
-    return hierarchy.cohesion(V.vectors(spark, sf), F.broadcast(_cents(spark, sf)), "label")
+    return hierarchy.cohesion(V.vectors(spark, sf), _cents(spark, sf), "label")
 
 
 @query("medoid", with_views("vec", "SELECT label, arg_max(vec_id, (round(list_cosine_similarity(v, cv), 9), -vec_id)) AS vec_id FROM vec JOIN cent USING (label) GROUP BY 1", _CENT))
 def medoid(spark, sf):
-    return hierarchy.medoids(V.vectors(spark, sf), F.broadcast(_cents(spark, sf)), "label", "vec_id")
+    return hierarchy.medoids(V.vectors(spark, sf), _cents(spark, sf), "label", "vec_id")
 
 
 @query("session_chain", with_views("sess", "SELECT conv, src, dst, edge_type FROM (SELECT conv, lag(session_id) OVER (PARTITION BY conv ORDER BY session_num) AS src, session_id AS dst, 'temporal_before' AS edge_type FROM sess) WHERE src IS NOT NULL"))
@@ -202,13 +202,31 @@ def participant_seeds(spark, sf):
 )
 def hierarchical_seeds(spark, sf):
     """The two nearest topics of a query, and in each the three nearest items."""
-    cents, q, vec = _cents(spark, sf), _queries(spark, sf), V.vectors(spark, sf)
-    topics = q.join(F.broadcast(cents)).withColumn("sim", F.round(dot(F.col("qv"), F.col("cv")) / F.col("qnorm"), 6))
-    topics = topics.withColumn("t", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), "label"))).where("t <= 2").select("qid", "label", "qv", "qnorm")
-    items = vec.join(F.broadcast(topics), "label").where("qid <> vec_id").withColumn("sim", F.round(cosine(F.col("v"), F.col("qv"), F.col("norm"), F.col("qnorm")), 6))
+    q, vec = _queries(spark, sf), V.vectors(spark, sf)
+    cents = _cents(spark, sf).select("label", F.col("cv").alias("v"), F.lit(1.0).alias("norm"))
+    topics = retrieval.knn(cents, q, 2, "label").select("qid", "label")
+    items = vec.join(topics.join(q, "qid"), "label").where("qid <> vec_id").withColumn("sim", F.round(cosine(F.col("v"), F.col("qv"), F.col("norm"), F.col("qnorm")), 6))
     return items.withColumn("n", F.row_number().over(W.partitionBy("qid", "label").orderBy(F.desc("sim"), "vec_id"))).where("n <= 3").select("qid", "label", "vec_id")
 
 
+_HIER = """nvec AS (SELECT count(*) AS n FROM vec), tops AS (SELECT qid, label FROM (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(qv, cv), 6) DESC, label) AS t FROM q, cent) WHERE t <= 2),
+  near AS (SELECT * FROM (SELECT s.qid, v.vec_id AS session, row_number() OVER (PARTITION BY s.qid ORDER BY round(list_cosine_similarity(q.qv, v.v), 6) DESC, v.vec_id) AS place FROM tops s JOIN q USING (qid) JOIN vec v USING (label)) WHERE place <= 3)"""
+
+
+@query(
+    "hierarchical_events",
+    with_views("vec ev", "SELECT qid, event_id, ord FROM (SELECT qid, event_id, row_number() OVER (PARTITION BY qid ORDER BY place, event_seq) AS ord FROM near, nvec JOIN ev ON ev.event_id % nvec.n = near.session WHERE ev.kind <> 'error') WHERE ord <= 20", _CENT + ", " + _Q + ", " + _HIER),
+)
+def hierarchical_events(spark, sf):
+    """Topics are labels, sessions are vectors, and a session's events those whose id leaves its number (errors apart)."""
+    vec, q = V.vectors(spark, sf), _queries(spark, sf)
+    topics = _cents(spark, sf).select(F.col("label").alias("topic"), F.col("cv").alias("v"), F.lit(1.0).alias("norm"))
+    sessions = vec.select(F.col("vec_id").alias("session"), F.col("label").alias("topic"), "v", "norm")
+    ev = V.events(spark, sf)
+    events = ev.select((F.col("event_id") % vec.count()).alias("session"), "event_id", F.col("event_seq").alias("seq"), "kind")
+    return retrieval.hierarchical_events(q, topics, sessions, events.where("kind <> 'error'").drop("kind"), q.select("qid", F.lit(-1).cast("long").alias("event_id")))
+
+
 @query("nearest_centroid", with_views("vec", "SELECT vec_id, arg_max(c.label, (round(list_cosine_similarity(v, cv), 6), -c.label)) AS topic, max(round(list_cosine_similarity(v, cv), 6)) AS sim FROM vec, cent c GROUP BY 1", _CENT))
 def nearest_centroid(spark, sf):
     cents = _cents(spark, sf).select(F.col("label").alias("topic"), "cv", F.lit(1.0).alias("cnorm"))

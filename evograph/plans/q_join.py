@@ -54,8 +54,7 @@ def supersession_candidates(spark, sf):
 def support_candidates(spark, sf):
     """Capped first, then the gate: candidates of the same topic."""
     top = overlap.overlap_topk(V.events_in_sessions(spark, sf), 0.3, 10, group="session_num", keep=("topic_num",))
-    own = V.events_in_sessions(spark, sf).select("event_id", "topic_num")
-    return overlap.cap_then_filter(top.join(own, "event_id"), F.col("topic_num") == F.col("cand_topic_num")).select("event_id", "cand_id", "rank")
+    return overlap.cap_then_filter(top, F.col("topic_num") == F.col("cand_topic_num")).select("event_id", "cand_id", "rank")
 
 
 @query(
@@ -63,8 +62,7 @@ def support_candidates(spark, sf):
     with_views("evs", "SELECT DISTINCT conv, CASE WHEN d2 < d1 THEN cand_id ELSE event_id END AS src, CASE WHEN d2 < d1 THEN event_id ELSE cand_id END AS dst, 'temporal_before' AS edge_type FROM top WHERE d1 <> d2", _top("jaccard >= 0.3", 20)),
 )
 def auto_temporal_edges(spark, sf):
-    ev = V.events(spark, sf)
-    top = overlap.overlap_topk(ev, 0.3, 20, keep=("event_date",)).join(ev.select("event_id", "event_date"), "event_id")
+    top = overlap.overlap_topk(V.events(spark, sf), 0.3, 20, keep=("event_date",))
     return overlap.temporal_edges(top, "event_date", "cand_event_date").select("conv", "src", "dst", "edge_type").distinct()
 
 
@@ -81,13 +79,13 @@ def session_window_pairs(spark, sf):
 
 
 # Vectors stand for notes; event e belongs to vector e mod the number of vectors.
-_KNN = """knn AS (SELECT * FROM (SELECT q.vec_id AS qid, c.vec_id, round(list_cosine_similarity(q.v, c.v), 6) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, c.v), 6) DESC, c.vec_id) AS rank FROM vec q JOIN vec c ON q.vec_id < 20) WHERE rank <= 10),
+_KNN = """knn AS (SELECT * FROM (SELECT q.vec_id AS qid, c.vec_id, round(list_cosine_similarity(q.v, c.v), 6) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, c.v), 6) DESC, c.vec_id) AS rank FROM vec q JOIN vec c ON q.vec_id % 50 = 0) WHERE rank <= 10),
   nvec AS (SELECT count(*) AS n FROM vec), seeds AS (SELECT k.qid, e.event_id, min((k.rank, e.event_id)) AS o FROM knn k, nvec JOIN ev e ON e.event_id % nvec.n = k.vec_id GROUP BY 1, 2)"""
 
 
 def _seeds(spark, sf):
     vec = V.vectors(spark, sf)
-    q = vec.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"), F.col("norm").alias("qnorm"))
+    q = vec.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"), F.col("norm").alias("qnorm"))
     near = retrieval.knn(vec, q, 10, "vec_id")
     n = vec.agg(F.count(F.lit(1)).alias("n_vec"))
     ev = V.events(spark, sf).select("event_id").join(F.broadcast(n)).select("event_id", (F.col("event_id") % F.col("n_vec")).alias("vec_id"))

@@ -125,7 +125,7 @@ def json_props(spark, sf):
     "seed_union_ordered",
     with_views(
         "ev",
-        "SELECT qid, event_id, row_number() OVER (PARTITION BY qid ORDER BY channel, ord) AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid, event_id ORDER BY channel, ord) AS n FROM (SELECT u AS qid, event_id, value AS ord, 0 AS channel FROM ev WHERE kind = 'purchase' UNION ALL SELECT u, event_id, event_id::DOUBLE, 1 FROM ev WHERE value > 50)) WHERE n = 1",
+        "SELECT qid, event_id, row_number() OVER (PARTITION BY qid ORDER BY channel, ord, event_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid, event_id ORDER BY channel, ord) AS n FROM (SELECT u AS qid, event_id, value AS ord, 0 AS channel FROM ev WHERE kind = 'purchase' UNION ALL SELECT u, event_id, event_id::DOUBLE, 1 FROM ev WHERE value > 50)) WHERE n = 1",
     ),
 )
 def seed_union_ordered(spark, sf):
@@ -172,19 +172,25 @@ def key_terms(spark, sf):
     return V.table(spark, sf, "benchmark").select("item_id", F.array_join(text.key_terms(F.col("text")), " ").alias("terms"))
 
 
-_KW = "list_filter(string_split_regex(text, '[^\\p{L}]+'), lambda w: regexp_full_match(w, '[A-Za-z]{3,}') AND NOT list_contains(" + _STOP + ", lower(w)))"
+_KW_STOP = "[" + ", ".join(f"'{w}'" for w in text.KEYWORD_STOP_WORDS) + "]"
 
 
 @query(
     "keyword_heuristic",
-    f"""WITH w AS (SELECT item_id, {_KW} AS ws FROM benchmark), p AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
-    d AS (SELECT item_id, w, min(i) AS i FROM p GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN regexp_matches(w, '^[A-Z]') THEN 0 ELSE 1 END, i) AS n FROM d)
-    SELECT item_id, string_agg(w, ' ' ORDER BY n) AS keywords FROM r WHERE n <= 5 GROUP BY 1""",
+    f"""WITH p AS (SELECT item_id, unnest(string_split_regex(text, '[^\\p{{L}}\\p{{N}}_]+')) AS w, generate_subscripts(string_split_regex(text, '[^\\p{{L}}\\p{{N}}_]+'), 1) AS i FROM benchmark),
+    d AS (SELECT item_id, lower(w) AS word, arg_min(w, i) AS w, min(i) AS i FROM p WHERE regexp_full_match(w, '[A-Za-z]{{3,}}') AND NOT list_contains({_KW_STOP}, lower(w)) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN regexp_matches(w, '^[A-Z]') THEN 0 ELSE 1 END, i) AS n FROM d)
+    SELECT item_id, string_agg(word, ' ' ORDER BY n) AS keywords FROM r WHERE n <= 5 GROUP BY 1""",
 )
 def keyword_heuristic(spark, sf):
     return V.table(spark, sf, "benchmark").select("item_id", F.array_join(text.heuristic_keywords(F.col("text")), " ").alias("keywords")).where("keywords <> ''")
 
 
+@query("context_heuristic", "SELECT item_id, trim(CASE WHEN regexp_matches(text, '^[^\\n]+?[.!?]\\s') THEN regexp_extract(text, '^([^\\n]+?[.!?])\\s', 1) ELSE left(text, 200) END, ' ' || chr(10) || chr(9) || chr(13)) AS context FROM benchmark")
+def context_heuristic(spark, sf):
+    return V.table(spark, sf, "benchmark").select("item_id", text.heuristic_context(F.col("text")).alias("context"))
+
+
 @query(
     "answer_normalise",
     """WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Reasoning.' || chr(10) || 'ANSWER: "' || text || '"' WHEN turn % 3 = 1 THEN text ELSE 'see Answer: ' || turn || '.' END AS raw FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)),
@@ -223,9 +229,19 @@ def nickname_prefix(spark, sf):
     return nickname_map(V.table(spark, sf, "nation").select(F.lower("n_name").alias("name")))
 
 
-@query("question_type", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(trim(text)), '^(when|how long|how many (days|weeks|months|years))\\b|\\b(what (date|day|month|year)|first|earlier|before)\\b') THEN 'temporal' ELSE 'default' END AS qtype FROM conversations WHERE role = 'user'")
+_QTYPE = " OR ".join([f"starts_with(q, '{x}')" for x in text.TEMPORAL_STARTS] + [f"contains(q, '{x}')" for x in text.TEMPORAL_PARTS])
+
+
+@query(
+    "question_type",
+    f"""WITH asked AS (SELECT conv_id, turn, lower(trim(CASE turn % 6 WHEN 0 THEN 'When ' WHEN 1 THEN 'and in what year ' WHEN 2 THEN 'Since when ' WHEN 3 THEN 'first ' ELSE '' END || text)) AS q FROM conversations WHERE role = 'user')
+    SELECT conv_id, turn, CASE WHEN {_QTYPE} THEN 'temporal' ELSE 'default' END AS qtype FROM asked""",
+)
 def question_type(spark, sf):
-    return V.table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", text.question_type(F.col("text")).alias("qtype"))
+    """Users' turns, some with the beginning of a question before them."""
+    n = F.col("turn") % 6
+    head = F.when(n == 0, "When ").when(n == 1, "and in what year ").when(n == 2, "Since when ").when(n == 3, "first ").otherwise("")
+    return V.table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", text.question_type(F.concat(head, "text")).alias("qtype"))
 
 
 @query("hash_functions", "SELECT conv_id, turn, substr(sha256(text), 1, 16) AS prompt_hash, md5(text) AS content_hash, (strpos('0123456789abcdef', substr(sha256(text), 64, 1)) - 1) % 2 AS parity FROM conversations")

@@ -6,16 +6,15 @@ conversation, so the plans scale with the number of conversations.
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evograph.shared import ship
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    # Python workers find this package where the driver has it, also if the driver's path was set by hand.
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    ship(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -26,7 +25,7 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations")
     speaker = normalize_role(F.col("role"))
     return rows.select(
-        F.col("conv_id").alias("conv"), (F.col("conv_id") * 1000 + F.col("turn")).alias("note_id"),
+        F.col("conv_id").alias("conv"), F.concat_ws("_", F.lit("n"), "conv_id", "turn").alias("note_id"),
         (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).cast("long").alias("note_pos"),
         "turn", "role", speaker.alias("speaker"), "text", render_note(speaker, F.col("text")).alias("content"),
     )
@@ -50,9 +49,10 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def events_in_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Events with their session_num and topic_num (dates are dense in a conversation's sessions)."""
-    num = F.dense_rank().over(W.partitionBy("conv").orderBy("event_date")).cast("long")
-    return events(spark, sf).withColumn("session_num", num).withColumn("topic_num", F.expr("(session_num - 1) div 5"))
+    """Events with their session_num and topic_num. A conversation's dates are ranked, a row a session, not its events."""
+    rows = events(spark, sf)
+    days = rows.select("conv", "event_date").distinct().withColumn("session_num", F.row_number().over(W.partitionBy("conv").orderBy("event_date")).cast("long"))
+    return rows.join(days, ["conv", "event_date"]).withColumn("topic_num", F.expr("(session_num - 1) div 5"))
 
 
 def supersessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,7 +77,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 #: The same views in SQL; each query's SQL starts with those it names.
 SQL = {
-    "notes": "SELECT conv_id AS conv, conv_id * 1000 + turn AS note_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS note_pos, turn, role, text, CASE WHEN lower(trim(role)) = 'assistant' THEN 'Assistant' WHEN lower(trim(role)) = 'user' THEN 'User' WHEN trim(role) = '' THEN 'Unknown' ELSE upper(left(trim(role), 1)) || lower(substr(trim(role), 2)) END AS speaker FROM conversations",
+    "notes": "SELECT conv_id AS conv, 'n_' || conv_id || '_' || turn AS note_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS note_pos, turn, role, text, CASE WHEN lower(trim(role)) = 'assistant' THEN 'Assistant' WHEN lower(trim(role)) = 'user' THEN 'User' WHEN trim(role) = '' THEN 'Unknown' ELSE upper(left(trim(role), 1)) || lower(substr(trim(role), 2)) END AS speaker FROM conversations",
     "ev": "SELECT user_id // 15 AS conv, event_id, event_id AS event_seq, event_type AS kind, user_id AS u, json_extract_string(props, '$.k')::BIGINT AS k, ts::DATE AS event_date, value FROM events",
     "evs": "SELECT *, dense_rank() OVER (PARTITION BY conv ORDER BY event_date) AS session_num, (dense_rank() OVER (PARTITION BY conv ORDER BY event_date) - 1) // 5 AS topic_num FROM ev",
     "sess": "SELECT conv, session_num, 'session_' || conv || '_' || session_num AS session_id, event_date, n_events, (session_num - 1) // 5 AS topic_num FROM (SELECT conv, event_date, count(*) AS n_events, row_number() OVER (PARTITION BY conv ORDER BY event_date) AS session_num FROM ev GROUP BY conv, event_date)",

@@ -11,10 +11,27 @@ from pyspark.sql import functions as F
 
 from evograph import schemas
 from evograph.functions import dates
-from evograph.functions.text import normalize_role, session_number, with_caption
+from evograph.functions.text import normalize_role, render_dialogue, session_number, with_caption
+from evograph.shared import cut
 
 #: Question types and their categories.
-CATEGORIES = {"single-session-user": 4, "single-session-assistant": 4, "single-session-preference": 4, "multi-session": 1, "temporal-reasoning": 3, "knowledge-update": 2}
+CATEGORIES = {"single-session-user": 1, "single-session-assistant": 1, "single-session-preference": 1, "multi-session": 2, "temporal-reasoning": 3, "knowledge-update": 4}
+
+
+def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with a dense number from 0 in the given order, without a window over all of them: rows are dealt to ranges in
+    order, each range is numbered by itself, and goes on where the ranges before it end (a count a range)."""
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p")))
+    own = F.row_number().over(W.partitionBy("_p").orderBy(*order))
+    ends = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # as many rows as ranges
+    before = ends.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
+    return placed.withColumn("_i", own).join(before, "_p").withColumn(name, (F.col("_before") + F.col("_i") - 1).cast("int")).drop("_p", "_i", "_before")
+
+
+def _numbered(raw: DataFrame, name: str) -> DataFrame:
+    """raw with its rows numbered from 0 in the order of files and rows. Only row ids are ranked: Spark numbers them within partitions."""
+    rows = cut(raw.withColumn("_o", F.monotonically_increasing_id()))
+    return rows.join(ranked(rows.select("_o"), ["_o"], name), "_o").drop("_o")
 
 
 class Samples:
@@ -22,8 +39,7 @@ class Samples:
 
     def __init__(self, spark: SparkSession, path: str, sample: int | None = None, limit: int | None = None):
         raw = spark.read.schema(schemas.SAMPLES).option("multiLine", True).json(path)
-        raw = raw.withColumn("_o", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")))
-        numbered = raw.withColumn("sample_id", F.row_number().over(W.orderBy("_o")) - 1).drop("_o")  # samples are few: a row each
+        numbered = _numbered(raw, "sample_id")
         if sample is not None:
             numbered = numbered.where(F.col("sample_id") == sample)
         self.rows = numbered.where(F.col("sample_id") < limit) if limit is not None else numbered
@@ -64,8 +80,7 @@ class Haystacks:
 
     def __init__(self, spark: SparkSession, path: str, sample: int | None = None, limit: int | None = None):
         raw = spark.read.schema(schemas.HAYSTACKS).option("multiLine", True).json(path)
-        raw = raw.withColumn("_o", F.monotonically_increasing_id())
-        rows = raw.withColumn("rec", F.row_number().over(W.orderBy("_o")) - 1).drop("_o")  # a row per question
+        rows = _numbered(raw, "rec")
         rows = rows.where(F.col("rec") == sample) if sample is not None else rows
         self.rows = rows.where(F.col("rec") < limit) if limit is not None else rows
 
@@ -75,13 +90,20 @@ class Haystacks:
         zipped = self.rows.where(F.assert_true(same, F.lit("the haystack arrays differ in length")).isNull()).select("rec", F.posexplode(F.arrays_zip("haystack_session_ids", "haystack_dates", "haystack_sessions")).alias("pos", "x"))
         flat = zipped.select("rec", "pos", F.col("x.haystack_session_ids").alias("session_id"), F.col("x.haystack_dates").alias("date_time"), F.col("x.haystack_sessions").alias("turns"))
         first = flat.withColumn("_n", F.row_number().over(W.partitionBy("session_id").orderBy("rec", "pos"))).where("_n = 1").drop("_n", "rec", "pos")
-        dated = first.withColumn("ts", dates.session_date(F.col("date_time")))
-        return dated.withColumn("ordinal", F.row_number().over(W.orderBy("ts", "session_id")) - 1).withColumn("num_turns", F.size("turns"))
+        dated = first.withColumn("ts", dates.session_date(F.col("date_time"))).withColumn("num_turns", F.size("turns"))
+        # Only (ts, session_id) is ranked, over ranges of it; the turns are joined to their rank.
+        return dated.join(ranked(dated.select("ts", "session_id"), ["ts", "session_id"], "ordinal").select("session_id", "ordinal"), "session_id")
+
+    def summaries(self, cache: DataFrame | None = None) -> DataFrame:
+        """session_id, summary_key, summary, and metadata: a cached summary if there is one, else the session's dialogue."""
+        rows = self.sessions().withColumn("summary_key", summary_key(F.col("ordinal"))).withColumn("dialogue", render_dialogue(F.col("turns"), F.col("date_time")))
+        known = cache if cache is not None else rows.select("session_id", F.lit(None).cast("string").alias("summary")).limit(0)
+        return rows.join(known.select("session_id", "summary"), "session_id", "left").select("session_id", "summary_key", F.coalesce("summary", "dialogue").alias("summary"), "date_time", (F.col("ordinal") + 1).alias("summary_index"), "num_turns")
 
     def questions(self) -> DataFrame:
         """rec, question_id, question (with its date before it), question_type, category, adversarial."""
         cat = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv]), F.col("question_type")), F.lit(1))
-        dated = F.when(F.coalesce("question_date", F.lit("")) != "", F.concat(F.lit("(Asked on "), "question_date", F.lit(") "), "question")).otherwise(F.col("question"))
+        dated = F.when(F.coalesce("question_date", F.lit("")) != "", F.concat(F.lit("Date of user query: "), "question_date", F.lit("\nUser: "), "question")).otherwise(F.concat(F.lit("User: "), "question"))
         return self.rows.select("rec", "question_id", dated.alias("question"), F.col("question").alias("raw_question"), F.col("answer").cast("string").alias("answer"), "question_type", cat.alias("category"), F.col("question_id").endswith("_abs").alias("adversarial"), "haystack_session_ids", "answer_session_ids")
 
     def notes(self) -> DataFrame:
@@ -99,6 +121,12 @@ def node_id(sample, ordinal):
     return F.format_string("session_%d_%d", sample, ordinal + 1)
 
 
+def sessions_of_keys(keys: DataFrame, sessions: DataFrame, key: str = "summary_key") -> DataFrame:
+    """keys with the session_id that each summary key stands for; null for a key that is none or is out of range."""
+    at = sessions.select("session_id", (F.col("ordinal") + 1).alias("_n"))
+    return keys.withColumn("_n", F.regexp_extract(key, r"^session_(\d+)_summary$", 1).try_cast("int")).join(at, "_n", "left").drop("_n")
+
+
 def subset_tag(sample: int | None, limit: int | None) -> str:
     return f"sample_{sample}" if sample is not None else f"first_{limit}" if limit is not None else "all"
 

@@ -1,8 +1,11 @@
 """Structured Streaming: append-only ingest per conversation, and time-windowed counts.
 
-State is kept per conversation: earlier events by their participants, which of them are superseded, and
-counters. A session that comes after a later one of its conversation is late; it is not folded in but
-reported, so history isn't rewritten.
+State is kept per conversation and is bounded by its different participant sets: of each, the first k events
+(no others are ever screened), which of them are superseded, and how many there are. A session that comes
+after a later one of its conversation is late; it is not folded in but reported, so history isn't rewritten.
+
+An event is screened against the first k earlier events with its participants, of earlier sessions; the cap comes
+first, and what is superseded by then drops out of both numbers, pool (all earlier ones) and screened.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,23 +39,25 @@ def fold_session(seen: dict, rows: list[dict], k: int) -> list[tuple]:
     fresh = []
     for r in sorted(rows, key=lambda x: x["event_id"]):
         key = f"{r['u']}/{r['k']}"
-        earlier = seen["events"].get(key, [])  # of earlier sessions alone
-        screened = earlier[:k]
+        own = seen["events"].get(key, {"n": 0, "first": []})  # of earlier sessions alone
+        valid = [e for e in own["first"] if not e[3]]
+        pool = own["n"] - (len(own["first"]) - len(valid))
         made = 0
-        for e in screened:
-            if e[3]:
-                continue
+        for e in valid:
             kind = rule_verdict(r["kind"], r["value"], e[1], e[2])
             if kind:
-                out.append((r["conv"], r["event_id"], e[0], kind, len(earlier), len(screened), False))
+                out.append((r["conv"], r["event_id"], e[0], kind, pool, len(valid), False))
                 made += 1
             if kind == "updates":
                 e[3] = 1
         if not made:
-            out.append((r["conv"], r["event_id"], None, None, len(earlier), len(screened), False))
+            out.append((r["conv"], r["event_id"], None, None, pool, len(valid), False))
         fresh.append((key, [r["event_id"], r["kind"], r["value"], 0]))
     for key, e in fresh:
-        seen["events"].setdefault(key, []).append(e)
+        own = seen["events"].setdefault(key, {"n": 0, "first": []})
+        own["n"] += 1
+        if len(own["first"]) < k:
+            own["first"].append(e)
     seen["last"] = num
     return out
 
@@ -74,19 +80,52 @@ def ingest(events: DataFrame, k: int = 10, mode: str = "append") -> DataFrame:
 
 
 def replay(events: DataFrame, k: int = 10) -> DataFrame:
-    """The same fold over a table: each conversation in the order of its sessions."""
-    names = [c.split()[0] for c in OUT.split(", ")]
+    """The same result over a table, without folding: windows and a join of each event with at most k earlier ones.
+
+    An event is superseded by the first later one (of a later session) with its participants and its kind, if it is among
+    the first k; so what is valid when an event arrives follows from that one's place, and no conversation is a task.
+    """
+    key = ["conv", "u", "k"]
+    at = F.struct("session_num", "event_id").alias("at")
+    by = W.partitionBy(*key).orderBy("session_num", "event_id")
+    rows = events.select(*key, "event_id", "session_num", "kind", "value", at).withColumn("n", F.row_number().over(by)).withColumn("own", F.row_number().over(W.partitionBy(*key, "session_num").orderBy("event_id")))
+    rows = rows.withColumn("earlier", F.col("n") - F.col("own"))
+    first = rows.where(F.col("n") <= k).select(*key, F.col("event_id").alias("old"), F.col("session_num").alias("old_session"), F.col("kind").alias("old_kind"), F.col("value").alias("old_value"))
+    pairs = rows.join(first, key, "left").where(F.col("old").isNull() | (F.col("old_session") < F.col("session_num")) | (F.col("n") == F.col("own")))
+    pairs = pairs.withColumn("met", F.col("old").isNotNull() & (F.col("old_session") < F.col("session_num")))
+    same = F.col("met") & (F.col("kind") == F.col("old_kind"))
+    pairs = pairs.withColumn("ends", F.min(F.when(same, F.col("at"))).over(W.partitionBy("conv", "old")))  # when the old event is superseded
+    gone = F.col("met") & F.col("ends").isNotNull() & (F.col("ends") < F.col("at"))
+    far = F.abs(F.col("value") - F.col("old_value")) > 50
+    verdict = F.when(~F.col("met") | gone, F.lit(None)).when(same, "updates").when(far, "contradicts")
+    per = pairs.withColumn("edge_type", verdict).groupBy("conv", "event_id").agg(
+        F.max("earlier").alias("earlier"), F.count_if("met").alias("screened"), F.count_if(gone).alias("gone"), F.collect_list(F.when(F.col("edge_type").isNotNull(), F.struct("old", "edge_type"))).alias("made"),
+    )
+    out = per.select("conv", F.col("event_id").alias("src"), F.explode_outer("made").alias("x"), (F.col("earlier") - F.col("gone")).cast("int").alias("pool"), (F.col("screened") - F.col("gone")).cast("int").alias("screened"))
+    return out.select("conv", "src", F.col("x.old").alias("dst"), F.col("x.edge_type").alias("edge_type"), "pool", "screened", F.lit(False).alias("late"))
+
+
+def ingest_sessions(sessions: DataFrame, mode: str = "append") -> DataFrame:
+    """A stream of sessions (conv, seq, v): the topic of each as it arrives, and the session before it. State: the conversation's topics."""
+    from evograph.operators.hierarchy import ASSIGNED, Topics
+
+    schema = f"conv bigint, seq bigint, previous bigint, {ASSIGNED}"
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        seen: dict = {"last": 0, "events": {}}
-        out = []
-        for _, session in rows.sort_values(["session_num", "event_id"]).groupby("session_num", sort=True):
-            out += fold_session(seen, session.to_dict("records"), k)
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"topics": None, "last": None}
+        topics, last, out = Topics(held["topics"]), held["last"], []
+        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+            if last is not None and r.seq <= last:  # late: history isn't rewritten
+                continue
+            out.append({"conv": key[0], "seq": int(r.seq), "previous": last} | topics.assign(r.v))
+            last = int(r.seq)
+        state.update((json.dumps({"topics": topics.state(), "last": last}),))
         frame = pd.DataFrame(out, columns=names)
-        frame["dst"] = frame["dst"].astype("Int64")
-        return frame
+        frame["previous"] = frame["previous"].astype("Int64")
+        yield frame
 
-    return events.groupBy("conv").applyInPandas(whole, OUT)
+    return sessions.groupBy("conv").applyInPandasWithState(step, schema, STATE, mode, GroupStateTimeout.NoTimeout)
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from evograph.operators import context, graph, overlap, paths, validity
+from evograph.operators import context, graph, hierarchy, overlap, paths, retrieval, validity
 from evograph.plans import pipeline
 from evograph.plans import views as V
 from evograph.streaming import incremental
@@ -121,6 +121,102 @@ def test_merge_leaves_room_for_direct_evidence(spark):
     assert [(r.origin, r.score) for r in got] == [("path", 0.9), ("direct", 0.2), ("direct", 0.1)]
 
 
+def plain_score(path, edges, nodes, sims):
+    """A path's parts by walking it, None if it is pruned. path: (nodes, labels); edges: (src, dst) -> confidence; nodes: name -> (kind, day, update_val)."""
+    names, labels = path
+    if any(n[0] == "event" and n[1] is None and n[2] is None for n in (nodes[x] for x in names)):
+        return None
+    conf = 1.0
+    for i, label in enumerate(labels):
+        a, b = names[i], names[i + 1]
+        if label in ("belongs_to", "contains"):
+            conf *= 0.7
+        elif label in ("belongs_to_topic", "topic_contains"):
+            conf *= 0.5
+        else:
+            conf *= edges[a, b] if (a, b) in edges else edges[b, a]
+            conf *= 0.5 if label == "enables" else 1
+        days = nodes[a][1], nodes[b][1]
+        if nodes[a][0] == nodes[b][0] == "event" and None not in days:
+            if (label == "temporal_before" and days[0] > days[1]) or (label == "temporal_after" and days[0] < days[1]):
+                return None
+        if i and label == labels[i - 1] == "contradicts":
+            return None
+    conf *= 0.5 if "contradicts" in labels else 1
+    near = [sims[n] for n in names if nodes[n][0] == "event" and sims.get(n, 0) > 0]
+    upd = min([1.0] + [nodes[n][2] for n in names if nodes[n][0] == "event"])
+    return 0.4 * (sum(near) / len(near) if near else 0) + 0.3 * conf + 0.15 + 0.15 * upd
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scores_are_the_plain_ones(spark, seed):
+    import datetime
+
+    rng = random.Random(seed)
+    names = [f"e{i}" for i in range(8)] + ["s0", "s1", "t0"]
+    day = lambda: rng.choice([None, *(datetime.date(2020, 1, d) for d in (1, 2, 3))])
+    nodes = {n: ({"e": "event", "s": "session", "t": "topic"}[n[0]], day() if n[0] == "e" else None, rng.choice([0.0, 0.5, 1.0]) if n[0] == "e" else None) for n in names}
+    pairs = rng.sample([(a, b) for a in names for b in names if a != b], 36)
+    kinds = ["causes", "enables", "contradicts", "temporal_before", "belongs_to", "topic_contains"]
+    edges = [(a, b, rng.choice(kinds), rng.choice([0.4, 0.8, 1.0]), i) for i, (a, b) in enumerate(pairs)]
+    sims = {n: rng.choice([-0.2, 0.3, 0.9]) for n in names if n[0] == "e" and rng.random() < 0.8}
+    s = spark.createDataFrame([(7, 1, n, i) for i, n in enumerate(names[:3])], "qid int, conv int, node string, seed_rank int")
+    e = spark.createDataFrame([(1, *x) for x in edges], "conv int, src string, dst string, edge_type string, confidence double, adj_pos long")
+    k = spark.createDataFrame([(1, n, *v) for n, v in nodes.items()], "conv int, node string, kind string, day date, update_val double")
+    found = paths.bfs_paths(s, e, k.select("conv", "node", "kind"), 3, 60).cache()
+    got = {r.path_rank: r.score for r in paths.score_paths(found, k, spark.createDataFrame([(7, n, x) for n, x in sims.items()], "qid int, node string, sim double")).collect()}
+    want = {r.path_rank: plain_score((r.nodes, r.labels), {(a, b): c for a, b, _, c, _ in edges}, nodes, sims) for r in found.collect()}
+    assert any(v is None for v in want.values()) and got == pytest.approx({r: v for r, v in want.items() if v is not None})
+
+
+def test_discounts():
+    """An enabling edge counts half on top of its confidence; a contradiction halves the whole."""
+    assert plain_score((["a", "b"], ["enables"]), {("a", "b"): 0.72}, {"a": ("event", None, 1.0), "b": ("event", None, 1.0)}, {}) == pytest.approx(0.3 * 0.36 + 0.3)
+
+
+def test_how_paths_are_shown(spark):
+    step = "struct<i:int,node:string,kind:string,state_change:string,time_anchor:string,event_type:string,update_val:double,text:string>"
+    steps = [(0, "e1", "event", "moved", "2020-01-01", "action", 0.0, None), (1, "s1", "session", None, None, None, None, "S" * 100), (2, "e2", "event", "works", "2020-02-01", "plan", 0.5, None), (3, "t1", "topic", None, None, None, None, "Work"), (4, "e3", "event", "rests", "2020-03-01", "plan", 1.0, None)]
+    df = spark.createDataFrame([(steps, ["contains", "belongs_to", "causes", "causes"], [x[2] for x in steps])], f"steps array<{step}>, labels array<string>, kinds array<string>")
+    types = paths.link_types(F.col("labels"), F.col("kinds"))
+    one = lambda *c: df.select(*c).first()[0]
+    assert one(types) == ["session_link", "session_link", "topic_link", "topic_link"]
+    assert one(paths.summary_line(F.col("steps"), types)) == "moved [OUTDATED] (2020-01-01) --[session_link]--> works [PARTIALLY UPDATED] (2020-02-01) --[session_link]--> rests (2020-03-01) --[topic_link]--> "
+    assert one(paths.summary_line(F.col("steps"), types, F.array(F.lit("e2")))).split(" --[")[1] == "session_link]--> [event e2: see above]"
+    text = one(paths.explanation(F.col("steps"), types, F.lit(0.5), F.lit(0.25), F.lit(1.0), F.lit(1.0), F.lit(0.0)))
+    assert text.split("\n") == ["E1 (moved, 2020-01-01, action)", '  ==[Session: "' + "S" * 80 + '..."]==>', "E2 (works, 2020-02-01, plan)", '  ==[Session: "[Topic: Work]..."]==>', "E3 (rests, 2020-03-01, plan)", "  --[topic_link]-->", "Score: 0.50 (neural=0.25, conf=1.00, temporal=1, update=0.0)"]
+    assert one(paths.direct_explanation(F.col("steps")[0], F.lit(0.5))) == "[Direct Evidence] moved (2020-01-01, action)\nScore: 0.50 (direct match)"
+
+
+def test_direct_evidence_adds_to_at_least_one_path(spark):
+    a = spark.createDataFrame([(1, 0.9 - i / 10, i) for i in range(5)], "qid int, score double, ord int")
+    d = spark.createDataFrame([(1, 0.2, 0), (1, 0.1, 1), (1, 0.05, 2)], "qid int, score double, ord int")
+    assert [(r.origin, r.score) for r in paths.merge_direct(a, d, 3).orderBy("place").collect()] == [("path", 0.9), ("direct", 0.2), ("direct", 0.1), ("direct", 0.05)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlap_is_all_pairs(spark, seed):
+    """Random sets of random sizes, with and without groups, against every pair."""
+    rng = random.Random(seed)
+    rows = [(rng.randint(0, 1), i, 1000 - i if i % 3 else i, [rng.choice("abcdeF") for _ in range(rng.randint(0, 4))], rng.choice([None, 0, 1, 2]), i % 7) for i in range(90)]
+    df = spark.createDataFrame(rows, "conv int, event_id int, event_seq int, participants array<string>, g int, tag int").repartition(4)
+    sets = {r[1]: frozenset(p.lower() for p in r[3]) for r in rows}
+    for group in (None, "g"):
+        for least, k in ((0.3, 3), (0.5, 5)):
+            want = {}
+            for a in rows:
+                near = []
+                for b in rows:
+                    both, union = sets[a[1]] & sets[b[1]], sets[a[1]] | sets[b[1]]
+                    if a[0] == b[0] and a[1] != b[1] and union and len(both) / len(union) >= least and not (group and a[4] == b[4]):
+                        near.append((-len(both) / len(union), b[2], b[1], b[5]))
+                want[a[1]] = [(c, t) for _, _, c, t in sorted(near)[:k]]
+            got: dict = {r[1]: [] for r in rows}
+            for r in overlap.overlap_topk(df, least, k, group=group, keep=("tag",)).orderBy("event_id", "rank").collect():
+                got[r.event_id].append((r.cand_id, r.cand_tag))
+            assert got == want, (group, least)
+
+
 # The invariants of ingest
 
 
@@ -138,7 +234,7 @@ def test_candidates_are_past_and_of_other_sessions(arrivals, replayed):
     num = arrivals.toPandas().set_index("event_id").session_num
     made = replayed[replayed.dst.notna()]
     assert len(made) and all(num[s] > num[d] for s, d in zip(made.src, made.dst))
-    assert (replayed.screened <= 10).all() and (replayed.pool >= replayed.screened).all() and not replayed.late.any()
+    assert (replayed.screened <= 10).all() and (replayed.pool >= 0).all() and (replayed.pool >= replayed.screened).all() and not replayed.late.any()
 
 
 def test_superseded_events_stay_out(arrivals, replayed):
@@ -151,6 +247,80 @@ def test_superseded_events_stay_out(arrivals, replayed):
     assert gone
 
 
+def test_replay_is_the_fold(arrivals, replayed):
+    """The join form against the plain fold, session by session, with what is valid counted anew."""
+    want = []
+    for conv, rows in arrivals.toPandas().groupby("conv"):
+        seen, gone = {}, set()
+        for _, session in rows.sort_values(["session_num", "event_id"]).groupby("session_num"):
+            for r in session.itertuples():
+                earlier = seen.get((r.u, r.k), [])
+                valid = [e for e in earlier[:10] if e.event_id not in gone]
+                counts = (sum(e.event_id not in gone for e in earlier), len(valid))
+                made = [(e, incremental.rule_verdict(r.kind, r.value, e.kind, e.value)) for e in valid]
+                made = [(e.event_id, kind) for e, kind in made if kind] or [(None, None)]
+                gone |= {e for e, kind in made if kind == "updates"}
+                want += [(conv, r.event_id, e, kind, *counts) for e, kind in made]
+            for r in session.itertuples():
+                seen.setdefault((r.u, r.k), []).append(r)
+    got = [tuple(None if x is None or x != x else x for x in r) for r in replayed[["conv", "src", "dst", "edge_type", "pool", "screened"]].astype(object).itertuples(index=False)]
+    assert sorted(map(repr, [tuple(int(x) if isinstance(x, float) else x for x in r) for r in got])) == sorted(map(repr, want))
+
+
+def test_state_holds_no_more_than_k_events_of_a_set():
+    seen = {"last": 0, "events": {}}
+    for s in range(1, 40):
+        incremental.fold_session(seen, [{"conv": 1, "event_id": 10 * s + i, "session_num": s, "u": 1, "k": 1, "kind": "a" if i else str(s), "value": 0.0} for i in range(3)], 10)
+    assert len(seen["events"]["1/1"]["first"]) == 10 and seen["events"]["1/1"]["n"] == 117
+
+
+def test_topics_as_sessions_arrive(spark, tmp_path):
+    """Drift is judged against the topic's own cohesion; the stream gives what the table gives."""
+    near = lambda a: [1.0, a, 0.0]
+    t = hierarchy.Topics()
+    got = [t.assign(v) for v in (near(0.0), near(0.5), near(0.2), [0.0, 0.0, 1.0], [0.0, 0.1, 1.0], [0.1, -1.0, 0.0])]
+    assert [g["drifted"] for g in got] == [False, False, False, True, False, True] and got[0]["opened"] and got[0]["cosine"] is None
+    again = t.assign([-1.0, 0.0, -1.0])
+    assert again["drifted"] and again["reclustered"] and again["generation"] == 1 and len(t.members) == 1 and t.drifts == 0
+    rng = random.Random(5)
+    rows = [(c, i, [rng.gauss(c, 1) for _ in range(4)]) for c in range(3) for i in range(25)]
+    df = spark.createDataFrame(rows, "conv long, seq long, v array<double>")
+    want = hierarchy.assign_topics(df).toPandas()
+    assert want.groupby("conv").generation.max().min() >= 1 and set(want.previous.dropna()) == set(range(24))
+    out, src = [], str(tmp_path / "in")
+    for lo in range(0, 25, 10):
+        df.where(F.col("seq").between(lo, lo + 9)).coalesce(1).write.parquet(f"{src}/{lo:03d}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src + "/*")
+    q = incremental.ingest_sessions(stream).writeStream.outputMode("append").foreachBatch(lambda d, _: out.append(d.toPandas())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    key = lambda d: sorted(map(repr, d[["conv", "seq", "topic", "generation", "drifted", "reclustered"]].values.tolist()))
+    assert key(pd.concat(out)) == key(want)
+
+
+def test_topic_tables(spark):
+    s = spark.createDataFrame([(1, "a", 0, "0_0", [1.0, 0.0], "First thing. More"), (1, "b", 1, "0_0", [1.0, 0.2], "Nearest one. More"), (1, "c", 2, "0_0", [1.0, 0.4], "x"), (1, "d", 3, "0_1", [0.0, 1.0], "Alone")], "conv int, session_id string, seq int, topic string, v array<double>, summary string")
+    got = {r.topic_id: (r.session_ids, r.label) for r in hierarchy.topic_table(s).collect()}
+    assert got == {"topic_1_0_0": (["a", "b", "c"], "Nearest one"), "topic_1_0_1": (["d"], "Alone")}
+    t = spark.createDataFrame([(1, "t1", 0, ["a", "b"]), (1, "t2", 1, ["b"])], "conv int, topic_id string, seq int, session_ids array<string>")
+    assert {r.session_id: r.topic_id for r in hierarchy.topic_of_session(t).collect()} == {"a": "t1", "b": "t2"}
+    st = spark.createDataFrame([(1, "e", "s1", "belongs_to", 1), (1, "s2", "e", "contains", 5), (1, "s3", "e", "contains", 7)], "conv int, src string, dst string, edge_type string, adj_pos int")
+    assert hierarchy.event_session(spark.createDataFrame([(1, "e")], "conv int, node string"), st).first().session_id == "s2"
+    ev = spark.createDataFrame([(1, 1, ["Ann", "bo", "Robert"]), (1, 2, [])], "conv int, event_id int, participants array<string>")
+    names = spark.createDataFrame([(1, "ann", "Anna"), (1, "robert", "Bo"), (1, "bo", "Bo")], "conv int, prefix string, name string")
+    assert {r.event_id: r.participants for r in hierarchy.normalize_participants(ev, names).collect()} == {1: ["Anna", "Bo"], 2: []}
+
+
+def test_induced_hierarchy_and_summary(spark):
+    s = spark.createDataFrame([(1, "s1", ["n1", "n2"], ["e1", "e2"]), (1, "s2", ["n2"], ["e3"]), (1, "s3", ["n9"], ["e1"])], "conv int, session_id string, note_ids array<string>, event_ids array<string>")
+    t = spark.createDataFrame([(1, "t1", ["s1", "s2"]), (1, "t2", ["s2", "s3"])], "conv int, topic_id string, session_ids array<string>")
+    kept = spark.createDataFrame([(1, "e1")], "conv int, event_id string")
+    a, b = graph.induced_hierarchy(s, t, kept, spark.createDataFrame([("n1",), ("n2",)], "note_id string"))
+    assert [(r.session_id, r.note_ids, r.event_ids) for r in a.collect()] == [("s1", ["n1", "n2"], ["e1"])] and [(r.topic_id, r.session_ids) for r in b.collect()] == [("t1", ["s1"])]
+    e = spark.createDataFrame([(1, "e1", "e2", None), (1, "e2", "e1", "x"), (2, "f", "g", None)], "conv int, src string, dst string, t_invalid_at string")
+    assert sorted(tuple(r) for r in graph.summary(kept, e).collect()) == [(1, 1, 2, 1), (2, 0, 1, 0)]
+
+
 def test_stream_is_the_batch(spark, arrivals, replayed, tmp_path):
     """Sessions that arrive one batch after another give what the replay gives; a late one changes nothing."""
     rows = arrivals.toPandas().sort_values(["session_num", "event_id"])
@@ -184,9 +354,82 @@ def test_build_and_ask(spark):
     q = vec.where("vec_id < 3").select(F.col("vec_id").alias("qid"), F.lit(0).cast("long").alias("conv"), F.col("v").alias("qv"), F.col("norm").alias("qnorm"))
     notes = vec.select(F.col("vec_id").alias("note_id"), "v", "norm", F.concat(F.lit("note "), "vec_id").alias("text"))
     links = ev.select((F.col("event_id") % 500).alias("note_id"), "event_id")
-    got = {r.qid: r for r in pipeline.ask(q, notes, links, built, pipeline.Config(max_depth=2)).collect()}
-    assert set(got) == {0, 1, 2} and all(r.context.startswith("note ") and "Evidence paths:" in r.context and r.n_paths for r in got.values())
+    got = {r.qid: r for r in pipeline.ask(q, notes, links, built, pipeline.Config(max_depth=2, min_path_score=0.0)).collect()}
+    assert set(got) == {0, 1, 2} and all(r.context.startswith("note ") and "=== Causal Evidence ===\nPath 1: event " in r.context and r.n_paths and not r.fallback for r in got.values())
+    assert all(r.explanation.startswith("--- Path 1 ---\nE1 (event ") and "--- Path 2 ---" in r.explanation for r in got.values())
     flat = pipeline.ask(q, notes, links, built, pipeline.Config(max_depth=1).without_hierarchy()).collect()
-    assert all("session" not in r.context for r in flat)
+    assert all("session" not in r.context + r.explanation for r in flat)
     small = pipeline.Config(category_overrides={"2": {"notes_budget": 4}}).for_category("2")
     assert small.notes_budget == 4
+    report = {r.conv: r for r in pipeline.graph_report(built).collect()}
+    assert sum(r.n_events for r in report.values()) == ev.count() and all(sum(r.edge_types.values()) == r.n_edges for r in report.values() if r.n_edges)
+
+
+def test_config_file(tmp_path):
+    (tmp_path / "c.json").write_text('{"top_k": 4, "hierarchy": false}')
+    c = pipeline.Config.read(str(tmp_path / "c.json"))
+    assert c.top_k == 4 and c.limits["session"] == (0, 0) and c.max_depth == pipeline.Config().max_depth
+    (tmp_path / "c.json").write_text('{"no_such_knob": 1}')
+    with pytest.raises(TypeError):
+        pipeline.Config.read(str(tmp_path / "c.json"))
+
+
+@pytest.fixture(scope="module")
+def small_graph(spark):
+    """One conversation: e1 is updated by e2; e3 follows e2; e4 is alone. Notes n1 to n4 belong to e1 to e4, n5 to none."""
+    ev = spark.createDataFrame([(1, i, i, ["ann"] if i < 4 else ["bob"], f"2020-01-0{i}", f"change {i}", "action", None if i != 1 else "2020-01-02", 0.0 if i == 1 else 1.0) for i in range(1, 5)], "conv long, event_id long, event_seq long, participants array<string>, time_anchor string, state_change string, event_type string, valid_until string, update_val double")
+    ed = spark.createDataFrame([(1, 2, 1, "updates", 0.9, 1, None), (1, 2, 3, "causes", 0.8, 2, None)], "conv long, src long, dst long, edge_type string, confidence double, adj_pos long, t_invalid_at string")
+    vec = {1: [1.0, 0.0, 0.0], 2: [0.8, 0.6, 0.0], 3: [0.6, 0.8, 0.0], 4: [0.9, 0.0, 0.44], 5: [0.0, 0.0, 1.0]}
+    notes = spark.createDataFrame([(1, f"n{i}", v, 1.0, f"text {i}") for i, v in vec.items()], "conv long, note_id string, v array<double>, norm double, text string")
+    note_events = spark.createDataFrame([(f"n{i}", i) for i in range(1, 5)], "note_id string, event_id long")
+    event_vectors = spark.createDataFrame([(1, i, vec[i], 1.0) for i in range(1, 5)], "conv long, event_id long, v array<double>, norm double")
+    q = spark.createDataFrame([(1, 1, [1.0, 0.0, 0.0], 1.0), (2, 1, [0.0, 0.0, 1.0], 1.0), (3, 2, [1.0, 0.0, 0.0], 1.0)], "qid long, conv long, qv array<double>, qnorm double")
+    return {"events": ev, "edges": ed}, notes, note_events, event_vectors, q
+
+
+def test_ask_by_hand(spark, small_graph):
+    built, notes, note_events, event_vectors, q = small_graph
+    config = pipeline.Config(top_k=1, max_depth=2)
+    got = {r.qid: r for r in pipeline.ask(q, notes, note_events, built, config, event_vectors=event_vectors).collect()}
+    one = got[1]
+    # n1 gives e1; e2 updates it, so it is a seed, too. Paths: 1-2, 2-1, 2-3, 1-2-3; event 4 is direct evidence; the best path has room for one.
+    assert one.n_seeds == 2 and not one.fallback
+    best = 0.4 * 0.7 + 0.3 * 0.8 + 0.15 + 0.15  # e2 - e3: similarities 0.8 and 0.6; e1 - e2 comes to 0.78, as e1 is outdated
+    assert "Score: %.2f (neural=0.70, conf=0.80, temporal=1, update=1.0)" % best in one.explanation
+    assert one.explanation.split("\n")[-3:] == ["--- Direct Evidence 1 ---", "[Direct Evidence] change 4 (2020-01-04, action)", "Score: 0.90 (direct match)"] and one.n_paths == 2
+    lines = one.context.split("\n")
+    assert lines[0] == "text 1" and lines[1] == "=== Causal Evidence ===" and lines[2] == "Path 1: change 2 (2020-01-02) --[causes]--> change 3 (2020-01-03)"
+    assert lines[3:] == ["text 2", "text 3", "Path 2: change 4 (2020-01-04)", "text 4"]
+    more = {r.qid: r for r in pipeline.ask(q, notes, note_events, built, pipeline.Config(top_k=3, max_depth=2), event_vectors=event_vectors).collect()}
+    assert " [OUTDATED] (2020-01-01) --[updates]--> " in more[1].context and more[1].context.count("text 1") == 1
+    # Question 2 retrieves n5, which has no event; question 3 has no notes at all.
+    assert got[2].fallback and got[2].context == "text 5" and got[2].explanation == "" and got[3].fallback and got[3].context == ""
+
+
+def test_further_seeds(spark, small_graph):
+    built, notes, note_events, event_vectors, q = small_graph
+    entities = spark.createDataFrame([(2, 1, "Bob", 0), (2, 1, "nobody", 1)], "qid long, conv long, entity string, n int")
+    concepts = spark.createDataFrame([(3, 1, [0.6, 0.8, 0.0], 1.0)], "qid long, conv long, qv array<double>, qnorm double")
+    q = q.withColumn("conv", F.lit(1).cast("long"))
+    got = {r.qid: r for r in pipeline.ask(q, notes, note_events, built, pipeline.Config(top_k=1), event_vectors=event_vectors, entities=entities, concepts=concepts).collect()}
+    assert got[2].n_seeds == 1 and not got[2].fallback and got[2].n_paths == 0 and got[2].context == "text 5"
+    assert got[3].n_seeds == 4
+    links = spark.createDataFrame([("n1", 0, "n3"), ("n1", 1, "n4"), ("n5", 0, "n1")], "note_id string, pos int, linked string")
+    wide = {r.qid: r for r in pipeline.ask(q, notes, note_events, built, pipeline.Config(top_k=1, expand=True), links=links).collect()}
+    assert wide[1].context.split("\n")[:3] == ["text 1", "text 3", "text 2"] and wide[2].context == "text 5\ntext 1"
+
+
+def test_entities_of_a_question(spark):
+    e = spark.createDataFrame([(1, 1, "Ann", 0), (1, 1, "Bo", 1)], "qid int, conv int, entity string, n int")
+    p = spark.createDataFrame([(1, 1, "ann", f"a{i}", i, None, f"2020-01-{i + 10}") for i in range(10)] + [(1, 1, "bo", f"b{i}", i, i / 10, "") for i in range(3)], "qid int, conv int, member string, node string, seq int, sim double, anchor string")
+    got = [r.node for r in retrieval.entity_events(e, p).orderBy("ord").collect()]
+    assert got == [f"a{i}" for i in range(9, 1, -1)] + ["b0", "b1", "b2"]
+
+
+def test_contexts_of_notes_and_paths(spark):
+    near = spark.createDataFrame([(1, "n1", 1, "t1"), (1, "n2", 2, "t2"), (1, "n3", 3, "t3"), (1, "n4", 4, "t4"), (1, "n5", 5, "t5")], "qid int, note_id string, rank int, text string")
+    on = spark.createDataFrame([(1, 1, 1, "n2", "t2"), (1, 1, 2, "n9", "t9"), (1, 2, 1, "n2", "t2")], "qid int, place int, pos int, note_id string, text string")
+    got = [r.text for r in context.paths_only(on, near).orderBy("seq").collect()]
+    assert got == ["=== Evidence from reasoning paths ===", "t2", "t9", "t1", "t3", "t4"]
+    links = spark.createDataFrame([("n1", i, f"m{i}") for i in range(4)], "note_id string, pos int, linked string")
+    assert [r.note_id for r in context.neighbours(near.where("rank < 3"), links, 2).orderBy("rank", "step").collect()] == ["n1", "m0", "m1", "n2"]

@@ -13,46 +13,82 @@ def read(spark, column, raw):
 
 
 def test_json_answers(spark):
-    got = read(spark, parsers.extraction, 'Sure:\n```json\n{"events": [{"event_type": "PLAN", "participants": ["b", "a"], "provenance": "' + "p" * 300 + '"}, {"event_type": "odd"}]}\n```')
-    assert [e.event_type for e in got] == ["plan", "action"] and got[0].participants == ["a", "b"] and len(got[0].provenance) == 200 and got[1].time_anchor == "unknown"
+    got = read(spark, lambda x: parsers.extraction(x, F.repeat(F.lit("p"), 300)), 'Sure:\n```json\n{"events": [{"event_type": "PLAN", "participants": ["b", " a "]}, {"event_type": "State Change", "participants": "ann"}, {"event_type": "odd"}]}\n```')
+    assert [e.event_type for e in got] == ["plan", "state_change", "action"] and [e.participants for e in got] == [["b", "a"], ["ann"], []]
+    assert len(got[0].provenance) == 200 and got[2].time_anchor == "unknown"
     assert read(spark, parsers.extraction, "nothing") == [] and read(spark, parsers.extraction, None) == []
-    edges = '{"edges": [{"source": 0, "target": 1, "edge_type": "causes", "confidence": 3}, {"source": 1, "target": 1, "edge_type": "causes", "confidence": 1}, {"source": 0, "target": 7, "edge_type": "causes", "confidence": 1}, {"source": 0, "target": 1, "edge_type": "odd", "confidence": 1}, {"source": 1, "target": 0, "edge_type": "causes", "confidence": 0.6}]}'
-    assert [(e.source, e.target, e.confidence) for e in read(spark, lambda x: parsers.inferred_edges(x, F.lit(2)), edges)] == [(0, 1, 1.0)]
-    assert [t.label for t in read(spark, parsers.clusters, '{"topics": [{"label": "a", "session_ids": ["s"]}, {"label": "b", "session_ids": []}]}')] == ["a"]
-    assert read(spark, parsers.entities, "?").participants == [] and read(spark, parsers.entities, '{"participants": ["x"]}').participants == ["x"]
-    a = read(spark, parsers.note_analysis, "Keywords: a, b\nContext: some words\nTags: - c")
-    assert a.keywords == ["a", "b"] and a.context == "some words" and a.tags == ["c"]
-    assert read(spark, parsers.evolution, '{"should_evolve": true, "suggested_connections": [1]}').connections == [1]
-    assert [read(spark, parsers.judged, x).judgment for x in ('{"label": "correct"}', "It is WRONG.", "?")] == ["CORRECT", "WRONG", "ERROR"]
+    inner = '{"events": [{}, {}], "edges": [{"source_event_idx": 0, "target_event_idx": 1, "edge_type": "causes", "confidence": 3, "reason": "r"}, {"source_event_idx": 1, "target_event_idx": 1, "edge_type": "causes"}, {"source_event_idx": 0, "target_event_idx": 2, "edge_type": "causes"}, {"source_event_idx": 1, "target_event_idx": 0, "edge_type": "supports"}, {"source_event_idx": 1, "target_event_idx": 0, "edge_type": "updates", "confidence": "much"}]}'
+    assert [(e.source, e.target, e.edge_type, e.confidence) for e in read(spark, parsers.extraction_edges, inner)] == [(0, 1, "causes", 1.0), (1, 0, "updates", 0.5)]
+    cross = '{"edges": [{"existing_event_idx": 1, "direction": "new_to_existing", "edge_type": "causes", "confidence": 0.9}, {"existing_event_idx": 0, "edge_type": "enables", "confidence": 0.7}, {"existing_event_idx": 0, "edge_type": "enables"}, {"existing_event_idx": 2, "edge_type": "enables", "confidence": 1}]}'
+    assert [(e.candidate, e.from_new, e.edge_type) for e in read(spark, lambda x: parsers.inferred_edges(x, F.lit(2)), cross)] == [(1, True, "causes"), (0, False, "enables")]
+    groups = lambda x: parsers.clusters(x, F.array(F.lit("s"), F.lit("t")))
+    assert [(t.place, t.label) for t in read(spark, groups, '{"groups": [{"label": "a", "session_ids": ["s"]}, {"label": "b", "session_ids": []}, {"session_ids": ["t"]}]}')] == [(0, "a"), (2, "Topic 2")]
+    assert [(t.label, t.session_ids) for t in read(spark, groups, "no groups")] == [("General", ["s", "t"])]
+
+
+@pytest.mark.parametrize(("raw", "want"), [('Here: ["Ann", " tea "]', ["Ann", "tea"]), ("Ann, 'tea'\n- trip", ["Ann", "tea", "trip"]), ("", []), (None, [])])
+def test_entities(spark, raw, want):
+    assert read(spark, parsers.entities, raw) == want
 
 
-@pytest.mark.parametrize(("raw", "want"), [("Class: update\nReason: newer", "updates"), ("it contradicts that", "contradicts"), ("", "independent"), ("Label: independent, no update", "independent")])
+def test_note_answers(spark):
+    a = read(spark, parsers.note_analysis, "Keywords: a, b\nContext: some words\nTags: - c")
+    assert a.keywords == ["a", "b"] and a.context == "some words" and a.tags == ["c"]
+    b = read(spark, lambda x: parsers.note_analysis(x, F.lit("Ann saw a red kite. It flew.")), "no sections")
+    assert b.keywords == ["ann", "saw", "red", "kite", "flew"] and b.context == "Ann saw a red kite." and b.tags == ["ann", "saw", "red"]
+    decide = lambda x: read(spark, parsers.evolution, x).decision
+    assert [decide(x) for x in ("DECISION: STRENGTHEN\nREASON: near", "decision: strengthen and update", "we update it", "nothing to do", '{"should_evolve": true, "actions": ["update_neighbor"]}', '{"should_evolve": false, "actions": ["strengthen"]}')] == ["STRENGTHEN", "STRENGTHEN_AND_UPDATE", "UPDATE_NEIGHBOR", "NO_EVOLUTION", "UPDATE_NEIGHBOR", "NO_EVOLUTION"]
+    assert read(spark, parsers.evolution, "DECISION: STRENGTHEN\nREASON: near").reason == "near"
+    more = read(spark, parsers.strengthen_details, "CONNECTIONS: 0, x, 3\nTAGS: a, b")
+    assert more.connections == [0, 3] and more.tags == ["a", "b"]
+    assert read(spark, parsers.strengthen_details, '{"suggested_connections": [1], "tags_to_update": ["t"]}') == ([1], ["t"])
+    near = read(spark, lambda x: parsers.update_neighbours(x, 3), "NEIGHBOR 0:\nCONTEXT: one\nTAGS: a, b\n\nNEIGHBOR 1:\nCONTEXT: two\nTAGS: c")
+    assert [(x.context, x.tags) for x in near] == [("one", ["a", "b"]), ("two", ["c"]), ("", [])]
+    assert [x.context for x in read(spark, lambda x: parsers.update_neighbours(x, 2), '{"new_context_neighborhood": ["k"], "new_tags_neighborhood": [["t"]]}')] == ["k", ""]
+    assert [tuple(read(spark, parsers.judged, x)) for x in ('{"label": " correct "}', '{"label": "wrong"}', "{}", "It is WRONG.", None)] == [("CORRECT", 1.0), ("WRONG", 0.0), ("WRONG", 0.0), ("ERROR", 0.0), ("ERROR", 0.0)]
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [("RELATIONSHIP: update\nREASON: newer", "updates"), ("relationship: Contradiction", "contradicts"), ("RELATIONSHIP: odd\nRELATIONSHIP: independent", "independent"), ("it is an update", "updates"), ("it contradicts that", "contradicts"), ("an update, or independent", "independent"), ("no idea", None), ("", None)],
+)
 def test_verdicts(spark, raw, want):
     assert read(spark, parsers.verdict, raw) == want
 
 
 def test_first_of_two(spark):
-    q = "Which came first, the trip or the wedding?"
-    long = "According to the notes the wedding took place first, and the trip followed in June."
-    assert parsers.choose_first(q, long) == "wedding" and parsers.choose_first(q, "the trip") == "the trip"
-    assert parsers.choose_first(q, "It is unclear from what I have whether the wedding was first or not.").startswith("It is unclear")
-    assert parsers.options("Which was earlier, 'a b' or 'c'?") == ["a b", "c"]
-    df = spark.createDataFrame([(q, long)], "q string, a string").select(parsers.first_of_options()("q", "a").alias("v"))
-    assert df.first().v == "wedding"
-
-
-@pytest.mark.parametrize(("text", "want"), [("on 2023-05-07.", "on 7 May 2023."), ("May 7, 2023", "7 May 2023"), ("7th of Sept 2023", "7 September 2023"), ("2023/13/01 and Xyz 3, 2020", "2023/13/01 and Xyz 3, 2020")])
-def test_canonical_dates(text, want):
+    q = "Which event happened first, the trip or the wedding?"
+    said = "ANSWER: the wedding took place first, and the trip followed in June."
+    assert parsers.choose_first(q, said) == "the wedding" and parsers.choose_first(q, "the trip") == "the trip"
+    assert parsers.choose_first(q, "It is not specified whether the wedding was first.", "none") == "none"
+    assert parsers.choose_first("Which trip have I never done first, A b or C d?", "A b first", "none") == "none"
+    assert parsers.choose_first(q, "the wedding " + "x" * 100 + " first", "none") == "none"
+    assert parsers.choose_first("Who came first, it or the old man from the house on the far hill?", "the old man from the house on the far hill first", "none") == "none"
+    assert parsers.options("Which book did I read first, 'The Sea' or 'The Land'?") == ["'The Sea'", "'The Land'"]
+    assert parsers.choose_first("Which book did I read first, 'The Sea' or 'The Land'?", "You read The Land first") == "'The Land'"
+    df = spark.createDataFrame([(q, said)], "q string, a string").select(parsers.first_of_options()("q", "a").alias("v"))
+    assert df.first().v == "the wedding"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("on 2021-03-09.", "on 9 march 2021."), ("Sep 4, 1999", "4 september 1999"), ("4 Febuary 2001", "4 february 2001"), ("2021/13/01 and Xyz 3, 2020", "2021/13/01 and Xyz 3, 2020"), ("in June, 2010 or 2011-02", "in june 2010 or february 2011"), ("3 May 1850", "3 May 1850"), (None, "")],
+)
+def test_canonical_dates(spark, text, want):
     assert parsers.canonical_dates(text) == want
+    assert read(spark, parsers.with_canonical_dates(), text) == want
 
 
 def test_support_paths(spark):
     s = spark.createDataFrame([(1, 1, "a", 1)], "qid int, conv int, node string, seed_rank int")
     e = spark.createDataFrame([(1, "a", "b", "causes", 0.9, 1), (1, "a", "c", "causes", 0.9, 2)], "conv int, src string, dst string, edge_type string, confidence double, adj_pos long")
-    k = spark.createDataFrame([(1, n, "event") for n in "abc"], "conv int, node string, kind string")
-    sims = spark.createDataFrame([(1, "a", 0.1, 0.2, False, "nothing"), (1, "b", 0.9, 0.2, True, "a red bicycle"), (1, "c", 0.3, 0.2, False, "blue")], "qid int, node string, answer_sim double, query_sim double, is_answer boolean, text string")
-    got = support.support_paths(s, e, k, sims, spark.createDataFrame([(1, "the red bicycle")], "qid int, answer string"), depth=1).collect()
-    assert [(r.path_rank, r.score, r.grounding) for r in got] == [(1, round(0.35 * 0.9 + 0.05 + 0.25 + 0.15 + 0.15, 6), 1.0)]
+    k = spark.createDataFrame([(1, n, "event", 1.0, t) for n, t in (("a", "a start"), ("b", "a red bicycle"), ("c", "blue"))], "conv int, node string, kind string, update_val double, state_change string")
+    k = k.select("conv", "node", "kind", F.lit(None).cast("date").alias("day"), "update_val", "state_change", F.lit("2020-01-01").alias("time_anchor"), F.lit("action").alias("event_type"), F.lit(None).cast("string").alias("text"))
+    sims = spark.createDataFrame([(1, "a", 0.1, 0.2, False), (1, "b", 0.9, 0.2, True), (1, "c", 0.3, 0.2, False)], "qid int, node string, answer_sim double, query_sim double, is_answer boolean")
+    found = support.support_paths(s, e, k, sims, spark.createDataFrame([(1, "the red bicycle", "which bicycle?")], "qid int, answer string, query string"), depth=1)
+    assert [(r.path_rank, r.score, r.grounding) for r in found.collect()] == [(1, round(0.35 * 0.9 + 0.05 + 0.25 * 0.9 + 0.15 + 0.15, 6), 1.0)]
+    told = spark.createDataFrame([(1, "b", "He sold it. The bicycle was red and new! Red.")], "conv int, node string, summary string")
+    assert support.explained(found, told).first().explanation == "E1 (a start, 2020-01-01, action)\n  --[causes]-->\nE2 (a red bicycle, 2020-01-01, action)\n  [Detail: \"The bicycle was red and new\"]\nScore: 0.89 (neural=0.90, conf=0.90, temporal=1, update=0.2)"
     rows = spark.createDataFrame([(1, "path", 0.9, 0), (1, "path", 0.8, 1), (1, "path", 0.7, 2), (1, "direct", 0.1, 0), (1, "direct", 0.05, 1)], "qid int, origin string, score double, ord int")
     assert sorted(r.score for r in support.explanation_pick(rows).collect()) == [0.1, 0.8, 0.9]
     n = spark.createDataFrame([(0.5,), (0.1,), (None,)], "sim double")

@@ -56,8 +56,13 @@ def test_haystacks(spark, tmp_path):
     assert [(r.session_id, r.ordinal, r.num_turns) for r in got] == [("c", 0, 1), ("a", 1, 1), ("b", 2, 1)]
     assert got[1].ts == "2023-05-20 02:21:00"
     q = h.questions().orderBy("rec").collect()
-    assert q[0].category == 3 and q[0].question == "(Asked on 2023/05/30 (Tue) 10:00) Q?" and q[0].answer == "5" and [r.adversarial for r in q] == [False, True]
+    assert q[0].category == 3 and q[0].question == "Date of user query: 2023/05/30 (Tue) 10:00\nUser: Q?" and q[0].answer == "5" and [r.adversarial for r in q] == [False, True]
     assert {r.content for r in h.notes().collect()} == {f"User said: {x}" for x in "abc"}
+    cache = spark.createDataFrame([("b", "short")], "session_id string, summary string")
+    said = {r.session_id: (r.summary_key, r.summary) for r in h.summaries(cache).collect()}
+    assert said["b"] == ("session_3_summary", "short") and said["a"] == ("session_2_summary", "On 2023/05/20 (Sat) 02:21, the session contained these exchanges: User said: a")
+    keys = spark.createDataFrame([("session_1_summary",), ("session_9_summary",), ("odd",)], "summary_key string")
+    assert {r.summary_key: r.session_id for r in readers.sessions_of_keys(keys, h.sessions()).collect()} == {"session_1_summary": "c", "session_9_summary": None, "odd": None}
     path.write_text(json.dumps([haystack(["b", "a"], ["2023/05/21 (Sun) 02:00"])]))
     with pytest.raises(PySparkException):
         readers.Haystacks(spark, str(path)).sessions().collect()
@@ -117,14 +122,27 @@ def test_text_functions(spark):
     v = lambda c, x: value(spark, c(F.col("x")), x=x)
     assert v(text.tokens, "Hello, World! it.is") == ["hello", "world", "it", "is"]
     assert v(text.key_terms, "The cat's a Über cat") == ["cat", "über"]
-    assert v(text.heuristic_keywords, "the big Apple fell on Newton and big head") == ["Apple", "Newton", "big", "fell", "head"]
+    assert v(text.heuristic_keywords, "the big Apple fell on Newton and big head") == ["apple", "newton", "big", "fell", "head"]
+    assert v(text.heuristic_keywords, "over abc1 été big_one it's The Thing thing") == ["thing"]
+    assert v(text.heuristic_context, "Costs 3.5 now. Then more.") == "Costs 3.5 now." and v(text.heuristic_context, "no end" + "x" * 300) == "no end" + "x" * 194
     assert v(text.list_items, '- "a"\n2) b\n* c, d') == ["a", "b", "c", "d"]
     assert v(text.strip_fences, "```json\n{}\n```") == "{}" and v(text.json_block, 'x {"a": {}} y') == '{"a": {}}'
     assert value(spark, text.section(F.col("x"), "context", "tags"), x="Keywords: a\nContext: b c\nTags: d") == "b c"
     assert v(text.normalize_role, " assistant ") == "Assistant" and v(text.normalize_role, "") == "Unknown"
-    assert v(text.question_type, "When did he go?") == "temporal" and v(text.question_type, "Who went?") == "default"
-    assert v(text.session_number, "session_12_summary") == 12 and v(text.session_number, "none") == 0
+    kinds = {"When did he go?": "temporal", "What time is it?": "temporal", "How old is she?": "temporal", "Since when?": "temporal", "In what year was it?": "temporal", "Who went first?": "default", "What came before?": "default", "Whenever": "default"}
+    assert {q: v(text.question_type, q) for q in kinds} == kinds
+    assert v(text.session_number, "session_12_summary") == 12 and v(text.session_number, "none") == 0 and v(text.session_number, "session_3") == 0
+    assert not v(text.is_order_question, "Which did she never see first?") and v(text.is_order_question, "which event took place?")
+    pick = lambda c, q, o: value(spark, text.prompt_template(F.lit(c), F.lit(q), F.lit(o)), x="")
+    assert [pick(3, "temporal", ""), pick(1, "temporal", "single-session-preference"), pick(2, "temporal", "x"), pick(1, "default", None)] == ["open", "preference", "temporal", "default"]
     assert v(text.token_count, " a  b ") == 2 and v(text.is_order_question, "Which came first, A or B?")
+    turns = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(c).alias("content")) for r, c in (("user", " hi "), ("", ""), (None, "x"))))
+    assert value(spark, text.render_turns(turns), x="") == "user: hi\nunknown: \nunknown: x"
+    assert value(spark, text.render_dialogue(turns, F.lit("2020/01/02")), x="") == "On 2020/01/02, the session contained these exchanges: User said: hi Unknown said: x"
+    note = lambda m: value(spark, text.render_note_fields(F.lit("t"), F.lit("c"), F.lit("k"), F.array(F.lit("a"), F.lit("b")), F.lit(None).cast("array<string>"), m), x="")
+    assert note("full") == "talk start time:tmemory content: cmemory context: kmemory keywords: ['a', 'b']memory tags: []" == note("odd")
+    assert note("no_context") == "talk start time:tmemory content: cmemory keywords: ['a', 'b']memory tags: []" and note("minimal") == "talk start time:tmemory content: c"
+    assert text.safe_name("a/b") == "a_b"
     assert v(text.is_abstention, "This is not mentioned.") and len(v(text.prompt_hash, "p")) == 16
 
 
@@ -140,10 +158,24 @@ def test_vectors_and_metrics(spark):
     assert got[None]["count"] == 4 and got[None].mean == 2.5 and got[5].std == 0
 
 
+def test_categories_are_the_fixed_ones():
+    assert [readers.CATEGORIES[k] for k in ("single-session-user", "single-session-assistant", "single-session-preference", "multi-session", "temporal-reasoning", "knowledge-update")] == [1, 1, 1, 2, 3, 4]
+
+
+def test_dense_numbers_without_one_window(spark):
+    import random
+
+    rows = random.Random(1).sample(range(10_000), 500)
+    df = spark.createDataFrame([(x, f"k{x}") for x in rows], "x int, k string").repartition(7)
+    got = readers.ranked(df, ["x"], "n")
+    assert [(r.x, r.n) for r in got.orderBy("x").collect()] == [(x, i) for i, x in enumerate(sorted(rows))]
+    assert readers.ranked(df.limit(0), ["x"], "n").count() == 0
+
+
 def test_topics(spark):
     rows = [(0, i, [1.0, 0.05 * i]) for i in range(4)] + [(0, 4 + i, [-1.0, 0.1 * i]) for i in range(9)]
-    got = hierarchy.assign_topics(spark.createDataFrame(rows, "conv int, seq int, v array<double>"), max_size=10).orderBy("seq").collect()
-    assert len(got) == 13 and got[0].topic == "g0_0" and max(r.generation for r in got) >= 1  # drifts start a new generation
+    got = hierarchy.assign_topics(spark.createDataFrame(rows, "conv int, seq int, v array<double>")).orderBy("seq").collect()
+    assert len(got) == 13 and got[0].topic == "0_0" and max(r.generation for r in got) >= 1  # drifts start a new generation
     assert {r.prefix: r.name for r in hierarchy.nickname_map(spark.createDataFrame([("anna",), ("annabel",), ("bob",)], "name string")).collect()} == {"anna": "anna", "annabel": "annabel", "annab": "annabel", "annabe": "annabel", "bob": "bob"}
     assert hierarchy.encode_texts(spark.createDataFrame([("a b",), (None,)], "x string"), "x").count() == 2
 

@@ -21,13 +21,15 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master alone, one made here if that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
     set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_by_hand.isDefined():
         return set_by_hand.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(where := f"file://{tempfile.mkdtemp(prefix='evograph-')}")
     return where
 
@@ -116,7 +118,8 @@ def bounded_ids(labels: DataFrame, id_col: str, limit: int) -> DataFrame:
 
 
 def text_each(df: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, _label, text: a row for each _id of known (a bounded sample) that df has; of an id's texts the one with the least hash."""
+    """doc_id, known's other columns, text: a row for each _id of known (a bounded sample) that df has; of an id's texts the one with the least hash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("doc_id"), F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("x")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
-    return rows.groupBy("doc_id", "_label").agg(F.min("x").alias("x")).select("doc_id", "_label", "x.text")
+    more = [c for c in known.columns if c != "_id"]
+    return rows.groupBy("doc_id", *more).agg(F.min("x").alias("x")).select("doc_id", *more, "x.text")

@@ -55,9 +55,11 @@ class Token:
 
 
 def parse(template: str) -> list[Token]:
-    """The template's places. Optional regions don't nest."""
+    """The template's places. Optional regions don't nest; one in another, or one without its end, is an error."""
     out, group, inside = [], 0, False
     for mark, text in re.findall(r"<<(.*?)>>|([^<]+)", template):
+        if mark in ("beginOptional", "endOptional") and inside == (mark == "beginOptional"):
+            raise ValueError(f"optional regions must begin and end in turn: {template!r}")
         if mark == "beginOptional":
             group, inside = group + 1, True
         elif mark == "endOptional":
@@ -67,6 +69,8 @@ def parse(template: str) -> list[Token]:
             out.append(Token(None, fields.get("match", ".+"), int(fields.get("max", 1)), group if inside else 0))
         elif not mark:
             out += [Token(w, group=group if inside else 0) for w in words(text)]
+    if inside:
+        raise ValueError(f"an optional region has no end: {template!r}")
     return out
 
 

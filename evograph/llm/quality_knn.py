@@ -7,7 +7,7 @@ all of them, block by block, and its score is the mean label of its nearest neig
 weighted by similarity. Labels, language, source and id are no inputs of a score.
 
 Defined cases: a null or empty text has the vector of its constant term, and so a score; texts of any
-length are scored whole; equal rows give equal results, a row each; without labelled rows every score is
+length are scored whole; voters as similar as the last of the nearest (to five digits) vote as well; equal rows give equal results, a row each; without labelled rows every score is
 0.5; a null id counts as held out; an empty table gives an empty result; only id and text are read.
 """
 
@@ -112,11 +112,11 @@ class Space:
         """Similarity-weighted mean labels of the nearest voters, from exact cosine products."""
         if not len(self.voters):
             return np.full(len(counts), 0.5)
-        similar = self.vectors(counts) @ self.voters.T
+        similar = np.round(self.vectors(counts) @ self.voters.T, 5)
         k = min(neighbours, len(self.voters))
-        near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(similar, near, 1), 1e-6).astype(np.float64) ** 4
-        return np.round(np.clip((weight * self.labels[near]).sum(1) / weight.sum(1), 0, 1), 6)  # equal texts get equal scores, whatever block they are in
+        near = similar >= np.partition(similar, -k, axis=1)[:, -k, None]
+        weight = np.where(near, np.maximum(similar, 1e-6), 0).astype(np.float64) ** 4
+        return np.round(np.clip(weight @ self.labels / weight.sum(1), 0, 1), 6)  # equal texts get equal scores, whatever block they are in
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -193,6 +193,10 @@ def _blocks(space: Space, texts: list[str], neighbours: int) -> np.ndarray:
 
 
 def keep_good(df: DataFrame, space: Space, threshold: float = 0.3, neighbours: int = NEIGHBOURS, text_col: str = "text") -> DataFrame:
-    """The rows of df with a score of at least the threshold, with all their columns and without a shuffle."""
+    """The rows of df with a score of at least the threshold, with all their columns and without a shuffle.
+
+    Null, empty and very long texts are scored as by score(); equal rows stay or go together, each a row; an
+    empty table gives an empty result; only the text is read, so other columns' names don't matter.
+    """
     sent = df.sparkSession.sparkContext.broadcast(space)
     return keep_rows(df, text_col, lambda texts: _blocks(sent.value, texts, neighbours) >= threshold)

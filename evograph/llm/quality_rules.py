@@ -103,10 +103,10 @@ def _covered(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray) -> Rule:
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray, most: int) -> Rule:
     """Adds the condition of the greatest gain until no good row is covered."""
     rule: list[Condition] = []
-    while len(rule) < MAX_CONDITIONS and (good := int((~bad[rows]).sum())):
+    while len(rule) < most and (good := int((~bad[rows]).sum())):
         p = int(bad[rows].sum())
         if not p:
             break
@@ -131,14 +131,17 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray) -> Rule:
     return tuple(rule)
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray) -> list[Rule]:
-    """Ordered rules that say what is bad. fold: 0 or 1 for rows to grow on, 2 for rows to prune on."""
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS, min_precision: float = MIN_PRECISION) -> list[Rule]:
+    """Ordered rules that say what is bad. fold: 0 or 1 for rows to grow on, 2 for rows to prune on.
+
+    max_rules, max_conditions: the list's and a rule's length at most; min_precision: what a rule needs on the pruning rows.
+    """
     n, rules, left = len(bad), [], np.ones(len(bad), bool)
-    while len(rules) < MAX_RULES:
+    while len(rules) < max_rules:
         grow, prune = np.flatnonzero(left & (fold < 2)), np.flatnonzero(left & (fold == 2))
         if not bad[grow].any() or not bad[prune].any():
             break
-        rule = _grow(x, bad, grow)
+        rule = _grow(x, bad, grow, max_conditions)
         if not rule:
             break
 
@@ -150,7 +153,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray) -> list[R
         rule = max((rule[:k] for k in range(1, len(rule) + 1)), key=worth)
         hit = _covered(rule, x, n) & left
         at = hit & (fold == 2)
-        if not at.any() or bad[at].mean() < MIN_PRECISION:
+        if not at.any() or bad[at].mean() < min_precision:
             break
         rules.append(rule)
         left &= ~hit

@@ -14,14 +14,16 @@ A task emits no links but a spanning forest of them (each fingerprint with a lea
 so a group of n near copies makes n rows, not n squared. Components then come from contraction rounds
 over that forest, in DataFrames; only a count per round reaches the driver.
 
-keep_one() is for whole near copies: its candidates come from bands of least hashes, and each link is
-checked on the shingle sets themselves.
+keep_one() is for whole near copies by Jaccard similarity. BK-trees over the SimHash of shingle sets give the
+first links; a SimHash can't tell all pairs of that similarity from others, so bands of least hashes give
+what the radius doesn't reach. Each link is checked on the shingle sets themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 from operator import and_
 
 import numpy as np
@@ -54,14 +56,16 @@ def fingerprint(text: str, width: int = 3, seeds: tuple[int, ...] = (42,), repea
     if not shingles:
         return [0] * len(seeds)
     shingles = shingles if repeats else set(shingles)
-    digest, out = xxhash.xxh64_intdigest, []
-    for seed in seeds:
-        h = np.array([digest(s, seed) for s in shingles], "<u8")
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(h), 65_536):
-            ones += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]))
-    return out
+    digest = xxhash.xxh64_intdigest
+    return [majority(np.array([digest(s, seed) for s in shingles], "<u8")) for seed in seeds]
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65_536):
+        ones += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(df: DataFrame, width: int = 3, seeds: tuple[int, ...] = (42,), repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,10 +194,18 @@ def _local_forest(shard: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: i
     return other, groups.of[other]
 
 
-def blocks(radius: int, words: int = 1) -> list[list[int]]:
-    """radius + 1 blocks of bits: fingerprints within the radius agree on one of them, so no link is lost."""
-    bits, n = 64 * words, radius + 1
-    return [list(range(bits * i // n, bits * (i + 1) // n)) for i in range(n)]
+def blocks(radius: int, words: int = 1, n: int = 0) -> list[list[int]]:
+    """Lists of bits: fingerprints within the radius agree on all bits of one of them, so no link is lost.
+
+    Of radius + 1 + e blocks, two such fingerprints agree on 1 + e at least, so each choice of 1 + e blocks is
+    a list. e is 0 unless shards of so few bits would hold more than SLICE of n fingerprints on the mean.
+    """
+    bits, more = 64 * words, 0
+    while more < 3 and n > SLICE << (1 + more) * bits // (radius + 1 + more):
+        more += 1
+    m = radius + 1 + more
+    parts = [list(range(bits * i // m, bits * (i + 1) // m)) for i in range(m)]
+    return [sum(chosen, []) for chosen in combinations(parts, 1 + more)]
 
 
 def _banded(fps: DataFrame, words: list[str], cuts: list[list[int]]) -> DataFrame:
@@ -277,11 +289,11 @@ def groups_of(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _named(df: DataFrame, radius: int, width: int, seeds: tuple[int, ...], repeats: bool, cuts: list[list[int]], id_col: str, text_col: str) -> DataFrame:
+def _named(df: DataFrame, radius: int, width: int, seeds: tuple[int, ...], repeats: bool, id_col: str, text_col: str) -> DataFrame:
     """doc_id, fp, component_id for each row of df."""
     fps = cut(fingerprints(df, width, seeds, repeats, id_col, text_col))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = groups_of(links(distinct.select("fp"), radius, cuts))
+    labels = groups_of(links(distinct.select("fp"), radius, blocks(radius, len(seeds), distinct.count())))
     named = cut(distinct.join(labels, "fp", "left").select("fp", "least", F.coalesce("lab", "fp").alias("lab")))
     least = cut(named.groupBy("lab").agg(F.min("least").alias("component_id")))
     member = cut(named.select("fp", "lab").join(least, "lab").select("fp", "component_id"))
@@ -296,12 +308,12 @@ def components(df: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, i
     links on, and a component of null ids alone has a null component_id; an empty table gives an empty
     result; only id and text are read, so other columns don't matter.
     """
-    found = _named(df, radius, width, (seed,), True, blocks(radius), id_col, text_col)
+    found = _named(df, radius, width, (seed,), True, id_col, text_col)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp.f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Whole near copies (five words, Jaccard 0.8 or more) are met in N_SAMPLES bands of SAMPLE least hashes each.
-N_SAMPLES, SAMPLE = 32, 5
+#: Whole near copies (five words, Jaccard 0.8 or more) are met within RADIUS bits of SimHash, or else in N_SAMPLES bands of SAMPLE least hashes each.
+RADIUS, N_SAMPLES, SAMPLE = 3, 32, 5
 #: Links over which labels travel before what is left apart is compared pair by pair (more or fewer: the same result).
 STEPS = 3
 _TURNS = np.random.default_rng(5).integers(0, 1 << 63, (2, N_SAMPLES * SAMPLE), np.uint64)
@@ -330,14 +342,24 @@ def bands_of(hashes: np.ndarray) -> list[int]:
 
 
 def _sketches(df: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp: the name of the text's shingle set in 128 bits, n: its size, bands."""
+    """doc_id, fp: the name of the text's shingle set in 128 bits, n: its size, simhash, bands."""
 
     def make(texts: list[str]) -> dict[str, list]:
         sets = [shingle_set(t, width) for t in texts]
         names = [[xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for x in sets] for k in (1, 2)]
-        return {"f0": names[0], "f1": names[1], "n": list(map(len, sets)), "bands": list(map(bands_of, sets))}
+        simhash = np.array([majority(x) for x in sets], np.uint64).view(np.int64)
+        return {"f0": names[0], "f1": names[1], "n": list(map(len, sets)), "simhash": simhash, "bands": list(map(bands_of, sets))}
 
-    return over_texts(df, "id", "text", "f0 bigint, f1 bigint, n int, bands array<bigint>", make).select("doc_id", F.struct("f0", "f1").alias("fp"), "n", "bands")
+    return over_texts(df, "id", "text", "f0 bigint, f1 bigint, n int, simhash bigint, bands array<bigint>", make).select("doc_id", F.struct("f0", "f1").alias("fp"), "n", "simhash", "bands")
+
+
+def _tree_stars(distinct: DataFrame) -> DataFrame:
+    """fp, n, and the pivot (to, its size m) and weight of sets whose SimHash the BK-trees link; a component's largest set is its pivot."""
+    prints = cut(distinct.select(F.struct(F.col("simhash").alias("f0")).alias("fp")).distinct())
+    named = groups_of(links(prints, RADIUS, blocks(RADIUS, 1, prints.count()))).select(F.col("fp.f0").alias("simhash"), F.col("lab.f0").alias("tree"))
+    sets = distinct.select("fp", "n", "simhash").join(named, "simhash", "left").select("fp", "n", F.coalesce("tree", "simhash").alias("tree"))
+    pivot = sets.groupBy("tree").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "fp")).alias("top")).where("k > 1").select("tree", F.col("k").alias("weight"), F.col("top.fp").alias("to"), F.col("top.n").alias("m"))
+    return cut(sets.join(pivot, "tree").select("fp", "n", "weight", "to", "m"))
 
 
 def _alike(similarity: float) -> Column:
@@ -349,22 +371,25 @@ def _alike(similarity: float) -> Column:
 def _near(df: DataFrame, similarity: float, width: int) -> DataFrame:
     """doc_id, component_id for each row of df (id, text): components of the links between shingle sets that are alike.
 
-    Sets that agree on a band are candidates. Those of a band's value are first compared with one of
-    them, the one that meets most others; what is linked with that gets its label, so in a group of n near
+    Sets that the BK-trees over their SimHashes link, or that agree on a band, are candidates. Those of a
+    tree's component or of a band's value are first compared with one of them (the largest, or the one that
+    meets most others); what is linked with that gets its label, so in a group of n near
     copies about n pairs are compared. Then, where a band's value still has several labels, each two sets
     of different ones are. A pair is left out only if its ends are linked already, so no link is lost.
     """
     rows = cut(_sketches(df, width))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("simhash").alias("simhash"), F.any_value("bands").alias("bands")))
+    trees = _tree_stars(distinct)
     at = ["band", "value"]
     members = distinct.select("fp", "n", F.posexplode("bands").alias(*at))
     met = members.groupBy(*at).agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     mates = cut(members.join(met, at))
     weight = mates.groupBy("fp").agg(F.sum("met").alias("weight"))
-    pivot = mates.join(weight, "fp").groupBy(*at).agg(F.max(F.struct("weight", "fp", "n")).alias("pivot"))
+    pivot = mates.join(weight, "fp").groupBy(*at).agg(F.max(F.struct("weight", "fp", "n")).alias("top")).select(*at, F.col("top.weight").alias("weight"), F.col("top.fp").alias("to"), F.col("top.n").alias("m"))
     sized = lambda x, y: (F.least(x, y) >= F.floor(F.greatest(x, y) * F.lit(similarity)))
     ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = mates.join(pivot, at).where(F.col("fp") != F.col("pivot.fp")).where(sized(F.col("n"), F.col("pivot.n"))).select(*ends(F.col("fp"), F.col("pivot.fp")), F.col("pivot.weight").alias("weight"), F.col("pivot.fp").alias("to"))
+    met_at = mates.join(pivot, at).select("fp", "n", "weight", "to", "m").unionByName(trees)
+    stars = met_at.where((F.col("fp") != F.col("to")) & sized(F.col("n"), F.col("m"))).select(*ends(F.col("fp"), F.col("to")), "weight", "to")
     stars = cut(stars.distinct())
 
     def listed(texts: list[str]) -> dict[str, list]:
@@ -372,7 +397,7 @@ def _near(df: DataFrame, similarity: float, width: int) -> DataFrame:
         return {"items": [x.view(np.int64) for x in sets]}
 
     # Only sets that have a candidate are made again from their texts, each by the row of least id.
-    named = distinct.join(weight, "fp", "left_semi").select("fp", F.col("least").alias("id"))
+    named = distinct.join(weight.select("fp").unionByName(trees.select("fp")), "fp", "left_semi").select("fp", F.col("least").alias("id"))
     texts = df.join(named, "id").dropDuplicates(["fp"])
     sets = cut(over_texts(texts, "fp", "text", "items array<bigint>", listed).select(F.col("doc_id").alias("fp"), "items"))
     side = lambda end: sets.select(F.col("fp").alias(end), F.col("items").alias(f"items_{end}"))
@@ -407,6 +432,10 @@ def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str
     (0.999997), nearer pairs more surely; equal sets always are one.
     Rows are told apart by id and text, so rows without an id take part, too; of rows that agree in
     both, one stays. Columns and their names stay as they are.
+
+    Defined cases: null and empty texts and those without words have one empty set and are one group; a text
+    of fewer words than `width` is one shingle; texts of any length are taken whole; an empty table gives
+    an empty result; further columns, whatever their names, pass through.
     """
     whole = lambda: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), whole().alias("h"))

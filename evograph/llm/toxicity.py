@@ -4,9 +4,13 @@ Categories are predicted one after another; each model is a logistic regression
 and their beginnings, and over the probabilities of all earlier categories. In training, those come from out-of-fold
 predictions, so later models see earlier ones as wrong as they will be. The last link is the label itself.
 
-A category's training label is the table's label together with a seed word of the category in the text.
+A category's training label is a column of the labels table, where such columns are named. The table at hand
+says no more than toxic or not; there the categories are groups of toxic rows that are found in the sample:
+the rows' words that go with the label are clustered (spherical k-means from far-apart rows), and each group
+is a category. No word is given by hand.
+
 Models are fitted on a bounded sample of labelled rows; word counts for them are made by Spark, and only
-FEATURES words and the rows' positions among them reach the driver. Every document is then scored on its
+max_features words and the rows' positions among them reach the driver. Every document is then scored on its
 whole text.
 
 Defined cases: a null or empty text has the scores of a text without words; texts of any length are
@@ -28,17 +32,10 @@ from pyspark.sql import functions as F
 
 from evograph.llm.common import bounded_ids, chunks, cut, keep_rows, over_texts, text_each
 
-#: Labelled rows to fit on, at most; words that the models see; folds of the out-of-fold predictions.
+#: Labelled rows to fit on, at most; words that the models see, at most; folds of the out-of-fold predictions.
 MAX_FIT_ROWS, FEATURES, FOLDS = 6000, 192, 5
-#: Least documents of the sample that a word must be in.
-MIN_DOCUMENTS = 5
-
-#: Categories in the order of the chain, with their seed words.
-SEEDS = {
-    "insult": ["clown", "fool", "idiot", "imbecile", "loser", "moron", "stupid"],
-    "contempt": ["hopeless", "pathetic", "useless", "worthless"],
-    "revulsion": ["disgusting", "filth", "garbage", "scum", "trash", "vermin", "vile"],
-}
+#: Least documents of the sample that a word must be in; groups of toxic rows where no category columns are named.
+MIN_DOCUMENTS, GROUPS = 5, 3
 LAST = "toxic"
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 97 <= c <= 122 else 32 for c in range(256))
@@ -109,6 +106,22 @@ class Chain:
         return x[:, len(self.words) :]
 
 
+def grouped(x: np.ndarray, groups: int) -> np.ndarray:
+    """A group's number for each row of x (presence of words), by spherical k-means; the same for the same rows. Groups are numbered by size."""
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = [unit[int(x.sum(1).argmax())]]
+    while len(centres) < groups:  # the row that is farthest from all centres so far
+        centres.append(unit[int((unit @ np.array(centres).T).max(1).argmin())])
+    of = np.zeros(len(x), int)
+    for _ in range(20):
+        of = (unit @ np.array(centres).T).argmax(1)
+        means = [unit[of == g].mean(0) if (of == g).any() else centres[g] for g in range(groups)]
+        centres = [m / max(np.linalg.norm(m), 1e-12) for m in means]
+    rank = np.empty(groups, int)
+    rank[np.argsort(-np.bincount(of, minlength=groups), kind="stable")] = np.arange(groups)
+    return rank[of]
+
+
 def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, vocabulary: dict[bytes, int], categories: list[str]) -> Chain:
     """x: presence of words; y: a column of labels for each category; fold: a number for each row."""
     weights, seen = [], x
@@ -133,24 +146,29 @@ def best_threshold(p: np.ndarray, label: np.ndarray) -> float:
     return float(np.clip((ranked[k] + (ranked[k + 1] if k + 1 < len(p) else 0)) / 2, 0.1, 0.9))
 
 
-def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_FIT_ROWS, seeds: dict[str, list[str]] | None = None) -> Chain:
-    """The chain of a table's labels, from at most max_rows labelled documents chosen by a hash of the id."""
-    seeds = SEEDS if seeds is None else seeds
-    categories = [*seeds, LAST]
-    known = bounded_ids(labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label")), "_id", max_rows)
+def fit(
+    df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", category_cols: tuple[str, ...] = (),
+    max_rows: int = MAX_FIT_ROWS, max_features: int = FEATURES, min_documents: int = MIN_DOCUMENTS, groups: int = GROUPS,
+) -> Chain:
+    """The chain of a table's labels, from at most max_rows labelled documents chosen by a hash of the id.
+
+    category_cols: columns of labels (0, 1; null is 0) in the order of the chain; none: `groups` groups are found.
+    Words must be in min_documents documents of the sample; the max_features most associated with the label are used.
+    """
+    categories = [*(category_cols or (f"group{i + 1}" for i in range(groups))), LAST]
+    flags = F.array(*(F.coalesce(F.max(F.col(c).cast("int")), F.lit(0)) for c in category_cols)) if category_cols else F.array().cast("array<int>")
+    known = bounded_ids(labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"), flags.alias("_flags")), "_id", max_rows)
     src = text_each(df, known, id_col, text_col)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            found = [words(t) for t in part.column(2).to_pylist()]
-            flags = [[int(any(s.encode() in w for s in group)) for group in seeds.values()] for w in found]
-            found = [features(w) for w in found]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1), pa.array(flags, pa.list_(pa.int32())), pa.array([sorted(w) for w in found], pa.list_(pa.binary()))], names=["doc_id", "label", "flags", "words"])
+            found = [features(words(t)) for t in part.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), *part.columns[1:3], pa.array([sorted(w) for w in found], pa.list_(pa.binary()))], names=["doc_id", "label", "flags", "words"])
 
     # The sample has max_rows rows at most, so what follows doesn't grow with the corpus.
     sample = cut(src.mapInArrow(listed, "doc_id string, label int, flags array<int>, words array<binary>"))
     hits = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    per_word = sample.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), hits(F.col("label") > 0).alias("p")).where(F.col("n") >= MIN_DOCUMENTS)
+    per_word = sample.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), hits(F.col("label") > 0).alias("p")).where(F.col("n") >= min_documents)
     total = sample.agg(F.count(F.lit(1)).alias("n"), hits(F.col("label") > 0).alias("p")).first()
     n, p = total.n or 0, total.p or 0
     if not 0 < p < n:
@@ -159,8 +177,9 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
     a, b = F.col("p"), F.col("n") - F.col("p")
     c, d = F.lit(p) - a, F.lit(n - p) - b
     odds = (a * d - b * c).cast("double")
-    score = n * odds * odds / ((a + b) * (c + d) * F.lit(float(p)) * F.lit(float(n - p)))
-    chosen = [bytes(r.word) for r in per_word.select("word", score.alias("s")).orderBy(F.desc("s"), "word").limit(FEATURES).collect()]
+    score = F.coalesce(n * odds * odds / F.nullif((a + b) * (c + d) * F.lit(float(p)) * F.lit(float(n - p)), F.lit(0.0)), F.lit(0.0))  # a word that all have says nothing
+    best = per_word.select("word", score.alias("s"), (odds > 0).alias("up")).orderBy(F.desc("s"), "word").limit(max_features).collect()
+    chosen = [bytes(r.word) for r in best]
     vocabulary = {w: i for i, w in enumerate(chosen)}
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +192,13 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
     for i, r in enumerate(rows):
         x[i, r["at"]] = 1
     label = np.array([r.label > 0 for r in rows], float)
-    y = np.column_stack([*(label * np.array([r.flags[k] for r in rows]) for k in range(len(seeds))), label])
+    if category_cols:
+        parts = [np.array([r.flags[k] for r in rows], float) for k in range(len(category_cols))]
+    else:
+        of = np.full(len(rows), -1)
+        of[label > 0] = grouped(x[label > 0][:, [r.up for r in best]], groups)
+        parts = [(of == g).astype(float) for g in range(groups)]
+    y = np.column_stack([*parts, label])
     fold = np.array([zlib.crc32(r.doc_id.encode()) % FOLDS for r in rows])
     return fit_chain(x, y, fold, vocabulary, categories)
 
@@ -192,7 +217,11 @@ def score(df: DataFrame, chain: Chain, threshold: float | None = None, id_col: s
 
 
 def keep_clean(df: DataFrame, chain: Chain, threshold: float | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of df that the chain doesn't call toxic, with all their columns and without a shuffle."""
+    """The rows of df that the chain doesn't call toxic, with all their columns and without a shuffle.
+
+    Null, empty and very long texts are scored as by score(); equal rows stay or go together, each a row; an
+    empty table gives an empty result; only the text is read, so other columns' names don't matter.
+    """
     threshold = chain.threshold if threshold is None else threshold
     sent = df.sparkSession.sparkContext.broadcast(chain)
     return keep_rows(df, text_col, lambda texts: sent.value.predict(sent.value.present(texts))[:, -1] < threshold)

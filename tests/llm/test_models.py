@@ -99,6 +99,76 @@ def test_chain_finds_words_and_learns_out_of_fold():
     assert len(chain.weights[2]) == 6 + 2 + 1
 
 
+def test_each_link_is_the_optimum_on_out_of_fold_probabilities():
+    """Brute force of the fit: the gradient of each link's penalised likelihood is zero, on inputs made fold by fold."""
+    rng = np.random.default_rng(1)
+    x = (rng.random((300, 5)) < 0.3).astype(float)
+    y = np.column_stack([x[:, 0] * (rng.random(300) < 0.8), np.maximum(x[:, 1], x[:, 2] * (rng.random(300) < 0.5)), np.maximum(x[:, 0], x[:, 1])])
+    fold = np.arange(300) % 4
+    chain = toxicity.fit_chain(x, y, fold, {bytes([97 + i]): i for i in range(5)}, ["a", "b", "toxic"])
+
+    def gradient(rows, label, w):
+        rows = np.hstack([rows, np.ones((len(rows), 1))])
+        out = -np.array([0.2] * (len(w) - 1) + [1e-3]) * w
+        for r, t in zip(rows, label):
+            out += r * (t - 1 / (1 + np.exp(-float(sum(a * b for a, b in zip(r, w))))))
+        return np.abs(out).max()
+
+    seen = x
+    for k, w in enumerate(chain.weights):
+        assert gradient(seen, y[:, k], w) < 1e-4
+        column = np.empty(300)
+        for f in range(4):
+            part = toxicity.logistic(seen[fold != f], y[fold != f, k])
+            assert gradient(seen[fold != f], y[fold != f, k], part) < 1e-4
+            column[fold == f] = [1 / (1 + np.exp(-(sum(a * b for a, b in zip(r, part)) + part[-1]))) for r in seen[fold == f]]
+        seen = np.hstack([seen, column[:, None]])
+
+
+def test_toxicity_query_is_brute_force(spark):
+    """Every document's probabilities and verdict by plain Python from the fitted weights."""
+    import re
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = queries.op8_toxicity(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        found = {bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in re.findall(rb"[A-Za-z\x80-\xff]+", (texts[r.doc_id] or "").encode())}
+        row = [float(f in found if not f.endswith(b"-") else any(len(w) >= len(f) and w.startswith(f[:-1]) for w in found)) for f in chain.words]
+        for name, w in zip(chain.categories, chain.weights):
+            z = sum(a * b for a, b in zip(row, w)) + w[-1]
+            row.append(1 / (1 + np.exp(-min(30, max(-30, z)))))
+            assert abs(r[f"p_{name}"] - row[-1]) < 1e-9
+        assert r.toxic == (row[-1] >= chain.threshold)
+
+
+def test_groups_of_toxic_rows_and_category_columns(spark):
+    a, b = [1, 1, 0, 0], [0, 0, 1, 1]
+    of = toxicity.grouped(np.array([a, b, a, a, [1, 0, 0, 0], b], float), 2)
+    assert of.tolist() == [0, 1, 0, 0, 0, 1]
+    assert set(toxicity.grouped(np.zeros((3, 2)), 3).tolist()) == {0}
+    rows = [(i, ["a vile clown here", "such useless scum", "good plain words"][i % 3] + f" number{i}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 < 2), int(i % 3 == 0), int(i % 3 == 1) if i % 2 else None) for i in range(90)], "doc_id long, toxic int, mockery int, contempt int")
+    chain = toxicity.fit(docs, labels, category_cols=("mockery", "contempt"))
+    assert chain.categories == ["mockery", "contempt", "toxic"]
+    got = toxicity.score(docs, chain).collect()
+    assert all((r.p_mockery > 0.5) == (r.doc_id % 3 == 0) and r.toxic == (r.doc_id % 3 < 2) for r in got)
+    found = toxicity.score(docs, toxicity.fit(docs, labels, groups=2)).collect()
+    assert all(r.toxic == (r.doc_id % 3 < 2) and max(r.p_group1, r.p_group2) > 0.5 for r in found if r.doc_id % 3 < 2)
+
+
+def test_filtering_stages_on_odd_rows(spark):
+    rows = [(1, None, "en"), (2, "", None), (None, "a plain text", "en"), (3, "word " * 30_000, "de"), (4, "twice", "fr"), (4, "twice", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("_label", F.lit(7))
+    none = spark.createDataFrame([], LABELS)
+    for kept in (toxicity.keep_clean(docs, toxicity.fit(docs, none)), quality_knn.keep_good(docs, quality_knn.fit(docs, none))):
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+    assert toxicity.keep_clean(docs.limit(0), toxicity.fit(docs, none)).count() == 0
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = F.pmod(F.col("doc_id"), F.lit(3)) == 0
@@ -127,17 +197,28 @@ def test_odd_rows_and_labels(spark, labels):
 
 
 def test_knn_is_brute_force(spark):
+    """All documents: the similarity to every voter one by one, and the vote of the nearest with those that are as near as the last."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     space = quality_knn.fit(docs, labels)
     texts = {r.doc_id: r.text for r in docs.collect()}
-    for r in queries.op9_quality_knn(spark, SF).collect()[:60]:
-        v = space.vectors(quality_knn.terms(texts[r.doc_id])[None])[0]
-        sims = sorted(((float(v @ u), y) for u, y in zip(space.voters, space.labels)), key=lambda x: -x[0])[: quality_knn.NEIGHBOURS]
-        w = [max(s, 1e-6) ** 4 for s, _ in sims]
-        assert abs(r.score - sum(a * y for a, (_, y) in zip(w, sims)) / sum(w)) < 1e-3
+    rows = queries.op9_quality_knn(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        v = space.vectors(quality_knn.terms(texts[r.doc_id] or "")[None])[0].astype(float)
+        sims = [float((v * u).sum()) for u in space.voters.astype(float)]
+        last = sorted(sims)[-min(len(sims), quality_knn.NEIGHBOURS)]
+        near = [(max(x, 1e-6) ** 4, y) for x, y in zip(sims, space.labels) if x >= last - 5e-6]
+        assert abs(r.score - sum(a * y for a, y in near) / sum(a for a, _ in near)) < 1e-2
         assert r.predicted == (r.score >= 0.3)
 
 
+def test_knn_ties_vote_together():
+    unit = np.eye(2, dtype=np.float32)
+    space = quality_knn.Space(np.ones(quality_knn.N_TERMS, np.float32), np.zeros((quality_knn.N_TERMS, 2), np.float32), np.repeat(unit[:1], 6, 0), np.array([1, 0, 0, 0, 0, 1.0]))
+    space.vectors = lambda counts: np.repeat(unit[:1], len(counts), 0)
+    assert space.scores(np.zeros((3, 1)), 2).tolist() == [round(2 / 6, 6)] * 3  # all six are as near as the second
+
+
 def test_knn_held_out(spark):
     import zlib
 

@@ -86,6 +86,17 @@ def test_trees_and_slices(spark):
         assert np.array_equal(groups.of, want.of)
 
 
+def test_blocks_lose_no_link():
+    """Fingerprints within the radius agree on one list of bits, at every number of blocks; shards get smaller as fingerprints grow."""
+    rng = np.random.default_rng(9)
+    for n, keys in ((0, 4), (1 << 32, 10), (1 << 42, 20)):
+        cuts = simhash.blocks(3, 1, n)
+        assert len(cuts) == keys
+        for _ in range(300):
+            flipped = set(rng.choice(64, 3, replace=False).tolist())
+            assert any(not flipped & set(bits) for bits in cuts)
+
+
 def test_long_chains_are_one_component(spark):
     n = 60
     edges = spark.createDataFrame([((i,), (i + 1,)) for i in range(n)], "a struct<f0:bigint>, b struct<f0:bigint>")

@@ -145,19 +145,21 @@ def test_only_what_the_scan_stands_for(tmp_path):
 # Packing
 
 
-def brute_pack(lengths, sources, clusters, capacity):
-    bins, out = [], [None] * len(lengths)
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        fits = [b for b in bins if b[0] >= lengths[i] and sources[i] not in b[1] and clusters[i] not in b[2]]
-        room = min((b[0] for b in fits), default=None)
-        b = next((b for b in fits if b[0] == room), None)
+def brute_pack(items, capacity):
+    """Bins (lists of positions) by looking at every bin for every item. items: (length, source, cluster), None for none."""
+    bins = []
+    for turn, i in enumerate(sorted(range(len(items)), key=lambda i: (-items[i][0], i))):
+        n, source, cluster = items[i]
+        fits = [b for b in bins if b["room"] >= n and (source is None or source not in b["sources"]) and (cluster is None or cluster not in b["clusters"])]
+        b = min(fits, key=lambda b: (b["room"], -b["turn"]), default=None)  # of equally tight ones that used last
         if b is None:
-            bins.append(b := [capacity, set(), set(), len(bins)])
-        out[i] = (b[0] - lengths[i])
-        b[0] -= lengths[i]
-        b[1] |= {sources[i]} - {-1}
-        b[2] |= {clusters[i]} - {-1}
-    return sorted(b[0] for b in bins), out
+            bins.append(b := {"room": capacity, "sources": set(), "clusters": set(), "in": []})
+        b["room"] -= n
+        b["turn"] = turn
+        b["sources"].add(source)
+        b["clusters"].add(cluster)
+        b["in"].append(i)
+    return [b["in"] for b in bins]
 
 
 @settings(max_examples=60, deadline=None)
@@ -203,6 +205,17 @@ def test_packing_query(spark):
     for r in rows:
         total[r.doc_id] += r.piece_length
     assert dict(total) == dict(want)
+    # The bins themselves, by brute force: one shard at this size, in order of the ids.
+    docs = sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r.doc_id)
+    plain = [" ".join(r.text.lower().replace("\x0b", " ").split()) or None for r in docs]
+    n = [len(r.text.split()) for r in docs]
+    items = [(k - max(0, (k - 1) // packing.CAPACITY) * packing.CAPACITY, r.source, p) for k, r, p in zip(n, docs, plain)]
+    expected = sorted(sorted(docs[i].doc_id for i in b) for b in brute_pack(items, packing.CAPACITY))
+    got: dict = {}
+    for r in rows:
+        if r.piece == max(0, (r.length - 1) // packing.CAPACITY):
+            got.setdefault(r.bin, []).append(r.doc_id)
+    assert len(docs) < packing.SHARD and sorted(map(sorted, got.values())) == expected
 
 
 def test_packing_odd_rows(spark):
@@ -256,6 +269,21 @@ def test_rules_query(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, repeat)
         assert r.base_failed == (n < 50 or 100 * repeat > 50 * n)
         assert not (r.base_failed and r.kept)
+    # The verdict, rule by rule in plain Python over counts of its own.
+    rules = quality_rules.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    for r in rows:
+        text = docs[r.doc_id] or ""
+        n, chars, symbols, dup, repeat = brute_counts(text)
+        words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in text).split(" ") if w]
+        lines = sum(1 for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r"))
+        per = lambda k, m: k / max(m, 1)
+        value = {
+            "n_words": n, "word_length": per(chars, n), "symbol_rate": per(symbols, chars), "dup_line_rate": per(dup, lines), "repeat_rate": per(repeat, n),
+            "upper_rate": per(sum("A" <= c <= "Z" for c in text), chars), "digit_rate": per(sum("0" <= c <= "9" for c in text), chars), "mark_rate": per(sum(c in "!?" for c in text), n),
+            "distinct_rate": per(len(set(words)), n), "line_length": per(n, lines),
+        }
+        bad = any(all(value[c.feature] >= c.threshold if c.at_least else value[c.feature] <= c.threshold for c in rule) for rule in rules)
+        assert r.kept == (not r.base_failed and not bad)
 
 
 def test_learned_list_and_its_expression(spark):
@@ -366,6 +394,12 @@ def test_automata():
     assert license_scan.scan(text.replace("free of", "for no")).spans == []
 
 
+def test_regions_that_nest_are_an_error():
+    for markup in ("a <<beginOptional>>b <<beginOptional>>c<<endOptional>> d<<endOptional>>", "a <<beginOptional>>b", "a b<<endOptional>>"):
+        with pytest.raises(ValueError):
+            license_scan.parse(markup)
+
+
 def test_licences_odd_rows(spark, odd):
     rows = license_scan.labelled(odd).collect()
     assert len(rows) == len(ODD) + 2 and all(r.labels == "" and r.first_word is None for r in rows)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evograph.functions.vector import cosine, dot
-from evograph.operators import context, graph, hierarchy, metrics, retrieval
+from evograph.functions.text import STOP_WORDS, key_terms
+from evograph.functions.vector import cosine
+from evograph.operators import context, graph, hierarchy, metrics, retrieval, support
 from evograph.plans import views as V
 from evograph.plans.views import with_views
 
@@ -244,3 +245,24 @@ def relevant_sentences(spark, sf):
     hits = sum((F.contains(F.lower("s"), F.lit(w)).cast("int") for w in ("the", "and", "der")), F.lit(0))
     rows = rows.withColumn("hits", hits).where("hits >= 1")
     return rows.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("hits"), "i"))).where("n <= 2").select("doc_id", "i", "hits")
+
+
+_TERMS = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda t: length(t) > 1 AND NOT list_contains({1}, t))"
+_STOPS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+
+
+@query(
+    "session_detail",
+    f"""WITH t AS (SELECT conv_id, turn, text, lead(text) OVER w AS answer, lead(text, 2) OVER w AS later FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    k AS (SELECT conv_id, turn, later, list_distinct(list_concat({_TERMS.format("answer", _STOPS)}, {_TERMS.format("text", _STOPS)})) AS terms FROM t WHERE later IS NOT NULL),
+    s AS (SELECT conv_id, turn, terms, generate_subscripts(string_split_regex(later, '[.!?]+'), 1) AS i, regexp_replace(unnest(string_split_regex(later, '[.!?]+')), '^\\s+|\\s+$', '', 'g') AS s FROM k),
+    h AS (SELECT *, len(list_filter(terms, lambda x: contains(lower(s), x))) AS hits FROM s WHERE length(s) >= 10),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY hits DESC, i) AS n FROM h WHERE hits > 0)
+    SELECT conv_id, turn, left(string_agg(s, '; ' ORDER BY n), 150) AS detail FROM r WHERE n <= 2 GROUP BY 1, 2""",
+)
+def session_detail(spark, sf):
+    """A turn is a question, the next one its answer, the one after that what is searched: the two sentences with most of their key terms."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    rows = V.table(spark, sf, "conversations").select("conv_id", "turn", "text", F.lead("text").over(w).alias("answer"), F.lead("text", 2).over(w).alias("later")).where("later IS NOT NULL")
+    terms = F.array_union(key_terms(F.col("answer")), key_terms(F.col("text")))
+    return rows.select("conv_id", "turn", F.substring(support.relevant_sentences(F.col("later"), terms), 1, support.DETAIL).alias("detail")).where("detail <> ''")

@@ -9,6 +9,7 @@ from evograph.functions import dates, text
 from evograph.operators import graph, retrieval
 from evograph.plans import views as V
 from evograph.plans.views import with_views
+from evograph.streaming.notes import by_time
 
 QUERIES, SQL = {}, {}
 
@@ -88,6 +89,26 @@ def induced_subgraph(spark, sf):
     return graph.induced(ev, V.supersessions(spark, sf), allowed)[1].select("src", "dst", "edge_type")
 
 
+@query(
+    "notes_by_time",
+    with_views("notes", "SELECT conv, turn // 4 AS slot, string_agg(note_id, ',' ORDER BY note_pos) AS note_ids FROM notes WHERE trim(coalesce(text, '')) <> '' AND length(text) % 5 <> 0 GROUP BY 1, 2"),
+)
+def notes_by_time(spark, sf):
+    """Notes by time (here a slot of four turns); those without content (here each text whose length 5 divides) are left out."""
+    rows = V.notes(spark, sf).withColumn("timestamp", F.expr("turn div 4")).withColumn("content", F.when(F.length("text") % 5 != 0, F.col("text")))
+    return by_time(rows).select("conv", F.col("timestamp").alias("slot"), F.array_join("note_ids", ",").alias("note_ids"))
+
+
+@query(
+    "graph_summary",
+    with_views("ev sup", "SELECT conv, coalesce(n, 0) AS n_events, coalesce(m, 0) AS n_edges, coalesce(g, 0) AS n_invalidated FROM (SELECT conv, count(*) AS n FROM ev GROUP BY 1) FULL JOIN (SELECT conv, count(*) AS m, count(*) FILTER (edge_type = 'updates') AS g FROM sup GROUP BY 1) USING (conv)"),
+)
+def graph_summary(spark, sf):
+    """Events, edges and invalid edges of each conversation (here the updates are)."""
+    edges = V.supersessions(spark, sf).withColumn("t_invalid_at", F.when(F.col("edge_type") == "updates", F.col("event_date")))
+    return graph.summary(V.events(spark, sf), edges)
+
+
 @query("first_wins_dedup", "SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def first_wins_dedup(spark, sf):
     return retrieval.first_seen(V.table(spark, sf, "documents").select("doc_id", "source", "lang"), ["source", "lang"], ["doc_id"])

@@ -5,6 +5,8 @@ Every reader gives tables keyed by sample or record, so that one job covers all
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,16 @@ from evograph.shared import cut
 CATEGORIES = {"single-session-user": 1, "single-session-assistant": 1, "single-session-preference": 1, "multi-session": 2, "temporal-reasoning": 3, "knowledge-update": 4}
 
 
+class Source(Protocol):
+    """What every reader of samples gives, as DataFrames: its sessions with their turns, its questions, and its sessions' summaries."""
+
+    def sessions(self) -> DataFrame: ...
+
+    def questions(self) -> DataFrame: ...
+
+    def summaries(self) -> DataFrame: ...
+
+
 def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with a dense number from 0 in the given order, without a window over all of them: rows are dealt to ranges in
     order, each range is numbered by itself, and goes on where the ranges before it end (a count a range)."""

@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evograph.operators.metrics import aggregate_metrics
+
 SCHEMA_VERSION = "1.1"
 
 
+def _path(spark: SparkSession, where: str) -> tuple:
+    """(the store, the path) of a name, as Spark sees it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str, by: str | None = None) -> None:
+    """Each table under its name. A table that is there stays whole until the new one is: that is written beside it and then renamed."""
     for name, df in tables.items():
-        out = df.write.mode("overwrite")
-        (out.partitionBy(by) if by else out).parquet(f"{folder}/{name}")
+        spark, new = df.sparkSession, f"{folder}/_{name}-{uuid.uuid4().hex}"
+        (df.write.partitionBy(by) if by else df.write).parquet(new)
+        store, target = _path(spark, f"{folder}/{name}")
+        old = _path(spark, f"{folder}/_{name}-old-{uuid.uuid4().hex}")[1]
+        if store.exists(target):
+            store.rename(target, old)
+        if not store.rename(_path(spark, new)[1], target):
+            raise OSError(f"could not put {new} in the place of {folder}/{name}")
+        store.delete(old, True)
 
 
 def graph_documents(events: DataFrame, edges: DataFrame, sessions: DataFrame, topics: DataFrame) -> DataFrame:
@@ -23,7 +42,15 @@ def graph_documents(events: DataFrame, edges: DataFrame, sessions: DataFrame, to
     out = ev.join(ed, "conv", "left")
     for df, name in rest:
         out = out.join(df.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != "conv"]))).alias(name)), "conv", "left")
-    body = F.struct(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version")).alias("metadata"), "events", *[F.coalesce(c, F.array()).alias(c) for c in ("edges", "sessions", "topics")])
+    # What a session or a topic holds is a hyperedge over its members.
+    over = lambda rows, kind, key, members: F.transform(F.coalesce(rows, F.array()), lambda x: F.struct(x[key].alias("h_id"), F.lit(kind).alias("edge_type"), x[members].alias("member_ids"), F.lit(1.0).alias("confidence")))
+    hyper = F.array().cast("array<struct<h_id:string,edge_type:string,member_ids:array<string>,confidence:double>>")
+    if "event_ids" in sessions.columns:
+        hyper = F.concat(hyper, over(F.col("sessions"), "session", "session_id", "event_ids"))
+    if "session_ids" in topics.columns:
+        hyper = F.concat(hyper, over(F.col("topics"), "topic", "topic_id", "session_ids"))
+    hyper = F.when(F.size(hyper) > 0, hyper)  # to_json leaves a null out
+    body = F.struct(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version")).alias("metadata"), "events", *[F.coalesce(c, F.array()).alias(c) for c in ("edges", "sessions", "topics")], hyper.alias("hyperedges"))
     return out.select("conv", F.to_json(body).alias("json"))
 
 
@@ -37,12 +64,19 @@ def result_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("path_explanation", F.substring("path_explanation", 1, 2000))
 
 
+def write_results(rows: DataFrame, folder: str, header: dict, metrics: list[str]) -> None:
+    """A run: its rows (explanations cut), the metrics' aggregates by category, and a header row as JSON."""
+    spark = rows.sparkSession
+    tables = {"rows": result_rows(rows), "aggregates": aggregate_metrics(rows, metrics), "header": spark.createDataFrame([(json.dumps(header, sort_keys=True),)], "header string").coalesce(1)}
+    write_tables(tables, folder)
+
+
 def still_good(spark: SparkSession, folder: str, prompt_hash: str, force: bool = False) -> bool:
     """Is there a stored build with this hash? (An unreadable or missing one is not.)"""
     if force:
         return False
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/metadata")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    store, path = _path(spark, f"{folder}/metadata")
+    if not store.exists(path):
         return False
     row = spark.read.parquet(f"{folder}/metadata").first()
     return row is not None and row["prompt_hash"] == prompt_hash

@@ -2,10 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evograph.functions import parsers, prompts
+from evograph.functions.text import render_note_fields
+from evograph.operators import retrieval
+from evograph.shared import cut
+
+#: Fixed value: neighbours that a new note is held against.
+NEIGHBOURS = 5
+
+
+def evolve(notes: DataFrame, new: DataFrame, complete: Callable[[Column], Column], k: int = NEIGHBOURS, scope: str = "conv") -> tuple[DataFrame, DataFrame]:
+    """(notes with changed neighbours, new with its links, tags and `evolved`): one arriving note of each conversation is held against its k nearest.
+
+    Both: scope, note_id, note_pos, content, timestamp, context, keywords, tags, links (array of int), v, norm; new has at most a
+    note a conversation (several arrive one batch after another, as each may change what the next one sees). complete: a model as
+    a column function (providers.completion); asked up to three times, and only where the answer before calls for it. A
+    conversation without notes, or an answer that can't be read, changes nothing.
+    """
+    asked = new.select(F.col("note_id").alias("qid"), scope, F.col("v").alias("qv"), F.col("norm").alias("qnorm"))
+    near = cut(retrieval.knn_scoped(notes, asked, k, "note_id", scope).select("qid", "note_id", (F.col("rank") - 1).cast("int").alias("place")))
+    shown = render_note_fields(F.col("timestamp"), F.col("content"), F.col("context"), F.col("keywords"), F.col("tags"))
+    told = near.join(notes.select("note_id", shown.alias("shown")), "note_id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "shown"))).alias("x"))  # k at most
+    rows = new.select("note_id", "links", "tags", shown.alias("note")).join(told, F.col("note_id") == F.col("qid")).withColumn("neighbours", prompts.numbered(F.transform("x", lambda x: x["shown"])))
+    fields = {"note": F.col("note"), "neighbours": F.col("neighbours")}
+    decided = cut(rows.withColumn("decision", parsers.evolution(complete(prompts.filled(prompts.EVOLUTION, **fields)))["decision"]))
+    strong = decided.where(F.col("decision").isin("STRENGTHEN", "STRENGTHEN_AND_UPDATE")).select("note_id", parsers.strengthen_details(complete(prompts.filled(prompts.STRENGTHEN, **fields))).alias("s"))
+    changed = decided.where(F.col("decision").isin("UPDATE_NEIGHBOR", "STRENGTHEN_AND_UPDATE")).select("qid", F.posexplode(parsers.update_neighbours(complete(prompts.filled(prompts.UPDATE_NEIGHBOURS, count=F.size("x"), **fields)), k)).alias("place", "u"))
+    links = F.when(F.col("s").isNotNull(), F.concat("links", F.col("s.connections"))).otherwise(F.col("links"))
+    tags = F.when(F.size("s.tags") > 0, F.col("s.tags")).otherwise(F.col("tags"))
+    evolved = decided.select("note_id", (F.col("decision") != "NO_EVOLUTION").alias("evolved"))
+    out = new.join(strong, "note_id", "left").withColumn("links", links).withColumn("tags", tags).drop("s").join(evolved, "note_id", "left").withColumn("evolved", F.coalesce("evolved", F.lit(False)))
+    say = changed.join(near, ["qid", "place"]).groupBy("note_id").agg(F.max_by("u", "qid").alias("u"))
+    told_anew = notes.join(say, "note_id", "left").withColumn("context", F.when(F.col("u.context") != "", F.col("u.context")).otherwise(F.col("context"))).withColumn("tags", F.when(F.size("u.tags") > 0, F.col("u.tags")).otherwise(F.col("tags")))
+    return told_anew.select(*notes.columns), out.select(*new.columns, "evolved")
+
+
+def by_time(notes: DataFrame, scope: str = "conv") -> DataFrame:
+    """scope, timestamp, note_ids: the notes of each time that have content, in the order of their places."""
+    kept = notes.where(F.trim(F.coalesce("content", F.lit(""))) != "")
+    lists = kept.groupBy(scope, "timestamp").agg(F.array_sort(F.collect_list(F.struct("note_pos", "note_id"))).alias("x"))  # the notes of one session
+    return lists.select(scope, "timestamp", F.transform("x", lambda x: x["note_id"]).alias("note_ids"))
+
 
 def append_notes(notes: DataFrame, new: DataFrame, scope: str = "conv") -> DataFrame:
     """new behind notes; places go on where a conversation's notes end. new has a column `seq`."""

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evograph.functions import parsers
+from evograph.functions import parsers, prompts
 from evograph.operators import support
 from evograph.streaming import notes
 
@@ -107,3 +107,42 @@ def test_note_streams(spark):
     more = spark.createDataFrame([("a", "new"), ("b", "new")], "session_id string, summary string")
     assert sorted(tuple(r) for r in notes.add_summaries(cache, more).collect()) == [("a", "old"), ("b", "new")]
     assert [r.session_id for r in notes.to_summarise(more, cache).collect()] == ["b"]
+
+
+def test_prompts_keep_braces_and_fill_fields(spark):
+    got = read(spark, lambda x: prompts.filled(prompts.JUDGE, question=x, reference=F.lit("{question}"), prediction=F.lit(None).cast("string")), "Q")
+    assert got.startswith("Question: Q\nRight answer: {question}\nGiven answer: \n") and got.endswith('{"label": "CORRECT or WRONG"}')
+    assert read(spark, lambda x: prompts.answer_prompt(x, F.lit("c"), F.lit("q")), "open") == prompts.ANSWERS["open"].replace("{context}", "c").replace("{question}", "q")
+    assert read(spark, lambda x: prompts.described(x, F.array().cast("array<string>"), F.lit("2020"), F.lit("s")), "plan") == "plan; none; 2020; s"
+
+
+def test_notes_evolve(spark):
+    """Conversation 1 strengthens and updates, 2 has no notes, 3 is left as it is."""
+    note = "conv int, note_id string, note_pos long, content string, timestamp string, context string, keywords array<string>, tags array<string>, links array<int>, v array<double>, norm double"
+    old = spark.createDataFrame([(1, "a", 0, "old a", "t", "was", ["k"], ["x"], [], [1.0, 0.0], 1.0), (1, "b", 1, "old b", "t", "was", [], [], [], [0.6, 0.8], 1.0), (3, "c", 0, "old c", "t", "was", [], [], [], [1.0, 0.0], 1.0)], note)
+    new = spark.createDataFrame([(1, "n", 2, "new one", "t", "", [], ["y"], [7], [1.0, 0.0], 1.0), (2, "m", 0, "alone", "t", "", [], [], [], [1.0, 0.0], 1.0), (3, "o", 1, "plain", "t", "", [], [], [], [1.0, 0.0], 1.0)], note)
+    says = lambda p: F.when(~F.contains(p, F.lit("new one")), "DECISION: NO_EVOLUTION").when(F.contains(p, F.lit("DECISION")), "DECISION: STRENGTHEN_AND_UPDATE").when(F.contains(p, F.lit("CONNECTIONS")), "CONNECTIONS: 0\nTAGS: z").otherwise("NEIGHBOR 0:\nCONTEXT: is now\nTAGS:\nNEIGHBOR 1:\nCONTEXT:\nTAGS: w")
+    kept, came = notes.evolve(old, new, says)
+    assert {r.note_id: (r.context, r.tags) for r in kept.collect()} == {"a": ("is now", ["x"]), "b": ("was", ["w"]), "c": ("was", [])}
+    assert {r.note_id: (r.links, r.tags, r.evolved) for r in came.collect()} == {"n": ([7, 0], ["z"], True), "m": ([], [], False), "o": ([], [], False)}
+
+
+def test_command_line(spark, tmp_path):
+    from evograph import __main__ as cli
+    from evograph.plans import views as V
+
+    sf = "/root/testdata/sf0.001"
+    V.events_in_sessions(spark, sf).write.parquet(f"{tmp_path}/e")
+    V.supersessions(spark, sf).write.parquet(f"{tmp_path}/v")
+    for _ in range(2):  # again over what is there
+        cli.main(["build", "--events", f"{tmp_path}/e", "--verdicts", f"{tmp_path}/v", "--out", f"{tmp_path}/g"])
+    assert sorted(p.name for p in (tmp_path / "g").iterdir()) == ["chain", "edges", "events", "sessions", "stars"]
+    vec = V.vectors(spark, sf)
+    vec.where("vec_id < 2").select(F.col("vec_id").alias("qid"), F.lit(0).cast("long").alias("conv"), F.col("v").alias("qv"), F.col("norm").alias("qnorm")).write.parquet(f"{tmp_path}/q")
+    vec.select(F.col("vec_id").alias("note_id"), "v", "norm", F.col("vec_id").cast("string").alias("text")).write.parquet(f"{tmp_path}/n")
+    V.events(spark, sf).select((F.col("event_id") % 500).alias("note_id"), "event_id").write.parquet(f"{tmp_path}/l")
+    (tmp_path / "c.json").write_text('{"max_depth": 1}')
+    cli.main(["ask", "--graph", f"{tmp_path}/g", "--questions", f"{tmp_path}/q", "--notes", f"{tmp_path}/n", "--note-events", f"{tmp_path}/l", "--out", f"{tmp_path}/a", "--config", f"{tmp_path}/c.json"])
+    assert spark.read.parquet(f"{tmp_path}/a/answers").count() == 2
+    cli.main(["replay", "--events", f"{tmp_path}/e", "--out", f"{tmp_path}/r"])
+    assert spark.read.parquet(f"{tmp_path}/r/edges").count() > 0

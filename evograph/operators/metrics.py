@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from evograph.functions.stem import stem
 from evograph.functions.text import tokens
 
 
@@ -55,29 +57,75 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def text_scores(prediction: str, reference: str) -> dict[str, float]:
-    """BLEU-1 to 4 (one added to each order above the first) and the F1 of ROUGE-1, 2 and L."""
-    a, b = (prediction or "").lower().split(), (reference or "").lower().split()
-    out = {}
-    logs = 0.0
+#: The weights of orders 1 to 4 in BLEU-1 to 4, and what an order without a hit counts as.
+BLEU_WEIGHTS = [(1, 0, 0, 0), (0.5, 0.5, 0, 0), (0.33, 0.33, 0.33, 0), (0.25, 0.25, 0.25, 0.25)]
+NO_HIT = 0.1
+#: Fixed values of METEOR: the weight of precision against recall, and the penalty's exponent and factor.
+ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
+
+
+def bleu_tokens(text: str) -> list[str]:
+    """Lower-case words, ends of contractions, and single marks."""
+    return re.findall(r"n't\b|'(?:s|re|ve|ll|d|m)\b|\w+?(?=n't\b)|[\w-]+(?:\.\w+)*|[^\w\s]", text.lower())
+
+
+def rouge_tokens(text: str) -> list[str]:
+    """Runs of ASCII letters and digits in lower case; words of more than three letters as stems."""
+    return [stem(w) if len(w) > 3 else w for w in re.findall(r"[a-z0-9]+", text.lower())]
+
+
+def _bleu(a: list[str], b: list[str]) -> list[float]:
+    shares = []
     for n in range(1, 5):
+        x = _grams(a, n)
+        hits, total = sum((x & _grams(b, n)).values()), max(1, sum(x.values()))
+        shares.append((hits or NO_HIT) / total)
+    if not a or not set(a) & set(b):
+        return [0.0] * 4
+    brevity = 1.0 if len(a) > len(b) else math.exp(1 - len(b) / len(a))
+    return [brevity * math.exp(sum(w * math.log(p) for w, p in zip(ws, shares, strict=True) if w)) for ws in BLEU_WEIGHTS]
+
+
+def _f1(hits: int, n: int, m: int) -> float:
+    return 2 * hits / (n + m) if hits else 0.0
+
+
+def meteor(prediction: str, reference: str) -> float:
+    """METEOR over exact words, then stems (synonyms need a word net): each word meets the last free equal one, and runs of neighbours are chunks."""
+    a, b = prediction.lower().split(), reference.lower().split()
+    met: dict[int, int] = {}
+    for form in (lambda w: w, stem):
+        free = {}
+        for j, w in enumerate(b):
+            if j not in met.values():
+                free.setdefault(form(w), []).append(j)
+        for i in reversed(range(len(a))):
+            if i not in met and free.get(form(a[i])):
+                met[i] = free[form(a[i])].pop()
+    if not met:
+        return 0.0
+    p, r = len(met) / len(a), len(met) / len(b)
+    chunks = sum(met.get(i - 1) != j - 1 for i, j in met.items())
+    return p * r / (ALPHA * p + (1 - ALPHA) * r) * (1 - GAMMA * (chunks / len(met)) ** BETA)
+
+
+def text_scores(prediction: str, reference: str) -> dict[str, float]:
+    """BLEU-1 to 4, the F1 of ROUGE-1, 2 and L, and METEOR; all 0 if a text is empty or null."""
+    if not (prediction or "").strip() or not (reference or "").strip():
+        return dict.fromkeys(NAMES, 0.0)
+    out = dict(zip(NAMES, _bleu(bleu_tokens(prediction), bleu_tokens(reference)), strict=False))
+    a, b = rouge_tokens(prediction), rouge_tokens(reference)
+    for n in (1, 2):
         x, y = _grams(a, n), _grams(b, n)
-        hits, total = sum((x & y).values()), sum(x.values())
-        p = (hits + (n > 1)) / (total + (n > 1)) if total + (n > 1) else 0.0
-        logs = logs + math.log(p) if p > 0 else -math.inf
-        brevity = 1.0 if len(a) > len(b) else math.exp(1 - len(b) / len(a)) if a else 0.0
-        out[f"bleu{n}"] = brevity * math.exp(logs / n) if logs > -math.inf else 0.0
-        if n <= 2:
-            out[f"rouge{n}"] = 2 * hits / (total + sum(y.values())) if total + sum(y.values()) else 0.0
-    both = _lcs(a, b)
-    out["rougeL"] = 2 * both / (len(a) + len(b)) if a or b else 0.0
+        out[f"rouge{n}"] = _f1(sum((x & y).values()), sum(x.values()), sum(y.values()))
+    out["rougeL"] = _f1(_lcs(a, b), len(a), len(b))
+    out["meteor"] = meteor(prediction, reference)
     return out
 
 
-SCORES = "bleu1 double, bleu2 double, bleu3 double, bleu4 double, rouge1 double, rouge2 double, rougeL double"
+NAMES = ["bleu1", "bleu2", "bleu3", "bleu4", "rouge1", "rouge2", "rougeL", "meteor"]
 
 
-@F.pandas_udf(StructType([StructField(x.split()[0], DoubleType()) for x in SCORES.split(", ")]))
+@F.pandas_udf(StructType([StructField(x, DoubleType()) for x in NAMES]))
 def text_metrics(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
-    names = [x.split()[0] for x in SCORES.split(", ")]
-    return pd.DataFrame([text_scores(p, r) for p, r in zip(prediction, reference, strict=True)], columns=names, dtype=float)
+    return pd.DataFrame([text_scores(p, r) for p, r in zip(prediction, reference, strict=True)], columns=NAMES, dtype=float)

@@ -44,6 +44,7 @@ class Config:
     expand_notes: int = 8
     update_aware: bool = True
     fallback_dedup: str = "off"
+    paths_alone: bool = False
     limits: dict = field(default_factory=lambda: dict(paths.LIMITS))
     category_overrides: dict = field(default_factory=dict)
 
@@ -224,6 +225,11 @@ def ask(
     alone = context.dedup_notes(section1, config.fallback_dedup).join(seeded, "qid", "left_anti")
     whole = context.assemble(kept.select("qid", "section", "seq", "text").unionByName(alone.select("qid", "section", "seq", "text")))
 
+    if config.paths_alone:  # the older form: the paths' notes and a few retrieved ones, without budgets
+        every = _path_notes(best.where(F.col("place") <= config.paths_shown), note_events, notes, questions, -1.0)
+        form = context.paths_only(every, near.join(texts, "note_id")).select("qid", F.lit(1).alias("section"), "seq", "text")
+        whole = context.assemble(form).unionByName(context.assemble(section1.join(every.select("qid").distinct(), "qid", "left_anti").select("qid", "section", "seq", "text")))
+
     told = support.explanation_pick(best)
     lines = F.when(F.col("origin") == "direct", paths.direct_explanation(F.col("steps")[0], F.col("neural"))).otherwise(paths.explanation(F.col("steps"), paths.link_types(F.col("labels"), F.col("kinds")), F.col("score"), F.col("neural"), F.col("conf"), F.col("temporal"), F.col("upd")))
     title = F.concat(F.when(F.col("origin") == "direct", "--- Direct Evidence ").otherwise("--- Path "), F.col("k"), F.lit(" ---\n"))

@@ -45,6 +45,14 @@ def incremental_replay(spark, sf):
     return incremental.replay(_arrivals(spark, sf))
 
 
+@query(
+    "arrival_support",
+    with_views("evs", "SELECT r.conv, f.event_id AS src, r.event_id AS dst FROM evs r JOIN num f ON f.conv = r.conv AND f.u = r.u AND f.k = r.k AND f.n <= 5 AND f.session_num < r.session_num AND f.topic_num = r.topic_num", _FOLD),
+)
+def arrival_support(spark, sf):
+    return incremental.support_links(V.events_in_sessions(spark, sf).withColumn("topic", F.col("topic_num")))
+
+
 @query("ingest_report", with_views("evs", "SELECT conv, session_num, count(*) AS events, sum(pool)::BIGINT AS pool, sum(screened)::BIGINT AS screened FROM report GROUP BY 1, 2", _FOLD))
 def ingest_report(spark, sf):
     """Per arriving session: its events, the valid pool before the cap and what of it is screened."""

@@ -105,6 +105,16 @@ def replay(events: DataFrame, k: int = 10) -> DataFrame:
     return out.select("conv", "src", F.col("x.old").alias("dst"), F.col("x.edge_type").alias("edge_type"), "pool", "screened", F.lit(False).alias("late"))
 
 
+def support_links(events: DataFrame, k: int = 5) -> DataFrame:
+    """conv, src, dst: support candidates as events arrive: of each event the first k earlier ones of other sessions with its participants,
+    capped first; then those of its topic stay (an event without a topic isn't restricted). events as for replay(), and topic."""
+    key = ["conv", "u", "k"]
+    rows = events.select(*key, "event_id", "session_num", "topic").withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy("session_num", "event_id")))
+    first = rows.where(F.col("n") <= k).select(*key, F.col("event_id").alias("src"), F.col("session_num").alias("s"), F.col("topic").alias("t"))
+    met = rows.join(first, key).where((F.col("s") < F.col("session_num")) & (F.col("topic").isNull() | (F.col("topic") == F.col("t"))))
+    return met.select("conv", "src", F.col("event_id").alias("dst"))
+
+
 def ingest_sessions(sessions: DataFrame, mode: str = "append") -> DataFrame:
     """A stream of sessions (conv, seq, v): the topic of each as it arrives, and the session before it. State: the conversation's topics."""
     from evograph.operators.hierarchy import ASSIGNED, Topics

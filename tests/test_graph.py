@@ -402,6 +402,8 @@ def test_ask_by_hand(spark, small_graph):
     assert lines[3:] == ["text 2", "text 3", "Path 2: change 4 (2020-01-04)", "text 4"]
     more = {r.qid: r for r in pipeline.ask(q, notes, note_events, built, pipeline.Config(top_k=3, max_depth=2), event_vectors=event_vectors).collect()}
     assert " [OUTDATED] (2020-01-01) --[updates]--> " in more[1].context and more[1].context.count("text 1") == 1
+    alone = {r.qid: r.context for r in pipeline.ask(q, notes, note_events, built, pipeline.Config(top_k=1, max_depth=2, paths_alone=True), event_vectors=event_vectors).collect()}
+    assert alone[1].split("\n") == ["=== Evidence from reasoning paths ===", "text 2", "text 3", "text 4", "text 1"] and alone[2] == "text 5" and alone[3] == ""
     # Question 2 retrieves n5, which has no event; question 3 has no notes at all.
     assert got[2].fallback and got[2].context == "text 5" and got[2].explanation == "" and got[3].fallback and got[3].context == ""
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 
 import pandas as pd
 import pytest
@@ -9,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from evograph import providers
-from evograph.functions import dates, text, vector
+from evograph.functions import dates, stem, text, vector
 from evograph.operators import hierarchy, metrics
 from evograph.sources import readers, sinks
 
@@ -151,7 +152,14 @@ def test_vectors_and_metrics(spark):
     r = df.select(vector.norm(F.col("a")).alias("n"), vector.cosine(F.col("a"), F.col("a")).alias("one"), vector.cosine(F.col("a"), F.col("b")).alias("zero"), vector.jaccard(F.col("s"), F.col("t")).alias("j"), vector.clamp(F.lit(1.7)).alias("c"), vector.normalize(F.col("a")).alias("u")).first()
     assert (r.n, r.one, r.zero, r.j, r.c, r.u) == (5, 1, 0, 0.5, 1, [0.6, 0.8])
     s = metrics.text_scores("the cat sat", "the cat sat")
-    assert all(abs(s[k] - 1) < 1e-9 for k in s if k != "bleu4") and metrics.text_scores("", "x")["rougeL"] == 0
+    assert all(abs(s[k] - 1) < 1e-9 for k in ("bleu1", "bleu2", "bleu3", "rouge1", "rouge2", "rougeL")) and abs(s["bleu4"] - 0.1**0.25) < 1e-9 and abs(s["meteor"] - (1 - 0.5 / 27)) < 1e-9
+    assert set(metrics.text_scores("", "x").values()) == {0.0} == set(metrics.text_scores("y", None).values())
+    t = metrics.text_scores("the cat sat on a mat", "a cat was running on the mats today")  # 4 of 6 words; no pair of words
+    assert abs(t["bleu1"] - math.exp(1 - 8 / 6) * 4 / 6) < 1e-9 and abs(t["bleu2"] - math.exp(1 - 8 / 6) * (4 / 6 * 0.1 / 5) ** 0.5) < 1e-9
+    assert abs(t["rouge1"] - 2 * 5 / 14) < 1e-9 and t["rouge2"] == 0 and abs(t["rougeL"] - 2 * 3 / 14) < 1e-9
+    assert metrics.bleu_tokens("He didn't pay $3.50, it's well-known.") == ["he", "did", "n't", "pay", "$", "3.50", ",", "it", "'s", "well-known", "."]
+    words = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "vietnamization": "vietnam", "electrical": "electr", "goodness": "good", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "controlling": "control", "is": "is"}
+    assert {w: stem.stem(w) for w in words} == words
     assert abs(metrics.text_scores("a b c d", "a x c d")["rougeL"] - 0.75) < 1e-9
     rows = spark.createDataFrame([(c, float(c)) for c in range(1, 6)], "category int, f1 double")
     got = {r.category: r for r in metrics.aggregate_metrics(rows, ["f1"]).collect()}

@@ -16,9 +16,8 @@ from evograph.shared import cut
 
 
 def similar_classes(events: DataFrame, scope: str, min_jaccard: float) -> DataFrame:
-    """events: scope, c (distinct participant sets, sorted). Gives scope, c, d, jaccard for ordered pairs of participant sets (with itself, too) of a scope, at the threshold or above."""
-    classes = events.select(scope, "c").where(F.size("c") > 0)
-    by_member = classes.select(scope, "c", F.size("c").alias("n"), F.explode("c").alias("member"))
+    """events: scope, c (a number), members (a set, each set once). Gives scope, c, d, jaccard for ordered pairs of participant sets (with itself, too) of a scope, at the threshold or above."""
+    by_member = events.select(scope, "c", F.size("members").cast("short").alias("n"), F.explode("members").alias("member"))
     other = by_member.select(F.col(scope), F.col("c").alias("d"), F.col("n").alias("m"), "member")
     shared = by_member.join(other, [scope, "member"]).groupBy(scope, "c", "d", "n", "m").agg(F.count(F.lit(1)).alias("both"))
     return shared.select(scope, "c", "d", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= min_jaccard)
@@ -45,7 +44,10 @@ def overlap_topk(events: DataFrame, min_jaccard: float, k: int, scope: str = "co
     if group:
         first = first.withColumn("_n", place()).where(F.col("_n") <= most)
     head = first.groupBy(scope, "c").agg(F.array_sort(F.collect_list(F.struct(F.col("event_seq").alias("seq"), F.col("event_id").alias("id"), *more))).alias("head"))
-    classes = cut(head)
+    # Classes get numbers, which the checkpoint makes lasting: what is joined and ranked from here on is narrow.
+    named = cut(head.withColumn("number", F.monotonically_increasing_id()))
+    classes = named.select(scope, F.col("number").alias("c"), F.col("c").alias("members"), "head")
+    rows = rows.join(named.select(scope, "c", "number"), [scope, "c"]).drop("c").withColumnRenamed("number", "c")
     lead = F.get("head", F.lit(0))
     other = F.get(F.filter("head", lambda x: ~x[group].eqNullSafe(lead[group])), F.lit(0))["seq"] if group else F.lit(None).cast("long")
     starts = classes.select(scope, F.col("c").alias("d"), lead["seq"].alias("seq1"), *([lead[group].alias("group1")] if group else []), other.alias("seq2"))

@@ -1,11 +1,9 @@
-"""What the operators share: the shared folder, lineage cuts, Arrow batches of bounded size."""
+"""What the operators share: tables in the shared folder, Arrow batches of bounded size, samples of labelled rows."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,32 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from evograph.shared import cut, shared_dir, ship
+
+__all__ = ["WORD", "arrow_schema", "bounded_ids", "chunks", "cut", "keep_rows", "load", "over_texts", "remove", "shared_dir", "table", "text_each"]
+
 #: What a word is in the word-based contracts: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a Python step holds at a time, besides the row that crosses the line.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; on a local master alone, one made here if that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_by_hand.isDefined():
-        return set_by_hand.get()
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(where := f"file://{tempfile.mkdtemp(prefix='evograph-')}")
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder; later reads don't run df's plan again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def table(df: DataFrame) -> DataFrame:
     """As cut(), but a Parquet table: its size is known, so the planner may broadcast it if small."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
@@ -55,8 +37,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers find this package where the driver has it, also if the driver's path was set by hand.
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

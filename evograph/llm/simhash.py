@@ -354,12 +354,13 @@ def _sketches(df: DataFrame, width: int) -> DataFrame:
 
 
 def _tree_stars(distinct: DataFrame) -> DataFrame:
-    """fp, n, and the pivot (to, its size m) and weight of sets whose SimHash the BK-trees link; a component's largest set is its pivot."""
-    prints = cut(distinct.select(F.struct(F.col("simhash").alias("f0")).alias("fp")).distinct())
-    named = groups_of(links(prints, RADIUS, blocks(RADIUS, 1, prints.count()))).select(F.col("fp.f0").alias("simhash"), F.col("lab.f0").alias("tree"))
-    sets = distinct.select("fp", "n", "simhash").join(named, "simhash", "left").select("fp", "n", F.coalesce("tree", "simhash").alias("tree"))
-    pivot = sets.groupBy("tree").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "fp")).alias("top")).where("k > 1").select("tree", F.col("k").alias("weight"), F.col("top.fp").alias("to"), F.col("top.n").alias("m"))
-    return cut(sets.join(pivot, "tree").select("fp", "n", "weight", "to", "m"))
+    """fp, n, and to, its size m: pairs of sets that the BK-trees over SimHashes link. The largest set of a SimHash stands for it: the
+    other sets of that SimHash meet it, and it meets those of the SimHashes that the trees' forest of links joins it with."""
+    tops = cut(distinct.groupBy("simhash").agg(F.max(F.struct("n", "fp")).alias("top")).select("simhash", F.col("top.fp").alias("to"), F.col("top.n").alias("m")))
+    same = distinct.join(tops, "simhash").select("fp", "n", "to", "m")
+    forest = links(tops.select(F.struct(F.col("simhash").alias("f0")).alias("fp")), RADIUS, blocks(RADIUS, 1, tops.count())).select(F.col("a.f0").alias("simhash"), F.col("b.f0").alias("other"))
+    near = forest.join(tops.select("simhash", F.col("to").alias("fp"), F.col("m").alias("n")), "simhash").join(tops.withColumnRenamed("simhash", "other"), "other").select("fp", "n", "to", "m")
+    return cut(same.unionByName(near).where("fp <> to"))
 
 
 def _alike(similarity: float) -> Column:
@@ -371,8 +372,8 @@ def _alike(similarity: float) -> Column:
 def _near(df: DataFrame, similarity: float, width: int) -> DataFrame:
     """doc_id, component_id for each row of df (id, text): components of the links between shingle sets that are alike.
 
-    Sets that the BK-trees over their SimHashes link, or that agree on a band, are candidates. Those of a
-    tree's component or of a band's value are first compared with one of them (the largest, or the one that
+    Sets that the BK-trees over their SimHashes link, or that agree on a band, are candidates. Those of one
+    SimHash or of a band's value are first compared with one of them (the largest, or the one that
     meets most others); what is linked with that gets its label, so in a group of n near
     copies about n pairs are compared. Then, where a band's value still has several labels, each two sets
     of different ones are. A pair is left out only if its ends are linked already, so no link is lost.
@@ -388,7 +389,7 @@ def _near(df: DataFrame, similarity: float, width: int) -> DataFrame:
     pivot = mates.join(weight, "fp").groupBy(*at).agg(F.max(F.struct("weight", "fp", "n")).alias("top")).select(*at, F.col("top.weight").alias("weight"), F.col("top.fp").alias("to"), F.col("top.n").alias("m"))
     sized = lambda x, y: (F.least(x, y) >= F.floor(F.greatest(x, y) * F.lit(similarity)))
     ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    met_at = mates.join(pivot, at).select("fp", "n", "weight", "to", "m").unionByName(trees)
+    met_at = mates.join(pivot, at).select("fp", "n", "weight", "to", "m").unionByName(trees.withColumn("weight", F.lit(0).cast("long")))
     stars = met_at.where((F.col("fp") != F.col("to")) & sized(F.col("n"), F.col("m"))).select(*ends(F.col("fp"), F.col("to")), "weight", "to")
     stars = cut(stars.distinct())
 
@@ -397,7 +398,7 @@ def _near(df: DataFrame, similarity: float, width: int) -> DataFrame:
         return {"items": [x.view(np.int64) for x in sets]}
 
     # Only sets that have a candidate are made again from their texts, each by the row of least id.
-    named = distinct.join(weight.select("fp").unionByName(trees.select("fp")), "fp", "left_semi").select("fp", F.col("least").alias("id"))
+    named = distinct.join(weight.select("fp").unionByName(trees.select(F.explode(F.array("fp", "to")).alias("fp"))), "fp", "left_semi").select("fp", F.col("least").alias("id"))
     texts = df.join(named, "id").dropDuplicates(["fp"])
     sets = cut(over_texts(texts, "fp", "text", "items array<bigint>", listed).select(F.col("doc_id").alias("fp"), "items"))
     side = lambda end: sets.select(F.col("fp").alias(end), F.col("items").alias(f"items_{end}"))

@@ -31,7 +31,6 @@ class Config:
     window: int | None = None
     hierarchy: bool = True
     top_k: int = 10
-    paths_top_k: int = 3
     max_depth: int = 3
     notes_budget: int = 3000
     paths_budget: int = 1500

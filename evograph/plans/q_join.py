@@ -89,7 +89,7 @@ def _seeds(spark, sf):
     near = retrieval.knn(vec, q, 10, "vec_id")
     n = vec.agg(F.count(F.lit(1)).alias("n_vec"))
     ev = V.events(spark, sf).select("event_id").join(F.broadcast(n)).select("event_id", (F.col("event_id") % F.col("n_vec")).alias("vec_id"))
-    rows = ev.join(F.broadcast(near), "vec_id")
+    rows = ev.join(near, "vec_id")  # near grows with the queries: the planner decides
     return retrieval.first_seen(rows, ["qid", "event_id"], ["rank"]).withColumn("seed_rank", F.row_number().over(W.partitionBy("qid").orderBy("rank", "event_id")).cast("long"))
 
 

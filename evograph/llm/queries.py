@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evograph.llm import bpe, license_scan, multiset_hash, packing, quality_knn, quality_rules, simhash, token_counts, toxicity, warc
+from evograph.llm import bpe, license_scan, merkle, multiset_hash, packing, quality_knn, quality_rules, simhash, token_counts, toxicity, warc
 from evograph.llm.common import load
 
 
@@ -52,9 +52,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_warc, op3_token_counts, op4_packing, op5_quality_rules, op6_multiset_hash, op7_license_scan, op8_toxicity, op9_quality_knn, op10_byte_bpe)
+    for f in (op1_simhash, op2_warc, op3_token_counts, op4_packing, op5_quality_rules, op6_multiset_hash, op7_license_scan, op8_toxicity, op9_quality_knn, op10_byte_bpe, op12_merkle)
 }
 
 ORACLE_SQL = {
@@ -68,4 +72,5 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 FROM d LEFT JOIN k USING (digest)""",
     "op6_multiset_hash": multiset_hash.ORACLE_SQL,
     "op7_license_scan": license_scan.ORACLE_SQL,
+    "op12_merkle": merkle.ORACLE_SQL,
 }

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evograph.llm import bpe, license_scan, merkle, multiset_hash, packing, quality_knn, quality_rules, simhash, token_counts, toxicity, warc
+from evograph.llm import bpe, cross_polytope, hard_negatives, license_scan, merkle, multiset_hash, packing, quality_knn, quality_rules, simhash, token_counts, toxicity, warc
 from evograph.llm.common import load
 
 
@@ -52,13 +53,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(load(spark, sf_dir, "documents"))
 
 
+def op13_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_warc, op3_token_counts, op4_packing, op5_quality_rules, op6_multiset_hash, op7_license_scan, op8_toxicity, op9_quality_knn, op10_byte_bpe, op12_merkle)
+    for f in (op1_simhash, op2_warc, op3_token_counts, op4_packing, op5_quality_rules, op6_multiset_hash, op7_license_scan, op8_toxicity, op9_quality_knn, op10_byte_bpe, op11_hard_negatives, op12_merkle, op13_cross_polytope)
 }
 
 ORACLE_SQL = {
@@ -72,5 +82,6 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 FROM d LEFT JOIN k USING (digest)""",
     "op6_multiset_hash": multiset_hash.ORACLE_SQL,
     "op7_license_scan": license_scan.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
     "op12_merkle": merkle.ORACLE_SQL,
 }

@@ -31,7 +31,7 @@ WHICH_FIRST = (
     r"|\bwho (?:[\w']+\s){0,8}(?:first|earlier|earliest)\b"
     r"|\bwhich event (?:[\w']+\s){0,8}(?:happened?|occurred|took place)\b"
 )
-NEGATIONS = "\\bhaven['\u2018\u2019]?t\\b|\\bhasn['\u2018\u2019]?t\\b|\\bnever\\b"
+NEGATIONS = r"\bhaven['‘’]?t\b|\bhasn['‘’]?t\b|\bnever\b"
 
 
 def normalize_role(role: Column) -> Column:
@@ -82,22 +82,30 @@ def heuristic_context(text: Column) -> Column:
     return F.regexp_replace(F.when(first != "", first).otherwise(F.substring(text, 1, 200)), r"^\s+|\s+$", "")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space around it."""
+    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+\z", "")
+
+
 def normalize_answer(text: Column) -> Column:
     """Without quotes around it and without a final period, unless that follows a digit."""
-    t = F.regexp_replace(F.trim(text), "^[\"'\u201c\u201d\u2018\u2019]+|[\"'\u201c\u201d\u2018\u2019]+$", "")
-    return F.trim(F.regexp_replace(t, r"([^0-9.])\.$", "$1"))
+    t = stripped(F.regexp_replace(stripped(text), "^[\"'“”‘’]+|[\"'“”‘’]+\\z", ""))
+    return stripped(F.regexp_replace(t, r"(?<!\p{Nd})\.\z", ""))
 
 
 def answer_tag(text: Column) -> Column:
-    """What follows the last ANSWER: at a line's start, else the last one anywhere; null if there is none."""
-    at_start = F.regexp_extract_all(text, F.lit(r"(?im)^[ \t]*answer:[ \t]*(.*)$"), 1)
-    inline = F.regexp_extract_all(text, F.lit(r"(?i)answer:[ \t]*([^\n]*)"), 1)
-    last = lambda a: F.when(F.size(a) > 0, F.trim(F.element_at(a, -1)))
+    """The line that follows the last ANSWER: at a line's start, else the last one anywhere; null if there is none. White space may stand before the colon,
+    and line ends after it; a tag that nothing follows is none."""
+    space = r"[\s\p{Z}]*"
+    at_start = F.regexp_extract_all(text, F.lit(rf"(?imd)^[ \t]*answer{space}:{space}([^\n]+)"), 1)
+    inline = F.regexp_extract_all(text, F.lit(rf"(?i)answer{space}:{space}([^\n]+)"), 1)
+    last = lambda a: F.when(F.size(a) > 0, stripped(F.element_at(a, -1)))
     return F.coalesce(last(at_start), last(inline))
 
 
 def parse_answer(text: Column) -> Column:
-    return normalize_answer(F.coalesce(answer_tag(text), F.get_json_object(text, "$.answer"), text))
+    """An answer's text: what its tag says, else the field answer of JSON (which may stand in fences), else all of it."""
+    return normalize_answer(F.coalesce(F.nullif(answer_tag(text), F.lit("")), F.get_json_object(strip_fences(text), "$.answer"), text))
 
 
 def json_field_or_text(text: Column, name: str) -> Column:

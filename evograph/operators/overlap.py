@@ -33,7 +33,7 @@ def overlap_topk(events: DataFrame, min_jaccard: float, k: int, scope: str = "co
     their arrays are joined; the arrays are then merged, and the probe's own event or group is dropped in
     the array. Events are read twice: for the classes, and for the rows of the result.
     """
-    names = tuple(x for x in keep if x != group)
+    names = tuple(x for x in keep if x not in (group, "event_seq"))
     c = F.array_sort(F.array_distinct(F.transform("participants", F.lower))).alias("c")
     rows = events.select(scope, "event_id", "event_seq", c, *([group] if group else []), *names)
     own = [group] if group else []
@@ -68,7 +68,7 @@ def overlap_topk(events: DataFrame, min_jaccard: float, k: int, scope: str = "co
     if not group:
         out = out.withColumn("best", F.slice(F.filter("best", lambda x: x["id"] != F.col("event_id")), 1, k))
     out = out.select(scope, "event_id", *keep, F.posexplode("best").alias("rank", "x"))
-    return out.select(scope, "event_id", F.col("x.id").alias("cand_id"), (-F.col("x.neg")).alias("jaccard"), (F.col("rank") + 1).cast("long").alias("rank"), *keep, *[F.col(f"x.{x}").alias(f"cand_{x}") for x in keep])
+    return out.select(scope, "event_id", F.col("x.id").alias("cand_id"), (-F.col("x.neg")).alias("jaccard"), (F.col("rank") + 1).cast("long").alias("rank"), *keep, *[F.col("x.seq" if x == "event_seq" else f"x.{x}").alias(f"cand_{x}") for x in keep])
 
 
 def cap_then_filter(candidates: DataFrame, condition: Column) -> DataFrame:
@@ -76,10 +76,15 @@ def cap_then_filter(candidates: DataFrame, condition: Column) -> DataFrame:
     return candidates.where(condition)
 
 
-def temporal_edges(candidates: DataFrame, date: str, cand_date: str) -> DataFrame:
-    """src, dst of temporal_before edges from candidate pairs with two readable, different dates."""
+def gated(candidates: DataFrame, topic: str) -> DataFrame:
+    """Capped candidates of the probe's topic; an event without a topic isn't restricted."""
+    return cap_then_filter(candidates, F.col(topic).isNull() | (F.col(topic) == F.col(f"cand_{topic}")))
+
+
+def temporal_edges(candidates: DataFrame, date: str, cand_date: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """src, dst of temporal_before edges from candidate pairs with two readable, different dates; and the columns of more."""
     before, after = F.col(cand_date) < F.col(date), F.col(cand_date) > F.col(date)
-    return candidates.where(before | after).select("conv", F.when(before, F.col("cand_id")).otherwise(F.col("event_id")).alias("src"), F.when(before, F.col("event_id")).otherwise(F.col("cand_id")).alias("dst"), F.lit("temporal_before").alias("edge_type"), F.lit(1.0).alias("confidence"))
+    return candidates.where(before | after).select("conv", F.when(before, F.col("cand_id")).otherwise(F.col("event_id")).alias("src"), F.when(before, F.col("event_id")).otherwise(F.col("cand_id")).alias("dst"), F.lit("temporal_before").alias("edge_type"), F.lit(1.0).alias("confidence"), *more)
 
 
 def within_window(rows: DataFrame, scope: list[str], order: list[str], width: int, item: str) -> DataFrame:

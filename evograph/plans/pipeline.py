@@ -65,25 +65,25 @@ def build(events: DataFrame, verdicts: DataFrame, config: Config | None = None)
     """events: conv, event_id, event_seq, participants, event_date, session_num, topic_num; verdicts: conv, src, dst,
     edge_type, confidence, event_date (recorded or by rule). Gives events, edges, sessions, chain.
 
-    Support candidates are capped before the topic gate; verdicts of the model come from the candidates'
-    pairs; temporal edges need no model. Only updates propagate. Write the tables (sources.sinks) before asking:
+    Candidates for support and for temporal edges are events of other sessions, capped before the topic gate; verdicts of the
+    model come from the candidates' pairs; temporal edges need no model. Edges are written event by event (of an
+    event the temporal ones first, in the order of their candidates), then the verdicts. Only updates propagate. Write the tables (sources.sinks) before asking:
     the path search reads them once a level.
     """
     config = config or Config()
-    top = overlap.overlap_topk(events, config.support_jaccard, config.support_k, group="session_num", keep=("topic_num",))
-    near = top
-    if config.topic_gate:  # an event without a topic isn't restricted
-        near = overlap.cap_then_filter(near, F.col("topic_num").isNull() | (F.col("topic_num") == F.col("cand_topic_num")))
-    supports = near.select("conv", F.col("cand_id").alias("src"), F.col("event_id").alias("dst"), F.lit("supports").alias("edge_type"), F.col("jaccard").alias("confidence"))
+    gate = (lambda df: overlap.gated(df, "topic_num")) if config.topic_gate else (lambda df: df)
+    near = gate(overlap.overlap_topk(events, config.support_jaccard, config.support_k, group="session_num", keep=("topic_num", "event_seq")))
+    supports = near.select("conv", F.col("cand_id").alias("src"), F.col("event_id").alias("dst"), F.lit("supports").alias("edge_type"), F.col("jaccard").alias("confidence"), "event_seq", "rank")
     if config.past_only:
         supports = supports.where("src < dst")
-    dated = overlap.overlap_topk(events, config.temporal_jaccard, config.temporal_k, keep=("event_date",))
-    temporal = overlap.temporal_edges(dated, "event_date", "cand_event_date").distinct()
-    updates = verdicts.select("conv", "src", "dst", "edge_type", "confidence")
-    # Phases write in order; of an ordered pair the last phase's edge stays.
+    dated = gate(overlap.overlap_topk(events, config.temporal_jaccard, config.temporal_k, group="session_num", keep=("event_date", "topic_num", "event_seq")))
+    temporal = overlap.temporal_edges(dated, "event_date", "cand_event_date", ("event_seq", "rank"))
+    updates = verdicts.join(events.select("conv", F.col("event_id").alias("src"), "event_seq"), ["conv", "src"], "left").select("conv", "src", "dst", "edge_type", "confidence", F.coalesce("event_seq", F.lit(0)).alias("event_seq"), F.lit(1).alias("rank"))
+    # Of an ordered pair the last write's edge stays, at the place of the first one: by phase, event, kind and candidate.
     writes = None
-    for phase, df in enumerate((supports, temporal, updates)):
-        df = df.select("conv", "src", "dst", "edge_type", "confidence", (F.lit(phase) * F.lit(10**15) + F.xxhash64("src", "dst") % 10**12).alias("edge_seq"))
+    for phase, kind, df in ((0, 0, temporal), (0, 1, supports), (1, 0, updates)):
+        place = F.lit(phase * PHASE) + F.col("event_seq") * 128 + kind * 64 + F.least("rank", F.lit(63))
+        df = df.select("conv", "src", "dst", "edge_type", "confidence", place.alias("edge_seq"))
         writes = df if writes is None else writes.unionByName(df)
     edges = graph.upsert_edges(writes).withColumn("t_invalid_at", F.lit(None).cast("date"))
     fresh = events.withColumn("valid_until", F.lit(None).cast("date")).withColumn("update_val", F.lit(1.0))
@@ -125,7 +125,7 @@ def _walked(built: dict[str, DataFrame], walk: bool) -> DataFrame:
     """All edges with their ends as text, in adjacency order; stars after the others."""
     edges = built["edges"].select("conv", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "edge_type", "confidence", "adj_pos", "t_invalid_at")
     if walk and "stars" in built:
-        edges = edges.unionByName(built["stars"].select("conv", "src", "dst", "edge_type", "confidence", (F.lit(10**16) + F.xxhash64("src", "dst") % 10**12).alias("adj_pos"), F.lit(None).cast(edges.schema["t_invalid_at"].dataType).alias("t_invalid_at")))
+        edges = edges.unionByName(built["stars"].select("conv", "src", "dst", "edge_type", "confidence", (F.lit(2 * PHASE) + F.pmod(F.xxhash64("src", "dst"), F.lit(10**12))).alias("adj_pos"), F.lit(None).cast(edges.schema["t_invalid_at"].dataType).alias("t_invalid_at")))
     return edges
 
 
@@ -156,6 +156,8 @@ def _seeds(questions: DataFrame, near: DataFrame, note_events: DataFrame, events
     return retrieval.union_ordered(channels, ["conv", "node"]).select("qid", "conv", "node", F.col("place").alias("seed_rank"))
 
 
+#: Places of a phase's writes.
+PHASE = 1 << 60
 #: Concept seeds of a question, at most, and their least similarity.
 CONCEPTS, CONCEPT_MIN = 8, 0.3
 

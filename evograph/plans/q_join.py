@@ -54,16 +54,17 @@ def supersession_candidates(spark, sf):
 def support_candidates(spark, sf):
     """Capped first, then the gate: candidates of the same topic."""
     top = overlap.overlap_topk(V.events_in_sessions(spark, sf), 0.3, 10, group="session_num", keep=("topic_num",))
-    return overlap.cap_then_filter(top, F.col("topic_num") == F.col("cand_topic_num")).select("event_id", "cand_id", "rank")
+    return overlap.gated(top, "topic_num").select("event_id", "cand_id", "rank")
 
 
 @query(
     "auto_temporal_edges",
-    with_views("evs", "SELECT DISTINCT conv, CASE WHEN d2 < d1 THEN cand_id ELSE event_id END AS src, CASE WHEN d2 < d1 THEN event_id ELSE cand_id END AS dst, 'temporal_before' AS edge_type FROM top WHERE d1 <> d2", _top("jaccard >= 0.3", 20)),
+    with_views("evs", "SELECT DISTINCT conv, CASE WHEN d2 < d1 THEN cand_id ELSE event_id END AS src, CASE WHEN d2 < d1 THEN event_id ELSE cand_id END AS dst, 'temporal_before' AS edge_type FROM top WHERE d1 <> d2 AND t1 = t2", _top("jaccard >= 0.3 AND s1 <> s2", 20)),
 )
 def auto_temporal_edges(spark, sf):
-    top = overlap.overlap_topk(V.events(spark, sf), 0.3, 20, keep=("event_date",))
-    return overlap.temporal_edges(top, "event_date", "cand_event_date").select("conv", "src", "dst", "edge_type").distinct()
+    """Candidates of other sessions, capped first; then the topic gate; then the order of the dates."""
+    top = overlap.overlap_topk(V.events_in_sessions(spark, sf), 0.3, 20, group="session_num", keep=("event_date", "topic_num"))
+    return overlap.temporal_edges(overlap.gated(top, "topic_num"), "event_date", "cand_event_date").select("conv", "src", "dst", "edge_type").distinct()
 
 
 @query("topic_gated_pairs", with_views("evs", "SELECT conv, topic_num, sum(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END)::BIGINT * sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END)::BIGINT AS pairs FROM evs GROUP BY 1, 2"))

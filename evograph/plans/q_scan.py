@@ -214,15 +214,21 @@ def context_heuristic(spark, sf):
 
 @query(
     "answer_normalise",
-    """WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Reasoning.' || chr(10) || 'ANSWER: "' || text || '"' WHEN turn % 3 = 1 THEN text ELSE 'see Answer: ' || turn || '.' END AS raw FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)),
-    t AS (SELECT conv_id, turn, raw, regexp_extract_all(raw, '(?im)^[ \\t]*answer:[ \\t]*(.*)$', 1) AS s, regexp_extract_all(raw, '(?i)answer:[ \\t]*([^\\n]*)', 1) AS i FROM a),
-    c AS (SELECT conv_id, turn, coalesce(CASE WHEN len(s) > 0 THEN trim(s[-1]) END, CASE WHEN len(i) > 0 THEN trim(i[-1]) END, raw) AS v FROM t)
-    SELECT conv_id, turn, trim(regexp_replace(regexp_replace(trim(v), '^["''“”‘’]+|["''“”‘’]+$', '', 'g'), '([^0-9.])\\.$', '\\1')) AS answer FROM c""",
+    r"""WITH f AS (SELECT conv_id, turn, replace(text, chr(10), ' ') AS t FROM conversations),
+    a AS (SELECT conv_id, turn, CASE turn % 8 WHEN 0 THEN 'Reasoning.' || chr(10) || 'ANSWER: "' || t || '"' WHEN 1 THEN t WHEN 2 THEN 'see Answer: ' || turn || '.' WHEN 3 THEN 'so' || chr(10) || 'ANSWER:' || chr(10) || '  ' || t || chr(10) || 'the end'
+      WHEN 4 THEN '```json' || chr(10) || '{"answer": "in ' || turn || '.", "why": 1}' || chr(10) || '```' WHEN 5 THEN 'Answer : ' || t || '..' WHEN 6 THEN t || chr(10) || 'answer:' WHEN 7 THEN 'Answer: no' || chr(10) || ' answer	: “' || t || '”.' END AS raw FROM f),
+    -- The last tag that something follows: at a line's start, or else anywhere.
+    l AS (SELECT conv_id, turn, raw, regexp_extract_all(raw, '(?:^|\n)[ \t]*(?i:answer)\s*:\s*([^\n]+)', 1) AS s, regexp_extract_all(raw, '(?i:answer)\s*:\s*([^\n]+)', 1) AS i FROM a),
+    c AS (SELECT conv_id, turn, CASE WHEN len(s) > 0 THEN s[-1] WHEN len(i) > 0 THEN i[-1] WHEN starts_with(raw, '```') THEN json_extract_string(regexp_extract(raw, '\{.*\}'), '$.answer') ELSE raw END AS v FROM l),
+    q AS (SELECT conv_id, turn, trim(trim(trim(v, ' ' || chr(9) || chr(10)), '"''“”‘’'), ' ' || chr(9) || chr(10)) AS v FROM c)
+    SELECT conv_id, turn, CASE WHEN ends_with(v, '.') AND NOT regexp_matches(v, '[0-9]\.$') THEN trim(left(v, length(v) - 1)) ELSE v END AS answer FROM q""",
 )
 def answer_normalise(spark, sf):
-    flat = F.translate("text", "\n", " ")
-    raw = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('Reasoning.\nANSWER: "'), flat, F.lit('"'))).when(F.col("turn") % 3 == 1, flat).otherwise(F.concat(F.lit("see Answer: "), F.col("turn"), F.lit(".")))
-    return V.table(spark, sf, "conversations").select("conv_id", "turn", text.normalize_answer(F.coalesce(text.answer_tag(raw), raw)).alias("answer"))
+    """Answers in eight forms: a quoted tag, plain, a tag in a line, before a line end, JSON in fences, white space before the colon, an empty tag, two tags."""
+    flat, turn = F.translate("text", "\n", " "), F.col("turn")
+    forms = ['Reasoning.\nANSWER: "%s"', "%s", "see Answer: #.", "so\nANSWER:\n  %s\nthe end", '```json\n{"answer": "in #.", "why": 1}\n```', "Answer : %s..", "%s\nanswer:", "Answer: no\n answer\t: “%s”."]
+    raw = F.get(F.array(*(F.replace(F.replace(F.lit(f), F.lit("#"), turn.cast("string")), F.lit("%s"), flat) for f in forms)), (turn % 8).cast("int"))
+    return V.table(spark, sf, "conversations").select("conv_id", "turn", text.parse_answer(raw).alias("answer"))
 
 
 @query(

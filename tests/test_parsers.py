@@ -59,15 +59,21 @@ def test_verdicts(spark, raw, want):
 def test_first_of_two(spark):
     q = "Which event happened first, the trip or the wedding?"
     said = "ANSWER: the wedding took place first, and the trip followed in June."
-    assert parsers.choose_first(q, said) == "the wedding" and parsers.choose_first(q, "the trip") == "the trip"
-    assert parsers.choose_first(q, "It is not specified whether the wedding was first.", "none") == "none"
-    assert parsers.choose_first("Which trip have I never done first, A b or C d?", "A b first", "none") == "none"
-    assert parsers.choose_first(q, "the wedding " + "x" * 100 + " first", "none") == "none"
-    assert parsers.choose_first("Who came first, it or the old man from the house on the far hill?", "the old man from the house on the far hill first", "none") == "none"
-    assert parsers.options("Which book did I read first, 'The Sea' or 'The Land'?") == ["'The Sea'", "'The Land'"]
-    assert parsers.choose_first("Which book did I read first, 'The Sea' or 'The Land'?", "You read The Land first") == "'The Land'"
-    df = spark.createDataFrame([(q, said)], "q string, a string").select(parsers.first_of_options()("q", "a").alias("v"))
-    assert df.first().v == "the wedding"
+    book = "Which book did I read first, 'The Sea' or 'The Land'?"
+    cases = [
+        (q, said, None, "the wedding"), (q, "the trip", None, "the trip"), (q, "It is not specified whether the wedding was first.", "none", "none"),
+        ("Which trip have I never done first, A b or C d?", "A b first", "none", "none"), (q, "the wedding " + "x" * 100 + " first", "none", "none"),
+        ("Who came first, it or the old man from the house on the far hill?", "the old man from the house on the far hill first", "none", "none"),
+        (book, "You read The Land first", None, "'The Land'"), (q, "why\n\nAnswer: The Trip was earlier\n\nthe wedding was first", None, "the trip"), (q, None, None, ""), (None, "a", None, "a"),
+        (q, "the wedding" + "x" * 68 + " first", "none", "the wedding"), (q, "the wedding" + "x" * 69 + " first", "none", "none"), (q, "the wedding" + " " * 69 + "first", "none", "the wedding"), (q, "first" + " " * 75 + "the wedding", "none", "the wedding"), (q, "first" + " " * 76 + "the wedding", "none", "none"),
+        (q, "xfirst the wedding", "none", "none"), ("Who was first, Ann, Bob or Cy?", "Cy came first", "none", "Cy"), ("Who was first, Ann?", "Ann first", "none", "none"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, q string, a string, f string, want string")
+    got = df.select("i", "want", parsers.choose_first(F.col("q"), F.col("a"), F.coalesce("f", "a", F.lit(""))).alias("v")).collect()
+    assert [(r.i, r.v) for r in got] == [(r.i, r.want) for r in got]
+    listed = {x: read(spark, parsers.order_options, x) for x in (book, q, "Which came first, it or 'A' or B b?", "no comma or none?", None)}
+    assert list(listed.values()) == [["'The Sea'", "'The Land'"], ["the trip", "the wedding"], ["'A' or B b"], [], []]
+    assert read(spark, lambda x: parsers.choose_first(F.lit(q), x), said) == "the wedding"
 
 
 @pytest.mark.parametrize(

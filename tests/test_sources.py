@@ -113,7 +113,7 @@ def test_other_date_readers(spark):
 
 @pytest.mark.parametrize(
     ("raw", "want"),
-    [('"quoted"', "quoted"), ("“curly”", "curly"), ("a sentence.", "a sentence"), ("in 2023.", "in 2023."), ("x\nANSWER: one\nANSWER: two.", "two"), ("so the answer: three", "three"), ('{"answer": "four"}', "four"), ("plain", "plain")],
+    [('"quoted"', "quoted"), ("“curly”", "curly"), ("a sentence.", "a sentence"), ("in 2023.", "in 2023."), ("x\nANSWER: one\nANSWER: two.", "two"), ("so the answer: three", "three"), ("so\nANSWER:\n the next line\nmore", "the next line"), ("Answer : Rome", "Rome"), ('```json\n{"answer": "fenced."}\n```', "fenced"), ("the text.\nANSWER:", "the text.\nANSWER:"), ("ANSWER: \n", "ANSWER:"), ("x..", "x."), ("\u00a0.", ""), ("answer\t:\u00a0 four\nAnswer: ", "answer\t:\u00a0 four\nAnswer:"), ("answer\t:\u00a0 four\n", "four"), ('{"answer": "four"}', "four"), ("plain", "plain")],
 )
 def test_answers(spark, raw, want):
     assert value(spark, text.parse_answer(F.col("x")), x=raw) == want

@@ -1,9 +1,16 @@
 """Set-similarity joins over participants, capped per probe.
 
-Events with equal participant sets are one class, and similarity is a matter of classes: candidates come
-from an equi-join of classes on a shared member. For a probe only the first k events of a class (per
-group, where a probe's own group is excluded) can be among its k best, so nothing grows with the square
-of a hot participant's events (but with that of the different sets it is in). Ties are broken by event_seq.
+Events with equal participant sets are one class, and similarity is a matter of classes. For a probe only the first k
+events of a class (per group, where a probe's own group is excluded) can be among its k best, so nothing grows with
+the square of a hot participant's events. Nor does it with the square of the different sets that a hot participant is in:
+
+* Sets of up to SMALL members meet by the subsets that they share. Sets of one size that share a subset with the probe are as
+  similar to it, at least, as that subset makes them, so of each subset and size only the first few classes, by their
+  first events, can be among the k best; those are the subset's list, and a probe reads the lists of its own subsets.
+* Where one of two sets is larger, they meet by a prefix filter: members are ordered by rarity, the smaller set shows its
+  first few, the larger one somewhat more, and a pair that shares none of these can't be similar enough; hot members come last.
+
+Ties are broken by event_seq.
 """
 
 from __future__ import annotations
@@ -15,18 +22,68 @@ from pyspark.sql import functions as F
 from evograph.shared import cut
 
 
-def similar_classes(events: DataFrame, scope: str, min_jaccard: float) -> DataFrame:
-    """events: scope, c (a number), members (a set, each set once). Gives scope, c, d, jaccard for ordered pairs of participant sets (with itself, too) of a scope, at the threshold or above."""
-    by_member = events.select(scope, "c", F.size("members").cast("short").alias("n"), F.explode("members").alias("member"))
-    other = by_member.select(F.col(scope), F.col("c").alias("d"), F.col("n").alias("m"), "member")
-    shared = by_member.join(other, [scope, "member"]).groupBy(scope, "c", "d", "n", "m").agg(F.count(F.lit(1)).alias("both"))
-    return shared.select(scope, "c", "d", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= min_jaccard)
+#: Members of a set up to which it meets others by its subsets (2 ** SMALL - 1 of them).
+SMALL = 6
+
+
+def subsets(members: Column) -> Column:
+    """All subsets of an array but the empty one, each in the array's order."""
+    bit = lambda mask, i: F.call_function("shiftright", mask, i) % 2 == 1
+    return F.transform(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(members)) - 1), lambda mask: F.filter(members, lambda _, i: bit(mask, i)))
 
 
-def overlap_topk(events: DataFrame, min_jaccard: float, k: int, scope: str = "conv", group: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def small_pairs(classes: DataFrame, scope: str, min_jaccard: float, most: int, grouped: bool, small: int) -> DataFrame:
+    """scope, c, d, jaccard: for each small class those that may be among its best. classes: scope, c, members, starts (array of seq, group: the
+    first event, and the first one of another group).
+
+    With groups a probe passes over starts of its own one: of a list it sees at most 2 * most that another class has twice, so
+    lists hold 2 * most starts of any group, and 4 * most in all.
+    """
+    few = classes.where(F.size("members").between(1, small)).withColumn("n", F.size("members")).withColumn("key", F.explode(subsets(F.col("members")))).where(F.size("key") >= F.col("n") * min_jaccard - 1e-9)
+    starts = few.select(scope, "key", "n", F.col("c").alias("d"), F.explode("starts").alias("at"))
+    limit = most
+    if grouped:
+        own = F.row_number().over(W.partitionBy(scope, "key", "n", F.col("at.group")).orderBy("at.seq"))
+        starts, limit = starts.withColumn("_n", own).where(F.col("_n") <= 2 * most), 4 * most
+    first = starts.withColumn("_n", F.row_number().over(W.partitionBy(scope, "key", "n").orderBy("at.seq"))).where(F.col("_n") <= limit)
+    lists = first.groupBy(scope, "key").agg(F.collect_list(F.struct("n", "d")).alias("list"))  # at most small * limit
+    met = few.select(scope, "c", F.col("n").alias("m"), "key").join(lists, [scope, "key"])
+    pairs = met.select(scope, "c", "m", F.size("key").alias("both"), F.inline("list"))
+    jaccard = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
+    return pairs.select(scope, "c", "d", jaccard.alias("jaccard")).where(F.col("jaccard") >= min_jaccard).groupBy(scope, "c", "d").agg(F.max("jaccard").alias("jaccard"))
+
+
+def large_pairs(classes: DataFrame, scope: str, min_jaccard: float, small: int) -> DataFrame:
+    """scope, c, d, jaccard, both ways, for all similar pairs of which one set at least has more than `small` members (with itself, too)."""
+    rows = classes.select(scope, "c", F.size("members").alias("n"), F.explode("members").alias("member"))
+    common = rows.groupBy(scope, "member").agg(F.count(F.lit(1)).alias("df"))
+    ordered = rows.join(common, [scope, "member"]).groupBy(scope, "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "member"))).alias("x"))  # a set's own members
+    kept = lambda share: F.slice("x", 1, (F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).cast("int"))
+    shown = ordered.select(scope, F.col("c").alias("d"), F.col("n").alias("m"), F.explode(kept(2 * min_jaccard / (1 + min_jaccard))).alias("at"))
+    asked = ordered.where(F.col("n") > small).select(scope, "c", "n", F.explode(kept(min_jaccard)).alias("at"))
+    shorter = (F.col("m") >= F.col("n") * min_jaccard - 1e-9) & (F.struct("m", "d") < F.struct("n", "c"))
+    met = asked.join(shown, [scope, "at"]).where(shorter).select(scope, "c", "d").distinct()
+    sets = classes.select(scope, "c", "members")
+    both = met.join(sets, [scope, "c"]).join(sets.select(scope, F.col("c").alias("d"), F.col("members").alias("other")), [scope, "d"])
+    shared = F.size(F.array_intersect("members", "other"))
+    pairs = both.select(scope, "c", "d", (shared / (F.size("members") + F.size("other") - shared)).alias("jaccard")).where(F.col("jaccard") >= min_jaccard)
+    own = classes.where(F.size("members") > small).select(scope, "c", F.col("c").alias("d"), F.lit(1.0).alias("jaccard"))
+    return pairs.unionByName(pairs.select(scope, F.col("d").alias("c"), F.col("c").alias("d"), "jaccard")).unionByName(own)
+
+
+def similar_classes(classes: DataFrame, scope: str, min_jaccard: float, most: int, grouped: bool = False, small: int = SMALL) -> DataFrame:
+    """scope, c, d, jaccard: for each class (scope, c, members, starts) those that can hold one of its `most` best events, itself among them."""
+    near = small_pairs(classes, scope, min_jaccard, most, grouped, small)
+    if classes.where(F.size("members") > small).isEmpty():
+        return near
+    return near.unionByName(large_pairs(classes, scope, min_jaccard, small))
+
+
+def overlap_topk(events: DataFrame, min_jaccard: float, k: int, scope: str = "conv", group: str | None = None, keep: tuple[str, ...] = (), past: bool = False, small: int = SMALL) -> DataFrame:
     """For each event its k most similar others: scope, event_id, cand_id, jaccard, rank, and <name> and cand_<name> for `keep`.
 
-    group: candidates of the probe's own group are left out (default: the event itself alone).
+    group: candidates of the probe's own group are left out (default: the event itself alone). past: those of later
+    groups are left out, too, and order is by group, then event_seq: what was there when the probe's group arrived.
 
     A class carries its first events as an array. Of the classes that are as similar to a probe's, only the k
     whose first (admissible) event is earliest can have one of its k best, so classes are ranked before
@@ -35,32 +92,36 @@ def overlap_topk(events: DataFrame, min_jaccard: float, k: int, scope: str = "co
     """
     names = tuple(x for x in keep if x not in (group, "event_seq"))
     c = F.array_sort(F.array_distinct(F.transform("participants", F.lower))).alias("c")
-    rows = events.select(scope, "event_id", "event_seq", c, *([group] if group else []), *names)
+    seq = (F.struct(group, "event_seq") if past else F.col("event_seq")).alias("seq")
+    rows = events.select(scope, "event_id", "event_seq", seq, c, *([group] if group else []), *names)
     own = [group] if group else []
     more = [*own, *names]
-    most = 2 * k if group else k + 1  # with k of a group at most, k of any other groups are among the first 2 k
-    place = lambda *by: F.row_number().over(W.partitionBy(scope, "c", *by).orderBy("event_seq"))
+    most = k if past else 2 * k if group else k + 1  # with k of a group at most, k of any other groups are among the first 2 k
+    place = lambda *by: F.row_number().over(W.partitionBy(scope, "c", *by).orderBy("seq"))
     first = rows.withColumn("_n", place(*own)).where(F.col("_n") <= (k if group else most))
     if group:
         first = first.withColumn("_n", place()).where(F.col("_n") <= most)
-    head = first.groupBy(scope, "c").agg(F.array_sort(F.collect_list(F.struct(F.col("event_seq").alias("seq"), F.col("event_id").alias("id"), *more))).alias("head"))
+    head = first.groupBy(scope, "c").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("event_id").alias("id"), *more))).alias("head"))
     # Classes get numbers, which the checkpoint makes lasting: what is joined and ranked from here on is narrow.
     named = cut(head.withColumn("number", F.monotonically_increasing_id()))
-    classes = named.select(scope, F.col("number").alias("c"), F.col("c").alias("members"), "head")
-    rows = rows.join(named.select(scope, "c", "number"), [scope, "c"]).drop("c").withColumnRenamed("number", "c")
     lead = F.get("head", F.lit(0))
-    other = F.get(F.filter("head", lambda x: ~x[group].eqNullSafe(lead[group])), F.lit(0))["seq"] if group else F.lit(None).cast("long")
-    starts = classes.select(scope, F.col("c").alias("d"), lead["seq"].alias("seq1"), *([lead[group].alias("group1")] if group else []), other.alias("seq2"))
-    near = similar_classes(classes, scope, min_jaccard)
+    other = F.get(F.filter("head", lambda x: ~x[group].eqNullSafe(lead[group])), F.lit(0)) if group and not past else None
+    start = lambda x: F.struct(x["seq"].alias("seq"), (x[group] if group else F.lit(0)).alias("group"))
+    starts = F.array(start(lead)) if other is None else F.filter(F.array(start(lead), F.when(other.isNotNull(), start(other))), lambda x: x.isNotNull())
+    classes = named.select(scope, F.col("number").alias("c"), F.col("c").alias("members"), "head", starts.alias("starts"))
+    rows = rows.join(named.select(scope, "c", "number"), [scope, "c"]).drop("c").withColumnRenamed("number", "c")
+    near = similar_classes(classes, scope, min_jaccard, most, group is not None and not past, small)
+    begins = classes.select(scope, F.col("c").alias("d"), "starts")
     # Probes of one class (and group) share their candidates: they are ranked once for all of them.
     probes = rows.select(scope, "c", *own).distinct() if group else classes.select(scope, "c")
-    pairs = probes.join(near, [scope, "c"]).join(starts, [scope, "d"])
-    start = F.when(F.col(group).eqNullSafe(F.col("group1")), F.col("seq2")).otherwise(F.col("seq1")) if group else F.col("seq1")
+    pairs = probes.join(near, [scope, "c"]).join(begins, [scope, "d"])
+    admissible = (lambda x: x[group] < F.col(group)) if past else (lambda x: ~x[group].eqNullSafe(F.col(group))) if group else None
+    at = F.get("starts", F.lit(0))["seq"] if not group else F.get(F.filter("starts", lambda x: x["group"] < F.col(group) if past else ~x["group"].eqNullSafe(F.col(group))), F.lit(0))["seq"]
     by = W.partitionBy(scope, "c", *own).orderBy(F.desc("jaccard"), "_start")
-    pairs = pairs.withColumn("_start", start).where("_start IS NOT NULL").withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most)
+    pairs = pairs.withColumn("_start", at).where("_start IS NOT NULL").withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most)
     met = pairs.select(scope, "c", "d", *own, "jaccard").join(classes.select(scope, F.col("c").alias("d"), "head"), [scope, "d"])
     item = lambda x: F.struct((-F.col("jaccard")).alias("neg"), x["seq"].alias("seq"), x["id"].alias("id"), *(x[m].alias(m) for m in more))
-    heads = F.filter("head", lambda x: ~x[group].eqNullSafe(F.col(group))) if group else F.col("head")
+    heads = F.filter("head", admissible) if group else F.col("head")
     merged = met.select(scope, "c", *own, F.transform(F.slice(heads, 1, k if group else most), item).alias("items")).groupBy(scope, "c", *own)
     best = merged.agg(F.slice(F.array_sort(F.flatten(F.collect_list("items"))), 1, k if group else most).alias("best"))  # at most `most` arrays of `most`
     same = [F.col(f"p.{x}").eqNullSafe(F.col(f"b.{x}")) for x in own]
@@ -68,7 +129,8 @@ def overlap_topk(events: DataFrame, min_jaccard: float, k: int, scope: str = "co
     if not group:
         out = out.withColumn("best", F.slice(F.filter("best", lambda x: x["id"] != F.col("event_id")), 1, k))
     out = out.select(scope, "event_id", *keep, F.posexplode("best").alias("rank", "x"))
-    return out.select(scope, "event_id", F.col("x.id").alias("cand_id"), (-F.col("x.neg")).alias("jaccard"), (F.col("rank") + 1).cast("long").alias("rank"), *keep, *[F.col("x.seq" if x == "event_seq" else f"x.{x}").alias(f"cand_{x}") for x in keep])
+    seq_of = F.col("x.seq.event_seq" if past else "x.seq")
+    return out.select(scope, "event_id", F.col("x.id").alias("cand_id"), (-F.col("x.neg")).alias("jaccard"), (F.col("rank") + 1).cast("long").alias("rank"), *keep, *[(seq_of if x == "event_seq" else F.col(f"x.{x}")).alias(f"cand_{x}") for x in keep])
 
 
 def cap_then_filter(candidates: DataFrame, condition: Column) -> DataFrame:

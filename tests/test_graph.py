@@ -217,6 +217,40 @@ def test_overlap_is_all_pairs(spark, seed):
             assert got == want, (group, least)
 
 
+@pytest.mark.parametrize("small", [6, 2, 0])
+def test_overlap_by_subsets_and_prefixes(spark, small):
+    """Sets that meet by their subsets, by prefixes, or both, against every pair; a member that most sets have; what was there on arrival."""
+    rng = random.Random(small)
+    pool = "bcdefghij"
+    rows = [(0, i, i, sorted({*rng.sample(pool, rng.randint(0, 7)), *(["a"] if rng.random() < 0.7 else [])}), rng.randint(0, 9)) for i in range(130)]
+    df = spark.createDataFrame(rows, "conv int, event_id int, event_seq int, participants array<string>, g int").repartition(4)
+    sets = {r[1]: frozenset(r[3]) for r in rows}
+    for past, group in ((False, None), (False, "g"), (True, "g")):
+        want: dict = {r[1]: [] for r in rows}
+        for a in rows:
+            near = []
+            for b in rows:
+                both, union = sets[a[1]] & sets[b[1]], sets[a[1]] | sets[b[1]]
+                ok = b[4] < a[4] if past else a[4] != b[4] if group else a[1] != b[1]
+                if ok and union and len(both) / len(union) >= 0.4:
+                    near.append((-len(both) / len(union), (b[4], b[2]) if past else b[2], b[1]))
+            want[a[1]] = [x[2] for x in sorted(near)[:4]]
+        got: dict = {r[1]: [] for r in rows}
+        for r in overlap.overlap_topk(df, 0.4, 4, group=group, past=past, small=small).orderBy("event_id", "rank").collect():
+            got[r.event_id].append(r.cand_id)
+        assert got == want, (past, group)
+
+
+def test_a_hot_member_makes_no_pairs(spark):
+    """2,000 sets that share one member: lists are read, not all pairs of the sets."""
+    rows = [(0, i, i, ["hot", f"m{i}"]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "conv int, event_id int, event_seq int, participants array<string>")
+    members = df.select("conv", F.col("event_id").alias("c"), "participants", F.array(F.struct(F.col("event_seq").alias("seq"), F.lit(0).alias("group"))).alias("starts")).withColumnRenamed("participants", "members")
+    assert overlap.similar_classes(members, "conv", 0.3, 4).count() <= 2000 * 6
+    assert overlap.large_pairs(members, "conv", 0.5, 0).count() == 2000
+    assert {r.event_id: r.cand_id for r in overlap.overlap_topk(df, 0.3, 3).where("rank = 1").collect()} == {i: int(i == 0) for i in range(2000)}
+
+
 # The invariants of ingest
 
 

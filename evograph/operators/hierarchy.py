@@ -70,18 +70,46 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / (n if n else 1.0)
 
 
+#: Rows whose distances to all centres are held at a time.
+BLOCK = 2048
+
+
+def _nearest(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row and its squared distance, block by block."""
+    at, gap, own = np.zeros(len(x), int), np.zeros(len(x)), (centre**2).sum(1)
+    for i in range(0, len(x), BLOCK):
+        part = x[i : i + BLOCK]
+        at[i : i + BLOCK] = best = (own - 2 * part @ centre.T).argmin(1)
+        gap[i : i + BLOCK] = ((part - centre[best]) ** 2).sum(1)
+    return at, gap
+
+
+def far_apart(x: np.ndarray, k: int, rng: np.random.Generator, weight: np.ndarray | None = None) -> list[int]:
+    """Places of k rows (fewer, if no more differ), each next one of a few drawn by weight and squared distance the one that leaves the least cost. A centre costs a few passes over the rows."""
+    w = np.ones(len(x)) if weight is None else weight
+    draw = lambda odds, n: np.minimum(np.searchsorted(np.cumsum(odds), rng.random(n) * odds.sum()), len(x) - 1)
+    picked = [int(draw(w, 1)[0])]
+    gap = ((x - x[picked[0]]) ** 2).sum(1)
+    while len(picked) < k and (w * gap).sum() > 0:
+        tried = draw(w * gap, 2 + int(np.log(k)))
+        left = [np.minimum(gap, ((x - x[i]) ** 2).sum(1)) for i in tried]
+        best = int(np.argmin([(w * g).sum() for g in left]))
+        picked.append(int(tried[best]))
+        gap = left[best]
+    return picked
+
+
 def seeded_kmeans(x: np.ndarray, k: int, starts: int = 10, rounds: int = 50) -> np.ndarray:
-    """Labels of k-means, the best of `starts` runs by inertia, from seeded far-apart centres (each next one with a probability by squared distance)."""
+    """Labels of k-means, the best of `starts` runs by inertia, from seeded far-apart centres. Memory is the rows and a block of distances."""
     rng, best = np.random.default_rng(0), (np.inf, np.zeros(len(x), int))
     for _ in range(starts):
-        centre = x[[rng.integers(len(x))]]
-        while len(centre) < k:
-            gap = ((x[:, None] - centre[None]) ** 2).sum(2).min(1)
-            pick = rng.choice(len(x), p=gap / gap.sum()) if gap.sum() > 0 else rng.integers(len(x))
-            centre = np.vstack([centre, x[pick]])
+        centre = x[far_apart(x, k, rng)]
         for _ in range(rounds):
-            at = ((x[:, None] - centre[None]) ** 2).sum(2).argmin(1)
-            new = np.array([x[at == j].mean(0) if (at == j).any() else centre[j] for j in range(k)])
+            at, _ = _nearest(x, centre)
+            n = np.bincount(at, minlength=len(centre))
+            new = np.zeros_like(centre)
+            np.add.at(new, at, x)
+            new = np.where(n[:, None] > 0, new / np.maximum(n, 1)[:, None], centre)
             if np.allclose(new, centre):
                 break
             centre = new
@@ -91,49 +119,100 @@ def seeded_kmeans(x: np.ndarray, k: int, starts: int = 10, rounds: int = 50) ->
     return best[1]
 
 
+class TopicMaps:
+    """What Topics knows, in memory: of each topic the sum of its vectors and its sessions; of each session its vector."""
+
+    def __init__(self, state: dict | None = None):
+        s = state or {"topics": {}, "vectors": [], "drifts": 0, "generation": 0}
+        self.topics, self.vectors = {t: tuple(x) for t, x in s["topics"].items()}, {int(i): v for i, v in s["vectors"]}
+        self.drifts, self.generation = s["drifts"], s["generation"]
+
+    def names(self) -> list[str]:
+        return list(self.topics)
+
+    def topic(self, name: str) -> tuple[list[float], list[int]]:
+        return self.topics[name]
+
+    def put(self, name: str, total: list[float], members: list[int]) -> None:
+        self.topics[name] = (total, members)
+
+    def drop(self, name: str) -> None:
+        del self.topics[name]
+
+    def vector(self, session: int) -> list[float]:
+        return self.vectors[session]
+
+    def keep(self, session: int, v: list[float]) -> None:
+        self.vectors[session] = v
+
+    def sessions(self) -> list[int]:
+        return sorted(self.vectors)
+
+    def state(self) -> dict:
+        return {"topics": self.topics, "vectors": list(self.vectors.items()), "drifts": self.drifts, "generation": self.generation}
+
+
 class Topics:
     """A conversation's topics as its sessions arrive: each goes to the topic of the nearest centroid, whatever the distance.
 
     It has drifted if it fits that topic worse than every session that is in it (a topic of one session takes
     anything). After DRIFTS drifts since the last time, or when a topic holds more than OVERSIZE * TARGET sessions, all sessions are
-    clustered anew, under a new generation of names. vectors: of all sessions so far; members: their places by topic.
+    clustered anew, under a new generation of names. A centroid comes from the topic's running sum; an arrival reads the
+    sums of all topics and the vectors of one. maps: TopicMaps, or the same over keyed state.
     """
 
-    def __init__(self, state: dict | None = None):
-        s = state or {"vectors": [], "members": {}, "drifts": 0, "generation": 0}
-        self.vectors, self.members, self.drifts, self.generation = [np.asarray(v, float) for v in s["vectors"]], s["members"], s["drifts"], s["generation"]
+    def __init__(self, maps: TopicMaps | None = None):
+        self.maps = TopicMaps() if maps is None else maps
+        self.drifts, self.generation = self.maps.drifts, self.maps.generation
 
-    def state(self) -> dict:
-        return {"vectors": [v.tolist() for v in self.vectors], "members": self.members, "drifts": self.drifts, "generation": self.generation}
+    @property
+    def members(self) -> dict[str, list[int]]:
+        return {t: self.maps.topic(t)[1] for t in self.maps.names()}
 
-    def centroid(self, topic: str) -> np.ndarray:
-        return _unit(np.mean([self.vectors[i] for i in self.members[topic]], axis=0))
+    def state(self) -> dict:
+        self.maps.drifts, self.maps.generation = self.drifts, self.generation
+        return self.maps.state()
 
     def cohesion(self, topic: str) -> float:
-        own = self.members[topic]
-        return min(float(self.vectors[i] @ self.centroid(topic)) for i in own) if len(own) > 1 else -1.0
+        total, own = self.maps.topic(topic)
+        centre = _unit(np.asarray(total))
+        return min(float(np.asarray(self.maps.vector(i)) @ centre) for i in own) if len(own) > 1 else -1.0
 
-    def assign(self, v: list[float]) -> dict:
+    def assign(self, v: list[float], session: int | None = None) -> dict:
         """topic, generation, cosine (null for a first session), opened, drifted, reclustered."""
-        i, x = len(self.vectors), _unit(np.asarray(v, float))
-        self.vectors.append(x)
-        if not self.members:
+        x = _unit(np.asarray(v, float))
+        i = len(self.maps.sessions()) if session is None else session
+        self.maps.keep(i, x.tolist())
+        names = self.maps.names()
+        if not names:
             topic = f"{self.generation}_0"
-            self.members[topic] = [i]
+            self.maps.put(topic, x.tolist(), [i])
             return {"topic": topic, "generation": self.generation, "cosine": None, "opened": True, "drifted": False, "reclustered": False}
-        near = {t: float(x @ self.centroid(t)) for t in self.members}
-        topic = max(near, key=near.get)
-        drifted = near[topic] < self.cohesion(topic)
-        self.members[topic].append(i)
+        near = np.array([_unit(np.asarray(self.maps.topic(t)[0])) for t in names]) @ x
+        topic, cosine_ = names[int(near.argmax())], float(near.max())
+        drifted = cosine_ < self.cohesion(topic)
+        total, own = self.maps.topic(topic)
+        own = [*own, i]
+        self.maps.put(topic, (np.asarray(total) + x).tolist(), own)
         self.drifts += drifted
-        again = len(self.members[topic]) > OVERSIZE * TARGET or self.drifts >= DRIFTS
+        again = len(own) > OVERSIZE * TARGET or self.drifts >= DRIFTS
         if again:
-            k = max(1, min(i + 1, round((i + 1) / TARGET)))
-            labels = seeded_kmeans(np.array(self.vectors), k)
-            self.generation, self.drifts = self.generation + 1, 0
-            self.members = {f"{self.generation}_{j}": np.flatnonzero(labels == j).tolist() for j in sorted(set(labels.tolist()))}
-        named = next(t for t, own in self.members.items() if i in own)
-        return {"topic": named, "generation": self.generation, "cosine": near[topic], "opened": False, "drifted": drifted, "reclustered": again}
+            topic = self._recluster(names, i)
+        return {"topic": topic, "generation": self.generation, "cosine": cosine_, "opened": False, "drifted": drifted, "reclustered": again}
+
+    def _recluster(self, names: list[str], i: int) -> str:
+        """All sessions clustered anew; the topic of session i."""
+        sessions = self.maps.sessions()
+        x = np.array([self.maps.vector(s) for s in sessions])
+        labels = seeded_kmeans(x, max(1, min(len(x), round(len(x) / TARGET))))
+        self.generation, self.drifts, mine = self.generation + 1, 0, ""
+        for t in names:
+            self.maps.drop(t)
+        for j in sorted(set(labels.tolist())):
+            own = [sessions[n] for n in np.flatnonzero(labels == j)]
+            self.maps.put(f"{self.generation}_{j}", x[labels == j].sum(0).tolist(), own)
+            mine = f"{self.generation}_{j}" if i in own else mine
+        return mine
 
 
 ASSIGNED = "topic string, generation int, cosine double, opened boolean, drifted boolean, reclustered boolean"

@@ -40,6 +40,22 @@ def adjacency(edges: DataFrame, scope: str = "conv") -> DataFrame:
     return both.select(scope, "x.*", "edge_type", "confidence", "adj_pos", "_alive").withColumn("walked", F.coalesce(forward, "confidence")).where("_alive").drop("_alive")
 
 
+def _lists(adj: DataFrame, fan: int, depth: int, scope: str) -> DataFrame:
+    """scope, node, degree, near, strong: each node's first neighbours, in adjacency order and by strength.
+
+    A path rules out at most the `depth` nodes before its end (of each, at most two entries, one a direction), so a
+    node that has more than fan + 2 * depth entries is over its limit whatever the path, and takes its neighbours from the
+    first fan + 2 * depth by strength. A node of fewer has them all in both lists. So a hub costs a path a short list.
+    """
+    most = fan + 2 * depth
+    strength = (F.desc(F.col("edge_type").isin("updates", "contradicts").cast("int")), F.desc("confidence"))
+    by = W.partitionBy(scope, "node")
+    entry = lambda n: F.struct(n, "next", "label", "next_kind", "walked")
+    listed = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col(n) <= most, entry(n)))), lambda x: F.struct(x["next"].alias("next"), x["label"].alias("label"), x["next_kind"].alias("next_kind"), x["walked"].alias("walked")))
+    rows = adj.withColumn("_near", F.row_number().over(by.orderBy("side", "adj_pos", "next"))).withColumn("_strong", F.row_number().over(by.orderBy(*strength, "side", "adj_pos", "next")))
+    return rows.groupBy(scope, "node").agg(F.count(F.lit(1)).alias("degree"), listed("_near").alias("near"), listed("_strong").alias("strong"))
+
+
 def bfs_paths(seeds: DataFrame, edges: DataFrame, kinds: DataFrame, max_depth: int = 3, max_paths: int = 30, limits: dict | None = None, scope: str = "conv") -> DataFrame:
     """Every prefix path from each seed in breadth-first order, at most max_paths a question.
 
@@ -48,20 +64,20 @@ def bfs_paths(seeds: DataFrame, edges: DataFrame, kinds: DataFrame, max_depth: i
     again; both edges of a star count as neighbours.
     """
     limits = LIMITS if limits is None else limits
-    adj = cut(adjacency(edges, scope).join(kinds.select(scope, F.col("node").alias("next"), F.col("kind").alias("next_kind")), [scope, "next"]))
+    adj = cut(_lists(adjacency(edges, scope).join(kinds.select(scope, F.col("node").alias("next"), F.col("kind").alias("next_kind")), [scope, "next"]), max(x[0] for x in limits.values()), max_depth, scope))
     level = seeds.join(kinds, [scope, "node"]).where("kind = 'event'").select(
         "qid", scope, F.col("seed_rank").cast("long").alias("rank"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("labels"), F.array("kind").alias("kinds"), F.array().cast("array<double>").alias("confs"), F.col("node").alias("at"), "kind", F.lit(0).alias("ses"), F.lit(0).alias("top")
     )
     fan = lambda i: F.when(F.col("kind") == "session", limits["session"][i]).when(F.col("kind") == "topic", limits["topic"][i]).otherwise(limits["event"][i])
     out = None
     for depth in range(1, max_depth + 1):
-        step = level.join(adj.withColumnRenamed("node", "at"), [scope, "at"]).where(~F.array_contains("nodes", F.col("next")))
-        strong = F.col("edge_type").isin("updates", "contradicts").cast("int")
-        over = F.count(F.lit(1)).over(W.partitionBy("qid", "rank")) > fan(0)
-        base = W.partitionBy("qid", "rank")
-        # Only a node over its limit has its neighbours sorted by strength; else they stay in adjacency order.
-        order = base.orderBy(F.desc(F.when(F.col("over"), F.col("strong")).otherwise(0)), F.desc(F.when(F.col("over"), F.col("confidence")).otherwise(0.0)), "side", "adj_pos", "next")
-        step = step.withColumn("strong", strong).withColumn("over", over).withColumn("n", F.row_number().over(order)).where(F.col("n") <= fan(0))
+        step = level.join(adj.withColumnRenamed("node", "at"), [scope, "at"])
+        free = lambda list_: F.filter(list_, lambda x: ~F.array_contains("nodes", x["next"]))
+        # Only a node over its limit has its neighbours sorted by strength; else they stay in adjacency order. A short list holds all neighbours.
+        near = free(F.col("near"))
+        over = F.when(F.col("degree") > F.size("near"), True).otherwise(F.size(near) > fan(0))
+        taken = F.slice(F.when(over, free(F.col("strong"))).otherwise(near), 1, fan(0).cast("int"))
+        step = step.select(*level.columns, F.posexplode(taken).alias("n", "x")).select(*level.columns, "n", "x.*")
         ses, top = F.col("ses") + (F.col("next_kind") == "session").cast("int"), F.col("top") + (F.col("next_kind") == "topic").cast("int")
         step = step.where((ses <= limits["session"][1]) & (top <= limits["topic"][1]))
         ranked = F.row_number().over(W.partitionBy("qid").orderBy("rank", "n"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +10,12 @@ def propagate_updates(events: DataFrame, edges: DataFrame, updates: DataFrame, s
     """One hop, in one pass over a batch of updates (scope, src, dst, anchor; of several on a target the first by src wins).
 
     A target gets valid_until (the updater's anchor) and update_val 0; its causes/prevents edges become
-    invalid from there on; what it directly causes or enables is half valid.
+    invalid from there on; what it directly causes or enables is half valid. An updater without an anchor ends its target, at no date.
     """
-    hit = updates.groupBy(scope, F.col("dst").alias("event_id")).agg(F.min_by("anchor", "src").alias("anchor"))
+    hit = updates.groupBy(scope, F.col("dst").alias("event_id")).agg(F.min_by("anchor", "src").alias("anchor"), F.lit(True).alias("_hit"))
     soft = edges.where(F.col("edge_type").isin("causes", "enables")).join(hit.select(scope, F.col("event_id").alias("src")), [scope, "src"], "left_semi").select(scope, F.col("dst").alias("event_id")).distinct().withColumn("soft", F.lit(True))
     new = events.join(hit, [scope, "event_id"], "left").join(soft, [scope, "event_id"], "left")
-    val = F.when(F.col("anchor").isNotNull(), 0.0).when(F.col("soft") & (F.col("update_val") > 0.5), 0.5).otherwise(F.col("update_val"))
+    val = F.when(F.col("_hit"), 0.0).when(F.col("soft") & (F.col("update_val") > 0.5), 0.5).otherwise(F.col("update_val"))
     new = new.select(*[c for c in events.columns if c not in ("valid_until", "update_val")], F.coalesce("anchor", "valid_until").alias("valid_until"), val.alias("update_val"))
     a, b = hit.select(scope, F.col("event_id").alias("src"), F.col("anchor").alias("_a")), hit.select(scope, F.col("event_id").alias("dst"), F.col("anchor").alias("_b"))
     touched = edges.join(a, [scope, "src"], "left").join(b, [scope, "dst"], "left")
@@ -24,31 +23,26 @@ def propagate_updates(events: DataFrame, edges: DataFrame, updates: DataFrame, s
     return new, touched.withColumn("t_invalid_at", since).select(*edges.columns)
 
 
-def replay(arrivals: DataFrame, verdict, k: int = 10, scope: str = "conv") -> DataFrame:
-    """The ordered fold: each arriving event is held against earlier, still valid ones with the same participants.
+def settle(pairs: DataFrame, scope: str = "conv") -> DataFrame:
+    """pairs (scope, src, dst, at (what src is ordered by), verdict (null: none), ...) whose older event is still valid when the new one comes.
 
-    arrivals: scope, event_id, event_seq, key (participants), session_num, anchor, and what verdict needs.
-    verdict(new, old) gives updates, contradicts or None. A conversation is a group of its own, in order of
-    event_seq; the cap comes first, then the filter on validity. Gives scope, src, dst, edge_type, anchor.
+    Candidates are capped before validity is looked at, so who is held against whom doesn't depend on verdicts. The first
+    event in order that updates another one ends it, whatever else would have: what comes after that is left out. So any
+    recorded verdicts are replayed by one aggregate and a join, with no fold over a conversation and no rounds.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in arrivals.schema}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict = {}
-        gone: dict = {}
-        out = []
-        for row in pdf.sort_values("event_seq").itertuples(index=False):
-            earlier = seen.setdefault(row.key, [])
-            screened = [e for e in earlier if e.session_num != row.session_num][:k]
-            for old in screened:
-                if old.event_id in gone:
-                    continue
-                kind = verdict(row, old)
-                if kind:
-                    out.append((getattr(row, scope), row.event_id, old.event_id, kind, row.anchor))
-                if kind == "updates":
-                    gone[old.event_id] = row.anchor
-            earlier.append(row)
-        return pd.DataFrame(out, columns=[scope, "src", "dst", "edge_type", "anchor"])
-
-    return arrivals.groupBy(scope).applyInPandas(fold, f"{scope} {kinds[scope]}, src {kinds['event_id']}, dst {kinds['event_id']}, edge_type string, anchor {kinds['anchor']}")
+    ends = pairs.where("verdict = 'updates'").groupBy(scope, "dst").agg(F.min("at").alias("_end"))
+    return pairs.join(ends, [scope, "dst"], "left").where(F.col("_end").isNull() | (F.col("at") <= F.col("_end"))).drop("_end")
+
+
+def replay(arrivals: DataFrame, recorded: DataFrame, k: int = 10, min_jaccard: float = 0.5, scope: str = "conv") -> DataFrame:
+    """scope, src, dst, edge_type, anchor: each arriving event against the k most similar events of earlier sessions, by recorded verdicts.
+
+    arrivals: scope, event_id, event_seq, participants, session_num, anchor; recorded: scope, src, dst, edge_type (updates, contradicts, or any
+    other for neither), for any pairs. A verdict on a pair that isn't screened, or whose older event is no longer valid, has no effect.
+    """
+    from evograph.operators import overlap
+
+    near = overlap.overlap_topk(arrivals, min_jaccard, k, scope, "session_num", ("session_num", "event_seq", "anchor"), past=True)
+    pairs = near.select(scope, F.col("event_id").alias("src"), F.col("cand_id").alias("dst"), F.struct("session_num", "event_seq").alias("at"), "anchor")
+    known = recorded.where(F.col("edge_type").isin("updates", "contradicts")).select(scope, "src", "dst", F.col("edge_type").alias("verdict"))
+    return settle(pairs.join(known, [scope, "src", "dst"]), scope).select(scope, "src", "dst", F.col("verdict").alias("edge_type"), "anchor")

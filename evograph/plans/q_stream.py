@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evograph.operators import hierarchy, metrics
+from evograph.operators import clustering, hierarchy, metrics, validity
 from evograph.plans import views as V
 from evograph.plans.views import with_views
-from evograph.streaming import incremental
+from evograph.streaming import incremental, memory
 
 QUERIES, SQL = {}, {}
 
@@ -53,6 +53,70 @@ def arrival_support(spark, sf):
     return incremental.support_links(V.events_in_sessions(spark, sf).withColumn("topic", F.col("topic_num")))
 
 
+def _talk(spark, sf):
+    """Events as they arrive, with three participants each; an event causes, enables or prevents its user's next one of the session."""
+    ev = V.events_in_sessions(spark, sf)
+    after = F.lead("event_id").over(W.partitionBy("conv", "u", "session_num").orderBy("event_id"))
+    kind = F.element_at(F.array(F.lit("causes"), F.lit("enables"), F.lit("prevents")), ((F.col("event_id") + after) % 3 + 1).cast("int"))
+    people = F.array(F.concat(F.lit("u"), "u"), F.concat(F.lit("k"), "k"), F.col("kind"))
+    causes = F.when(after.isNotNull(), F.array(F.struct(after.alias("dst"), kind.alias("edge_type")))).otherwise(F.array().cast("array<struct<dst:bigint,edge_type:string>>"))
+    return ev.select("conv", "session_num", "event_id", "event_seq", people.alias("participants"), F.col("topic_num").cast("string").alias("topic"), "event_date", "kind", "value", causes.alias("causes"))
+
+
+# Two of three members shared are a similarity of a half, one is a fifth.
+_TALK = """pairs AS (SELECT a.conv, a.event_id AS src, b.event_id AS dst, (a.session_num, a.event_id) AS moment, a.kind = b.kind AS same, abs(a.value - b.value) > 50 AS far, a.topic_num = b.topic_num AS gate, a.event_date AS day,
+    row_number() OVER (PARTITION BY a.event_id ORDER BY (a.u = b.u)::INT + (a.k = b.k)::INT + (a.kind = b.kind)::INT DESC, b.session_num, b.event_id) AS rank
+    FROM evs a JOIN evs b ON a.conv = b.conv AND b.session_num < a.session_num AND (a.u = b.u)::INT + (a.k = b.k)::INT + (a.kind = b.kind)::INT >= 2),
+  verdicts AS (SELECT *, CASE WHEN same THEN 'updates' WHEN far THEN 'contradicts' END AS verdict FROM pairs WHERE rank <= 10),
+  ends AS (SELECT dst, min(moment) AS finish FROM verdicts WHERE verdict = 'updates' GROUP BY 1),
+  made AS (SELECT v.* FROM verdicts v LEFT JOIN ends e USING (dst) WHERE verdict IS NOT NULL AND (finish IS NULL OR moment <= finish)),
+  causal AS (SELECT conv, src, dst, ['causes', 'enables', 'prevents'][(src + dst) % 3 + 1] AS edge_type FROM (SELECT conv, event_id AS src, lead(event_id) OVER (PARTITION BY conv, u, session_num ORDER BY event_id) AS dst FROM evs) WHERE dst IS NOT NULL)"""
+
+
+@query(
+    "memory_edges",
+    with_views(
+        "evs",
+        """SELECT conv, src, dst, verdict AS edge_type FROM made UNION ALL SELECT conv, dst, src, 'supports' FROM pairs WHERE rank <= 5 AND gate
+        UNION ALL SELECT conv, dst, src, 'temporal_before' FROM pairs WHERE rank <= 20 AND gate UNION ALL SELECT conv, src, dst, edge_type FROM causal""",
+        _TALK,
+    ),
+)
+def memory_edges(spark, sf):
+    """All edges of the one-pass ingest; the tests hold the stream against the same fold."""
+    return memory.replayed(_talk(spark, sf))[0]
+
+
+@query(
+    "memory_validity",
+    with_views(
+        "evs",
+        """SELECT e.conv, e.event_id, h.day AS valid_until, CASE WHEN h.dst IS NOT NULL THEN 0.0 WHEN s.dst IS NOT NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS update_val FROM evs e
+        LEFT JOIN (SELECT dst, day FROM made WHERE verdict = 'updates') h ON h.dst = e.event_id LEFT JOIN (SELECT DISTINCT c.dst FROM causal c JOIN made m ON m.dst = c.src AND m.verdict = 'updates' WHERE c.edge_type <> 'prevents') s ON s.dst = e.event_id""",
+        _TALK,
+    ),
+)
+def memory_validity(spark, sf):
+    return memory.replayed(_talk(spark, sf))[1]
+
+
+@query(
+    "recorded_replay",
+    with_views(
+        "evs",
+        "SELECT m.conv, m.src, m.dst, m.verdict AS edge_type, m.day AS anchor FROM recorded m LEFT JOIN last l USING (dst) WHERE finish IS NULL OR moment <= finish",
+        _TALK + """, recorded AS (SELECT *, CASE (7 * src + 13 * dst) % 5 WHEN 0 THEN 'updates' ELSE 'contradicts' END AS verdict FROM pairs WHERE rank <= 10 AND (7 * src + 13 * dst) % 5 IN (0, 1)),
+  last AS (SELECT dst, min(moment) AS finish FROM recorded WHERE verdict = 'updates' GROUP BY 1)""",
+    ),
+)
+def recorded_replay(spark, sf):
+    """Ingest by verdicts from elsewhere: here recorded for all candidate pairs, by a rule on the ids."""
+    talk = _talk(spark, sf).withColumn("anchor", F.col("event_date"))
+    pairs = memory.screened(talk, memory.EVOLUTION).select("conv", F.col("event_id").alias("src"), F.col("cand_id").alias("dst"))
+    kind = F.element_at(F.array(*map(F.lit, ("updates", "contradicts", "independent", "independent", "none"))), ((7 * F.col("src") + 13 * F.col("dst")) % 5 + 1).cast("int"))
+    return validity.replay(talk, pairs.withColumn("edge_type", kind))
+
+
 @query("ingest_report", with_views("evs", "SELECT conv, session_num, count(*) AS events, sum(pool)::BIGINT AS pool, sum(screened)::BIGINT AS screened FROM report GROUP BY 1, 2", _FOLD))
 def ingest_report(spark, sf):
     """Per arriving session: its events, the valid pool before the cap and what of it is screened."""
@@ -80,6 +144,13 @@ def kmeans_topics(spark, sf):
     return hierarchy.kmeans_topics(V.vectors(spark, sf).select("vec_id", "v"), 10)
 
 
+@query("session_topics")
+def session_topics(spark, sf):
+    """All conversations' topics at once, a topic for every five vectors; the tests hold its inertia against seeded starts."""
+    rows = V.vectors(spark, sf).select(F.expr("vec_id div 50").alias("conv"), F.col("vec_id").alias("session_id"), "v")
+    return clustering.recluster(rows, 1)
+
+
 @query("centroid_assign_stream")
 def centroid_assign_stream(spark, sf):
     """Online topic admission over vectors, dealt to conversations of 50 in order of their ids."""

@@ -117,14 +117,14 @@ def support_links(events: DataFrame, k: int = 5) -> DataFrame:
 
 def ingest_sessions(sessions: DataFrame, mode: str = "append") -> DataFrame:
     """A stream of sessions (conv, seq, v): the topic of each as it arrives, and the session before it. State: the conversation's topics."""
-    from evograph.operators.hierarchy import ASSIGNED, Topics
+    from evograph.operators.hierarchy import ASSIGNED, TopicMaps, Topics
 
     schema = f"conv bigint, seq bigint, previous bigint, {ASSIGNED}"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {"topics": None, "last": None}
-        topics, last, out = Topics(held["topics"]), held["last"], []
+        topics, last, out = Topics(TopicMaps(held["topics"])), held["last"], []
         for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
             if last is not None and r.seq <= last:  # late: history isn't rewritten
                 continue

@@ -137,15 +137,13 @@ def likeness(a: Column, b: Column) -> Column:
     return _bound({"a": a, "b": b}, of)
 
 
-def _range_of(value: Column, cuts: list[Column]) -> Column:
-    """How many of the ascending cuts are below the value, found in two steps of about the square root of their number."""
-    if not cuts:
-        return F.lit(0)
-    step = math.isqrt(len(cuts)) + 1
+def _range_of(value: Column, cuts: Column, n: int) -> Column:
+    """How many of the n ascending cuts (an array) are below the value, found in two steps of about the square root of their number."""
+    step = math.isqrt(n) + 1
     below = lambda xs: F.size(F.filter(xs, lambda c: c < value))
-    ends = cuts[step - 1 :: step]
-    first = below(F.array(*ends)) * step if ends else F.lit(0)
-    return first + below(F.slice(F.array(*cuts), first + 1, step))
+    ends = F.filter(cuts, lambda _, i: i % step == step - 1)
+    first = below(ends) * step
+    return first + below(F.slice(cuts, first + 1, step))
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -154,22 +152,24 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Rows are cut in ranges at places in the order (id, hash of the text), so that each range is a window of
     its own and no task sees all rows, also if an id repeats very often. The places come from the ids with
     the least hashes, IDS_A_RANGE a range: a bounded sample, which decides where ranges end and nothing
-    else. What follows a range's last row is the first row of the next range, found through one narrow minimum a
-    range. Nulls come first; equal ids are in order of their texts' hash, and only rows equal in both share a range for certain.
+    else. The plan holds them as one constant array, so it is as large for a thousand ranges as for two. What follows
+    a range's last row is the first row of the next range, found through one narrow minimum a range, which stays in
+    Spark. Nulls come first; equal ids are in order of their texts' hash, and only rows equal in both share a range for certain.
     """
     spark = df.sparkSession
     src = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     place = lambda: F.struct(F.col("doc_id").isNotNull().alias("has_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    few = src.select(place().alias("x")).orderBy(F.xxhash64("x"), "x").limit(IDS_A_RANGE * ranges).orderBy("x").select("x.*").collect() if ranges > 1 else []
-    ends = list(dict.fromkeys(few[i * len(few) // ranges] for i in range(1, ranges))) if few else []
-    literal = lambda r: F.struct(F.lit(r.has_id).alias("has_id"), F.lit(r.id).cast(kind).alias("id"), F.lit(r.h).cast("long").alias("h"))
-    rows = src.withColumn("place", place()).withColumn("bucket", _range_of(F.col("place"), [literal(r) for r in ends]))
-    firsts = sorted(rows.groupBy("bucket").agg(F.min("place").alias("x")).collect(), key=lambda r: r.bucket)
-    after = [(r.bucket, *firsts[(i + 1) % len(firsts)].x) for i, r in enumerate(firsts)]
-    heads = F.broadcast(spark.createDataFrame(after, f"for_bucket int, has_id boolean, head_id {kind}, head_h bigint"))  # a row a range
-    head = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("place.h") == F.col("head_h"))).select("for_bucket", F.col("text").alias("head_text")).dropDuplicates(["for_bucket"])
+    few = src.select(place().alias("x")).orderBy(F.xxhash64("x"), "x").limit(IDS_A_RANGE * ranges)
+    picked = few.withColumn("i", F.row_number().over(W.orderBy("x"))).where(F.col("i") % IDS_A_RANGE == 0)
+    told = picked.agg(F.to_json(F.array_sort(F.collect_set("x"))).alias("x"), F.count_distinct("x").alias("n")).first()  # a constant of the plan: a place a range
+    cuts = F.from_json(F.lit(told["x"]), f"array<struct<has_id:boolean,id:{kind},h:bigint>>")
+    rows = src.withColumn("place", place()).withColumn("bucket", _range_of(F.col("place"), cuts, told["n"]) if told["n"] else F.lit(0))
+    firsts = rows.groupBy("bucket").agg(F.min("place").alias("x"))
+    following = F.coalesce(F.lead("x").over(W.orderBy("bucket")), F.first("x").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    heads = F.broadcast(firsts.select(F.col("bucket").alias("for_bucket"), following.alias("y")).select("for_bucket", F.col("y.id").alias("head_id"), F.col("y.h").alias("head_h")))  # a row a range
+    head = src.join(heads, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.xxhash64("text") == F.col("head_h"))).select("for_bucket", F.col("text").alias("head_text")).dropDuplicates(["for_bucket"])
     rows = rows.withColumn("next_text", F.lead("text").over(W.partitionBy("bucket").orderBy("place")))
     # The vector is made after the rows are dealt, so that it isn't moved with them; the second window needs no exchange.
     rows = rows.withColumn("vec", vector(F.col("text"))).withColumn("next_vec", F.lead("vec").over(W.partitionBy("bucket").orderBy("place")))

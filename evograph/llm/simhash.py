@@ -22,14 +22,13 @@ what the radius doesn't reach. Each link is checked on the shingle sets themselv
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evograph.llm.common import cut, over_texts
@@ -369,14 +368,35 @@ def _alike(similarity: float) -> Column:
     return both / (F.size("items_a") + F.size("items_b") - both) >= F.lit(similarity)
 
 
+def _prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of sets (fp, n, lab, items) of different labels that can be that similar, and few others.
+
+    Shingles are ordered by rarity among these sets. Two sets that are similar enough share one of the first n - ceil(similarity * n) + 1
+    of the larger and of a yet shorter beginning of the smaller one, at places after which enough can follow. So what
+    a large family of texts has in common, at less than the similarity, doesn't bring them together: it comes last.
+    """
+    items = rows.select("fp", "n", "lab", F.explode("items").alias("item"))
+    common = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Shingles of one set alone come first and meet nothing: their number tells the places of the others.
+    shared = items.join(common, "item").withColumn("i", F.row_number().over(W.partitionBy("fp").orderBy("df", "item")))
+    first = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("fp"))
+    placed = shared.withColumn("at", (F.col("i") + first).cast("int"))
+    upto = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    long = cut(placed.where(F.col("at") <= upto(similarity)).select("fp", "n", "lab", "item", "at"))
+    short = long.where(F.col("at") <= upto(2 * similarity / (1 + similarity))).select(F.col("fp").alias("b"), F.col("n").alias("m"), F.col("lab").alias("other"), "item", F.col("at").alias("place"))
+    enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) + 1 >= (F.col("n") + F.col("m")) * F.lit(similarity / (1 + similarity)) - 1e-9 - F.least("at", "place") + 1
+    fits = (F.col("m") >= F.col("n") * similarity - 1e-9) & (F.struct("m", "b") < F.struct("n", "fp")) & (F.col("lab") != F.col("other")) & enough
+    return long.join(short, "item").where(fits).select(F.col("fp").alias("a"), "b").distinct()
+
+
 def _near(df: DataFrame, similarity: float, width: int) -> DataFrame:
     """doc_id, component_id for each row of df (id, text): components of the links between shingle sets that are alike.
 
     Sets that the BK-trees over their SimHashes link, or that agree on a band, are candidates. Those of one
     SimHash or of a band's value are first compared with one of them (the largest, or the one that
     meets most others); what is linked with that gets its label, so in a group of n near
-    copies about n pairs are compared. Then, where a band's value still has several labels, each two sets
-    of different ones are. A pair is left out only if its ends are linked already, so no link is lost.
+    copies about n pairs are compared. Then the sets of values that still have several labels meet anew, by a
+    prefix filter. A pair is left out only if its ends are linked already, so no link is lost.
     """
     rows = cut(_sketches(df, width))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("simhash").alias("simhash"), F.any_value("bands").alias("bands")))
@@ -411,13 +431,10 @@ def _near(df: DataFrame, similarity: float, width: int) -> DataFrame:
         labels = cut(labels.unionByName(come).groupBy("fp").agg(F.max("top").alias("top")))
     labels = labels.select("fp", F.col("top.to").alias("lab"))
     mates = mates.join(labels, "fp", "left").withColumn("lab", F.coalesce("lab", "fp"))
-    parts = mates.groupBy(*at, "lab").agg(F.count(F.lit(1)).alias("k"))
-    several = parts.groupBy(*at).agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "lab"))["lab"].alias("main")).where("parts > 1").select(*at, "main")
-    apart = cut(mates.join(several, at).join(side("a").withColumnRenamed("a", "fp"), "fp").select(*at, F.col("fp").alias("a"), "n", "lab", "main", "items_a"))
-    # Of two sets of different labels one is outside the value's largest. The sets are compared as the join meets them, so it makes a row for each link alone.
-    few = apart.where("lab <> main").select(*at, F.col("a").alias("b"), F.col("n").alias("m"), F.col("lab").alias("other"), F.col("items_a").alias("items_b"))
-    test = [apart[k] == few[k] for k in at] + [apart["lab"] != few["other"], sized(apart["n"], few["m"]), _alike(similarity)]
-    rest = apart.join(few, reduce(and_, test)).select("a", "b")
+    several = mates.groupBy(*at).agg(F.min("lab").alias("x"), F.max("lab").alias("y")).where("x <> y").select(*at)
+    apart = cut(mates.join(several, at).select("fp", "n", "lab").distinct())
+    met_again = _prefix_pairs(apart.join(sets, "fp"), similarity)
+    rest = met_again.join(side("a"), "a").join(side("b"), "b").where(_alike(similarity)).select("a", "b")
     labels = groups_of(linked.select("a", "b").unionByName(rest))
     member = distinct.select("fp", "least").join(labels, "fp", "left").select("fp", "least", F.coalesce("lab", "fp").alias("lab"))
     member = cut(member)

@@ -169,3 +169,38 @@ def test_keep_one_is_brute_force(spark):
     assert 200 < len(want) < len(rows) - 50
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+def family(n, words=200, low=0.5, high=0.79, seed=4):
+    """n texts that differ from a base each in words of its own, so that two are alike at `low` to `high`."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        want = low + (high - low) * rng.random()
+        for k, at in enumerate(rng.permutation(words // 5)[: max(1, round(words / 5 * (1 - want) / (1 + want)))]):
+            text[5 * at + 2] = f"own{i}x{k}"
+        out.append((i, " ".join(text)))
+    return out
+
+
+def test_families_below_the_bound(spark):
+    """Many texts that are alike, but not enough: they stay, and no pair of them is compared."""
+    rows = family(150)
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == jaccard_components(rows)
+    sets = spark.createDataFrame([((i, 0), len(s), (i, 0), s.view(np.int64).tolist()) for i, s in ((i, simhash.shingle_set(t, 5)) for i, t in rows)], "fp struct<f0:bigint,f1:bigint>, n int, lab struct<f0:bigint,f1:bigint>, items array<bigint>")
+    assert simhash._prefix_pairs(sets, 0.8).count() < 150
+
+
+def test_prefix_pairs_are_all_similar_ones(spark):
+    """Random sets of sizes 1 to 60 with common and rare members: no pair of 0.8 or more is missing."""
+    rng = np.random.default_rng(11)
+    sets = [set(rng.choice(300, int(rng.integers(1, 60)), replace=False).tolist()) for _ in range(40)]
+    sets += [set(list(s)[int(rng.integers(0, 3)) :]) | set(rng.choice(400, int(rng.integers(0, 4))).tolist()) for s in sets for _ in range(3)]
+    rows = [((i, 0), len(s), (i, 0), [int(x) for x in s]) for i, s in enumerate(sets) if s]
+    found = simhash._prefix_pairs(spark.createDataFrame(rows, "fp struct<f0:bigint,f1:bigint>, n int, lab struct<f0:bigint,f1:bigint>, items array<bigint>"), 0.8)
+    got = {frozenset((r.a.f0, r.b.f0)) for r in found.collect()}
+    want = {frozenset((i, j)) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and len(a & b) >= 0.8 * len(a | b)}
+    assert want <= got and len(want) > 40 and len(got) < 5 * len(want)

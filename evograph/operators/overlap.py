@@ -36,19 +36,22 @@ def small_pairs(classes: DataFrame, scope: str, min_jaccard: float, most: int, g
     """scope, c, d, jaccard: for each small class those that may be among its best. classes: scope, c, members, starts (array of seq, group: the
     first event, and the first one of another group).
 
-    With groups a probe passes over starts of its own one: of a list it sees at most 2 * most that another class has twice, so
-    lists hold 2 * most starts of any group, and 4 * most in all.
+    With groups a probe passes over the starts of its own one. Before the start that counts for a class among its `most` best stand, of
+    other groups, starts of better classes alone (two of each at most, in different groups): so lists hold `most` starts of any
+    group, and 3 * most in all.
     """
-    few = classes.where(F.size("members").between(1, small)).withColumn("n", F.size("members")).withColumn("key", F.explode(subsets(F.col("members")))).where(F.size("key") >= F.col("n") * min_jaccard - 1e-9)
+    told = F.transform("members", lambda x: F.concat(F.char_length(x).cast("string"), F.lit(":"), x))  # joined, they say which members they are
+    few = classes.where(F.size("members").between(1, small)).select(scope, "c", "starts", F.size("members").alias("n"), F.explode(subsets(told)).alias("x"))
+    few = few.select(scope, "c", "starts", "n", F.size("x").alias("k"), F.array_join("x", "").alias("key")).where(F.col("k") >= F.col("n") * min_jaccard - 1e-9)
     starts = few.select(scope, "key", "n", F.col("c").alias("d"), F.explode("starts").alias("at"))
     limit = most
     if grouped:
         own = F.row_number().over(W.partitionBy(scope, "key", "n", F.col("at.group")).orderBy("at.seq"))
-        starts, limit = starts.withColumn("_n", own).where(F.col("_n") <= 2 * most), 4 * most
+        starts, limit = starts.withColumn("_n", own).where(F.col("_n") <= most), 3 * most
     first = starts.withColumn("_n", F.row_number().over(W.partitionBy(scope, "key", "n").orderBy("at.seq"))).where(F.col("_n") <= limit)
     lists = first.groupBy(scope, "key").agg(F.collect_list(F.struct("n", "d")).alias("list"))  # at most small * limit
-    met = few.select(scope, "c", F.col("n").alias("m"), "key").join(lists, [scope, "key"])
-    pairs = met.select(scope, "c", "m", F.size("key").alias("both"), F.inline("list"))
+    met = few.select(scope, "c", F.col("n").alias("m"), "k", "key").join(lists, [scope, "key"])
+    pairs = met.select(scope, "c", "m", F.col("k").alias("both"), F.inline("list"))
     jaccard = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
     return pairs.select(scope, "c", "d", jaccard.alias("jaccard")).where(F.col("jaccard") >= min_jaccard).groupBy(scope, "c", "d").agg(F.max("jaccard").alias("jaccard"))
 
@@ -110,7 +113,7 @@ def overlap_topk(events: DataFrame, min_jaccard: float, k: int, scope: str = "co
     starts = F.array(start(lead)) if other is None else F.filter(F.array(start(lead), F.when(other.isNotNull(), start(other))), lambda x: x.isNotNull())
     classes = named.select(scope, F.col("number").alias("c"), F.col("c").alias("members"), "head", starts.alias("starts"))
     rows = rows.join(named.select(scope, "c", "number"), [scope, "c"]).drop("c").withColumnRenamed("number", "c")
-    near = similar_classes(classes, scope, min_jaccard, most, group is not None and not past, small)
+    near = similar_classes(classes, scope, min_jaccard, k if group else most, group is not None and not past, small)
     begins = classes.select(scope, F.col("c").alias("d"), "starts")
     # Probes of one class (and group) share their candidates: they are ranked once for all of them.
     probes = rows.select(scope, "c", *own).distinct() if group else classes.select(scope, "c")
@@ -118,7 +121,7 @@ def overlap_topk(events: DataFrame, min_jaccard: float, k: int, scope: str = "co
     admissible = (lambda x: x[group] < F.col(group)) if past else (lambda x: ~x[group].eqNullSafe(F.col(group))) if group else None
     at = F.get("starts", F.lit(0))["seq"] if not group else F.get(F.filter("starts", lambda x: x["group"] < F.col(group) if past else ~x["group"].eqNullSafe(F.col(group))), F.lit(0))["seq"]
     by = W.partitionBy(scope, "c", *own).orderBy(F.desc("jaccard"), "_start")
-    pairs = pairs.withColumn("_start", at).where("_start IS NOT NULL").withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most)
+    pairs = pairs.withColumn("_start", at).where("_start IS NOT NULL").withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= (k if group else most))
     met = pairs.select(scope, "c", "d", *own, "jaccard").join(classes.select(scope, F.col("c").alias("d"), "head"), [scope, "d"])
     item = lambda x: F.struct((-F.col("jaccard")).alias("neg"), x["seq"].alias("seq"), x["id"].alias("id"), *(x[m].alias(m) for m in more))
     heads = F.filter("head", admissible) if group else F.col("head")

@@ -7,9 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evograph.functions.vector import dot
+from evograph.operators.clustering import nearest as nearest_centre
+from evograph.shared import cut
 
 #: Queries of a block; and how many queries may be sent to all tasks (4096 of 64 doubles are 2 MB).
 QUERY_BLOCK, BROADCAST_QUERIES = 256, 4096
+#: Rows of a scope up to which its queries are multiplied with all of it; pivots of a larger one, at most.
+WHOLE_SCOPE, PIVOTS = 4096, 256
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, item: str, min_similarity: float | None = None, exclude_self: bool = False, where: Column | None = None) -> DataFrame:
@@ -38,14 +42,79 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, item: str, min_similarity
     return sims.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def knn_scoped(corpus: DataFrame, queries: DataFrame, k: int, item: str, scope: str = "conv", min_similarity: float | None = None) -> DataFrame:
-    """qid, item, sim, rank: exact cosine top-k of each query over the rows of its own scope (corpus: scope, item, v, norm; queries: qid, scope, qv, qnorm)."""
-    sims = corpus.join(queries, scope).select("qid", item, F.round(dot(F.col("v"), F.col("qv")) / (F.col("norm") * F.col("qnorm")), 6).alias("sim"))
-    if min_similarity is not None:
-        sims = sims.where(F.col("sim") >= min_similarity)
+def _products(corpus: DataFrame, queries: DataFrame, on: list[str], item: str) -> DataFrame:
+    """qid, item, sim of the rows and queries that meet on the given columns."""
+    return corpus.join(queries, on).select("qid", item, F.round(dot(F.col("v"), F.col("qv")) / (F.col("norm") * F.col("qnorm")), 6).alias("sim"))
+
+
+def _first(sims: DataFrame, k: int, item: str) -> DataFrame:
     return sims.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), item)).cast("long")).where(F.col("rank") <= k)
 
 
+class Cells:
+    """A corpus (scope, item, v, norm) in cells: each row goes to the nearest of its scope's pivots, about the root of its size in number.
+
+    A row is within its cell's radius of the pivot, so by the Cauchy-Schwarz inequality its cosine with a query is at most the
+    pivot's plus the radius. A query first takes the nearest cells that hold k rows; then those cells alone whose
+    bound reaches the k-th similarity it has, or the least one that is asked for. members, cells: tables.
+    """
+
+    def __init__(self, corpus: DataFrame, item: str, scope: str = "conv", pivots: int = PIVOTS):
+        unit = corpus.select(scope, item, "v", "norm", F.transform("v", lambda x: x / F.col("norm")).alias("u"))
+        n = F.least(F.lit(pivots), F.ceil(F.sqrt(F.count(F.lit(1)).over(W.partitionBy(scope)))))
+        chosen = unit.withColumn("_n", F.row_number().over(W.partitionBy(scope).orderBy(F.xxhash64(item), item))).withColumn("_most", n).where(F.col("_n") <= F.col("_most"))
+        chosen = cut(chosen.select(scope, F.col("_n").cast("long").alias("centre"), F.col("u").alias("c")))
+        at = nearest_centre(unit.select(scope, item, F.col("u").alias("v")), chosen, scope, item)
+        self.item, self.scope = item, scope
+        self.members = cut(corpus.select(scope, item, "v", "norm").join(at.select(scope, item, F.col("centre").alias("cell"), "gap"), [scope, item]))
+        sizes = self.members.groupBy(scope, "cell").agg(F.sqrt(F.max("gap")).alias("radius"), F.count(F.lit(1)).alias("n"))
+        self.cells = cut(sizes.join(chosen.withColumnRenamed("centre", "cell"), [scope, "cell"]))
+
+    def visits(self, queries: DataFrame, k: int, min_similarity: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(what each query finds in its nearest cells, those cells, the further cells that may hold more: qid, scope, cell)."""
+        scope = self.scope
+        near = queries.join(self.cells, scope).select("qid", scope, "cell", "n", "radius", (dot(F.col("c"), F.col("qv")) / F.col("qnorm")).alias("mid"))
+        before = F.coalesce(F.sum("n").over(W.partitionBy("qid").orderBy(F.desc("mid"), "cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        near = cut(near.select("qid", scope, "cell", (F.col("mid") + F.col("radius") + 2e-6).alias("bound"), (before < k).alias("first")))
+        members = self.members.select(scope, self.item, "cell", "v", "norm")
+        found = cut(_first(_products(members, near.where("first").join(queries, ["qid", scope]), [scope, "cell"], self.item), k, self.item))
+        kth = found.where(F.col("rank") == k).select("qid", F.col("sim").alias("kth"))
+        least = F.greatest(F.coalesce("kth", F.lit(-2.0)), F.lit(-2.0 if min_similarity is None else min_similarity))
+        more = near.where("NOT first").join(kth, "qid", "left").where(F.col("bound") >= least).select("qid", scope, "cell")
+        return found, near.where("first").select("qid", scope, "cell"), more
+
+    def knn(self, queries: DataFrame, k: int, min_similarity: float | None = None) -> DataFrame:
+        """qid, item, sim, rank: exact cosine top-k of each query (qid, scope, qv, qnorm) over its scope."""
+        found, _, more = self.visits(queries, k, min_similarity)
+        rest = _products(self.members.select(self.scope, self.item, "cell", "v", "norm"), more.join(queries, ["qid", self.scope]), [self.scope, "cell"], self.item)
+        sims = found.drop("rank").unionByName(rest)
+        return _first(sims if min_similarity is None else sims.where(F.col("sim") >= min_similarity), k, self.item)
+
+    def skipped(self, queries: DataFrame, k: int, min_similarity: float | None = None) -> float:
+        """The share of the products of queries and rows that the bounds spare."""
+        _, first, more = self.visits(queries, k, min_similarity)
+        sizes = self.cells.select(self.scope, "cell", "n")
+        total = lambda rows: rows.agg(F.sum("n")).first()[0] or 0
+        whole = total(queries.join(sizes, self.scope))
+        return 1 - total(first.unionByName(more).join(sizes, [self.scope, "cell"])) / whole if whole else 0.0
+
+
+def knn_scoped(corpus: DataFrame, queries: DataFrame, k: int, item: str, scope: str = "conv", min_similarity: float | None = None, whole: int = WHOLE_SCOPE) -> DataFrame:
+    """qid, item, sim, rank: exact cosine top-k of each query over the rows of its own scope (corpus: scope, item, v, norm; queries: qid, scope, qv, qnorm).
+
+    A scope of up to `whole` rows is multiplied with its queries; a larger one goes into cells, most of which a query skips. Both ways give the same.
+    """
+    rows = corpus.select(scope, item, "v", "norm")
+    large = cut(rows.groupBy(scope).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole).select(scope))
+    if large.isEmpty():
+        sims = _products(rows, queries, [scope], item)
+        return _first(sims if min_similarity is None else sims.where(F.col("sim") >= min_similarity), k, item)
+    small, small_queries = rows.join(large, scope, "left_anti"), queries.join(large, scope, "left_anti")
+    sims = _products(small, small_queries, [scope], item)
+    near = _first(sims if min_similarity is None else sims.where(F.col("sim") >= min_similarity), k, item)
+    return near.unionByName(Cells(rows.join(large, scope, "left_semi"), item, scope).knn(queries.join(large, scope, "left_semi"), k, min_similarity))
+
+
 def update_versions(seeds: DataFrame, edges: DataFrame, scope: str = "conv") -> DataFrame:
     """qid, scope, node, ord: for each seed (qid, scope, node, ord) the events that update it, then those that it updates or contradicts, in the seeds' order."""
     newer = seeds.join(edges.where("edge_type = 'updates'").select(scope, F.col("dst").alias("node"), F.col("src").alias("to"), "adj_pos"), [scope, "node"]).withColumn("side", F.lit(0))

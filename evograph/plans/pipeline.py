@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from evograph.shared import cut
 
 @dataclass(frozen=True)
 class Config:
-    """Knobs of build and ask; with augmentation off, sessions and topics aren't walked."""
+    """Knobs of build and ask; with augmentation off, sessions and topics aren't walked. count: a text's tokens, as a column function (a tokenizer's, say)."""
 
     support_jaccard: float = 0.5
     support_k: int = 5
@@ -44,6 +45,7 @@ class Config:
     update_aware: bool = True
     fallback_dedup: str = "off"
     paths_alone: bool = False
+    count: Callable[[Column], Column] = token_count
     limits: dict = field(default_factory=lambda: dict(paths.LIMITS))
     category_overrides: dict = field(default_factory=dict)
 
@@ -221,7 +223,7 @@ def ask(
     section2 = context.path_section(shown, path_notes, section1).select("qid", F.lit(2).alias("section"), "seq", "text", F.col("note_id").cast("string").alias("note_id"), "header")
     seeded = seeds.select("qid").distinct()
     normal = context.dedup_notes(section1, config.note_dedup).join(seeded, "qid", "left_semi").unionByName(context.dedup_notes(section2.where("note_id IS NOT NULL"), config.note_dedup).unionByName(section2.where("note_id IS NULL")))
-    parts = cut(normal.withColumn("tokens", token_count(F.col("text")).cast("long")))
+    parts = cut(normal.withColumn("tokens", config.count(F.col("text")).cast("long")))
     kept = context.two_sections(parts, config.notes_budget, config.paths_budget, config.total_budget).join(parts.select("qid", "section", "seq", "text"), ["qid", "section", "seq"])
     alone = context.dedup_notes(section1, config.fallback_dedup).join(seeded, "qid", "left_anti")
     whole = context.assemble(kept.select("qid", "section", "seq", "text").unionByName(alone.select("qid", "section", "seq", "text")))

@@ -178,6 +178,14 @@ def knn(spark, sf):
     return retrieval.knn(V.vectors(spark, sf), _queries(spark, sf), 10, "vec_id", exclude_self=True)
 
 
+@query("knn_cells", with_views("vec", "SELECT * FROM (SELECT qid, vec_id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM (SELECT q.vec_id AS qid, c.vec_id, round(list_cosine_similarity(q.v, c.v), 6) AS sim FROM vec q JOIN vec c ON q.vec_id % 50 = 0 AND q.label = c.label)) WHERE rank <= 10"))
+def knn_cells(spark, sf):
+    """The nearest vectors of a query's own label, by cells and bounds: the same rows as all products give."""
+    vec = V.vectors(spark, sf)
+    q = vec.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label", F.col("v").alias("qv"), F.col("norm").alias("qnorm"))
+    return retrieval.knn_scoped(vec, q, 10, "vec_id", scope="label", whole=20)
+
+
 @query("knn_threshold", with_views("vec", "SELECT * FROM (SELECT qid, vec_id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM sims WHERE sim >= 0.35) WHERE rank <= 5", _Q))
 def knn_threshold(spark, sf):
     return retrieval.knn(V.vectors(spark, sf), _queries(spark, sf), 5, "vec_id", 0.35, exclude_self=True)

@@ -43,6 +43,26 @@ def evolve(notes: DataFrame, new: DataFrame, complete: Callable[[Column], Column
     return told_anew.select(*notes.columns), out.select(*new.columns, "evolved")
 
 
+def evolve_in_order(notes: DataFrame, new: DataFrame, complete: Callable[[Column], Column], k: int = NEIGHBOURS, scope: str = "conv") -> tuple[DataFrame, DataFrame]:
+    """As evolve(), for any number of arriving notes a conversation: as if they came one by one, in the order of note_pos.
+
+    The i-th notes of all conversations evolve together, and are among the neighbours of the next ones. There are as many rounds as the
+    busiest conversation has new notes; what a round has changed is written before the next.
+    """
+    turn = cut(new.withColumn("_turn", F.row_number().over(W.partitionBy(scope).orderBy("note_pos", "note_id"))))
+    done, known = None, notes
+    for i in range(1, (turn.agg(F.max("_turn")).first()[0] or 0) + 1):
+        told, out = evolve(known, turn.where(F.col("_turn") == i).drop("_turn"), complete, k, scope)
+        out = cut(out)
+        flags = out.select("note_id", "evolved")
+        done = flags if done is None else done.unionByName(flags)
+        known = cut(told.unionByName(out.select(*told.columns)))
+    arrived = new.select("note_id")
+    after = known.join(arrived, "note_id", "left_semi")
+    after = after.join(done, "note_id") if done is not None else after.withColumn("evolved", F.lit(False))
+    return known.join(arrived, "note_id", "left_anti").select(*notes.columns), after.select(*new.columns, "evolved")
+
+
 def by_time(notes: DataFrame, scope: str = "conv") -> DataFrame:
     """scope, timestamp, note_ids: the notes of each time that have content, in the order of their places."""
     kept = notes.where(F.trim(F.coalesce("content", F.lit(""))) != "")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -251,6 +252,22 @@ def test_a_hot_member_makes_no_pairs(spark):
     assert {r.event_id: r.cand_id for r in overlap.overlap_topk(df, 0.3, 3).where("rank = 1").collect()} == {i: int(i == 0) for i in range(2000)}
 
 
+def test_cells_are_all_products(spark):
+    """Cells and bounds give the rows of all products: ties, zero vectors, small scopes, a least similarity; near groups are mostly skipped."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 8))
+    rows = [(i % 2, i, [float(x) for x in centres[i % 12] + 0.05 * rng.normal(size=8)]) for i in range(500)] + [(1, 600 + i, [0.0] * 8) for i in range(4)] + [(0, 700 + i, [1.0] * 8) for i in range(6)] + [(2, 800, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "conv int, item long, v array<double>").withColumn("norm", F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-300)))
+    df = df.withColumn("norm", F.when(F.col("norm") <= 1e-300, 1.0).otherwise(F.col("norm")))
+    asked = df.where("item % 25 = 0").select(F.col("item").alias("qid"), "conv", F.col("v").alias("qv"), F.col("norm").alias("qnorm"))
+    show = lambda x: sorted(tuple(r) for r in x.select("qid", "item", "sim", "rank").collect())
+    for least in (None, 0.9):
+        whole = show(retrieval.knn_scoped(df, asked, 5, "item", min_similarity=least))
+        assert len(whole) > 50 and show(retrieval.knn_scoped(df, asked, 5, "item", min_similarity=least, whole=30)) == whole
+    cells = retrieval.Cells(df.where("conv < 2"), "item")
+    assert cells.skipped(asked.where("conv < 2 AND qid < 500"), 5) > 0.5
+
+
 # The invariants of ingest
 
 

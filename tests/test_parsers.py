@@ -133,6 +133,29 @@ def test_notes_evolve(spark):
     assert {r.note_id: (r.links, r.tags, r.evolved) for r in came.collect()} == {"n": ([7, 0], ["z"], True), "m": ([], [], False), "o": ([], [], False)}
 
 
+def test_many_notes_evolve_in_order(spark):
+    """A batch of several notes a conversation gives what the same notes give one by one."""
+    note = "conv int, note_id string, note_pos long, content string, timestamp string, context string, keywords array<string>, tags array<string>, links array<int>, v array<double>, norm double"
+    row = lambda c, i, v: (c, f"{c}{i}", i, f"note {i}", "t", "", [], [], [], v, 1.0)
+    vectors = [[1.0, 0.0], [0.6, 0.8], [0.0, 1.0], [0.8, 0.6]]
+    old = spark.createDataFrame([row(1, 0, vectors[0]), row(2, 0, vectors[2])], note)
+    new = spark.createDataFrame([row(1, 1, vectors[1]), row(1, 2, vectors[2]), row(1, 3, vectors[3]), row(2, 1, vectors[0]), row(3, 0, vectors[0]), row(3, 1, vectors[1])], note)
+    number = lambda p: F.regexp_extract(p, r"(?s).*note (\\d)", 1)
+    says = lambda p: F.when(F.contains(p, F.lit("DECISION")), "DECISION: STRENGTHEN_AND_UPDATE").when(F.contains(p, F.lit("CONNECTIONS")), "CONNECTIONS: 0\nTAGS: z").otherwise(F.concat(F.lit("NEIGHBOR 0:\nCONTEXT: seen with "), number(p), F.lit("\nTAGS: w")))
+    known, arrived = old, {}
+    for i in (1, 2, 3):
+        turn = new.where((F.col("note_pos") == i) & (F.col("conv") < 3) | (F.col("note_pos") == i - 1) & (F.col("conv") == 3))
+        known, came = notes.evolve(known, turn, says)
+        arrived |= {r.note_id: r.evolved for r in came.collect()}
+        known = spark.createDataFrame(known.unionByName(came.drop("evolved")).collect(), note)
+    kept, came = notes.evolve_in_order(old, new, says)
+    show = lambda r: (r.note_id, r.context, tuple(r.tags), tuple(r.links))
+    assert sorted(map(show, [*kept.collect(), *came.collect()])) == sorted(map(show, known.collect()))
+    assert {r.note_id: r.evolved for r in came.collect()} == arrived and sorted(r.note_id for r in kept.collect()) == ["10", "20"]
+    assert any(r.context.startswith("seen with") for r in known.collect())
+    assert [x.count() for x in notes.evolve_in_order(old, new.limit(0), says)] == [2, 0]
+
+
 def test_command_line(spark, tmp_path):
     from evograph import __main__ as cli
     from evograph.plans import views as V

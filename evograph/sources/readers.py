@@ -15,6 +15,7 @@ from evograph import schemas
 from evograph.functions import dates
 from evograph.functions.text import normalize_role, render_dialogue, session_number, with_caption
 from evograph.shared import cut
+from evograph.sources import json_array
 
 #: Question types and their categories.
 CATEGORIES = {"single-session-user": 1, "single-session-assistant": 1, "single-session-preference": 1, "multi-session": 2, "temporal-reasoning": 3, "knowledge-update": 4}
@@ -40,17 +41,26 @@ def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.withColumn("_i", own).join(before, "_p").withColumn(name, (F.col("_before") + F.col("_i") - 1).cast("int")).drop("_p", "_i", "_before")
 
 
+def _objects(spark: SparkSession, path: str, schema, large: bool) -> DataFrame:
+    """The objects of JSON files; large: of arrays, each read by many tasks (one file after another, in the order of their names)."""
+    if not large:
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    return json_array.read_array(spark, path, schema)
+
+
 def _numbered(raw: DataFrame, name: str) -> DataFrame:
     """raw with its rows numbered from 0 in the order of files and rows. Only row ids are ranked: Spark numbers them within partitions."""
+    if {"file", "number"} <= set(raw.columns):  # the place in an array is known
+        return ranked(raw, ["file", "number"], name).drop("file", "number")
     rows = cut(raw.withColumn("_o", F.monotonically_increasing_id()))
     return rows.join(ranked(rows.select("_o"), ["_o"], name), "_o").drop("_o")
 
 
 class Samples:
-    """Conversation samples from JSON (an array of objects, or one per line)."""
+    """Conversation samples from JSON (an array of objects, or one per line). large: files are arrays that are read by many tasks."""
 
-    def __init__(self, spark: SparkSession, path: str, sample: int | None = None, limit: int | None = None):
-        raw = spark.read.schema(schemas.SAMPLES).option("multiLine", True).json(path)
+    def __init__(self, spark: SparkSession, path: str, sample: int | None = None, limit: int | None = None, large: bool = False):
+        raw = _objects(spark, path, schemas.SAMPLES, large)
         numbered = _numbered(raw, "sample_id")
         if sample is not None:
             numbered = numbered.where(F.col("sample_id") == sample)
@@ -90,8 +100,8 @@ class Samples:
 class Haystacks:
     """Question records that each bring dated sessions; sessions are unique by id, the first one wins."""
 
-    def __init__(self, spark: SparkSession, path: str, sample: int | None = None, limit: int | None = None):
-        raw = spark.read.schema(schemas.HAYSTACKS).option("multiLine", True).json(path)
+    def __init__(self, spark: SparkSession, path: str, sample: int | None = None, limit: int | None = None, large: bool = False):
+        raw = _objects(spark, path, schemas.HAYSTACKS, large)
         rows = _numbered(raw, "rec")
         rows = rows.where(F.col("rec") == sample) if sample is not None else rows
         self.rows = rows.where(F.col("rec") < limit) if limit is not None else rows

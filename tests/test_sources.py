@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+import random
 
 import pandas as pd
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from evograph import providers
 from evograph.functions import dates, stem, text, vector
 from evograph.operators import hierarchy, metrics
-from evograph.sources import readers, sinks
+from evograph.sources import json_array, readers, sinks
 
 
 @pytest.fixture
@@ -45,6 +46,39 @@ def test_samples(spark, samples):
     assert readers.Samples(spark, samples, sample=1).rows.count() == readers.Samples(spark, samples, limit=1).rows.count() == 1
 
 
+@pytest.mark.parametrize("indent", [None, 2])
+def test_a_large_array_is_read_by_many_tasks(spark, tmp_path, indent):
+    """Braces, brackets, quotes and escapes in strings, at any place of a split; the rows of the reader that takes a file whole."""
+    rng = random.Random(indent)
+    odd = ['}', '{', '"', '\\', '[', ']', ',', 'a', ' ', '\n', 'é', '\\"', '}}', '"}', 'x' * 30]
+    said = lambda: "".join(rng.choice(odd) for _ in range(rng.randint(0, 12)))
+    for name in ("a", "b"):
+        rows = [{"id": i, "t": said(), "inner": [{"k": said(), "l": [said(), {}]} for _ in range(rng.randint(0, 3))], "m": {said(): {"x": said()}}} for i in range(120)]
+        (tmp_path / f"{name}.json").write_text((" \n" if indent else "") + json.dumps(rows if name == "a" else [1, "}{", *rows, "x"], indent=indent, ensure_ascii=name == "a") + "\n")
+    schema = "id long, t string, inner array<struct<k:string,l:array<string>>>, m string"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = json_array.read_array(spark, str(tmp_path), schema)
+        rows = got.orderBy("file", "number").collect()
+        assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.number for r in rows] == [*range(120)] * 2
+    texts = {(r.file[-6:], r.number): r.text for r in json_array.array_texts(spark, str(tmp_path)).collect()}
+    for name in ("a", "b"):
+        want = [x for x in json.loads((tmp_path / f"{name}.json").read_text()) if isinstance(x, dict)]
+        assert [json.loads(texts[f"{name}.json", i]) for i in range(120)] == want
+        assert [(r.id, r.t, [x.k for x in r.inner]) for r in rows if r.file.endswith(f"{name}.json")] == [(x["id"], x["t"], [y["k"] for y in x["inner"]]) for x in want]
+
+
+def test_large_samples(spark, samples):
+    """The same tables, whichever way the file is read."""
+    a, b = readers.Samples(spark, samples), readers.Samples(spark, samples, large=True)
+    for table in ("sessions", "turns", "questions", "summaries"):
+        assert sorted(map(repr, getattr(a, table)().collect())) == sorted(map(repr, getattr(b, table)().collect()))
+
+
 def haystack(ids, ds, qid="q1"):
     return {"question_id": qid, "question": "Q?", "question_type": "temporal-reasoning", "question_date": "2023/05/30 (Tue) 10:00", "answer": 5, "haystack_session_ids": ids, "haystack_dates": ds, "haystack_sessions": [[{"role": "user", "content": i}] for i in ids], "answer_session_ids": ids[:1]}
 

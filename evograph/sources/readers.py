@@ -10,6 +10,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from evograph import schemas
 from evograph.functions import dates
@@ -165,6 +166,23 @@ def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"events": events, "edges": edges, "sessions": inline("sessions"), "topics": inline("topics")}
 
 
+def read_documents(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """events, edges, sessions, topics of graph files as sinks.write_documents writes them: by lines, so that one file is read by many tasks."""
+    from evograph.operators.graph import known_ends
+
+    lines = spark.read.text(folder).select("conv", F.regexp_replace("value", "^,", "").alias("x"))
+    kind = schemas.GRAPH_FILE
+    parts = {f.name: f.dataType for f in (kind if isinstance(kind, StructType) else StructType.fromDDL(kind))}
+    parsed = lambda rows, schema: rows.select("conv", F.from_json("x", schema).alias("e")).select("conv", "e.*")
+    value = r'^"(?:[^"\\]|\\.)*":'
+    events = parsed(lines.where(F.col("x").rlike(value + r"\{")).withColumn("x", F.regexp_replace("x", value, "")), parts["events"].valueType)
+    having = lambda key: lines.where(F.col("x").startswith("{") & F.get_json_object("x", f"$.{key}").isNotNull())
+    edge = StructType([*parts["edges"].elementType.fields, StructField("edge_seq", LongType())])
+    edges = parsed(having("source_event_id"), edge).withColumnsRenamed({"source_event_id": "src", "target_event_id": "dst"}).select("conv", "src", "dst", "edge_type", "confidence", "reason", "t_invalid_at", "edge_seq")
+    edges = known_ends(edges, events.select("conv", F.col("event_id").alias("node")))
+    return {"events": events, "edges": edges, "sessions": parsed(having("session_id"), parts["sessions"].elementType), "topics": parsed(having("topic_id"), parts["topics"].elementType)}
+
+
 def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     """Notes, embeddings and caches that sinks.write_tables wrote; a missing one is an error of the read."""
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}

@@ -29,6 +29,8 @@ def write_tables(tables: dict[str, DataFrame], folder: str, by: str | None = Non
         if store.exists(target):
             store.rename(target, old)
         if not store.rename(_path(spark, new)[1], target):
+            if store.exists(old):
+                store.rename(old, target)
             raise OSError(f"could not put {new} in the place of {folder}/{name}")
         store.delete(old, True)
 
@@ -54,6 +56,39 @@ def graph_documents(events: DataFrame, edges: DataFrame, sessions: DataFrame, to
     return out.select("conv", F.to_json(body).alias("json"))
 
 
+def document_pieces(events: DataFrame, edges: DataFrame, sessions: DataFrame, topics: DataFrame) -> DataFrame:
+    """conv, section, pos, piece: a graph file of each conversation in pieces, one for every event, edge, session and topic; in order they are its text."""
+    named = {"src": "source_event_id", "dst": "target_event_id"}
+    whole = lambda df, **names: F.to_json(F.struct(*(F.col(c).alias(names.get(c, c)) for c in df.columns if c != "conv")))
+    over = lambda kind, key, members: F.to_json(F.struct(F.col(key).alias("h_id"), F.lit(kind).alias("edge_type"), F.col(members).alias("member_ids"), F.lit(1.0).alias("confidence")))
+    rows = lambda df, section, pos, piece: df.select("conv", F.lit(section).alias("section"), F.struct(F.lit(0).alias("kind"), pos.cast("string").alias("at")).alias("pos"), piece.alias("piece"))
+    by_id = lambda c: F.col(c)
+    parts = [
+        rows(events, 1, by_id("event_id"), F.concat(F.to_json(F.array(F.col("event_id").cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col("event_id").cast("string")))) - 2), F.lit(":"), whole(events))),
+        rows(edges, 3, F.lpad(F.col("edge_seq").cast("string"), 20, "0"), whole(edges, **named)), rows(sessions, 5, by_id("session_id"), whole(sessions)), rows(topics, 7, by_id("topic_id"), whole(topics)),
+    ]
+    if "event_ids" in sessions.columns:
+        parts.append(rows(sessions, 9, by_id("session_id"), over("session", "session_id", "event_ids")))
+    if "session_ids" in topics.columns:
+        parts.append(rows(topics, 9, by_id("topic_id"), over("topic", "topic_id", "session_ids")))
+    body = parts[0]
+    for part in parts[1:]:
+        body = body.unionByName(part)
+    # An element that isn't its section's first has a comma before it.
+    first = body.groupBy("conv", "section").agg(F.min(F.struct("pos", "piece")).alias("_first"))
+    body = body.join(first, ["conv", "section"]).withColumn("piece", F.when(F.struct("pos", "piece") == F.col("_first"), F.col("piece")).otherwise(F.concat(F.lit(","), "piece"))).drop("_first")
+    marks = [(0, '{"metadata":{"schema_version":"%s"},"events":{' % SCHEMA_VERSION), (2, '},"edges":['), (4, '],"sessions":['), (6, '],"topics":['), (8, '],"hyperedges":['), (10, "]}")]
+    frame = F.explode(F.array(*(F.struct(F.lit(n).alias("section"), F.lit(t).alias("piece")) for n, t in marks)))
+    frame = events.select("conv").distinct().select("conv", frame.alias("x")).select("conv", "x.section", F.struct(F.lit(0).alias("kind"), F.lit("").alias("at")).alias("pos"), "x.piece")
+    return body.unionByName(frame)
+
+
+def write_documents(events: DataFrame, edges: DataFrame, sessions: DataFrame, topics: DataFrame, folder: str) -> None:
+    """A graph file for each conversation, at <folder>/conv=<its id>: an element a line, in order. A file is written piece by piece, so it may be of any size."""
+    pieces = document_pieces(events, edges, sessions, topics).repartition("conv").sortWithinPartitions("conv", "section", "pos", "piece")
+    pieces.select("conv", "piece").write.mode("overwrite").partitionBy("conv").text(folder)
+
+
 def write_log(rows: DataFrame, path: str) -> None:
     """JSON lines."""
     rows.write.mode("append").json(path)

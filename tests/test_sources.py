@@ -116,6 +116,28 @@ def test_graph_file_round_trip(spark, tmp_path):
     assert back["sessions"].first().event_ids == ["a", "b"] and json.loads(doc)["metadata"]["schema_version"] == sinks.SCHEMA_VERSION
 
 
+def test_documents_in_pieces(spark, tmp_path):
+    """Many elements, odd ids, empty sections: each file is JSON, says what the one-row form says, and comes back by lines and as a whole."""
+    odd = lambda i: ['e"%d', "e\\\\%d", "{e%d}", "e,%d"][i % 4] % i
+    ev = spark.createDataFrame([(c, odd(i), ["x", "}"], None if i % 3 else "d", float(i)) for c in (1, 2) for i in range(300 * (c == 1) + 1)], "conv long, event_id string, participants array<string>, valid_until string, update_val double")
+    ed = spark.createDataFrame([(1, i, odd(i), odd(i + 1) if i % 7 else "zz", "causes", 0.5, None) for i in range(200)], "conv long, edge_seq int, src string, dst string, edge_type string, confidence double, t_invalid_at string")
+    se = spark.createDataFrame([(1, f"s{i}", [odd(i)]) for i in range(40)], "conv long, session_id string, event_ids array<string>")
+    to = spark.createDataFrame([(1, "t", ["s1", "s2"])], "conv long, topic_id string, session_ids array<string>")
+    folder = str(tmp_path / "g")
+    sinks.write_documents(ev, ed, se, to, folder)
+    whole = {r.conv: json.loads(r.json) for r in sinks.graph_documents(ev, ed, se, to).collect()}
+    for c in (1, 2):
+        [file] = (tmp_path / "g" / f"conv={c}").glob("*.txt")
+        doc = json.loads(file.read_text())
+        assert doc["events"] == whole[c]["events"] and doc["edges"] == whole[c]["edges"]
+        assert sorted(map(str, doc["sessions"])) == sorted(map(str, whole[c]["sessions"])) and doc["topics"] == whole[c]["topics"] and sorted(map(str, doc["hyperedges"])) == sorted(map(str, whole[c].get("hyperedges", [])))
+    back, other = readers.read_documents(spark, folder), readers.read_graph(spark, folder)
+    for name in ("events", "edges", "sessions", "topics"):
+        show = lambda df: sorted(map(repr, df.drop("conv", "edge_seq").collect()))
+        assert show(back[name]) == show(other[name]) != [], name
+    assert [r.src for r in back["edges"].orderBy("edge_seq").collect()] == [odd(i) for i in range(200) if i % 7]
+
+
 def test_tables_and_cache(spark, tmp_path):
     folder = str(tmp_path / "b")
     assert not sinks.still_good(spark, folder, "h")

@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import random
+import re
 import sys
 from collections import Counter
 
@@ -394,10 +396,83 @@ def test_automata():
     assert license_scan.scan(text.replace("free of", "for no")).spans == []
 
 
-def test_regions_that_nest_are_an_error():
-    for markup in ("a <<beginOptional>>b <<beginOptional>>c<<endOptional>> d<<endOptional>>", "a <<beginOptional>>b", "a b<<endOptional>>"):
+def test_regions_without_an_end_are_an_error(spark):
+    for markup in ("a <<beginOptional>>b", "a b<<endOptional>>", "a <<beginOptional>>b <<beginOptional>>c<<endOptional>>", "a <<what>> b"):
         with pytest.raises(ValueError):
             license_scan.parse(markup)
+        with pytest.raises(ValueError):
+            license_scan.matches(spark.createDataFrame([(1, "a")], "doc_id long, text string"), templates={"x": markup})
+
+
+def ends(part, text, i):
+    """Where the template's part may end in the words, if it begins at word i: a plain search of its tree."""
+    if not part:
+        return {i}
+    head, rest = part[0], part[1:]
+    if isinstance(head, list):
+        return ends(head + rest, text, i) | ends(rest, text, i)
+    if head.word:
+        return ends(rest, text, i + 1) if i < len(text) and text[i] == head.word else set()
+    out = set()
+    for k in range(i, min(i + head.most, len(text))):
+        if not re.fullmatch(head.match.encode(), text[k]):
+            break
+        out |= ends(rest, text, k + 1)
+    return out
+
+
+def said(part, rng, skip):
+    """A text that the template accepts; regions are left out with probability skip."""
+    out = []
+    for t in part:
+        if isinstance(t, list):
+            out += said(t, rng, skip) if rng.random() >= skip else []
+        elif t.word:
+            out.append(t.word.decode())
+        else:
+            names = ["7"] if "[0-9]" in t.match else t.match.split("|") if "|" in t.match else ["thing"]
+            out += [rng.choice(names) for _ in range(rng.randint(1, t.most))]
+    return out
+
+
+@pytest.mark.parametrize("label", sorted(license_scan.TEMPLATES))
+def test_every_region_in_and_out(label):
+    """Each template with its regions in and out; with a mandatory word changed it isn't accepted any more."""
+    rng, a = random.Random(label), next(a for a in license_scan.AUTOMATA if a.label == label)
+    for skip in (0, 1, 0.5, 0.5, 0.5):
+        text = said(a.tokens, rng, skip)
+        whole = " ".join(["before", *text, "after"])
+        assert label in [x[2] for x in license_scan.scan(whole).spans] and re.search(a.regex(), f" {whole} ")
+        must = [i for i, w in enumerate(text) if text.count(w) == 1 and w.encode() in a.mandatory]
+        bad = " ".join([*text[: must[-1]], "wrong", *text[must[-1] + 1 :]])
+        assert label not in [x[2] for x in license_scan.scan(bad).spans] and not re.search(a.regex(), f" {bad} ")
+
+
+def test_random_templates_by_plain_search():
+    """Regions in regions, at the ends, empty, repeated words: runs as a search of the tree finds them."""
+    rng = random.Random(8)
+
+    def part(depth):
+        out = []
+        for _ in range(rng.randint(0 if depth else 1, 4)):
+            kind = rng.random()
+            out.append(f"<<beginOptional>>{part(depth + 1)}<<endOptional>>" if kind < 0.3 and depth < 3 else f"<<var;match=a|b;max={rng.randint(1, 3)}>>" if kind < 0.45 else rng.choice("abc"))
+        return " ".join(out)
+
+    hits = 0
+    for _ in range(300):
+        a = license_scan.Automaton("x", part(0))
+        text = [rng.choice([b"a", b"b", b"c"]) for _ in range(12)]
+        want = [(i, min(e)) for i in range(len(text)) if (e := {k for k in ends(a.tokens, text, i) if k > i})]
+        assert a.spans(text) == want
+        hits += len(want)
+    assert hits > 300
+
+
+def test_templates_of_ones_own(spark):
+    df = spark.createDataFrame([(1, "Free as in Beer, MIT license"), (2, "free as beer")], "doc_id long, text string")
+    rows = license_scan.labelled(df, templates={"beer": "free as <<beginOptional>>in <<beginOptional>>cold<<endOptional>><<endOptional>> beer"}).orderBy("doc_id").collect()
+    assert [(r.labels, r.score) for r in rows] == [("beer,mit", 1.0), ("beer", 1.0)]
 
 
 def test_licences_odd_rows(spark, odd):

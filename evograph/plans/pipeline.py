@@ -281,6 +281,13 @@ def ingest(stream: DataFrame, k: int = 10) -> DataFrame:
     return incremental.ingest(stream, k) if stream.isStreaming else incremental.replay(stream, k)
 
 
+def remember(events: DataFrame) -> DataFrame:
+    """Whole sessions as they arrive, in one pass on keyed state: streaming.memory.remember; of a table, the edges that it gives."""
+    from evograph.streaming import memory
+
+    return memory.remember(events) if events.isStreaming else memory.replayed(events)[0]
+
+
 def topics_of(sessions: DataFrame, summary: str, k: int | None = None, seed: int = 0) -> DataFrame:
     """Topics of sessions by their summaries' vectors: k-means, by default a fifth as many topics as sessions."""
     points = hierarchy.encode_texts(sessions, summary)

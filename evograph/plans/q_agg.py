@@ -201,8 +201,11 @@ def direct_evidence(spark, sf):
 
 @query("participant_seeds", with_views("ev", "SELECT entity, event_id FROM (SELECT 'u' || u AS entity, event_id, row_number() OVER (PARTITION BY u ORDER BY event_date DESC, event_id) AS n FROM ev) WHERE n <= 8"))
 def participant_seeds(spark, sf):
-    n = F.row_number().over(W.partitionBy("u").orderBy(F.desc("event_date"), "event_id"))
-    return V.events(spark, sf).withColumn("n", n).where("n <= 8").select(F.concat(F.lit("u"), "u").alias("entity"), "event_id")
+    """A question for each user that names it: the latest eight of its events (there are no similarities)."""
+    ev, name = V.events(spark, sf), F.concat(F.lit("u"), "u")
+    entities = ev.select(F.col("u").alias("qid"), "conv", name.alias("entity"), F.lit(1).alias("n")).distinct()
+    members = ev.select(F.col("u").alias("qid"), "conv", name.alias("member"), F.col("event_id").alias("node"), F.col("event_seq").alias("seq"), F.lit(None).cast("double").alias("sim"), F.col("event_date").cast("string").alias("anchor"))
+    return retrieval.entity_events(entities, members, 8).select(F.concat(F.lit("u"), "qid").alias("entity"), F.col("node").alias("event_id"))
 
 
 @query(

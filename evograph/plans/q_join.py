@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evograph.operators import overlap, retrieval
+from evograph.operators import graph, hierarchy, overlap, retrieval
 from evograph.plans import views as V
 from evograph.plans.views import with_views
 
@@ -183,10 +183,17 @@ def extraction_edges(spark, sf):
 
 @query("session_of_event", with_views("evs sess", "SELECT e.event_id, s.session_id FROM evs e JOIN sess s ON s.conv = e.conv AND s.session_num = e.session_num"))
 def session_of_event(spark, sf):
+    """By the links between an event's node and its session."""
     s = V.sessions(spark, sf).select("conv", "event_date", "session_id")
-    return V.events(spark, sf).join(s, ["conv", "event_date"]).select("event_id", "session_id")
+    node = F.col("event_id").cast("string").alias("node")
+    stars = graph.star(V.events(spark, sf).join(s, ["conv", "event_date"]).select("conv", node, "session_id"), "node", "session_id", "belongs_to", "contains").withColumn("adj_pos", F.xxhash64("src", "dst"))
+    return hierarchy.event_session(V.events(spark, sf).select("conv", node), stars).select(F.col("node").cast("long").alias("event_id"), "session_id")
 
 
 @query("topic_event_ids", with_views("evs", "SELECT conv, topic_num, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM evs GROUP BY 1, 2"))
 def topic_event_ids(spark, sf):
-    return V.events_in_sessions(spark, sf).groupBy("conv", "topic_num").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    """Events of the sessions that a topic lists."""
+    s = V.sessions(spark, sf)
+    topics = s.groupBy("conv", F.col("topic_num").alias("topic_id")).agg(F.collect_list("session_id").alias("session_ids"), F.min("session_num").alias("seq"))  # five sessions
+    of = hierarchy.topic_of_session(topics).join(s.select("conv", "session_id", "event_date"), ["conv", "session_id"]).select("conv", "event_date", F.col("topic_id").alias("topic_num"))
+    return V.events(spark, sf).join(of, ["conv", "event_date"]).groupBy("conv", "topic_num").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))

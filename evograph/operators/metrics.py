@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from evograph.functions.stem import stem
 from evograph.functions.text import tokens
+from evograph.functions.vector import dot
 
 
 def exact_match(a: Column, b: Column) -> Column:
@@ -64,9 +65,20 @@ NO_HIT = 0.1
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
 
 
+#: Words that are two tokens, by where they are cut.
+JOINED = ["can|not", "gim|me", "gon|na", "got|ta", "lem|me", "wan|na"]
+_TOKENS = re.compile(
+    "|".join(
+        [r"n't\b", r"'(?:s|re|ve|ll|d|m)\b"]  # ends of contractions
+        + [rf"\b{a}(?={b}\b)" for a, b in (x.split("|") for x in JOINED)]
+        + [r"\.{3}", "--", r"\d+(?:[.,:]\d+)+", r"\w+?(?=n't\b)", r"\w+(?:(?:[./]|-(?!-))\w+)*", r"[^\w\s]"]  # runs of marks, numbers, words, single marks
+    )
+)
+
+
 def bleu_tokens(text: str) -> list[str]:
-    """Lower-case words, ends of contractions, and single marks."""
-    return re.findall(r"n't\b|'(?:s|re|ve|ll|d|m)\b|\w+?(?=n't\b)|[\w-]+(?:\.\w+)*|[^\w\s]", text.lower())
+    """Lower-case words (with inner marks), numbers, ends of contractions, runs of dots and dashes, and single marks."""
+    return _TOKENS.findall(text.lower())
 
 
 def rouge_tokens(text: str) -> list[str]:
@@ -123,6 +135,36 @@ def text_scores(prediction: str, reference: str) -> dict[str, float]:
     return out
 
 
+def token_weights(texts: DataFrame, tokens: str) -> DataFrame:
+    """token, idf: log((texts + 1) / (texts that have it + 1)), over a column of token arrays."""
+    n = texts.count()
+    has = texts.select(F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return has.select("token", F.log(F.lit(n + 1) / (F.col("df") + 1)).alias("idf"))
+
+
+def aligned_similarity(pairs: DataFrame, vectors: DataFrame, weights: DataFrame | None = None, key: tuple[str, ...] = ("pair",)) -> DataFrame:
+    """key, precision, recall, f1: each token of a side is aligned with the most similar one of the other side, and cosines are averaged, by idf.
+
+    pairs: key, prediction, reference (arrays of tokens); vectors: token, v, norm, of any encoder that gives tokens vectors; weights: token, idf
+    (1 for all without them, 0 for a token that they lack). Tokens without a vector align with nothing and count as 0; so does an empty side.
+    """
+    known = vectors.select("token", F.transform("v", lambda x: x / F.col("norm")).alias("u"))
+
+    def side(name: str) -> DataFrame:
+        rows = pairs.select(*key, F.explode(name).alias("token")).groupBy(*key, "token").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.join(weights, "token", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(0.0))) if weights is not None else rows.withColumn("w", F.col("n").cast("double"))
+        return rows.join(known, "token", "left").groupBy(*key).agg(F.collect_list(F.struct("w", "u")).alias(name))  # a text's own words
+
+    both = side("prediction").join(side("reference"), list(key))
+    near = lambda x, other: F.coalesce(F.array_max(F.transform(F.filter(other, lambda y: y["u"].isNotNull()), lambda y: dot(x["u"], y["u"]))), F.lit(0.0))
+    total = lambda xs, f: F.aggregate(F.transform(xs, f), F.lit(0.0), lambda a, x: a + x)
+    share = lambda a, b: F.try_divide(total(a, lambda x: x["w"] * F.when(x["u"].isNull(), 0.0).otherwise(near(x, b))), total(a, lambda x: x["w"]))
+    out = both.select(*key, share(F.col("prediction"), F.col("reference")).alias("p"), share(F.col("reference"), F.col("prediction")).alias("r"))
+    met = pairs.select(*key).join(out, list(key), "left").withColumn("precision", F.coalesce("p", F.lit(0.0))).withColumn("recall", F.coalesce("r", F.lit(0.0)))
+    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    return met.select(*key, "precision", "recall", f1.alias("f1"))
+
+
 NAMES = ["bleu1", "bleu2", "bleu3", "bleu4", "rouge1", "rouge2", "rougeL", "meteor"]
 
 

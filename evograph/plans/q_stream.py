@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evograph.operators import clustering, hierarchy, metrics, validity
 from evograph.plans import views as V
 from evograph.plans.views import with_views
+from evograph.shared import cut
 from evograph.streaming import incremental, memory
 
 QUERIES, SQL = {}, {}
@@ -158,6 +159,36 @@ def centroid_assign_stream(spark, sf):
     return hierarchy.assign_topics(rows)
 
 
+@query(
+    "aligned_similarity",
+    with_views(
+        "vec",
+        """SELECT p.conv_id, p.turn, round(coalesce(a.s, 0), 6)::DOUBLE AS precision, round(coalesce(b.s, 0), 6)::DOUBLE AS recall FROM texts p LEFT JOIN share1 a USING (conv_id, turn) LEFT JOIN share2 b USING (conv_id, turn)""",
+        """texts AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(ref), '[^a-z]+'), lambda x: x <> '') AS b
+    FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations) WHERE ref IS NOT NULL),
+  size AS (SELECT count(*) AS n FROM vec), df AS (SELECT token, ln(((SELECT count(*) FROM texts) + 1) / (count(*) + 1)) AS idf FROM (SELECT conv_id, turn, unnest(list_distinct(b)) AS token FROM texts) GROUP BY 1),
+  words AS (SELECT DISTINCT unnest(list_concat(a, b)) AS token FROM texts), tv AS (SELECT token, v FROM words, size JOIN vec ON vec_id = ('0x' || substr(md5(token), 1, 6))::BIGINT % n),
+  s1 AS (SELECT conv_id, turn, unnest(a) AS token FROM texts), s2 AS (SELECT conv_id, turn, unnest(b) AS token FROM texts),
+  d1 AS (SELECT DISTINCT * FROM s1), d2 AS (SELECT DISTINCT * FROM s2),
+  met AS (SELECT x.conv_id, x.turn, x.token AS t1, y.token AS t2, list_cosine_similarity(p.v, q.v) AS sim FROM d1 x JOIN d2 y USING (conv_id, turn) JOIN tv p ON p.token = x.token JOIN tv q ON q.token = y.token),
+  best1 AS (SELECT conv_id, turn, t1 AS token, max(sim) AS sim FROM met GROUP BY ALL), best2 AS (SELECT conv_id, turn, t2 AS token, max(sim) AS sim FROM met GROUP BY ALL),
+  share1 AS (SELECT conv_id, turn, sum(coalesce(idf, 0) * coalesce(sim, 0)) / nullif(sum(coalesce(idf, 0)), 0) AS s FROM s1 LEFT JOIN best1 USING (conv_id, turn, token) LEFT JOIN df USING (token) WHERE (conv_id, turn) IN (SELECT (conv_id, turn) FROM s2) GROUP BY 1, 2),
+  share2 AS (SELECT conv_id, turn, sum(coalesce(idf, 0) * coalesce(sim, 0)) / nullif(sum(coalesce(idf, 0)), 0) AS s FROM s2 LEFT JOIN best2 USING (conv_id, turn, token) LEFT JOIN df USING (token) WHERE (conv_id, turn) IN (SELECT (conv_id, turn) FROM s1) GROUP BY 1, 2)""",
+    ),
+)
+def aligned_similarity(spark, sf):
+    """Each turn against the next one of its conversation; a word's vector is the one of number (a hash of the word) mod the number of vectors."""
+    rows = V.table(spark, sf, "conversations").withColumn("ref", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("ref IS NOT NULL")
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: x != "")
+    pairs = cut(rows.select("conv_id", "turn", words("text").alias("prediction"), words("ref").alias("reference")))
+    vec = V.vectors(spark, sf)
+    token = pairs.select(F.explode(F.concat("prediction", "reference")).alias("token")).distinct()
+    number = (F.conv(F.substring(F.md5("token"), 1, 6), 16, 10).cast("long") % vec.count()).alias("vec_id")
+    vectors = token.select("token", number).join(vec, "vec_id")
+    out = metrics.aligned_similarity(pairs, vectors, metrics.token_weights(pairs, "reference"), ("conv_id", "turn"))
+    return out.select("conv_id", "turn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
 @query("bleu_rouge")
 def bleu_rouge(spark, sf):
     """BLEU and ROUGE of each turn against the next one of its conversation."""

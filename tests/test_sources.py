@@ -116,6 +116,19 @@ def test_graph_file_round_trip(spark, tmp_path):
     assert back["sessions"].first().event_ids == ["a", "b"] and json.loads(doc)["metadata"]["schema_version"] == sinks.SCHEMA_VERSION
 
 
+def test_aligned_similarity(spark):
+    """By hand: repeated tokens, one without a vector, an empty side, weights."""
+    vec = spark.createDataFrame([("a", [1.0, 0.0], 1.0), ("b", [0.0, 2.0], 2.0), ("c", [3.0, 4.0], 5.0)], "token string, v array<double>, norm double")
+    pairs = spark.createDataFrame([(1, ["a", "a", "c"], ["b", "c"]), (2, ["x"], ["a"]), (3, [], ["a"]), (4, ["b"], ["b", "x"])], "pair int, prediction array<string>, reference array<string>")
+    got = {r.pair: (round(r.precision, 6), round(r.recall, 6)) for r in metrics.aligned_similarity(pairs, vec).collect()}
+    assert got == {1: (round((0.6 + 0.6 + 1) / 3, 6), round((0.8 + 1) / 2, 6)), 2: (0, 0), 3: (0, 0), 4: (1, 0.5)}
+    idf = {r.token: r.idf for r in metrics.token_weights(pairs, "reference").collect()}
+    assert idf == {"a": pytest.approx(math.log(5 / 3)), "b": pytest.approx(math.log(5 / 3)), "c": pytest.approx(math.log(5 / 2)), "x": pytest.approx(math.log(5 / 2))}
+    one = metrics.aligned_similarity(pairs, vec, metrics.token_weights(pairs, "reference")).where("pair = 1").first()
+    w = (math.log(5 / 3), math.log(5 / 2))
+    assert one.precision == pytest.approx((2 * w[0] * 0.6 + w[1]) / (2 * w[0] + w[1])) and one.f1 == pytest.approx(2 * one.precision * one.recall / (one.precision + one.recall))
+
+
 def test_documents_in_pieces(spark, tmp_path):
     """Many elements, odd ids, empty sections: each file is JSON, says what the one-row form says, and comes back by lines and as a whole."""
     odd = lambda i: ['e"%d', "e\\\\%d", "{e%d}", "e,%d"][i % 4] % i
@@ -213,6 +226,7 @@ def test_vectors_and_metrics(spark):
     t = metrics.text_scores("the cat sat on a mat", "a cat was running on the mats today")  # 4 of 6 words; no pair of words
     assert abs(t["bleu1"] - math.exp(1 - 8 / 6) * 4 / 6) < 1e-9 and abs(t["bleu2"] - math.exp(1 - 8 / 6) * (4 / 6 * 0.1 / 5) ** 0.5) < 1e-9
     assert abs(t["rouge1"] - 2 * 5 / 14) < 1e-9 and t["rouge2"] == 0 and abs(t["rougeL"] - 2 * 3 / 14) < 1e-9
+    assert metrics.bleu_tokens("I'm gonna pay 1,000... at 12:30 -- cannot, e.g. and/or a,b") == ["i", "'m", "gon", "na", "pay", "1,000", "...", "at", "12:30", "--", "can", "not", ",", "e.g", ".", "and/or", "a", ",", "b"]
     assert metrics.bleu_tokens("He didn't pay $3.50, it's well-known.") == ["he", "did", "n't", "pay", "$", "3.50", ",", "it", "'s", "well-known", "."]
     words = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "vietnamization": "vietnam", "electrical": "electr", "goodness": "good", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "controlling": "control", "is": "is"}
     assert {w: stem.stem(w) for w in words} == words

@@ -1,4 +1,4 @@
-"""Suffix stripping of English words, after Porter's published algorithm (1980)."""
+"""Suffix stripping of English words, after Porter's published algorithm (1980), with the usual departures: irregular words, short words in -ies and -ied, -y after a vowel, and a few more suffixes."""
 
 from __future__ import annotations
 
@@ -7,10 +7,15 @@ from functools import lru_cache
 
 #: Suffixes and what they become, by step; each needs a measure of its stem above 0 (step 4: above 1).
 STEP_2 = {
-    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "fulli": "ful",
     "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
 }
 STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+#: Words that have a stem of their own.
+IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "inning": "inning", "innings": "inning", "outing": "outing", "outings": "outing",
+    "canning": "canning", "cannings": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
 STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 
 
@@ -31,8 +36,9 @@ def _double(word: str) -> bool:
 
 
 def _short(word: str) -> bool:
-    """Does it end in consonant, vowel, consonant, the last one not w, x or y?"""
-    return _kinds(word)[-3:] == "cvc" and word[-1] not in "wxy"
+    """Does it end in consonant, vowel, consonant, the last one not w, x or y; or is it a vowel and a consonant?"""
+    kinds = _kinds(word)
+    return (kinds[-3:] == "cvc" and word[-1] not in "wxy") or kinds == "vc"
 
 
 def _replace(word: str, table: dict[str, str], above: int) -> str:
@@ -48,14 +54,18 @@ def _replace(word: str, table: dict[str, str], above: int) -> str:
 @lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
     """The stem of a lower-case word; words of one or two letters stay."""
-    if len(word) <= 2:
-        return word
-    if word.endswith("sses") or word.endswith("ies"):
+    if word in IRREGULAR or len(word) <= 2:
+        return IRREGULAR.get(word, word)
+    if word.endswith("ies") and len(word) == 4:
+        word = word[:-1]
+    elif word.endswith("sses") or word.endswith("ies"):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
     cut = False
-    if word.endswith("eed"):
+    if word.endswith("ied"):
+        word = word[:-1] if len(word) == 4 else word[:-2]
+    elif word.endswith("eed"):
         word = word[:-1] if _measure(word[:-3]) > 0 else word
     elif word.endswith("ed") and "v" in _kinds(word[:-2]):
         word, cut = word[:-2], True
@@ -68,15 +78,20 @@ def stem(word: str) -> str:
             word = word[:-1]
         elif _measure(word) == 1 and _short(word):
             word += "e"
-    if word.endswith("y") and "v" in _kinds(word[:-1]):
+    if word.endswith("y") and len(word) > 2 and _kinds(word)[-2] == "c":
         word = word[:-1] + "i"
+    again = word.endswith("alli")
     word = _replace(word, STEP_2, 0)
+    if again and not word.endswith("alli"):
+        word = _replace(word, STEP_2, 0)
+    if word.endswith("logi") and _measure(word[:-3]) > 0:
+        word = word[:-1]
     word = _replace(word, STEP_3, 0)
     word = _replace(word, dict.fromkeys(STEP_4, ""), 1)
     if word.endswith("e"):
         m = _measure(word[:-1])
         if m > 1 or (m == 1 and not _short(word[:-1])):
             word = word[:-1]
-    if word.endswith("ll") and _measure(word) > 1:
+    if word.endswith("ll") and _measure(word[:-1]) > 1:
         word = word[:-1]
     return word

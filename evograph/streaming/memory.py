@@ -20,7 +20,6 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 

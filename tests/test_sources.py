@@ -228,7 +228,7 @@ def test_vectors_and_metrics(spark):
     assert abs(t["rouge1"] - 2 * 5 / 14) < 1e-9 and t["rouge2"] == 0 and abs(t["rougeL"] - 2 * 3 / 14) < 1e-9
     assert metrics.bleu_tokens("I'm gonna pay 1,000... at 12:30 -- cannot, e.g. and/or a,b") == ["i", "'m", "gon", "na", "pay", "1,000", "...", "at", "12:30", "--", "can", "not", ",", "e.g", ".", "and/or", "a", ",", "b"]
     assert metrics.bleu_tokens("He didn't pay $3.50, it's well-known.") == ["he", "did", "n't", "pay", "$", "3.50", ",", "it", "'s", "well-known", "."]
-    words = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "vietnamization": "vietnam", "electrical": "electr", "goodness": "good", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "controlling": "control", "is": "is"}
+    words = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "vietnamization": "vietnam", "electrical": "electr", "goodness": "good", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "controlling": "control", "is": "is", "dying": "die", "ties": "tie", "tied": "tie", "cried": "cri", "news": "news", "enjoy": "enjoy", "skies": "sky", "possibly": "possibl", "hopefully": "hope", "geology": "geolog", "proceed": "proceed"}
     assert {w: stem.stem(w) for w in words} == words
     assert abs(metrics.text_scores("a b c d", "a x c d")["rougeL"] - 0.75) < 1e-9
     rows = spark.createDataFrame([(c, float(c)) for c in range(1, 6)], "category int, f1 double")

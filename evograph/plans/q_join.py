@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evograph.operators import graph, hierarchy, overlap, retrieval
+from evograph.operators import graph, hierarchy, inject, overlap, retrieval
 from evograph.plans import views as V
 from evograph.plans.views import with_views
 
@@ -156,10 +156,9 @@ def neighbour_expand(spark, sf):
 def ordinal_alignment(spark, sf):
     """The i-th date in text order meets the i-th summary in number order, up to the shorter of the two."""
     s = V.sessions(spark, sf)
-    left = s.withColumn("r", F.row_number().over(W.partitionBy("conv").orderBy(F.date_format("event_date", "dd MM yyyy")))).select("conv", "event_date", "r")
-    kept = s.where("session_num % 4 <> 0")
-    right = kept.select("conv", F.format_string("session_%d_summary", "session_num").alias("summary_key"), F.row_number().over(W.partitionBy("conv").orderBy("session_num")).alias("r"))
-    return left.join(right, ["conv", "r"]).select("conv", "event_date", "summary_key")
+    times = s.select("conv", "event_date", F.date_format("event_date", "dd MM yyyy").alias("timestamp"))
+    summaries = s.where("session_num % 4 <> 0").select("conv", F.format_string("session_%d_summary", "session_num").alias("summary_key"))
+    return inject.align_sessions(times, summaries).select("conv", "event_date", "summary_key")
 
 
 @query("asof_previous_event", with_views("ev", "SELECT a.event_id, b.event_id AS previous FROM ev a ASOF JOIN (SELECT * FROM ev WHERE kind = 'purchase') b ON a.u = b.u AND a.event_seq > b.event_seq"))

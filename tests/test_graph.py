@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from evograph.operators import context, graph, hierarchy, overlap, paths, retrieval, validity
+from evograph.operators import context, graph, hierarchy, inject, overlap, paths, retrieval, validity
 from evograph.plans import pipeline
 from evograph.plans import views as V
 from evograph.streaming import incremental
@@ -362,6 +362,25 @@ def test_topic_tables(spark):
     assert {r.event_id: r.participants for r in hierarchy.normalize_participants(ev, names).collect()} == {1: ["Anna", "Bo"], 2: []}
 
 
+def test_sessions_and_topics_are_injected(spark):
+    """Texts of times meet numbers of summaries; a session without events drops out of the chain; what is there stays."""
+    notes = spark.createDataFrame([(1, "n1", 0, "b"), (1, "n2", 1, "a"), (1, "n3", 2, "b"), (1, "n4", 3, "c"), (1, "n5", 4, ""), (1, "n6", 5, "d"), (2, "m", 0, "a")], "conv int, note_id string, note_pos int, timestamp string")
+    links = spark.createDataFrame([(1, "n1", "e2", 2), (1, "n1", "e1", 1), (1, "n3", "e1", 1), (1, "n3", "e3", 3), (1, "n2", "e4", 4), (1, "n6", "e5", 5), (2, "m", "f", 0)], "conv int, note_id string, event_id string, event_seq int")
+    said = spark.createDataFrame([(1, "session_10_summary", "ten"), (1, "session_2_summary", "two"), (1, "session_1_summary", "one"), (1, "session_30_summary", "thirty"), (1, "session_31_summary", "more"), (2, "session_1_summary", "x")], "conv int, summary_key string, summary string")
+    dates = spark.createDataFrame([(1, 2, "2 May")], "conv int, session_num int, date_time string")
+    s, chain = inject.inject_sessions(notes, links, said, dates=dates)
+    got = {r.session_id: (r.session_key, r.summary, r.date_time, r.event_ids, r.note_ids) for r in s.where("conv = 1").collect()}
+    assert got == {"sess_1_1": ("session_1_summary", "one", "a", ["e4"], ["n2"]), "sess_1_2": ("session_2_summary", "two", "2 May", ["e1", "e2", "e3"], ["n1", "n3"]), "sess_1_30": ("session_30_summary", "thirty", "d", ["e5"], ["n6"])}
+    assert {(r.src, r.dst, r.edge_type) for r in chain.collect()} == {("sess_1_1", "sess_1_2", "temporal_before"), ("sess_1_2", "sess_1_30", "temporal_before")}
+    had = spark.createDataFrame([(2, "old", ["f"])], "conv int, session_id string, event_ids array<string>")
+    groups = spark.createDataFrame([(1, 0, "t", ["sess_1_1", "zz"], "d"), (1, 1, "u", ["zz"], "d"), (2, 0, "v", ["old"], "d")], "conv int, place int, label string, session_ids array<string>, description string")
+    out = inject.set_graph({"sessions": had}, notes, links, said, groups)
+    assert sorted((r.conv, r.session_id) for r in out["sessions"].collect()) == [(1, "sess_1_1"), (1, "sess_1_2"), (1, "sess_1_30"), (2, "old")]
+    assert sorted((r.topic_id, r.label, r.session_ids) for r in out["topics"].collect()) == [("topic_1_0", "t", ["sess_1_1"]), ("topic_2_0", "v", ["old"])]
+    assert inject.set_graph({"sessions": had}, notes, links, said, groups, hierarchy=False) == {"sessions": had}
+    assert inject.inject_topics(out["sessions"], groups, out["topics"]).count() == 0
+
+
 def test_induced_hierarchy_and_summary(spark):
     s = spark.createDataFrame([(1, "s1", ["n1", "n2"], ["e1", "e2"]), (1, "s2", ["n2"], ["e3"]), (1, "s3", ["n9"], ["e1"])], "conv int, session_id string, note_ids array<string>, event_ids array<string>")
     t = spark.createDataFrame([(1, "t1", ["s1", "s2"]), (1, "t2", ["s2", "s3"])], "conv int, topic_id string, session_ids array<string>")

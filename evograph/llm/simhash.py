@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evograph.llm.common import cut, over_texts
+from evograph.llm.common import cut, over_texts, table
 
 #: Fingerprints of a shard's slice.
 SLICE = 32_768
@@ -313,6 +313,8 @@ def components(df: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, i
 
 #: Whole near copies (five words, Jaccard 0.8 or more) are met within RADIUS bits of SimHash, or else in N_SAMPLES bands of SAMPLE least hashes each.
 RADIUS, N_SAMPLES, SAMPLE = 3, 32, 5
+#: Words of the bits that tell how far apart two sets are, at least.
+PARITY = 8
 #: Links over which labels travel before what is left apart is compared pair by pair (more or fewer: the same result).
 STEPS = 3
 _TURNS = np.random.default_rng(5).integers(0, 1 << 63, (2, N_SAMPLES * SAMPLE), np.uint64)
@@ -373,20 +375,30 @@ def _prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 
     Shingles are ordered by rarity among these sets. Two sets that are similar enough share one of the first n - ceil(similarity * n) + 1
     of the larger and of a yet shorter beginning of the smaller one, at places after which enough can follow. So what
-    a large family of texts has in common, at less than the similarity, doesn't bring them together: it comes last.
+    a large family of texts has in common, at less than the similarity, doesn't bring them together: it comes last. What gets by
+    that is looked at in PARITY * 64 bits, of which every shingle turns one over: two sets differ in as many shingles as their bits do, at least.
     """
-    items = rows.select("fp", "n", "lab", F.explode("items").alias("item"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    word = lambda w: F.aggregate(F.filter("items", lambda h: F.pmod(F.call_function("shiftright", h, F.lit(6)), F.lit(PARITY)) == w), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+    bits = [f"bits{w}" for w in range(PARITY)]
+    # What goes through the exchanges is narrow: a set's number (half of its name), its size, a shingle and its place.
+    items = rows.select(F.col("fp.f0").alias("id"), "n", F.explode("items").alias("item"))
     common = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # Shingles of one set alone come first and meet nothing: their number tells the places of the others.
-    shared = items.join(common, "item").withColumn("i", F.row_number().over(W.partitionBy("fp").orderBy("df", "item")))
-    first = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("fp"))
+    shared = items.join(common, "item").withColumn("i", F.row_number().over(W.partitionBy("id").orderBy("df", "item")))
+    first = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("id"))
     placed = shared.withColumn("at", (F.col("i") + first).cast("int"))
     upto = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
-    long = cut(placed.where(F.col("at") <= upto(similarity)).select("fp", "n", "lab", "item", "at"))
-    short = long.where(F.col("at") <= upto(2 * similarity / (1 + similarity))).select(F.col("fp").alias("b"), F.col("n").alias("m"), F.col("lab").alias("other"), "item", F.col("at").alias("place"))
-    enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) + 1 >= (F.col("n") + F.col("m")) * F.lit(similarity / (1 + similarity)) - 1e-9 - F.least("at", "place") + 1
-    fits = (F.col("m") >= F.col("n") * similarity - 1e-9) & (F.struct("m", "b") < F.struct("n", "fp")) & (F.col("lab") != F.col("other")) & enough
-    return long.join(short, "item").where(fits).select(F.col("fp").alias("a"), "b").distinct()
+    told = rows.select(F.col("fp.f0").alias("id"), F.col("lab.f0").alias("lab"), *(word(w).alias(b) for w, b in enumerate(bits)))
+    long = table(placed.where(F.col("at") <= upto(similarity)).select("id", "n", "item", "at").join(told, "id"))
+    short = long.where(F.col("at") <= upto(2 * similarity / (1 + similarity))).select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("lab").alias("label"), "item", F.col("at").alias("place"), *(F.col(b).alias(f"x{b}") for b in bits))
+    enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) + F.least("at", "place") >= (F.col("n") + F.col("m")) * F.lit(similarity / (1 + similarity)) - 1e-9
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"x{b}"))) for b in bits), F.lit(0))
+    near = apart <= (F.col("n") + F.col("m")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-9
+    fits = (F.col("m") >= F.col("n") * similarity - 1e-9) & (F.struct("m", "other") < F.struct("n", "id")) & (F.col("lab") != F.col("label")) & enough & near
+    pairs = long.join(short, "item").where(fits).select("id", "other").distinct()
+    names = rows.select(F.col("fp.f0").alias("id"), "fp")
+    return pairs.join(names.withColumnRenamed("fp", "a"), "id").join(names.select(F.col("id").alias("other"), F.col("fp").alias("b")), "other").select("a", "b")
 
 
 def _near(df: DataFrame, similarity: float, width: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evograph.shared import merge_join
+
 
 def propagate_updates(events: DataFrame, edges: DataFrame, updates: DataFrame, scope: str = "conv") -> tuple[DataFrame, DataFrame]:
     """One hop, in one pass over a batch of updates (scope, src, dst, anchor; of several on a target the first by src wins).
@@ -31,7 +33,7 @@ def settle(pairs: DataFrame, scope: str = "conv") -> DataFrame:
     recorded verdicts are replayed by one aggregate and a join, with no fold over a conversation and no rounds.
     """
     ends = pairs.where("verdict = 'updates'").groupBy(scope, "dst").agg(F.min("at").alias("_end"))
-    return pairs.join(ends, [scope, "dst"], "left").where(F.col("_end").isNull() | (F.col("at") <= F.col("_end"))).drop("_end")
+    return merge_join(pairs, ends, [scope, "dst"], "left").where(F.col("_end").isNull() | (F.col("at") <= F.col("_end"))).drop("_end")
 
 
 def replay(arrivals: DataFrame, recorded: DataFrame, k: int = 10, min_jaccard: float = 0.5, scope: str = "conv") -> DataFrame:
@@ -45,4 +47,4 @@ def replay(arrivals: DataFrame, recorded: DataFrame, k: int = 10, min_jaccard: f
     near = overlap.overlap_topk(arrivals, min_jaccard, k, scope, "session_num", ("session_num", "event_seq", "anchor"), past=True)
     pairs = near.select(scope, F.col("event_id").alias("src"), F.col("cand_id").alias("dst"), F.struct("session_num", "event_seq").alias("at"), "anchor")
     known = recorded.where(F.col("edge_type").isin("updates", "contradicts")).select(scope, "src", "dst", F.col("edge_type").alias("verdict"))
-    return settle(pairs.join(known, [scope, "src", "dst"]), scope).select(scope, "src", "dst", F.col("verdict").alias("edge_type"), "anchor")
+    return settle(merge_join(pairs, known, [scope, "src", "dst"]), scope).select(scope, "src", "dst", F.col("verdict").alias("edge_type"), "anchor")

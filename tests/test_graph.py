@@ -242,6 +242,26 @@ def test_overlap_by_subsets_and_prefixes(spark, small):
         assert got == want, (past, group)
 
 
+def test_overlap_broadcasts_nothing(spark):
+    """What explode() makes of a side isn't in the planner's sizes: such a side was sent through the driver."""
+    rows = [(0, i, i, ["u", f"m{i % 9}"], i % 3, i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "conv int, event_id int, event_seq int, participants array<string>, session_num int, anchor int")
+    recorded = df.select("conv", F.col("event_id").alias("src"), (F.col("event_id") - 1).alias("dst"), F.lit("updates").alias("edge_type"))
+    plan = lambda out: out._jdf.queryExecution().executedPlan().toString()
+    for small in (6, 0):
+        for group, past in ((None, False), ("session_num", False), ("session_num", True)):
+            assert "Broadcast" not in plan(overlap.overlap_topk(df, 0.3, 3, group=group, past=past, small=small))
+    assert "Broadcast" not in plan(validity.replay(df, recorded))
+
+
+def test_overlap_takes_lists_not_pairs(spark):
+    """A probe takes k events of each of its subsets' lists; more of them, or pairs of classes, aren't moved. Equal rows each have candidates of their own."""
+    rows = [(0, i, i, ["hot", f"m{i // 2}"], i % 5) for i in range(400)] + [(0, 400, 400, ["hot", "m7"], 9)] * 2
+    df = spark.createDataFrame(rows, "conv int, event_id int, event_seq int, participants array<string>, session_num int")
+    got = overlap.overlap_topk(df, 0.3, 3, group="session_num").where("event_id = 400").collect()
+    assert sorted((r.rank, r.cand_id, round(r.jaccard, 2)) for r in got) == sorted([(1, 14, 1.0), (2, 15, 1.0), (3, 0, 0.33)] * 2)
+
+
 def test_a_hot_member_makes_no_pairs(spark):
     """2,000 sets that share one member: lists are read, not all pairs of the sets."""
     rows = [(0, i, i, ["hot", f"m{i}"]) for i in range(2000)]

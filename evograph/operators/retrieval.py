@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,32 +19,116 @@ from evograph.shared import cut
 QUERY_BLOCK, BROADCAST_QUERIES = 256, 4096
 #: Rows of a scope up to which its queries are multiplied with all of it; pivots of a larger one, at most.
 WHOLE_SCOPE, PIVOTS = 4096, 256
-
-
-def knn(corpus: DataFrame, queries: DataFrame, k: int, item: str, min_similarity: float | None = None, exclude_self: bool = False, where: Column | None = None) -> DataFrame:
-    """qid, item, sim, rank: exact cosine top-k of each query (qid, qv, qnorm) over the corpus (item, v, norm).
-
-    The corpus meets the queries in blocks of QUERY_BLOCK. Up to BROADCAST_QUERIES of them (their number is
-    checked) are sent to all tasks; beyond that blocks are joined by their number, so no task holds more than
-    one. Each partition keeps its own top k of each query before anything is shuffled (the window's group
-    limit). where: a condition on qid and item that holds before ranking.
-    """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
-    rows = queries.groupBy(block.alias("block")).agg(F.collect_list(F.struct("qid", "qv", "qnorm")).alias("queries"))
-    rows = F.broadcast(rows) if n <= BROADCAST_QUERIES else rows
-    pairs = corpus.select(item, "v", "norm", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(rows, "block")
-    sim = lambda q: F.struct(q["qid"].alias("qid"), F.round(dot(F.col("v"), q["qv"]) / (F.col("norm") * q["qnorm"]), 6).alias("sim"))
-    sims = pairs.select(item, F.explode(F.transform("queries", sim)).alias("x")).select("x.qid", item, "x.sim")
+#: Rows and queries of a block of products; blocks that fewer rows than that are dealt to, and rows of one of those at least.
+ROWS, QUERIES, SPREAD, LEAST = 16384, 16384, 24, 1024
+
+
+def _matrix(column: pa.ChunkedArray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, and which of them are none: null, with a null component, or not of d numbers (zeros here)."""
+    lists = pa.chunked_array(column.chunks, column.type).combine_chunks()
+    whole = pc.fill_null(pc.equal(pc.list_value_length(lists), d), False)
+    flat = pc.list_flatten(lists.filter(whole))
+    rows, at = np.zeros((len(lists), d)), whole.to_numpy(zero_copy_only=False)
+    rows[at] = flat.to_numpy(zero_copy_only=False).reshape(-1, d)
+    none = ~at
+    if flat.null_count:
+        none[at] = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, d).any(1)
+        rows[none] = 0
+    return rows, none
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, summed from left to right as functions.vector.dot does: the same doubles."""
+    out = np.empty(len(a))
+    for i in range(0, len(a), 1 << 16):
+        out[i : i + (1 << 16)] = np.cumsum(a[i : i + (1 << 16)] * b[i : i + (1 << 16)], axis=1)[:, -1]
+    return out
+
+
+def _block_best(x: pa.Table, q: pa.Table, item: str, k: int, least: float | None, exclude_self: bool, where: Callable | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one block of rows and one of queries: places of queries and rows, their cosine, and whether it is null: all pairs that rounding to six places may leave among a query's k best."""
+    d = pc.max(pc.list_value_length(q["qv"])).as_py() or 1
+    (v, no_v), (u, no_u) = _matrix(x["v"], d), _matrix(q["qv"], d)
+    n, m = (pc.fill_null(t, float("nan")).to_numpy() for t in (x["norm"], q["qnorm"]))
+    ids, asked = x[item].to_numpy(), q["qid"].to_numpy()
     if exclude_self:
-        sims = sims.where(F.col("qid") != F.col(item))
-    if where is not None:
-        sims = sims.where(where)
-    if min_similarity is not None:
-        sims = sims.where(F.col("sim") >= min_similarity)
-    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), item))
-    return sims.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+        kind = q["qid"].type
+        own = pc.index_in(q["qid"], pc.unique(x[item].cast(kind))).combine_chunks()
+        own, codes = pc.fill_null(own, -1).to_numpy(), pc.index_in(x[item].cast(kind), pc.unique(x[item].cast(kind))).combine_chunks().to_numpy()
+    out = []
+    for i in range(0, len(u), 256):
+        to = slice(i, i + 256)
+        with np.errstate(all="ignore"):
+            sims = (u[to] @ v.T) / (m[to, None] * n[None, :])
+        free = np.ones(sims.shape, bool)
+        if exclude_self:
+            free &= own[to, None] != codes[None, :]
+        if where is not None:
+            free &= where(asked[to, None], ids[None, :])
+        told = free & ~no_u[to, None] & ~no_v[None, :]
+        sims = np.where(told, sims, -np.inf)  # not a number counts as more than any number, here and in Spark
+        floor = np.full(len(sims), -np.inf if least is None else least - 2e-6)
+        if sims.shape[1] > k:
+            floor = np.fmax(floor, np.nan_to_num(np.partition(sims, -k, axis=1)[:, -k], nan=np.inf, posinf=np.inf, neginf=-np.inf) - 2e-6)
+        row, col = np.nonzero(told & ~(sims < floor[:, None]))
+        with np.errstate(all="ignore"):
+            sim = _dots(u[to][row], v[col]) / (n[col] * m[to][row])
+        null = np.zeros(len(row), bool)
+        if least is None and (no_u.any() or no_v.any()):
+            r, c = np.nonzero(free & ~told)
+            row, col, sim, null = np.r_[row, r], np.r_[col, c], np.r_[sim, np.zeros(len(r))], np.r_[null, np.ones(len(r), bool)]
+        # Of equal cosines the first k by item are enough.
+        order = np.lexsort((col, -sim, null, row))
+        row, col, sim, null = row[order], col[order], sim[order], null[order]
+        same = np.r_[False, (row[1:] == row[:-1]) & ((sim[1:] == sim[:-1]) | (np.isnan(sim[1:]) & np.isnan(sim[:-1]))) & (null[1:] == null[:-1])]
+        at = np.arange(len(row))
+        kept = at - np.maximum.accumulate(np.where(same, 0, at)) < k
+        out.append((row[kept] + i, col[kept], sim[kept], null[kept]))
+    return tuple(np.concatenate(p) for p in zip(*out, strict=True))
+
+
+def block_sims(corpus: DataFrame, queries: DataFrame, k: int, item: str, scope: str | None = None, min_similarity: float | None = None, exclude_self: bool = False, where: Callable | None = None) -> DataFrame:
+    """(scope,) qid, item, sim: pairs of queries (qid, qv, qnorm) and rows (item, v, norm; of one scope, if given) with at least the k best of each query.
+
+    Rows meet queries in blocks of ROWS and QUERIES, a task each, as a product of two matrices. A block gives what rounding may
+    leave among a query's k best in it, with cosines that are summed as Spark would, so that results don't hang on the matrix library.
+    """
+    name = scope or "_scope"
+    x, q = corpus.select(*([scope] if scope else []), item, "v", "norm"), queries.select(*([scope] if scope else []), "qid", "qv", "qnorm")
+    slices = lambda n: F.greatest(F.ceil(n / ROWS), F.least(F.lit(SPREAD), F.ceil(n / LEAST))).cast("int")
+    if scope is None:
+        counts = x.agg(slices(F.count(F.lit(1))).alias("slices")), q.agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
+        s, p = (max(1, c.first()[0]) for c in counts)
+        x, q = (t.withColumn("_scope", F.lit(0)).withColumn("slices", F.lit(s)).withColumn("parts", F.lit(p)) for t in (x, q))
+    else:
+        counts = x.groupBy(scope).agg(slices(F.count(F.lit(1))).alias("slices")).join(q.groupBy(scope).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts")), scope)
+        counts = cut(counts)
+        counts = F.broadcast(counts) if counts.count() <= BROADCAST_QUERIES else counts.hint("merge")
+        x, q = x.join(counts, scope), q.join(counts, scope)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = x.withColumn("slice", F.pmod(F.xxhash64(item), F.col("slices")).cast("int")).withColumn("part", every("parts")).drop("slices", "parts")
+    right = q.withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int")).withColumn("slice", every("slices")).drop("slices", "parts")
+    right = right.withColumnsRenamed({name: "_of", "slice": "_slice", "part": "_part"})
+    kinds = {f.name: f.dataType.simpleString() for f in [*left.schema, *right.schema]}
+
+    def meet(x: pa.Table, q: pa.Table) -> pa.Table:
+        if not x.num_rows or not q.num_rows:
+            return pa.table({name: x[name][:0], "qid": q["qid"][:0], item: x[item][:0], "sim": pa.array([], pa.float64())})
+        x = x.sort_by(item)
+        row, col, sim, null = _block_best(x, q, item, k, min_similarity, exclude_self, where)
+        return pa.table({name: x[name].take(col), "qid": q["qid"].take(row), item: x[item].take(col), "sim": pa.array(sim, mask=null)})
+
+    found = left.groupBy(name, "slice", "part").cogroup(right.groupBy("_of", "_slice", "_part")).applyInArrow(meet, f"{name} {kinds[name]}, qid {kinds['qid']}, {item} {kinds[item]}, sim double")
+    return found.select(*([scope] if scope else []), "qid", item, F.round("sim", 6).alias("sim"))
+
+
+def knn(corpus: DataFrame, queries: DataFrame, k: int, item: str, min_similarity: float | None = None, exclude_self: bool = False, where: Callable | None = None) -> DataFrame:
+    """qid, item, sim, rank: exact cosine top-k of each query (qid, qv, qnorm) over the corpus (item, v, norm), by blocks (see block_sims).
+
+    where: a condition on arrays of qid and item (Numpy's) that holds before ranking.
+    """
+    sims = block_sims(corpus, queries, k, item, None, min_similarity, exclude_self, where)
+    return _first(sims if min_similarity is None else sims.where(F.col("sim") >= min_similarity), k, item)
 
 
 def _products(corpus: DataFrame, queries: DataFrame, on: list[str], item: str) -> DataFrame:
@@ -143,8 +232,8 @@ def hierarchical_events(queries: DataFrame, topics: DataFrame, sessions: DataFra
     topics: topic, v, norm; sessions: session, topic, v, norm; events: session, event_id, seq. knn() ranks topics, which need not be few.
     """
     top = knn(topics, queries, n_topics, "topic").select("qid", "topic")
-    inner = sessions.join(top.join(queries, "qid"), "topic").withColumn("sim", F.round(dot(F.col("v"), F.col("qv")) / (F.col("norm") * F.col("qnorm")), 6))
-    near = inner.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), "session"))).where(F.col("place") <= n_sessions).select("qid", "session", "place")
+    inner = block_sims(sessions, top.join(queries, "qid"), n_sessions, "session", "topic")
+    near = _first(inner, n_sessions, "session").select("qid", "session", F.col("rank").alias("place"))
     new = near.join(events, "session").join(seen.select("qid", "event_id"), ["qid", "event_id"], "left_anti")
     order = F.row_number().over(W.partitionBy("qid").orderBy("place", "seq", "event_id"))
     return new.select("qid", "event_id", order.cast("long").alias("ord")).where(F.col("ord") <= most)

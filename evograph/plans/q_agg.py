@@ -6,7 +6,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evograph.functions.text import STOP_WORDS, key_terms
-from evograph.functions.vector import cosine
 from evograph.operators import context, graph, hierarchy, metrics, retrieval, support
 from evograph.plans import views as V
 from evograph.plans.views import with_views
@@ -194,8 +193,7 @@ def knn_threshold(spark, sf):
 @query("direct_evidence", with_views("vec", "SELECT * FROM (SELECT qid, vec_id, round(0.9 * sim, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM sims WHERE sim >= 0.2 AND (qid + vec_id) % 3 <> 0) WHERE rank <= 3", _Q))
 def direct_evidence(spark, sf):
     """The best three uncovered items of each query (here those with an id sum that 3 divides are covered)."""
-    uncovered = (F.col("qid") + F.col("vec_id")) % 3 != 0
-    near = retrieval.knn(V.vectors(spark, sf), _queries(spark, sf), 3, "vec_id", 0.2, exclude_self=True, where=uncovered)
+    near = retrieval.knn(V.vectors(spark, sf), _queries(spark, sf), 3, "vec_id", 0.2, exclude_self=True, where=lambda qid, vec_id: (qid + vec_id) % 3 != 0)
     return near.select("qid", "vec_id", F.round(0.9 * F.col("sim"), 6).alias("score"), "rank")
 
 
@@ -217,7 +215,7 @@ def hierarchical_seeds(spark, sf):
     q, vec = _queries(spark, sf), V.vectors(spark, sf)
     cents = _cents(spark, sf).select("label", F.col("cv").alias("v"), F.lit(1.0).alias("norm"))
     topics = retrieval.knn(cents, q, 2, "label").select("qid", "label")
-    items = vec.join(topics.join(q, "qid"), "label").where("qid <> vec_id").withColumn("sim", F.round(cosine(F.col("v"), F.col("qv"), F.col("norm"), F.col("qnorm")), 6))
+    items = retrieval.block_sims(vec, topics.join(q, "qid"), 3, "vec_id", "label", exclude_self=True)
     return items.withColumn("n", F.row_number().over(W.partitionBy("qid", "label").orderBy(F.desc("sim"), "vec_id"))).where("n <= 3").select("qid", "label", "vec_id")
 
 

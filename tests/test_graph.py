@@ -272,6 +272,39 @@ def test_a_hot_member_makes_no_pairs(spark):
     assert {r.event_id: r.cand_id for r in overlap.overlap_topk(df, 0.3, 3).where("rank = 1").collect()} == {i: int(i == 0) for i in range(2000)}
 
 
+@pytest.mark.parametrize("blocks", [(16384, 16384, 24, 1024), (40, 5, 1, 1)])
+def test_knn_by_blocks(spark, monkeypatch, blocks):
+    """Blocks of products against every pair: copies, near copies within the rounding, no vector, a null or NaN in it, other conditions; names as ids."""
+    for name, n in zip(("ROWS", "QUERIES", "SPREAD", "LEAST"), blocks, strict=True):
+        monkeypatch.setattr(retrieval, name, n)
+    rng = np.random.default_rng(3)
+    v = [x.tolist() for x in rng.normal(size=(240, 8))]
+    for i in range(60):
+        v[3 * i + 1] = list(v[1])
+        v[3 * i + 2] = [x * (1 + 1e-8 * i * j) for j, x in enumerate(v[2])]
+    v[200], v[201], v[202], v[203] = None, [None, *v[3][1:]], [float("nan"), *v[3][1:]], [0.0] * 8
+    rows = spark.createDataFrame([(f"n{i}", i, x) for i, x in enumerate(v)], "item string, number int, v array<double>").repartition(5)
+    rows = rows.select("item", "number", "v", V_norm(F.col("v")).alias("norm"))
+    asked = rows.where("number % 20 < 3").select(F.col("item").alias("qid"), F.col("v").alias("qv"), F.col("norm").alias("qnorm"))
+    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    pairs = asked.crossJoin(rows).where("qid <> item").select("qid", "item", F.round(dot / (F.col("norm") * F.col("qnorm")), 6).alias("sim"))
+    for least, where in ((None, None), (0.3, None), (None, lambda q, i: q != "n20")):
+        want = pairs if least is None else pairs.where(F.col("sim") >= least)
+        want = want if where is None else want.where("qid <> 'n20'")
+        want = want.withColumn("rank", F.expr("row_number() OVER (PARTITION BY qid ORDER BY sim DESC, item)").cast("long")).where("rank <= 7")
+        got = retrieval.knn(rows, asked, 7, "item", least, exclude_self=True, where=where)
+        show = lambda df: sorted((r.qid, r.rank, r.item, str(r.sim)) for r in df.collect())
+        assert show(got) == show(want)
+    copies = spark.range(3000).select(F.col("id").alias("item"), F.lit(1.0).alias("norm"), F.array(F.lit(1.0), F.lit(0.0)).alias("v"))
+    few = copies.where("item < 4").select(F.col("item").alias("qid"), F.col("v").alias("qv"), F.lit(1.0).alias("qnorm"))
+    assert retrieval.block_sims(copies, few, 5, "item").count() <= 4 * 5 * -(-3000 // min(blocks[0], 1024))  # pairs stay in their block
+
+
+def V_norm(v):  # noqa: N802
+    n = F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
+    return F.when(n == 0, 1.0).otherwise(n)
+
+
 def test_cells_are_all_products(spark):
     """Cells and bounds give the rows of all products: ties, zero vectors, small scopes, a least similarity; near groups are mostly skipped."""
     rng = np.random.default_rng(6)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +36,17 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def clamp(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+
+
+def matrix(column: pa.ChunkedArray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, and which of them are none: null, with a null component, or not of d numbers (zeros here)."""
+    lists = pa.chunked_array(column.chunks, column.type).combine_chunks()
+    whole = pc.fill_null(pc.equal(pc.list_value_length(lists), d), False)
+    flat = pc.list_flatten(lists.filter(whole))
+    rows, at = np.zeros((len(lists), d)), whole.to_numpy(zero_copy_only=False)
+    rows[at] = flat.to_numpy(zero_copy_only=False).reshape(-1, d)
+    none = ~at
+    if flat.null_count:
+        none[at] = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, d).any(1)
+        rows[none] = 0
+    return rows, none

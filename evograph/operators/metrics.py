@@ -6,14 +6,17 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from evograph.functions.stem import stem
 from evograph.functions.text import tokens
-from evograph.functions.vector import dot
+from evograph.functions.vector import matrix
 
 
 def exact_match(a: Column, b: Column) -> Column:
@@ -142,25 +145,59 @@ def token_weights(texts: DataFrame, tokens: str) -> DataFrame:
     return has.select("token", F.log(F.lit(n + 1) / (F.col("df") + 1)).alias("idf"))
 
 
+#: Tokens of a block of pairs, about; cosines that are held at a time.
+TOKENS, HELD = 1 << 17, 1 << 22
+
+
+def _aligned(u: np.ndarray, none: np.ndarray, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Precision and recall of two texts (places of their tokens): the weighted means of each token's best cosine with the other side."""
+    if not len(x) or not len(y):
+        return 0.0, 0.0
+    (x, n), (y, m) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    a, b = np.zeros(len(x)), np.zeros(len(y))
+    known, other = np.flatnonzero(~none[x]), np.flatnonzero(~none[y])
+    if len(known) and len(other):
+        best = np.full(len(other), -np.inf)
+        for i in range(0, len(known), step := max(1, HELD // len(other))):
+            sims = u[x[known[i : i + step]]] @ u[y[other]].T
+            a[known[i : i + step]] = sims.max(1)
+            best = np.maximum(best, sims.max(0))
+        b[other] = best
+    share = lambda near, weight: float(near @ weight / weight.sum()) if weight.sum() else 0.0
+    return share(a, n * w[x]), share(b, m * w[y])
+
+
 def aligned_similarity(pairs: DataFrame, vectors: DataFrame, weights: DataFrame | None = None, key: tuple[str, ...] = ("pair",)) -> DataFrame:
     """key, precision, recall, f1: each token of a side is aligned with the most similar one of the other side, and cosines are averaged, by idf.
 
     pairs: key, prediction, reference (arrays of tokens); vectors: token, v, norm, of any encoder that gives tokens vectors; weights: token, idf
     (1 for all without them, 0 for a token that they lack). Tokens without a vector align with nothing and count as 0; so does an empty side.
+
+    Pairs go into blocks of about TOKENS tokens; a block gets the vector of each of its tokens once, not one for each place, and a pair is a product of two matrices.
     """
-    known = vectors.select("token", F.transform("v", lambda x: x / F.col("norm")).alias("u"))
-
-    def side(name: str) -> DataFrame:
-        rows = pairs.select(*key, F.explode(name).alias("token")).groupBy(*key, "token").agg(F.count(F.lit(1)).alias("n"))
-        rows = rows.join(weights, "token", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(0.0))) if weights is not None else rows.withColumn("w", F.col("n").cast("double"))
-        return rows.join(known, "token", "left").groupBy(*key).agg(F.collect_list(F.struct("w", "u")).alias(name))  # a text's own words
-
-    both = side("prediction").join(side("reference"), list(key))
-    near = lambda x, other: F.coalesce(F.array_max(F.transform(F.filter(other, lambda y: y["u"].isNotNull()), lambda y: dot(x["u"], y["u"]))), F.lit(0.0))
-    total = lambda xs, f: F.aggregate(F.transform(xs, f), F.lit(0.0), lambda a, x: a + x)
-    share = lambda a, b: F.try_divide(total(a, lambda x: x["w"] * F.when(x["u"].isNull(), 0.0).otherwise(near(x, b))), total(a, lambda x: x["w"]))
-    out = both.select(*key, share(F.col("prediction"), F.col("reference")).alias("p"), share(F.col("reference"), F.col("prediction")).alias("r"))
-    met = pairs.select(*key).join(out, list(key), "left").withColumn("precision", F.coalesce("p", F.lit(0.0))).withColumn("recall", F.coalesce("r", F.lit(0.0)))
+    text = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    texts = pairs.select(*key, text("prediction"), text("reference"))
+    total = texts.agg(F.sum(F.size("prediction") + F.size("reference"))).first()[0] or 0
+    left = texts.withColumn("_block", F.pmod(F.xxhash64(*key), F.lit(-(-total // TOKENS) or 1)))
+    words = left.select(F.col("_block").alias("_of"), F.explode(F.concat("prediction", "reference")).alias("token")).distinct()
+    words = words.join(vectors.select("token", "v", "norm").hint("merge"), "token", "left")
+    words = words.withColumn("w", F.lit(1.0)) if weights is None else words.join(weights.select("token", "idf").hint("merge"), "token", "left").withColumn("w", F.coalesce("idf", F.lit(0.0))).drop("idf")
+    schema = ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in key)
+
+    def meet(texts: pa.Table, words: pa.Table) -> pa.Table:
+        d = (pc.max(pc.list_value_length(words["v"])).as_py() if words.num_rows else None) or 1
+        v, none = matrix(words["v"], d)
+        u = v / np.where(none, 1.0, pc.fill_null(words["norm"], 1.0).to_numpy())[:, None]
+        w, places = words["w"].to_numpy(), []
+        for name in ("prediction", "reference"):
+            lists = texts[name].combine_chunks()
+            at = pc.index_in(lists.flatten(), words["token"]).to_numpy(zero_copy_only=False)
+            places.append((at, np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]))
+        (a, i), (b, j) = places
+        out = [_aligned(u, none, w, a[i[n] : i[n + 1]], b[j[n] : j[n + 1]]) for n in range(texts.num_rows)]
+        return pa.table({**{k: texts[k] for k in key}, "precision": pa.array([x for x, _ in out], pa.float64()), "recall": pa.array([x for _, x in out], pa.float64())})
+
+    met = left.groupBy("_block").cogroup(words.groupBy("_of")).applyInArrow(meet, f"{schema}, precision double, recall double")
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
     return met.select(*key, "precision", "recall", f1.alias("f1"))
 

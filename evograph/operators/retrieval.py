@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evograph.functions.vector import dot
+from evograph.functions.vector import dot, matrix
 from evograph.operators.clustering import nearest as nearest_centre
 from evograph.shared import cut
 
@@ -23,20 +23,6 @@ WHOLE_SCOPE, PIVOTS = 4096, 256
 ROWS, QUERIES, SPREAD, LEAST = 16384, 16384, 24, 1024
 
 
-def _matrix(column: pa.ChunkedArray, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as rows, and which of them are none: null, with a null component, or not of d numbers (zeros here)."""
-    lists = pa.chunked_array(column.chunks, column.type).combine_chunks()
-    whole = pc.fill_null(pc.equal(pc.list_value_length(lists), d), False)
-    flat = pc.list_flatten(lists.filter(whole))
-    rows, at = np.zeros((len(lists), d)), whole.to_numpy(zero_copy_only=False)
-    rows[at] = flat.to_numpy(zero_copy_only=False).reshape(-1, d)
-    none = ~at
-    if flat.null_count:
-        none[at] = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, d).any(1)
-        rows[none] = 0
-    return rows, none
-
-
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products of rows, summed from left to right as functions.vector.dot does: the same doubles."""
     out = np.empty(len(a))
@@ -48,7 +34,7 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _block_best(x: pa.Table, q: pa.Table, item: str, k: int, least: float | None, exclude_self: bool, where: Callable | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one block of rows and one of queries: places of queries and rows, their cosine, and whether it is null: all pairs that rounding to six places may leave among a query's k best."""
     d = pc.max(pc.list_value_length(q["qv"])).as_py() or 1
-    (v, no_v), (u, no_u) = _matrix(x["v"], d), _matrix(q["qv"], d)
+    (v, no_v), (u, no_u) = matrix(x["v"], d), matrix(q["qv"], d)
     n, m = (pc.fill_null(t, float("nan")).to_numpy() for t in (x["norm"], q["qnorm"]))
     ids, asked = x[item].to_numpy(), q["qid"].to_numpy()
     if exclude_self:

@@ -267,3 +267,30 @@ def test_providers(spark):
         raise OSError
 
     assert providers.Retrying(fails, tries=2, wait=0).complete(pd.Series(["a"])).tolist() == ["ERROR"]
+
+
+@pytest.mark.parametrize("tokens", [1 << 17, 7])
+def test_alignment_by_blocks(spark, monkeypatch, tokens):
+    """Pairs in blocks against each on its own: missing vectors and weights, empty and null sides, repeated tokens, few cosines held at a time."""
+    monkeypatch.setattr(metrics, "TOKENS", tokens)
+    monkeypatch.setattr(metrics, "HELD", 5)
+    rng = random.Random(5)
+    v = {w: [rng.gauss(0, 1) for _ in range(5)] for w in "abcdefg"}
+    idf = {w: rng.random() for w in "abcdeh"}
+    side = lambda: rng.choice([None, []]) if rng.random() < 0.2 else [rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))]
+    rows = [(i, side(), side()) for i in range(60)]
+    norm = lambda x: sum(c * c for c in x) ** 0.5
+    cos = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True)) / norm(v[a]) / norm(v[b])
+    pairs = spark.createDataFrame(rows, "pair int, prediction array<string>, reference array<string>").repartition(3)
+    vec = spark.createDataFrame([(w, x, norm(x)) for w, x in v.items()], "token string, v array<double>, norm double")
+    weights = spark.createDataFrame(list(idf.items()), "token string, idf double")
+    for given in (None, weights):
+        w = (lambda t: 1.0) if given is None else (lambda t: idf.get(t, 0.0))
+
+        def share(a, b, w=w):
+            near = [max((cos(x, y) for y in b or [] if y in v), default=0.0) if x in v else 0.0 for x in a or []]
+            total = sum(w(x) for x in a or [])
+            return sum(w(x) * s for x, s in zip(a or [], near, strict=True)) / total if a and b and total else 0.0
+
+        got = {r.pair: (r.precision, r.recall) for r in metrics.aligned_similarity(pairs, vec, given).collect()}
+        assert got == {i: (pytest.approx(share(a, b)), pytest.approx(share(b, a))) for i, a, b in rows}

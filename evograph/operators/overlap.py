@@ -83,10 +83,10 @@ def similar_classes(classes: DataFrame, scope: str, min_jaccard: float, most: in
     return near.unionByName(large_pairs(classes, scope, min_jaccard, small))
 
 
-def _lists(rows: DataFrame, scope: str, min_jaccard: float, most: int, own: list[str], each: int | None, more: list[str], small: int) -> DataFrame:
+def _lists(rows: DataFrame, scope: str, min_jaccard: float, most: int, own: list[str], each: int | None, more: list[str], sizes: list[int]) -> DataFrame:
     """scope, key, n, list: for each subset of a small set (key) and each size n of sets that have it the first `most` events, of one group `each` at most."""
     at = ["seq", F.col("event_id").alias("id")]
-    entries = keyed(rows, min_jaccard, small).select(scope, "key", "n", *at, *more, "rest")
+    entries = keyed(rows, min_jaccard, sizes).select(scope, "key", "n", *at, *more, "rest")
     first = lambda *by: F.row_number().over(W.partitionBy(scope, "key", "n", *by).orderBy("seq", "id"))
     if each is not None:
         entries = entries.withColumn("_n", first(*own)).where(F.col("_n") <= each)
@@ -94,11 +94,13 @@ def _lists(rows: DataFrame, scope: str, min_jaccard: float, most: int, own: list
     return entries.groupBy(scope, "key", "n").agg(F.array_sort(F.collect_list(F.struct("seq", "id", *more, "rest"))).alias("list"))  # at most `most`
 
 
-def keyed(rows: DataFrame, min_jaccard: float, small: int) -> DataFrame:
-    """rows (with c, a sorted set) for each subset that may make a small one similar enough: key, both (its size), rest (the other members), n (the set's size)."""
+def keyed(rows: DataFrame, min_jaccard: float, sizes: list[int]) -> DataFrame:
+    """rows (with c, a sorted set) for each subset that may make one similar enough to a set of one of the sizes: key, both (its size), rest (the other members), n (the set's size)."""
     told = F.transform("c", lambda x: F.coalesce(F.concat(F.char_length(x).cast("string"), F.lit(":"), x), F.lit("-")))  # joined, they say which members they are
-    few = rows.where(F.size("c").between(1, small)).withColumn("told", told).withColumn("n", F.size("told")).withColumn("x", F.explode(subsets(F.col("told"))))
-    few = few.withColumn("both", F.size("x")).where(F.col("both") >= F.col("n") * min_jaccard - 1e-9)
+    few = rows.where(F.size("c").isin(sizes)).withColumn("told", told).withColumn("n", F.size("told")).withColumn("x", F.explode(subsets(F.col("told"))))
+    few = few.withColumn("both", F.size("x"))
+    enough = [f"n = {n} AND both >= {min((b for b in range(1, n + 1) if any(b <= m and b >= (n + m - b) * min_jaccard - 1e-9 for m in sizes)), default=n + 1)}" for n in sizes]
+    few = few.where(" OR ".join(enough) or "false")
     return few.withColumn("key", F.array_join("x", "")).withColumn("rest", F.array_except("told", "x")).drop("told", "x", "c")
 
 
@@ -149,18 +151,20 @@ def overlap_topk(events: DataFrame, min_jaccard: float, k: int, scope: str = "co
     rows = events.select(scope, "event_id", *(["event_seq"] if "event_seq" in keep else []), seq, c, *more)
     most = k if past else 2 * k if group else k + 1  # with k of a group at most, k of any other groups are among the first 2 k
     listed = rows.where(F.col(group).isNotNull()) if past else rows
-    lists = _lists(listed, scope, min_jaccard, most, own, k if group and not past else None, more, small)
+    found = [r[0] for r in rows.select(F.least(F.coalesce(F.size("c"), F.lit(0)), F.lit(small + 1))).distinct().collect()]  # at most small + 2
+    sizes = sorted(n for n in found if 1 <= n <= small)
+    lists = _lists(listed, scope, min_jaccard, most, own, k if group and not past else None, more, sizes)
     # Rows that agree in all that is told of them are told apart by a number.
     probes = rows.withColumn("twin", F.row_number().over(W.partitionBy(scope, "event_id").orderBy("seq", "c", *more)))
     carried = list(dict.fromkeys([scope, "event_id", "twin", *more, *keep]))
-    asked = keyed(probes.select(*carried, "c"), min_jaccard, small).withColumnRenamed("n", "m").withColumnRenamed("rest", "lacking")
+    asked = keyed(probes.select(*carried, "c"), min_jaccard, sizes).withColumnRenamed("n", "m").withColumnRenamed("rest", "lacking")
     jaccard = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
     met = merge_join(asked, lists, [scope, "key"]).withColumn("neg", -jaccard).where(jaccard >= min_jaccard)
     admissible = (lambda x: x[group] < F.col(group)) if past else (lambda x: ~x[group].eqNullSafe(F.col(group))) if group else (lambda x: x["id"] != F.col("event_id"))
-    found = F.slice(F.filter("list", lambda x: admissible(x) & ~F.arrays_overlap(x["rest"], F.col("lacking"))), 1, k)
-    items = F.transform(found, lambda x: F.struct(x["seq"].alias("seq"), x["id"].alias("id"), *(x[m].alias(m) for m in shown)))
+    taken = F.slice(F.filter("list", lambda x: admissible(x) & ~F.arrays_overlap(x["rest"], F.col("lacking"))), 1, k)
+    items = F.transform(taken, lambda x: F.struct(x["seq"].alias("seq"), x["id"].alias("id"), *(x[m].alias(m) for m in shown)))
     met = met.select(*carried, "neg", items.alias("items"))
-    if not rows.where(F.size("c") > small).isEmpty():
+    if small + 1 in found:
         met = met.unionByName(_large_items(probes, carried, scope, min_jaccard, k, most, group, past, more, shown, small))
     parts = met.where(F.size("items") > 0).groupBy(*carried).agg(F.collect_list(F.struct("neg", "items")).alias("parts"))
     told = lambda p: F.transform(p["items"], lambda x: F.struct(p["neg"].alias("neg"), x["seq"].alias("seq"), x["id"].alias("id"), *(x[m].alias(m) for m in shown)))

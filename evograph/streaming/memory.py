@@ -25,6 +25,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from evograph.operators import overlap, validity
 from evograph.operators.hierarchy import Topics
+from evograph.shared import merge_join
 from evograph.streaming.incremental import rule_verdict
 
 #: Members of a set that is listed by its subsets; events of a list (no cap of a candidate list may be larger); sets of a piece.
@@ -353,18 +354,32 @@ def replayed(events: DataFrame, verdict: Callable | None = None, recorded: DataF
     verdict: a column function of the candidate pairs' columns; or recorded: conv, src, dst, edge_type, of any origin.
     events: as for remember(), with a topic.
     """
-    pairs = screened(events, EVOLUTION, ("kind", "value", "event_date"))
-    pairs = pairs.select("conv", F.col("event_id").alias("src"), F.col("cand_id").alias("dst"), F.struct("session_num", "event_seq").alias("at"), "kind", "value", "event_date", "cand_kind", "cand_value")
-    if recorded is not None:
-        pairs = pairs.join(recorded.select("conv", "src", "dst", F.col("edge_type").alias("verdict")), ["conv", "src", "dst"], "left")
-    else:
-        pairs = pairs.withColumn("verdict", (verdict or rule)(pairs))
-    updates = validity.settle(pairs).where("verdict IS NOT NULL")
-    near = overlap.gated(screened(events, SUPPORT, ("topic",)), "topic").select("conv", F.col("cand_id").alias("src"), F.col("event_id").alias("dst"), F.lit("supports").alias("edge_type"))
-    dated = overlap.gated(screened(events, TEMPORAL, ("topic", "event_date")), "topic")
-    temporal = overlap.temporal_edges(dated, "event_date", "cand_event_date").select("conv", "src", "dst", "edge_type")
+    def verdicts(near: DataFrame) -> DataFrame:
+        """The pairs that may evolve, with the verdicts that count. A lower bound's best pairs begin with a higher one's."""
+        pairs = near.where((F.col("jaccard") >= EVOLUTION[0]) & (F.col("rank") <= EVOLUTION[1]))
+        pairs = pairs.select("conv", F.col("event_id").alias("src"), F.col("cand_id").alias("dst"), F.struct("session_num", "event_seq").alias("at"), "kind", "value", "event_date", "cand_kind", "cand_value")
+        if recorded is not None:
+            pairs = merge_join(pairs, recorded.select("conv", "src", "dst", F.col("edge_type").alias("verdict")), ["conv", "src", "dst"], "left")
+        else:
+            pairs = pairs.withColumn("verdict", (verdict or rule)(pairs))
+        return validity.settle(pairs).where("verdict IS NOT NULL")
+
+    # All edges come from one search, by the widest bound; validity, which needs the evolving pairs alone, from a narrower one.
+    widest = min(j for j, _ in (SUPPORT, TEMPORAL, EVOLUTION)), max(n for _, n in (SUPPORT, TEMPORAL, EVOLUTION))
+    near = screened(events, widest, ("kind", "value", "event_date", "topic"))
+    within = lambda bound: (F.col("jaccard") >= bound[0]) & (F.col("rank") <= bound[1])
+    gate = overlap.gated(near, "topic")
+    later, earlier = F.col("cand_event_date") > F.col("event_date"), F.col("cand_event_date") < F.col("event_date")
+    edge = lambda when, src, dst, kind: F.when(when, F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("edge_type")))
+    linked = F.array(
+        edge(within(SUPPORT), "cand_id", "event_id", "supports"),
+        edge(within(TEMPORAL) & earlier, "cand_id", "event_id", "temporal_before"),
+        edge(within(TEMPORAL) & later, "event_id", "cand_id", "temporal_before"),
+    )
+    links = gate.select("conv", F.inline(F.filter(linked, lambda x: x.isNotNull())))
     given = events.select("conv", F.col("event_id").alias("src"), F.inline("causes"))
-    edges = updates.select("conv", "src", "dst", F.col("verdict").alias("edge_type")).unionByName(near.unionByName(temporal).unionByName(given.select("conv", "src", "dst", "edge_type")))
+    edges = verdicts(near).select("conv", "src", "dst", F.col("verdict").alias("edge_type")).unionByName(links.unionByName(given.select("conv", "src", "dst", "edge_type")))
+    updates = verdicts(screened(events, EVOLUTION, ("kind", "value", "event_date")))
     fresh = events.select("conv", "event_id", F.lit(None).cast("date").alias("valid_until"), F.lit(1.0).alias("update_val"))
     anchors = updates.where("verdict = 'updates'").select("conv", "src", "dst", F.col("event_date").alias("anchor"))
     return edges, validity.propagate_updates(fresh, given.withColumn("t_invalid_at", F.lit(None).cast("date")), anchors)[0]

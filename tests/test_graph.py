@@ -254,6 +254,13 @@ def test_overlap_broadcasts_nothing(spark):
     assert "Broadcast" not in plan(validity.replay(df, recorded))
 
 
+def test_subsets_that_no_size_needs_are_not_listed(spark):
+    """Of sets of three alone, those that share one member have a similarity of a fifth: their lists aren't made for a third."""
+    row = spark.createDataFrame([(0, ["a", "b", "c"])], "conv int, c array<string>")
+    n = lambda least, sizes: overlap.keyed(row, least, sizes).count()
+    assert (n(0.3, [3]), n(0.2, [3]), n(0.3, [1, 3]), n(0.9, [3])) == (4, 7, 7, 1)
+
+
 def test_overlap_takes_lists_not_pairs(spark):
     """A probe takes k events of each of its subsets' lists; more of them, or pairs of classes, aren't moved. Equal rows each have candidates of their own."""
     rows = [(0, i, i, ["hot", f"m{i // 2}"], i % 5) for i in range(400)] + [(0, 400, 400, ["hot", "m7"], 9)] * 2

@@ -113,7 +113,7 @@ def memory_validity(spark, sf):
 def recorded_replay(spark, sf):
     """Ingest by verdicts from elsewhere: here recorded for all candidate pairs, by a rule on the ids."""
     talk = _talk(spark, sf).withColumn("anchor", F.col("event_date"))
-    pairs = memory.screened(talk, memory.EVOLUTION).select("conv", F.col("event_id").alias("src"), F.col("cand_id").alias("dst"))
+    pairs = memory.screened(talk, memory.EVOLUTION, ("anchor",)).select("conv", F.col("event_id").alias("src"), F.col("cand_id").alias("dst"))
     kind = F.element_at(F.array(*map(F.lit, ("updates", "contradicts", "independent", "independent", "none"))), ((7 * F.col("src") + 13 * F.col("dst")) % 5 + 1).cast("int"))
     return validity.replay(talk, pairs.withColumn("edge_type", kind))
 

@@ -19,6 +19,8 @@ from evograph.shared import cut
 QUERY_BLOCK, BROADCAST_QUERIES = 256, 4096
 #: Rows of a scope up to which its queries are multiplied with all of it; pivots of a larger one, at most.
 WHOLE_SCOPE, PIVOTS = 4096, 256
+#: How many scopes' numbers of blocks (16 bytes each) may be sent to all tasks.
+BROADCAST_SCOPES = 1 << 16
 #: Rows and queries of a block of products; blocks that fewer rows than that are dealt to, and rows of one of those at least.
 ROWS, QUERIES, SPREAD, LEAST = 16384, 16384, 24, 1024
 
@@ -89,7 +91,7 @@ def block_sims(corpus: DataFrame, queries: DataFrame, k: int, item: str, scope:
     else:
         counts = x.groupBy(scope).agg(slices(F.count(F.lit(1))).alias("slices")).join(q.groupBy(scope).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts")), scope)
         counts = cut(counts)
-        counts = F.broadcast(counts) if counts.count() <= BROADCAST_QUERIES else counts.hint("merge")
+        counts = F.broadcast(counts) if counts.count() <= BROADCAST_SCOPES else counts.hint("merge")
         x, q = x.join(counts, scope), q.join(counts, scope)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = x.withColumn("slice", F.pmod(F.xxhash64(item), F.col("slices")).cast("int")).withColumn("part", every("parts")).drop("slices", "parts")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evograph.functions.vector import clamp, cosine
-from evograph.operators import graph, paths, validity
+from evograph.operators import graph, paths, retrieval, validity
 from evograph.plans import views as V
 from evograph.plans.views import with_views
 from evograph.shared import cut
@@ -161,9 +161,24 @@ def _event_sims(spark, sf, pairs):
     """qid, node, sim for the given (qid, node) pairs."""
     vec = V.vectors(spark, sf)
     n = vec.count()
-    side = lambda p: vec.select(F.col("vec_id").alias(f"{p}_id"), F.col("v").alias(f"{p}_v"), F.col("norm").alias(f"{p}_n"))
+    side = lambda p: vec.select(F.col("vec_id").alias(f"{p}_id"), _narrow("v").alias(f"{p}_v"), F.col("norm").alias(f"{p}_n"))
     rows = pairs.select("qid", "node", (F.col("qid") % n).alias("q_id"), (F.col("node") % n).alias("e_id")).join(side("q"), "q_id").join(side("e"), "e_id")
-    return rows.select("qid", "node", F.round(cosine(F.col("q_v"), F.col("e_v"), F.col("q_n"), F.col("e_n")), 6).alias("sim"))
+    return rows.select("qid", "node", F.round(cosine(F.col("q_v").cast("array<double>"), F.col("e_v").cast("array<double>"), F.col("q_n"), F.col("e_n")), 6).alias("sim"))
+
+
+def _narrow(v):
+    """Vectors are stored as floats: as such they are moved in half the space, and nothing is lost."""
+    return F.col(v).cast("array<float>")
+
+
+def _nearest_events(spark, sf, questions, most, least):
+    """qid, node, sim: at least the `most` nearest events of each question's conversation, from `least` on. An event's vector goes to its conversation once, not to each question."""
+    vec = V.vectors(spark, sf)
+    n = vec.count()
+    narrow = vec.select("vec_id", _narrow("v").alias("v"), "norm")
+    events = V.events(spark, sf).select("conv", F.col("event_id").alias("node"), (F.col("event_id") % n).alias("vec_id")).join(narrow, "vec_id")
+    asked = questions.select("qid", "conv", (F.col("qid") % n).alias("vec_id")).join(narrow, "vec_id").select("qid", "conv", F.col("v").alias("qv"), F.col("norm").alias("qnorm"))
+    return retrieval.block_sims(events, asked, most, "node", "conv", least).where(F.col("sim") >= least).select("qid", "node", "sim")
 
 
 def _scored(spark, sf, depth, cap):
@@ -197,8 +212,9 @@ def evidence_paths(spark, sf):
     scored = cut(_scored(spark, sf, 3, 50))
     seeds = _seeds(spark, sf)
     covered = scored.select("qid", F.explode("nodes").alias("node")).unionByName(seeds.select("qid", "node"))
-    pairs = seeds.select("qid", "conv").distinct().join(V.events(spark, sf).select("conv", F.col("event_id").alias("node")), "conv")
-    direct = paths.direct_evidence(_event_sims(spark, sf, pairs), covered, least=0.2)
+    known = 50 * 4 + 2  # events that a question's paths and seeds can cover
+    near = _nearest_events(spark, sf, seeds.select("qid", "conv").distinct(), paths.DIRECT + known, 0.2)
+    direct = paths.direct_evidence(near, covered, least=0.2)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     a = scored.select("qid", text(F.col("nodes")).alias("nodes"), "score", F.col("path_rank").alias("ord"))
     b = direct.select("qid", F.col("node").cast("string").alias("nodes"), F.round("score", 6).alias("score"), "ord")

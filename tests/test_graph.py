@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evograph.operators import context, graph, hierarchy, inject, overlap, paths, retrieval, validity
-from evograph.plans import pipeline
+from evograph.plans import pipeline, q_graph
 from evograph.plans import views as V
 from evograph.streaming import incremental
 
@@ -242,6 +242,15 @@ def test_overlap_by_subsets_and_prefixes(spark, small):
         assert got == want, (past, group)
 
 
+def test_nearest_events_are_all_pairs(spark):
+    """Events' similarities to the questions of their conversation, by blocks: the same as pair by pair, for which each pair moved two vectors."""
+    questions = q_graph._seeds(spark, SF).select("qid", "conv").distinct()
+    pairs = questions.join(V.events(spark, SF).select("conv", F.col("event_id").alias("node")), "conv")
+    show = lambda df: sorted((r.qid, r.node, r.sim) for r in df.collect())
+    want = show(q_graph._event_sims(spark, SF, pairs).where("sim >= 0.2"))
+    assert len(want) > 100 and show(q_graph._nearest_events(spark, SF, questions, 10**6, 0.2)) == want
+
+
 def test_overlap_broadcasts_nothing(spark):
     """What explode() makes of a side isn't in the planner's sizes: such a side was sent through the driver."""
     rows = [(0, i, i, ["u", f"m{i % 9}"], i % 3, i % 2) for i in range(60)]
